@@ -1,0 +1,22 @@
+"""Join helpers: broadcast only behind a checked size."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """Return ``(df, True)`` with a broadcast hint when ``df`` has at most
+    ``max_rows`` rows, else ``(df, False)`` for a shuffle join.
+
+    The frame is persisted before counting so the check does not compute it
+    twice; it is meant for small derived tables (dimension lookups, per-split
+    offsets), whose row count is the proven bound.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    if n <= max_rows:
+        return F.broadcast(df), True
+    return df, False

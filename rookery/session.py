@@ -35,7 +35,8 @@ def build_session(master: str | None = None, app_name: str = "rookery",
             # A local session must not depend on the host name resolving.
             builder = (builder.config("spark.driver.host", "127.0.0.1")
                        .config("spark.driver.bindAddress", "127.0.0.1"))
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = (builder.config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
