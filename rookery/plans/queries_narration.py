@@ -1,3 +1,258 @@
-"""Queries: narration."""
+"""Narration queries: prompts, reply checks, anchor timing, playback, JSON I/O."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.exprs import START_FEN
+from ..operators import evals as ev
+from ..operators import narration as nr
+from ..session import fresh_path
+from ..sources import narration_io
+from ..sources import testdata as td
+from .catalog import register
+from .queries_evals import DIFF_CTE
+
+FINAL = td.PARA_FINAL_INDEX
+WORDS = r"len(list_filter(string_split_regex({x}, '\s+'), lambda w: w != ''))"
+KEY = r"array_to_string(list_slice(string_split_regex(trim({x}), '\s+'), 1, 4), ' ')"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nr.documents_from_paragraphs(td.para(spark, sf_dir))
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph rows with resolved anchor indexes (the view carries them)."""
+    return td.para(spark, sf_dir).select(
+        "g", "p", "text", F.array(F.struct("fen", "trigger_word", "fen_idx")).alias("anchors"))
+
+
+# ------------------------------------------------------------------ anchors
+register("broken_anchors",
+         lambda s, d: nr.broken_anchors(nr.anchor_rows(_docs(s, d))),
+         """SELECT g, CAST(p AS INT) AS p, 0 AS a, trigger_word FROM para
+            WHERE trigger_word != '' AND NOT contains(text, trigger_word)""", ("para",))
+
+ANCHOR_CTE = f"""
+, par AS (SELECT g, p, text, trigger_word, fen, fen_idx, {WORDS.format(x='text')} AS n_words FROM para)
+, par2 AS (
+  SELECT *, COALESCE(SUM(n_words) OVER (PARTITION BY g ORDER BY p
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before,
+         GREATEST(SUM(n_words) OVER (PARTITION BY g), 1) AS total_words
+  FROM par)
+, anc AS (
+  SELECT g, p, fen_idx, total_words,
+         COALESCE(trigger_word != '' AND fen != '' AND strpos(text, trigger_word) > 0 AND fen_idx >= 0, false)
+           AS valid,
+         CASE WHEN trigger_word != '' AND fen != '' AND strpos(text, trigger_word) > 0 AND fen_idx >= 0
+              THEN words_before + {WORDS.format(x="substr(text, 1, strpos(text, trigger_word) - 1)")} END
+           AS word_pos
+  FROM par2)
+, fr AS (SELECT *, CASE WHEN valid THEN ROUND_EVEN(word_pos / total_words, 6) END AS word_frac FROM anc)
+, kp AS (
+  SELECT *, valid AND fen_idx > COALESCE(MAX(CASE WHEN valid THEN fen_idx END) OVER (
+              PARTITION BY g ORDER BY word_frac NULLS FIRST, p
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept
+  FROM fr)
+, lst AS (
+  SELECT g, MAX(CASE WHEN kept THEN fen_idx END) AS last_idx,
+         arg_max(word_frac, fen_idx) FILTER (WHERE kept) AS last_frac
+  FROM kp GROUP BY g)
+, ta AS (
+  SELECT g, fen_idx, word_frac FROM kp WHERE kept
+  UNION ALL
+  SELECT g, {FINAL} AS fen_idx,
+         ROUND_EVEN(COALESCE(last_frac, 0.0) + (1.0 - COALESCE(last_frac, 0.0)) * 0.65, 6) AS word_frac
+  FROM lst WHERE {FINAL} > 0 AND (last_idx IS NULL OR last_idx < {FINAL}))
+"""
+
+register("anchor_word_pos", lambda s, d: nr.anchor_word_pos(_paragraphs(s, d)),
+         ANCHOR_CTE + """SELECT g, CAST(p AS INT) AS p, 0 AS a, valid, fen_idx, word_pos, total_words
+                         FROM anc""", ("para",))
+register("timed_anchors", lambda s, d: nr.timed_anchors(_paragraphs(s, d), FINAL),
+         ANCHOR_CTE + "SELECT * FROM ta", ("para",))
+
+TICKS = 50
+
+
+def _playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = nr.timed_anchors(_paragraphs(spark, sf_dir), FINAL)
+    totals = td.para(spark, sf_dir).select("g").distinct().withColumn("total", F.lit(FINAL + 1))
+    return nr.playback_index(anchors, totals, TICKS)
+
+
+register("playback_index", _playback, ANCHOR_CTE + f"""
+, docs AS (SELECT DISTINCT g FROM para)
+, tk AS (SELECT g, CAST(r.k AS INT) AS k,
+                LEAST(GREATEST((CAST(r.k AS DOUBLE) + 0.5) / {float(TICKS)}, 0.0), 1.0) AS f
+         FROM docs, range(0, {TICKS}) r(k))
+, ends AS (SELECT g, MIN(word_frac) AS fw, MIN(fen_idx) AS fi, MAX(word_frac) AS lw, MAX(fen_idx) AS li
+           FROM ta GROUP BY g)
+, nb AS (
+  SELECT tk.g, tk.k, tk.f, e.fw, e.fi, e.lw, e.li,
+         (SELECT MAX(word_frac) FROM ta WHERE ta.g = tk.g AND ta.word_frac <= tk.f) AS pw,
+         (SELECT MAX(fen_idx) FROM ta WHERE ta.g = tk.g AND ta.word_frac <= tk.f) AS pi,
+         (SELECT MIN(word_frac) FROM ta WHERE ta.g = tk.g AND ta.word_frac > tk.f) AS nw,
+         (SELECT MIN(fen_idx) FROM ta WHERE ta.g = tk.g AND ta.word_frac > tk.f) AS ni
+  FROM tk LEFT JOIN ends e ON tk.g = e.g)
+, raw AS (
+  SELECT g, k, f, CAST(CASE
+           WHEN fw IS NULL THEN LEAST(FLOOR(f * {FINAL + 1}), {FINAL})
+           WHEN f <= fw THEN CASE WHEN fw > 0 THEN FLOOR(f / fw * fi + 0.5) ELSE 0 END
+           WHEN f >= lw THEN LEAST(li + FLOOR(CASE WHEN 1.0 - lw > 0 THEN (f - lw) / (1.0 - lw) ELSE 1.0 END
+                                             * ({FINAL} - li) + 0.5), {FINAL})
+           ELSE FLOOR(pi + (f - pw) / (nw - pw) * (ni - pi) + 0.5) END AS INT) AS raw_idx
+  FROM nb)
+SELECT g, k, f, raw_idx,
+       CAST(GREATEST(0, MAX(LEAST(raw_idx, {FINAL})) OVER (PARTITION BY g ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS INT) AS fen_idx
+FROM raw""", ("para",))
+
+START_KEY = " ".join(START_FEN.split()[:4])
+
+register("document_positions", lambda s, d: nr.document_positions(nr.anchor_rows(_docs(s, d))), f"""
+, a AS (SELECT g, p, fen, {KEY.format(x='fen')} AS key FROM para WHERE fen != '')
+, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY g, key ORDER BY p) AS r FROM a WHERE key != '{START_KEY}')
+SELECT g, 0 AS idx, '{START_FEN}' AS fen FROM (SELECT DISTINCT g FROM para)
+UNION ALL
+SELECT g, CAST(ROW_NUMBER() OVER (PARTITION BY g ORDER BY p) AS INT) AS idx, fen FROM f WHERE r = 1""",
+         ("para",))
+
+register("last_anchor", lambda s, d: nr.last_anchor(_docs(s, d)),
+         "SELECT g, arg_max(fen, p) FILTER (WHERE fen != '') AS fen FROM para GROUP BY g", ("para",))
+
+register("narration_text", lambda s, d: nr.narration_text(_docs(s, d)),
+         "SELECT g, string_agg(text, chr(10) || chr(10) ORDER BY p) AS text FROM para GROUP BY g", ("para",))
+
+
+def _anchor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plies = td.plies(spark, sf_dir)
+    docs = ev.game_documents(td.games(spark, sf_dir), plies)
+    positions = (docs.select(F.col("game_id").alias("g"), F.posexplode("moves").alias("i", "m"))
+                 .select("g", (F.col("i") + 1).alias("idx"), "m.fen"))
+    starts = docs.select(F.col("game_id").alias("g"), F.lit(0).alias("idx"), F.lit(START_FEN).alias("fen"))
+    anchors = plies.select(F.col("game_id").alias("g"), "ply", "fen")
+    return nr.anchor_positions(anchors, positions.unionByName(starts)).select("g", "ply", "fen_idx")
+
+
+register("anchor_positions", _anchor_positions, f"""
+, pos AS (SELECT game_id AS g, ply + 2 AS idx, fen FROM plies
+          UNION ALL SELECT DISTINCT game_id, 0, '{START_FEN}' FROM plies
+          UNION ALL SELECT DISTINCT game_id, 1, '{START_FEN}' FROM plies)
+, lst AS (SELECT g, {KEY.format(x='fen')} AS key, CAST(MAX(idx) AS INT) AS fen_idx FROM pos GROUP BY 1, 2)
+SELECT p.game_id AS g, p.ply, l.fen_idx
+FROM plies p JOIN lst l ON p.game_id = l.g AND {KEY.format(x='p.fen')} = l.key""", ("plies",))
+
+# ------------------------------------------------------------------ prompts
+TP_CTE = """
+, tpg AS (SELECT game_id, COUNT(*) AS n FROM dd GROUP BY game_id)
+, tpt AS (SELECT game_id, ply FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY ABS(diff) DESC, ply) AS rk
+            FROM dd WHERE ply >= LEAST(5, n_plies)) WHERE rk = 1)
+, tp AS (SELECT tpg.game_id, COALESCE(tpt.ply, tpg.n - 1) AS turning_ply
+         FROM tpg LEFT JOIN tpt ON tpg.game_id = tpt.game_id)
+, info AS (SELECT game_id, white, black, result, eco, opening, white_elo, black_elo FROM games)
+, j AS (SELECT dd.*, COALESCE(i.white, 'White') AS white, COALESCE(i.black, 'Black') AS black,
+               COALESCE(i.result, '*') AS result, tp.turning_ply
+        FROM dd LEFT JOIN info i ON dd.game_id = i.game_id JOIN tp ON dd.game_id = tp.game_id)
+, lines AS (
+  SELECT game_id, ply,
+    CAST(move_number AS VARCHAR) || CASE WHEN color = 'black' THEN '...' ELSE '.' END || COALESCE(san, '')
+    || ': '
+    || CASE WHEN mate IS NOT NULL THEN 'mate ' || printf('%+d', mate)
+            WHEN cp IS NOT NULL THEN printf('%+d', cp) || ' cp' ELSE '? cp' END
+    || CASE WHEN ABS(diff) > 0 THEN ' (Δ' || CAST(ABS(diff) AS VARCHAR) || ')' ELSE '' END
+    || CASE WHEN blame IS NOT NULL
+            THEN ' <- ' || CASE WHEN blame = 'white' THEN white ELSE black END || ' (' || blame || ') error'
+            ELSE '' END
+    || CASE WHEN best_san IS NOT NULL AND best_san != '' AND blame IS NOT NULL
+            THEN ' [engine: ' || best_san || ']' ELSE '' END
+    || CASE WHEN ply = turning_ply THEN ' *TURNING POINT' ELSE '' END
+    || CASE WHEN tag = 'opening' THEN ' [OPENING]' WHEN tag = 'final' THEN ' [FINAL MOVES]' ELSE '' END
+    || ' | fen: ' || COALESCE(fen, '') AS line
+  FROM j)
+, wb AS (SELECT * FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY ABS(diff) DESC, ply) AS rk
+           FROM dd WHERE blame IS NOT NULL AND ply >= LEAST(5, n_plies)) WHERE rk = 1)
+, facts AS (
+  SELECT g.game_id, g.n AS n_plies,
+    CASE COALESCE(i.result, '*') WHEN '1-0' THEN COALESCE(i.white, 'White') || ' (white) won'
+         WHEN '0-1' THEN COALESCE(i.black, 'Black') || ' (black) won' ELSE 'draw or unfinished' END AS winner,
+    'Result: ' || COALESCE(i.result, '*') || ' -> '
+    || CASE COALESCE(i.result, '*') WHEN '1-0' THEN COALESCE(i.white, 'White') || ' (white) won'
+            WHEN '0-1' THEN COALESCE(i.black, 'Black') || ' (black) won' ELSE 'draw or unfinished' END || '.'
+    || CASE WHEN wb.blame IS NOT NULL THEN chr(10) || 'Worst error: ' || CAST(wb.move_number AS VARCHAR)
+              || CASE WHEN wb.color = 'black' THEN '...' ELSE '.' END || COALESCE(wb.san, '') || ' - '
+              || CASE WHEN wb.blame = 'white' THEN COALESCE(i.white, 'White') ELSE COALESCE(i.black, 'Black') END
+              || ' (' || wb.blame || ') error (cp swing: ' || CAST(ABS(wb.diff) AS VARCHAR) || ').'
+            ELSE '' END AS facts
+  FROM tpg g LEFT JOIN wb ON g.game_id = wb.game_id LEFT JOIN info i ON g.game_id = i.game_id)
+"""
+
+
+def _gp(fn):
+    return lambda s, d: fn(td.games(s, d), td.plies(s, d))
+
+
+register("narration_lines", _gp(nr.narration_lines), DIFF_CTE + TP_CTE + "SELECT * FROM lines",
+         ("games", "plies"))
+register("narration_facts", _gp(nr.narration_facts), DIFF_CTE + TP_CTE + "SELECT * FROM facts",
+         ("games", "plies"))
+register("narration_prompts", _gp(nr.narration_prompts), DIFF_CTE + TP_CTE + """
+, body AS (SELECT game_id, string_agg(line, chr(10) ORDER BY ply) AS moves_block, COUNT(*) AS n
+           FROM lines GROUP BY game_id)
+SELECT b.game_id,
+  'ECO: ' || COALESCE(i.eco, '?') || ' - ' || COALESCE(i.opening, '') || chr(10)
+  || 'White: ' || COALESCE(i.white, 'White') || ' (' || COALESCE(CAST(i.white_elo AS VARCHAR), '?') || '), '
+  || 'Black: ' || COALESCE(i.black, 'Black') || ' (' || COALESCE(CAST(i.black_elo AS VARCHAR), '?') || ')'
+  || chr(10) || 'Plies: ' || CAST(b.n AS VARCHAR) || ' | Target: ~'
+  || CAST(GREATEST(250, LEAST(650, b.n * 12 + 50)) AS VARCHAR) || ' words' || chr(10) || chr(10)
+  || '## FACTS (the narration must not contradict these):' || chr(10) || f.facts || chr(10) || chr(10)
+  || '## Moves' || chr(10) || b.moves_block AS prompt
+FROM body b JOIN facts f ON b.game_id = f.game_id LEFT JOIN info i ON b.game_id = i.game_id""",
+         ("games", "plies"))
+
+# ------------------------------------------------------------------ replies
+_INVALID = "g % 6 IN (2, 3)"
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nr.parse_replies(nr.replies_from_documents(_docs(spark, sf_dir)))
+
+
+def _parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _parsed(spark, sf_dir)
+    n_anchors = F.size(F.flatten(F.transform("doc.paragraphs", lambda x: x["anchors"])))
+    return p.select("g", "valid",
+                    F.when(F.col("valid"), F.size("doc.paragraphs")).alias("n_paragraphs"),
+                    F.when(F.col("valid"), n_anchors).alias("n_anchors"))
+
+
+register("parse_replies", _parse_replies, f"""
+SELECT g, NOT ({_INVALID}) AS valid,
+       CASE WHEN NOT ({_INVALID}) THEN CAST(COUNT(*) AS INT) END AS n_paragraphs,
+       CASE WHEN NOT ({_INVALID}) THEN CAST(COUNT(*) AS INT) END AS n_anchors
+FROM para GROUP BY g""", ("para",))
+
+register("reply_status", lambda s, d: nr.reply_status(_parsed(s, d)), f"""
+SELECT g, CASE WHEN {_INVALID} THEN 'invalid_json'
+               WHEN SUM(CASE WHEN trigger_word != '' AND NOT contains(text, trigger_word) THEN 1 ELSE 0 END) > 0
+               THEN 'broken_anchors' ELSE 'ok' END AS status,
+       CASE WHEN {_INVALID} THEN 0
+            ELSE SUM(CASE WHEN trigger_word != '' AND NOT contains(text, trigger_word) THEN 1 ELSE 0 END)
+       END::BIGINT AS n_broken
+FROM para GROUP BY g""", ("para",))
+
+
+# ------------------------------------------------------------------ JSON round trip
+def _narration_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "narrations")
+    narration_io.write_narrations(_docs(spark, sf_dir), path)
+    docs = narration_io.read_narrations(spark, path, multi_line=False)
+    return nr.anchor_rows(docs)
+
+
+register("narration_scan", _narration_scan, """
+SELECT g, CAST(p AS INT) AS p, 0 AS a, text, fen, trigger_word FROM para""", ("para",))
