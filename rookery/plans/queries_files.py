@@ -1,3 +1,157 @@
-"""Queries: files."""
+"""File-level queries: Parquet sink/compaction, folder conversion, freshness,
+batch outcome, report JSON sink, listings, base64, random pick, output names."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import naming
+from ..operators import narration as nr
+from ..operators import report
+from ..operators.skew import rank_within
+from ..session import fresh_path
+from ..sources import corpus, files, narration_io
+from ..sources import testdata as td
+from .catalog import register
+from .queries_report import REPORT_ALL_ROWS_SQL
+
+GAME_COLS = ", ".join(files.GAME_COLUMNS)
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "games")
+    files.write_games(td.games(spark, sf_dir), path)
+    return spark.read.schema(files.GAMES_SCHEMA).parquet(path)
+
+
+register("games_write_roundtrip", _roundtrip, f"SELECT {GAME_COLS} FROM games", ("games",))
+
+
+def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = fresh_path(spark, "games-parts")
+    # many unordered parts, as a batch conversion leaves them
+    files.write_games(td.games(spark, sf_dir).repartition(16), parts)
+    out = fresh_path(spark, "games-compact")
+    files.compact_games(spark, parts, out, files=4)
+    return spark.read.schema(files.GAMES_SCHEMA).parquet(out)
+
+
+register("games_compact", _compact, f"SELECT {GAME_COLS} FROM games", ("games",))
+
+SOURCE = r"regexp_replace(lower(event), '[^a-z0-9]+', '_', 'g')"
+
+
+def _folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_path(spark, "converted")
+    files.convert_folder(spark, corpus.games_corpus(spark, sf_dir), out, glob=None)
+    conv = spark.read.parquet(out)
+    return conv.groupBy("source").agg(F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_id"),
+                                      F.max("game_id").alias("last_id"))
+
+
+register("pgn_folder_scan", _folder_scan, f"""
+SELECT {SOURCE} AS source, COUNT(*) AS games, 1 AS first_id, CAST(COUNT(*) AS INT) AS last_id
+FROM games GROUP BY 1""", ("games",))
+
+
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = corpus.games_corpus(spark, sf_dir)
+    out = fresh_path(spark, "converted-part")
+    # an earlier batch converted two of the four sources
+    parsed = files.pgn.parse_games(files.pgn.scan_pgn(
+        spark, [f"{src}/source=rated_game_0", f"{src}/source=rated_game_1"], glob=None, base_path=src))
+    (parsed.select("source", *files.GAME_COLUMNS).write.mode("overwrite")
+     .partitionBy("source").parquet(out))
+    return files.files_to_process(spark, src, out, glob=None).select("source", "files", "status")
+
+
+register("files_to_process", _freshness)
+register("batch_status", lambda s, d: files.batch_status(_freshness(s, d)))
+
+
+def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each analysis written as its own JSON folder, read back as lines."""
+    root = fresh_path(spark, "stats")
+    results, _ = report.run_report(report.report_input(td.games(spark, sf_dir)))
+    for name, df in results.items():
+        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{name}")
+        df.unpersist()
+    lines = spark.read.text(f"{root}/*/*.json").withColumn(
+        "analysis", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+    return lines.groupBy("analysis").agg(F.count(F.lit(1)).alias("rows"))
+
+
+register("stats_json", _stats_json, REPORT_ALL_ROWS_SQL, ("games",))
+
+
+def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Documents as one JSON folder per stem; an audio stub for every document
+    whose reply passed the checks (the narrations that would be voiced)."""
+    docs = nr.documents_from_paragraphs(td.para(spark, sf_dir))
+    docs = docs.withColumn("stem", F.concat(naming.stem_base("white", "black", F.lit("")), F.lit("_0001")))
+    docs_dir, audio_dir = fresh_path(spark, "docs"), fresh_path(spark, "audio")
+    docs.write.mode("overwrite").partitionBy("stem").json(docs_dir)
+    status = nr.reply_status(nr.parse_replies(nr.replies_from_documents(docs)))
+    ok = status.where(F.col("status") == "ok").join(docs.select("g", "stem"), "g")
+    ok.select("stem", F.lit("ID3").alias("value")).write.mode("overwrite").partitionBy("stem").text(audio_dir)
+    return docs_dir, audio_dir
+
+
+def _playable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs_dir, audio_dir = _narration_folders(spark, sf_dir)
+    return files.playable_games(spark, docs_dir, audio_dir, docs_glob="*.json", audio_glob="*.txt")
+
+
+register("playable_games", _playable)
+
+
+def _base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs_dir, _ = _narration_folders(spark, sf_dir)
+    return files.file_base64(spark, docs_dir, "*.json")
+
+
+register("file_base64", _base64)
+
+RANDOM_SEED = 42
+
+
+def random_game(games: DataFrame, seed: int = RANDOM_SEED) -> DataFrame:
+    """One game picked by a seeded hash (reproducible, no global shuffle:
+    top-1 per task, then top-1 overall)."""
+    key = F.md5(F.concat(F.col("game_id").cast("string"), F.lit(f"/{seed}")))
+    return games.withColumn("_k", key).orderBy("_k").limit(1).drop("_k")
+
+
+register("random_game", lambda s, d: random_game(td.games(s, d)).select("game_id", "white", "black", "result"),
+         f"""SELECT game_id, white, black, result FROM games
+             ORDER BY md5(CAST(game_id AS VARCHAR) || '/{RANDOM_SEED}') LIMIT 1""", ("games",))
+
+
+def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = td.games(spark, sf_dir).select("game_id", "event", naming.stem_base().alias("base"))
+    earlier = g.where(F.col("event") == "Rated game 0")
+    # an earlier batch used every second serial of its base
+    used = rank_within(earlier, ["base"], "game_id", out="r").select("base", (F.col("r") * 2).alias("serial"))
+    return naming.allocate_stems(g.where(F.col("event") != "Rated game 0"), used)
+
+
+_BASE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(white, '[^\w]', '_', 'g'), '_+', '_', 'g'),
+                  '^_+|_+$', '', 'g')"""
+
+register("game_stems", _stems, f"""
+, b AS (SELECT game_id, event,
+          COALESCE(NULLIF({_BASE_SQL}, ''), 'Unknown') || '_vs_'
+          || COALESCE(NULLIF({_BASE_SQL.replace('white', 'black')}, ''), 'Unknown') || '_'
+          || COALESCE(NULLIF(regexp_replace(eco, '[^\w]', '', 'g'), ''), 'XX') AS base
+        FROM games)
+, used AS (SELECT base, 2 * ROW_NUMBER() OVER (PARTITION BY base ORDER BY game_id) AS serial
+           FROM b WHERE event = 'Rated game 0')
+, ug AS (SELECT base, serial - ROW_NUMBER() OVER (PARTITION BY base ORDER BY serial) AS g FROM used)
+, nw AS (SELECT game_id, base, ROW_NUMBER() OVER (PARTITION BY base ORDER BY game_id) AS k
+         FROM b WHERE event != 'Rated game 0')
+, s AS (SELECT nw.game_id, nw.base,
+               nw.k + (SELECT COUNT(*) FROM ug WHERE ug.base = nw.base AND ug.g < nw.k) AS serial FROM nw)
+SELECT game_id, base || '_' || CASE WHEN serial < 10000 THEN lpad(CAST(serial AS VARCHAR), 4, '0')
+                                    ELSE CAST(serial AS VARCHAR) END AS stem
+FROM s""", ("games",))

@@ -48,3 +48,7 @@ _REPORT_ALL_SQL = " UNION ALL ".join(
     f"SELECT '{k}' AS analysis, 'ok' AS status, (SELECT COUNT(*) FROM ({REPORT_SQL[k]})) AS rows"
     for k in report.REPORT)
 register("report_all", _report_all, _REPORT_ALL_SQL, ("games",))
+
+# Rows per analysis without the status column (the JSON sink check).
+REPORT_ALL_ROWS_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS analysis, (SELECT COUNT(*) FROM ({REPORT_SQL[k]})) AS rows" for k in report.REPORT)

@@ -34,7 +34,7 @@ _UCI_RE = r"^[a-h][1-8][a-h][1-8][qrbn]?$"
 
 
 def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFAULT_GLOB,
-             crlf: bool = False, recursive: bool = False) -> DataFrame:
+             crlf: bool = False, recursive: bool = False, base_path: str | None = None) -> DataFrame:
     """Raw games: ``(source, file_path, block_start, _row, text)``.
 
     ``source`` is a ``source=`` partition folder when the layout has one, else
@@ -44,6 +44,8 @@ def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFA
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
+    if base_path:
+        reader = reader.option("basePath", base_path)
     raw = reader.text(path)
     text = F.regexp_replace(F.col("value"), "\r\n", "\n")
     text = F.regexp_replace(text, "^[\\x{FEFF}\\s]+", "")
