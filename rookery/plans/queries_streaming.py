@@ -1,3 +1,61 @@
-"""Queries: streaming."""
+"""Streaming queries: each runs its stream to the end of the available input
+(``availableNow``) and returns the sink's content."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import fresh_path
+from ..sources import corpus
+from ..sources import testdata as td
+from ..streaming import jobs
+from .catalog import register
+
+SOURCE = r"regexp_replace(lower(event), '[^a-z0-9]+', '_', 'g')"
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, ck = fresh_path(spark, "ingest"), fresh_path(spark, "ingest-ck")
+    jobs.ingest_stream(spark, corpus.games_corpus(spark, sf_dir), out, ck, glob=None, partitioned_source=True)
+    # a second run finds nothing new and adds no batch
+    jobs.ingest_stream(spark, corpus.games_corpus(spark, sf_dir), out, ck, glob=None, partitioned_source=True)
+    g = spark.read.parquet(out)
+    return g.groupBy("source").agg(F.count(F.lit(1)).alias("games"),
+                                   F.countDistinct("src_game_id").alias("distinct_ids"))
+
+
+register("ingest_stream", _ingest, f"""
+SELECT {SOURCE} AS source, COUNT(*) AS games, COUNT(*) AS distinct_ids FROM games GROUP BY 1""", ("games",))
+
+DELAY_HOURS = 1
+
+
+def _daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = td.table(spark, sf_dir, "events").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf_dir).select("ts"))
+    out, ck = fresh_path(spark, "daily"), fresh_path(spark, "daily-ck")
+    jobs.daily_activity_stream(spark, events, out, ck, delay=f"{DELAY_HOURS} hour")
+    return spark.read.parquet(out).select("day_start", "count")
+
+
+# Append mode emits only days that end before the final watermark.
+register("daily_activity_stream", _daily_stream, f"""
+SELECT date_trunc('day', ts) AS day_start, COUNT(*) AS count FROM events
+GROUP BY 1
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL {DELAY_HOURS} HOUR""")
+
+
+def _results_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = td.table(spark, sf_dir, "orders").schema
+    orders = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    games = spark.sql(td.GAMES_SQL, orders=orders)
+    out, ck = fresh_path(spark, "results"), fresh_path(spark, "results-ck")
+    jobs.results_stream(spark, games, out, ck)
+    return jobs.latest_per_key(spark, out, "result")
+
+
+register("results_stream", _results_stream,
+         "SELECT result, COUNT(*) AS count FROM games GROUP BY result", ("games",))
