@@ -20,7 +20,13 @@ ALWAYS = {"Event", "Site", "Date", "Round", "White", "Black", "Result", "Opening
 
 
 def _escape(v: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', r'\\"')
+    """PGN string escapes (literal replaces, no regex)."""
+    return F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def _signed(c: Column) -> Column:
+    """Integer with an explicit sign ('+5', '-3', '+0')."""
+    return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), c.cast("string"))
 
 
 def tag_line(name: str, value: Column) -> Column:
@@ -34,7 +40,7 @@ def _tag_value(name: str, col: str | None) -> Column | None:
     if name in ("WhiteElo", "BlackElo"):
         return F.when(c > 0, c.cast("string"))
     if name in ("WhiteRatingDiff", "BlackRatingDiff"):
-        return F.when(c != 0, F.format_string("%+d", c.cast("int")))
+        return F.when(c != 0, _signed(c.cast("int")))
     if name in ALWAYS:
         return F.coalesce(c.cast("string"), F.lit(""))
     return F.when(F.coalesce(c, F.lit("")) != "", c)
@@ -85,9 +91,9 @@ def with_movetext(df: DataFrame, moves: Column, comments: Column, result: Column
     return df.withColumn("_movetext", text).drop("_mv", "_cm", "_prev")
 
 
-def render_games(games: DataFrame, game_id_tag: bool = True) -> DataFrame:
-    """``(game_id, pgn)`` from a games table: moves from ``moves_uci``, clocks
-    from ``clock_times`` attached to the first plies."""
+def render_games(games: DataFrame, game_id_tag: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(game_id, *keep, pgn)`` from a games table: moves from ``moves_uci``,
+    clocks from ``clock_times`` attached to the first plies."""
     moves = F.filter(F.split(F.col("moves_uci"), " "), lambda x: x != "")
     clocks = F.filter(F.split(F.col("clock_times"), " "), lambda x: x != "")
     extra = [("ParquetGameId", F.col("game_id").cast("string"))] if game_id_tag else []
@@ -97,7 +103,7 @@ def render_games(games: DataFrame, game_id_tag: bool = True) -> DataFrame:
                            F.concat(F.lit("[%clk "), clock_text(F.element_at("_clocks", i + 1)), F.lit("]")))),
                        F.col("result"))
     text = F.concat(header_block(extra), F.lit("\n\n"), F.col("_movetext"), F.lit("\n"))
-    return df.select("game_id", text.alias("pgn"))
+    return df.select("game_id", *keep, text.alias("pgn"))
 
 
 def render_annotated(games: DataFrame, plies: DataFrame) -> DataFrame:

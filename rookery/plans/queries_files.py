@@ -85,9 +85,16 @@ def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("stats_json", _stats_json, REPORT_ALL_ROWS_SQL, ("games",))
 
 
+_FOLDERS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Documents as one JSON folder per stem; an audio stub for every document
-    whose reply passed the checks (the narrations that would be voiced)."""
+    whose reply passed the checks (the narrations that would be voiced).
+    Written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _FOLDERS:
+        return _FOLDERS[key]
     docs = nr.documents_from_paragraphs(td.para(spark, sf_dir))
     docs = docs.withColumn("stem", F.concat(naming.stem_base("white", "black", F.lit("")), F.lit("_0001")))
     docs_dir, audio_dir = fresh_path(spark, "docs"), fresh_path(spark, "audio")
@@ -95,6 +102,7 @@ def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     status = nr.reply_status(nr.parse_replies(nr.replies_from_documents(docs)))
     ok = status.where(F.col("status") == "ok").join(docs.select("g", "stem"), "g")
     ok.select("stem", F.lit("ID3").alias("value")).write.mode("overwrite").partitionBy("stem").text(audio_dir)
+    _FOLDERS[key] = (docs_dir, audio_dir)
     return docs_dir, audio_dir
 
 
@@ -107,8 +115,9 @@ register("playable_games", _playable)
 
 
 def _base64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs_dir, _ = _narration_folders(spark, sf_dir)
-    return files.file_base64(spark, docs_dir, "*.json")
+    """The audio files of the playable games as base64."""
+    _, audio_dir = _narration_folders(spark, sf_dir)
+    return files.file_base64(spark, audio_dir, "*.txt")
 
 
 register("file_base64", _base64)
@@ -139,7 +148,7 @@ def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(white, '[^\w]', '_', 'g'), '_+', '_', 'g'),
                   '^_+|_+$', '', 'g')"""
 
-register("game_stems", _stems, f"""
+register("game_stems", _stems, rf"""
 , b AS (SELECT game_id, event,
           COALESCE(NULLIF({_BASE_SQL}, ''), 'Unknown') || '_vs_'
           || COALESCE(NULLIF({_BASE_SQL.replace('white', 'black')}, ''), 'Unknown') || '_'

@@ -128,13 +128,14 @@ register("narration_text", lambda s, d: nr.narration_text(_docs(s, d)),
 
 
 def _anchor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plies = td.plies(spark, sf_dir)
-    docs = ev.game_documents(td.games(spark, sf_dir), plies)
-    positions = (docs.select(F.col("game_id").alias("g"), F.posexplode("moves").alias("i", "m"))
-                 .select("g", (F.col("i") + 1).alias("idx"), "m.fen"))
-    starts = docs.select(F.col("game_id").alias("g"), F.lit(0).alias("idx"), F.lit(START_FEN).alias("fen"))
-    anchors = plies.select(F.col("game_id").alias("g"), "ply", "fen")
-    return nr.anchor_positions(anchors, positions.unionByName(starts)).select("g", "ply", "fen_idx")
+    """Every ply's position looked up in its game's FEN list. The list is the
+    document's: start position at index 0 and again as ``moves[0]`` (index 1),
+    then ply k at index k + 2."""
+    plies = td.plies(spark, sf_dir).select(F.col("game_id").alias("g"), "ply", "fen")
+    positions = plies.select("g", (F.col("ply") + 2).alias("idx"), "fen")
+    starts = (plies.where(F.col("ply") == 0)
+              .select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.lit(START_FEN).alias("fen")))
+    return nr.anchor_positions(plies, positions.unionByName(starts)).select("g", "ply", "fen_idx")
 
 
 register("anchor_positions", _anchor_positions, f"""

@@ -26,15 +26,18 @@ def source_name(event) -> F.Column:
     return F.regexp_replace(F.lower(F.col(event) if isinstance(event, str) else event), r"[^a-z0-9]+", "_")
 
 
-def write_pgn(pgn: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write ``(source, game_id, pgn)`` as text, one folder per source, game order kept."""
-    df = pgn
-    if partitions:
-        df = df.repartitionByRange(partitions, "source", "game_id")
-    else:
-        df = df.repartitionByRange("source", "game_id")
-    (df.sortWithinPartitions("source", "game_id").select("source", "pgn")
-     .write.mode("overwrite").partitionBy("source").text(path))
+def in_file_order(games: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort by (source, game_id) so part files come out in
+    game order. Done on the narrow input, before any text is rendered, so the
+    range sampling does not render twice."""
+    df = games.repartitionByRange(partitions, "source", "game_id") if partitions \
+        else games.repartitionByRange("source", "game_id")
+    return df.sortWithinPartitions("source", "game_id")
+
+
+def write_pgn(pgn: DataFrame, path: str) -> None:
+    """Write ``(source, pgn)`` as text, one folder per source."""
+    pgn.select("source", "pgn").write.mode("overwrite").partitionBy("source").text(path)
 
 
 def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
@@ -51,9 +54,8 @@ def games_corpus(spark: SparkSession, sf_dir: str) -> str:
     key = _key(spark, sf_dir, "games")
     path = _path(spark, sf_dir, "games")
     if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
-        games = td.games(spark, sf_dir)
-        pgn = render_games(games).join(games.select("game_id", source_name("event").alias("source")), "game_id")
-        write_pgn(pgn, path)
+        games = in_file_order(td.games(spark, sf_dir).withColumn("source", source_name("event")))
+        write_pgn(render_games(games, keep=("source",)), path)
         _DONE[key] = path
     return path
 
