@@ -1,0 +1,302 @@
+"""A small chess position for move resolution (SAN <-> UCI, legality, FEN).
+
+Used inside ``mapInPandas`` tasks only: Spark partitions the games, each task
+replays its games' moves here. Squares are 0..63 with a1 = 0, h8 = 63; the
+board is a list of 64 one-letter pieces ('.' = empty, upper case = White).
+"""
+
+from __future__ import annotations
+
+import re
+
+FILES = "abcdefgh"
+START_PLACEMENT = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR"
+KNIGHT = ((1, 2), (2, 1), (2, -1), (1, -2), (-1, -2), (-2, -1), (-2, 1), (-1, 2))
+KING = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+ORTHO = ((1, 0), (-1, 0), (0, 1), (0, -1))
+DIAG = ((1, 1), (1, -1), (-1, 1), (-1, -1))
+SAN_RE = re.compile(r"^([NBRQK])?([a-h])?([1-8])?[-x]?([a-h][1-8])(?:=?([NBRQnbrq]))?$")
+UCI_RE = re.compile(r"^([a-h][1-8])([a-h][1-8])([nbrq])?$")
+CASTLE_KS = {"O-O", "0-0"}
+CASTLE_QS = {"O-O-O", "0-0-0"}
+
+
+def square(name: str) -> int:
+    return FILES.index(name[0]) + 8 * (int(name[1]) - 1)
+
+
+def square_name(s: int) -> str:
+    return FILES[s % 8] + str(s // 8 + 1)
+
+
+def _on(f: int, r: int) -> bool:
+    return 0 <= f < 8 and 0 <= r < 8
+
+
+class Position:
+    __slots__ = ("b", "white", "castling", "ep", "halfmove", "fullmove")
+
+    def __init__(self, b, white, castling, ep, halfmove, fullmove):
+        self.b, self.white, self.castling, self.ep = b, white, castling, ep
+        self.halfmove, self.fullmove = halfmove, fullmove
+
+    @classmethod
+    def start(cls) -> Position:
+        b = []
+        for row in reversed(START_PLACEMENT.split("/")):
+            for ch in row:
+                b.extend(["."] * int(ch) if ch.isdigit() else [ch])
+        return cls(b, True, "KQkq", None, 0, 1)
+
+    # ------------------------------------------------------------ attacks
+    def _own(self, p: str, white: bool) -> bool:
+        return p != "." and p.isupper() == white
+
+    def attacked(self, s: int, by_white: bool) -> bool:
+        b, f, r = self.b, s % 8, s // 8
+        pawn, pr = ("P", r - 1) if by_white else ("p", r + 1)
+        for df in (-1, 1):
+            if _on(f + df, pr) and b[pr * 8 + f + df] == pawn:
+                return True
+        knight, king = ("N", "K") if by_white else ("n", "k")
+        for df, dr in KNIGHT:
+            if _on(f + df, r + dr) and b[(r + dr) * 8 + f + df] == knight:
+                return True
+        for df, dr in KING:
+            if _on(f + df, r + dr) and b[(r + dr) * 8 + f + df] == king:
+                return True
+        for dirs, kinds in ((ORTHO, "RQ"), (DIAG, "BQ")):
+            kinds = kinds if by_white else kinds.lower()
+            for df, dr in dirs:
+                ff, rr = f + df, r + dr
+                while _on(ff, rr):
+                    p = b[rr * 8 + ff]
+                    if p != ".":
+                        if p in kinds:
+                            return True
+                        break
+                    ff, rr = ff + df, rr + dr
+        return False
+
+    def king_square(self, white: bool) -> int:
+        return self.b.index("K" if white else "k")
+
+    def in_check(self, white: bool) -> bool:
+        return self.attacked(self.king_square(white), not white)
+
+    # ------------------------------------------------------------ moves
+    def _slides(self, frm: int, to: int, dirs) -> bool:
+        f, r, tf, tr = frm % 8, frm // 8, to % 8, to // 8
+        df, dr = (tf > f) - (tf < f), (tr > r) - (tr < r)
+        if (df, dr) not in dirs or (df and dr and abs(tf - f) != abs(tr - r)) or (df and not dr and tr != r) \
+                or (dr and not df and tf != f):
+            return False
+        ff, rr = f + df, r + dr
+        while (ff, rr) != (tf, tr):
+            if self.b[rr * 8 + ff] != ".":
+                return False
+            ff, rr = ff + df, rr + dr
+        return True
+
+    def pseudo_legal(self, frm: int, to: int, promo: str | None) -> bool:
+        b, p = self.b, self.b[frm]
+        if not self._own(p, self.white) or frm == to or self._own(b[to], self.white):
+            return False
+        kind = p.upper()
+        f, r, tf, tr = frm % 8, frm // 8, to % 8, to // 8
+        if kind == "P":
+            step = 1 if self.white else -1
+            last = 7 if self.white else 0
+            if (tr == last) != (promo is not None):
+                return False
+            if tf == f:
+                if b[to] != "." or tr - r not in (step, 2 * step):
+                    return False
+                if tr - r == 2 * step:
+                    return r == (1 if self.white else 6) and b[(r + step) * 8 + f] == "."
+                return True
+            return abs(tf - f) == 1 and tr - r == step and (b[to] != "." or to == self.ep)
+        if promo is not None:
+            return False
+        if kind == "N":
+            return (tf - f, tr - r) in KNIGHT
+        if kind == "K":
+            if (tf - f, tr - r) in KING:
+                return True
+            return self._castle_ok(frm, to)
+        if kind == "R":
+            return self._slides(frm, to, ORTHO)
+        if kind == "B":
+            return self._slides(frm, to, DIAG)
+        return self._slides(frm, to, ORTHO + DIAG)
+
+    def _castle_ok(self, frm: int, to: int) -> bool:
+        home = 4 if self.white else 60
+        if frm != home or to not in (home + 2, home - 2):
+            return False
+        king_side = to == home + 2
+        right = ("K" if king_side else "Q") if self.white else ("k" if king_side else "q")
+        rook_sq = home + 3 if king_side else home - 4
+        rook = "R" if self.white else "r"
+        if right not in self.castling or self.b[rook_sq] != rook:
+            return False
+        between = range(home + 1, rook_sq) if king_side else range(rook_sq + 1, home)
+        if any(self.b[s] != "." for s in between):
+            return False
+        path = (home, home + 1, home + 2) if king_side else (home, home - 1, home - 2)
+        return not any(self.attacked(s, not self.white) for s in path)
+
+    def make(self, frm: int, to: int, promo: str | None = None) -> Position:
+        b = list(self.b)
+        p = b[frm]
+        kind = p.upper()
+        capture = b[to] != "."
+        if kind == "P" and to == self.ep and frm % 8 != to % 8:
+            b[to - 8 if self.white else to + 8] = "."
+            capture = True
+        b[to], b[frm] = p, "."
+        if promo:
+            b[to] = promo.upper() if self.white else promo.lower()
+        if kind == "K" and abs(to - frm) == 2:
+            rook_from, rook_to = (frm + 3, frm + 1) if to > frm else (frm - 4, frm - 1)
+            b[rook_to], b[rook_from] = b[rook_from], "."
+        rights = self.castling
+        for s, lost in ((4, "KQ"), (60, "kq"), (0, "Q"), (7, "K"), (56, "q"), (63, "k")):
+            if frm == s or to == s:
+                rights = "".join(c for c in rights if c not in lost)
+        ep = (frm + to) // 2 if kind == "P" and abs(to - frm) == 16 else None
+        half = 0 if kind == "P" or capture else self.halfmove + 1
+        full = self.fullmove + (0 if self.white else 1)
+        return Position(b, not self.white, rights, ep, half, full)
+
+    def legal(self, frm: int, to: int, promo: str | None) -> Position | None:
+        """The position after the move, or None if the move is not legal."""
+        if not self.pseudo_legal(frm, to, promo):
+            return None
+        after = self.make(frm, to, promo)
+        return None if after.in_check(self.white) else after
+
+    def _targets(self, frm: int):
+        for to in range(64):
+            promos = ("q", "r", "b", "n") if self.b[frm].upper() == "P" and to // 8 in (0, 7) else (None,)
+            for pr in promos:
+                yield to, pr
+
+    def has_legal_move(self) -> bool:
+        for frm in range(64):
+            if self._own(self.b[frm], self.white):
+                for to, pr in self._targets(frm):
+                    if self.legal(frm, to, pr) is not None:
+                        return True
+        return False
+
+    # ------------------------------------------------------------ notation
+    def parse_uci(self, token: str):
+        m = UCI_RE.match(token)
+        if not m:
+            return None
+        frm, to, pr = square(m.group(1)), square(m.group(2)), m.group(3)
+        after = self.legal(frm, to, pr)
+        return None if after is None else (frm, to, pr, after)
+
+    def parse_san(self, token: str):
+        t = token.rstrip("+#!?")
+        home = 4 if self.white else 60
+        if t in CASTLE_KS or t in CASTLE_QS:
+            to = home + 2 if t in CASTLE_KS else home - 2
+            if self.b[home] != ("K" if self.white else "k"):
+                return None
+            after = self.legal(home, to, None)
+            return None if after is None else (home, to, None, after)
+        m = SAN_RE.match(t)
+        if not m:
+            return None
+        piece, ffile, frank, target, promo = m.groups()
+        to = square(target)
+        kind = piece or "P"
+        if kind == "P" and ffile is None:
+            ffile = target[0]          # a pawn without a file letter moves straight
+        want = kind if self.white else kind.lower()
+        pr = promo.lower() if promo else None
+        found = None
+        for frm in range(64):
+            if self.b[frm] != want:
+                continue
+            if ffile and FILES[frm % 8] != ffile or frank and str(frm // 8 + 1) != frank:
+                continue
+            after = self.legal(frm, to, pr)
+            if after is not None:
+                if found is not None:
+                    return None        # ambiguous
+                found = (frm, to, pr, after)
+        return found
+
+    def san(self, frm: int, to: int, promo: str | None, after: Position) -> str:
+        p = self.b[frm].upper()
+        if p == "K" and abs(to - frm) == 2:
+            s = "O-O" if to > frm else "O-O-O"
+        elif p == "P":
+            s = (FILES[frm % 8] + "x" if frm % 8 != to % 8 else "") + square_name(to)
+            if promo:
+                s += "=" + promo.upper()
+        else:
+            others = [o for o in range(64) if o != frm and self.b[o] == self.b[frm]
+                      and self.legal(o, to, None) is not None]
+            dis = ""
+            if others:
+                if all(o % 8 != frm % 8 for o in others):
+                    dis = FILES[frm % 8]
+                elif all(o // 8 != frm // 8 for o in others):
+                    dis = str(frm // 8 + 1)
+                else:
+                    dis = square_name(frm)
+            s = p + dis + ("x" if self.b[to] != "." else "") + square_name(to)
+        if after.in_check(after.white):
+            s += "+" if after.has_legal_move() else "#"
+        return s
+
+    def fen(self) -> str:
+        rows = []
+        for r in range(7, -1, -1):
+            row, empty = "", 0
+            for f in range(8):
+                p = self.b[r * 8 + f]
+                if p == ".":
+                    empty += 1
+                else:
+                    row += (str(empty) if empty else "") + p
+                    empty = 0
+            rows.append(row + (str(empty) if empty else ""))
+        ep = "-"
+        if self.ep is not None:
+            pawn = "P" if self.white else "p"
+            f, step = self.ep % 8, (-8 if self.white else 8)
+            for df in (-1, 1):
+                s = self.ep + step + df
+                if 0 <= f + df < 8 and self.b[s] == pawn and self.legal(s, self.ep, None) is not None:
+                    ep = square_name(self.ep)
+        return " ".join(("/".join(rows), "w" if self.white else "b", self.castling or "-", ep,
+                         str(self.halfmove), str(self.fullmove)))
+
+
+def replay(tokens: list[str], notation: str = "auto") -> tuple[list[str], list[str], list[str], bool]:
+    """Play tokens from the start position until the first illegal one.
+
+    Returns (uci moves, san moves, fen after each move, all_legal). ``notation``
+    is 'san', 'uci' or 'auto' (UCI form first, then SAN)."""
+    pos = Position.start()
+    ucis, sans, fens = [], [], []
+    for tok in tokens:
+        r = None
+        if notation in ("uci", "auto"):
+            r = pos.parse_uci(tok)
+        if r is None and notation in ("san", "auto"):
+            r = pos.parse_san(tok)
+        if r is None:
+            return ucis, sans, fens, False
+        frm, to, pr, after = r
+        ucis.append(square_name(frm) + square_name(to) + (pr or ""))
+        sans.append(pos.san(frm, to, pr, after))
+        fens.append(after.fen())
+        pos = after
+    return ucis, sans, fens, True

@@ -1,0 +1,160 @@
+"""Move resolution and board positions for all games.
+
+``resolve_moves`` (A4b) turns movetext tokens (SAN or UCI) into legal UCI moves,
+cutting a game at its first illegal or ambiguous move, as a PGN reader does.
+It needs a legal-move generator, so it runs the small board helper inside
+``mapInPandas``: Spark partitions the games, every task replays its own games,
+rows stream through Arrow batches, and no data passes through the driver.
+
+``board_positions`` (H30) replays UCI moves without Python: an ``aggregate``
+over the move array keeps the 64-square board, castling rights and halfmove
+clock, appending one board per ply; the FEN of each board is built with
+column expressions. Legality is not checked there (input is already resolved).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.board import replay
+
+START_SQUARES = "RNBQKBNRPPPPPPPP" + "." * 32 + "pppppppprnbqkbnr"
+
+
+def resolve_moves(df: DataFrame, tokens: str = "_tokens", notation: str = "auto") -> DataFrame:
+    """Adds ``moves_uci``, ``moves_san`` (space separated), ``num_moves``
+    (legal plies) and ``moves_legal`` (no token was cut) from an array column
+    of movetext tokens; the token column is dropped."""
+    in_schema = df.schema
+    out_fields = [f for f in in_schema.fields if f.name not in (tokens, "moves_uci", "moves_san", "num_moves",
+                                                                 "moves_legal")]
+    out_schema = T.StructType(out_fields + [
+        T.StructField("moves_uci", T.StringType()), T.StructField("moves_san", T.StringType()),
+        T.StructField("num_moves", T.ShortType()), T.StructField("moves_legal", T.BooleanType())])
+    keep = [f.name for f in out_fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ucis, sans, ns, oks = [], [], [], []
+            for toks in pdf[tokens]:
+                u, s, _, ok = replay(list(toks) if toks is not None else [], notation)
+                ucis.append(" ".join(u))
+                sans.append(" ".join(s))
+                ns.append(min(len(u), 32767))
+                oks.append(ok)
+            out = pdf[keep].copy()
+            out["moves_uci"] = ucis
+            out["moves_san"] = sans
+            out["num_moves"] = pd.Series(ns, dtype="int16")
+            out["moves_legal"] = oks
+            yield out
+    return df.mapInPandas(run, out_schema)
+
+
+def board_positions_checked(df: DataFrame, key: str = "game_id", moves: str = "moves_uci") -> DataFrame:
+    """``(key, ply, fen)`` via the board helper (legal replay, legal-only
+    en-passant field); the reference path for tests of ``board_positions``."""
+    schema = T.StructType([df.schema[key], T.StructField("ply", T.IntegerType()),
+                           T.StructField("fen", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, mv in zip(pdf[key], pdf[moves]):
+                _, _, fens, _ = replay([t for t in (mv or "").split(" ") if t], "uci")
+                rows.extend((k, i, f) for i, f in enumerate(fens))
+            yield pd.DataFrame(rows, columns=[key, "ply", "fen"])
+    return df.select(key, moves).mapInPandas(run, schema)
+
+
+# ----------------------------------------------------------------- native replay
+
+def _sq(m: Column, pos: int) -> Column:
+    """Square index of the UCI square starting at character ``pos`` (1-based)."""
+    file_ = F.ascii(F.substring(m, pos, 1)) - 97
+    rank = F.ascii(F.substring(m, pos + 1, 1)) - 49
+    return (rank * 8 + file_).cast("int")
+
+
+def _step(acc: Column, m: Column) -> Column:
+    b = F.element_at(acc["boards"], -1)
+    frm, to = _sq(m, 1), _sq(m, 3)
+    promo = F.substring(m, 5, 1)
+    piece = F.element_at(b, frm + 1)
+    white = piece == F.upper(piece)
+    kind = F.upper(piece)
+    target = F.element_at(b, to + 1)
+    castle = (kind == "K") & (F.abs(to - frm) == 2)
+    ep_cap = (kind == "P") & (frm % 8 != to % 8) & (target == ".")
+    victim = F.when(white, to - 8).otherwise(to + 8)
+    rook_from = F.when(to > frm, frm + 3).otherwise(frm - 4)
+    rook_to = F.when(to > frm, frm + 1).otherwise(frm - 1)
+    placed = F.when(promo != "", F.when(white, F.upper(promo)).otherwise(F.lower(promo))).otherwise(piece)
+    new_b = F.transform(b, lambda p, i: (
+        F.when(i == to, placed).when(i == frm, F.lit("."))
+        .when(castle & (i == rook_to), F.element_at(b, rook_from + 1))
+        .when(castle & (i == rook_from), F.lit("."))
+        .when(ep_cap & (i == victim), F.lit(".")).otherwise(p)))
+    rights = F.element_at(acc["rights"], -1)
+    for sq, lost in ((4, "KQ"), (60, "kq"), (0, "Q"), (7, "K"), (56, "q"), (63, "k")):
+        touched = (frm == sq) | (to == sq)
+        rights = F.when(touched, F.translate(rights, lost, "")).otherwise(rights)
+    capture = (target != ".") | ep_cap
+    half = F.when((kind == "P") | capture, F.lit(0)).otherwise(F.element_at(acc["half"], -1) + 1)
+    double = (kind == "P") & (F.abs(to - frm) == 16)
+    ep = F.when(double, ((frm + to) / 2).cast("int")).otherwise(F.lit(-1))
+    return F.struct(F.concat(acc["boards"], F.array(new_b)).alias("boards"),
+                    F.concat(acc["rights"], F.array(rights)).alias("rights"),
+                    F.concat(acc["half"], F.array(half)).alias("half"),
+                    F.concat(acc["ep"], F.array(ep)).alias("ep"))
+
+
+def _placement(b: Column) -> Column:
+    ranks = [F.array_join(F.slice(b, r * 8 + 1, 8), "") for r in range(7, -1, -1)]
+    s = F.concat_ws("/", *ranks)
+    for n in range(8, 0, -1):
+        s = F.regexp_replace(s, r"\." * n if n == 1 else r"\.{%d}" % n, str(n))
+    return s
+
+
+def _ep_field(b: Column, ep: Column, white_to_move: Column) -> Column:
+    """En-passant square when a pawn of the side to move stands next to the
+    passed pawn (pseudo-legal: pins are not checked)."""
+    pawn = F.when(white_to_move, F.lit("P")).otherwise(F.lit("p"))
+    behind = F.when(white_to_move, ep - 8).otherwise(ep + 8)
+    f = ep % 8
+    left = (f > 0) & (F.element_at(b, F.greatest(behind, F.lit(1))) == pawn)
+    right = (f < 7) & (F.element_at(b, F.least(behind + 2, F.lit(64))) == pawn)
+    name = F.concat(F.char(ep % 8 + 97), (F.floor(ep / 8) + 1).cast("int").cast("string"))
+    return F.when((ep >= 0) & (left | right), name).otherwise(F.lit("-"))
+
+
+def fens_after_each_ply(moves: Column) -> Column:
+    """``array<string>``: the FEN after every UCI move of ``moves`` (array)."""
+    start = F.struct(F.array(F.split(F.lit(START_SQUARES), "")).alias("boards"),
+                     F.array(F.lit("KQkq")).alias("rights"), F.array(F.lit(0)).alias("half"),
+                     F.array(F.lit(-1)).alias("ep"))
+    state = F.aggregate(moves, start, _step)
+    boards = F.slice(state["boards"], 2, F.size(moves))
+
+    def fen(bd: Column, k: Column) -> Column:
+        white_to_move = k % 2 == 1
+        rights = F.element_at(state["rights"], k + 2)
+        return F.concat_ws(" ", _placement(bd), F.when(white_to_move, F.lit("w")).otherwise(F.lit("b")),
+                           F.when(rights == "", F.lit("-")).otherwise(rights),
+                           _ep_field(bd, F.element_at(state["ep"], k + 2), white_to_move),
+                           F.element_at(state["half"], k + 2).cast("string"),
+                           (F.floor((k + 1) / 2) + 1).cast("int").cast("string"))
+    return F.transform(boards, fen)
+
+
+def board_positions(df: DataFrame, key: str = "game_id", moves: str = "moves_uci") -> DataFrame:
+    """``(key, ply, fen)`` for every ply, JVM-only."""
+    arr = F.filter(F.split(F.col(moves), " "), lambda x: x != "")
+    return (df.select(key, fens_after_each_ply(arr).alias("_f"))
+            .select(key, F.posexplode("_f").alias("ply", "fen")))

@@ -91,10 +91,12 @@ def with_movetext(df: DataFrame, moves: Column, comments: Column, result: Column
     return df.withColumn("_movetext", text).drop("_mv", "_cm", "_prev")
 
 
-def render_games(games: DataFrame, game_id_tag: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(game_id, *keep, pgn)`` from a games table: moves from ``moves_uci``,
-    clocks from ``clock_times`` attached to the first plies."""
-    moves = F.filter(F.split(F.col("moves_uci"), " "), lambda x: x != "")
+def render_games(games: DataFrame, game_id_tag: bool = True, keep: tuple[str, ...] = (),
+                 moves_col: str = "moves_uci") -> DataFrame:
+    """``(game_id, *keep, pgn)`` from a games table: moves from ``moves_col``
+    (space separated, UCI or SAN), clocks from ``clock_times`` attached to the
+    first plies."""
+    moves = F.filter(F.split(F.col(moves_col), " "), lambda x: x != "")
     clocks = F.filter(F.split(F.col("clock_times"), " "), lambda x: x != "")
     extra = [("ParquetGameId", F.col("game_id").cast("string"))] if game_id_tag else []
     df = with_movetext(games.withColumn("_clocks", clocks), moves,

@@ -46,9 +46,22 @@ SELECT game_id AS src_game_id,
          AS clock_times
 FROM games""", ("games",))
 
-register("pgn_plies", lambda s, d: _parsed(s, d).select("src_game_id", "num_moves", "moves_uci", "moves_are_uci"),
+register("pgn_plies", lambda s, d: _parsed(s, d).select("src_game_id", "num_moves", "moves_uci", "moves_legal"),
          f"""SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_uci,
-                    true AS moves_are_uci FROM games""", ("games",))
+                    true AS moves_legal FROM games""", ("games",))
+
+
+def _san_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = pgn.scan_pgn(spark, corpus.san_corpus(spark, sf_dir), glob=None)
+    return (pgn.parse_games(raw, notation="san")
+            .select(F.col("src_game_id").cast("int").alias("src_game_id"), "num_moves", "moves_uci",
+                    "moves_legal"))
+
+
+# SAN movetext -> legal UCI plies; every game is cut at its illegal move.
+register("pgn_san_resolve", _san_resolve, f"""
+SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_uci,
+       moves_uci = '' AS moves_legal FROM games""", ("games",))
 
 register("games_limit",
          lambda s, d: _parsed(s, d).where(F.col("game_id") <= GAMES_LIMIT).select("source", "game_id",
@@ -131,3 +144,12 @@ def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("pgn_append_new", _append_new,
          f"SELECT game_id FROM games WHERE {SOURCE} != 'rated_game_0'", ("games",))
+
+
+def _board_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.moves import board_positions
+    return board_positions(td.games(spark, sf_dir).where(F.col("moves_uci") != ""))
+
+
+# FEN after every ply, replayed in the JVM (no SQL oracle: DuckDB has no board).
+register("board_positions", _board_positions)

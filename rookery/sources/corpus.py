@@ -60,6 +60,29 @@ def games_corpus(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+# A syntactically valid move no piece can make early in a game, then one more
+# token: a reader must stop at the first and ignore the rest.
+ILLEGAL_TAIL = "Rxe6 e4"
+
+
+def san_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """All games with SAN movetext (converted from UCI by replaying them), each
+    game with moves followed by an illegal move."""
+    key = _key(spark, sf_dir, "san")
+    path = _path(spark, sf_dir, "san")
+    if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
+        from ..operators.moves import resolve_moves
+        games = td.games(spark, sf_dir).withColumn("source", F.lit("san"))
+        games = games.withColumn("_tokens", F.filter(F.split("moves_uci", " "), lambda x: x != ""))
+        san = resolve_moves(games.withColumnRenamed("moves_uci", "_uci"), "_tokens", "uci")
+        san = san.withColumn("san_text", F.when(F.col("moves_san") != "",
+                                                F.concat_ws(" ", "moves_san", F.lit(ILLEGAL_TAIL)))
+                             .otherwise(F.lit("")))
+        write_pgn(render_games(in_file_order(san), keep=("source",), moves_col="san_text"), path)
+        _DONE[key] = path
+    return path
+
+
 def annotated_corpus(spark: SparkSession, sf_dir: str) -> str:
     """Every scored game of ``plies`` as annotated PGN (``[%eval]`` per ply)."""
     key = _key(spark, sf_dir, "annotated")

@@ -30,7 +30,6 @@ VARIATION_DEPTH = 6       # nesting depth of (...) side lines that is removed
 
 _TAG_RE = r'(?m)^\[([A-Za-z0-9_]+)\s+"(.*)"\][ \t]*$'
 _MOVE_AND_COMMENT = r"([^\s{}]+)(?:\s*\{([^}]*)\})?"
-_UCI_RE = r"^[a-h][1-8][a-h][1-8][qrbn]?$"
 
 
 def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFAULT_GLOB,
@@ -163,14 +162,19 @@ def eval_score(comment: Column) -> tuple[Column, Column]:
     return cp, mate
 
 
-def parse_games(raw: DataFrame, numbered: bool = True) -> DataFrame:
-    """Raw games -> the fixed ``games`` schema (A2-A5, H7). Moves are the mainline
-    tokens; a token in UCI form is kept as is (SAN needs the resolver)."""
+def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
+                notation: str = "auto") -> DataFrame:
+    """Raw games -> the fixed ``games`` schema (A2-A5, H7) plus ``source``,
+    ``src_game_id`` (ParquetGameId tag), ``moves_san`` and ``moves_legal``.
+
+    With ``resolve`` the mainline tokens (SAN, or UCI) are replayed on a board
+    and the game is cut at its first illegal move (A4b); otherwise the tokens
+    are taken as they are."""
     df = number_games(raw) if numbered else raw.withColumn("game_id", F.lit(None).cast("int"))
     df = with_tags(df)
     k, v = F.col("_keys"), F.col("_vals")
     moves, comments = move_tokens(clean_movetext(F.col("movetext")))
-    df = df.withColumn("_moves", moves).withColumn("_comments", comments)
+    df = df.withColumn("_tokens", moves).withColumn("_comments", comments)
     clocks = F.filter(F.transform("_comments", clock_seconds), lambda x: x.isNotNull())
     date = F.coalesce(F.when(F.array_position(k, F.lit("UTCDate")) > 0, tag(k, v, "UTCDate")), tag(k, v, "Date"))
 
@@ -179,7 +183,7 @@ def parse_games(raw: DataFrame, numbered: bool = True) -> DataFrame:
 
     def rd(name: str) -> Column:
         return F.coalesce(tag(k, v, name, "").try_cast("float"), F.lit(0.0).cast("float"))
-    return df.select(
+    df = df.select(
         "source", F.col("game_id").cast("int").alias("game_id"),
         tag(k, v, "Event").alias("event"), tag(k, v, "Site").alias("site"), date.alias("date"),
         tag(k, v, "White").alias("white"), tag(k, v, "Black").alias("black"), tag(k, v, "Result").alias("result"),
@@ -187,12 +191,21 @@ def parse_games(raw: DataFrame, numbered: bool = True) -> DataFrame:
         rd("WhiteRatingDiff").alias("white_rd"), rd("BlackRatingDiff").alias("black_rd"),
         tag(k, v, "ECO").alias("eco"), tag(k, v, "Opening").alias("opening"),
         tag(k, v, "TimeControl").alias("time_control"), tag(k, v, "Termination").alias("termination"),
-        F.size("_moves").try_cast("smallint").alias("num_moves"),
-        F.array_join("_moves", " ").alias("moves_uci"),
         F.array_join(F.transform(clocks, lambda x: x.cast("string")), " ").alias("clock_times"),
-        F.forall("_moves", lambda m: m.rlike(_UCI_RE)).alias("moves_are_uci"),
         tag(k, v, "ParquetGameId", "").alias("src_game_id"),
+        "_tokens",
     )
+    if resolve:
+        from ..operators.moves import resolve_moves
+        df = resolve_moves(df, "_tokens", notation)
+    else:
+        df = (df.withColumn("moves_uci", F.array_join("_tokens", " "))
+              .withColumn("moves_san", F.lit(None).cast("string"))
+              .withColumn("num_moves", F.size("_tokens").try_cast("smallint"))
+              .withColumn("moves_legal", F.lit(None).cast("boolean")).drop("_tokens"))
+    return df.select("source", "game_id", "event", "site", "date", "white", "black", "result", "white_elo",
+                     "black_elo", "white_rd", "black_rd", "eco", "opening", "time_control", "termination",
+                     "num_moves", "moves_uci", "clock_times", "src_game_id", "moves_san", "moves_legal")
 
 
 def ply_evals(raw: DataFrame) -> DataFrame:
