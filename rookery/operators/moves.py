@@ -81,44 +81,71 @@ def _sq(m: Column, pos: int) -> Column:
     return (rank * 8 + file_).cast("int")
 
 
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``. Spark SQL has no local
+    variables; without this, every reuse of an intermediate inside the replay
+    lambda would be a separate copy of its expression tree."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _move_effect(x: Column) -> Column:
+    """Board, castling rights, halfmove clock and en-passant square after the
+    move described by ``x = (f, t, pr, b, r, h)``."""
+    frm, to, b = x["f"], x["t"], x["b"]
+
+    def with_piece(y: Column) -> Column:
+        piece, target = y["piece"], y["target"]
+        white = piece == F.upper(piece)
+        kind = F.upper(piece)
+        castle = (kind == "K") & (F.abs(to - frm) == 2)
+        ep_cap = (kind == "P") & (frm % 8 != to % 8) & (target == ".")
+        victim = F.when(white, to - 8).otherwise(to + 8)
+        rook_from = F.when(to > frm, frm + 3).otherwise(frm - 4)
+        rook_to = F.when(to > frm, frm + 1).otherwise(frm - 1)
+        placed = F.when(x["pr"] != "", F.when(white, F.upper(x["pr"])).otherwise(F.lower(x["pr"]))) \
+            .otherwise(piece)
+        nb = F.overlay(F.overlay(b, placed, to + 1, F.lit(1)), F.lit("."), frm + 1, F.lit(1))
+        nb = _let(nb, lambda z: F.when(castle, F.overlay(
+            F.overlay(z, F.substr(b, rook_from + 1, F.lit(1)), rook_to + 1, F.lit(1)),
+            F.lit("."), rook_from + 1, F.lit(1))).otherwise(z))
+        nb = _let(nb, lambda z: F.when(ep_cap, F.overlay(z, F.lit("."), victim + 1, F.lit(1))).otherwise(z))
+
+        def touched(*squares: int) -> Column:
+            c = None
+            for sq in squares:
+                t = (frm == sq) | (to == sq)
+                c = t if c is None else c | t
+            return c
+        keep = [("K", touched(4, 7)), ("Q", touched(4, 0)), ("k", touched(60, 63)), ("q", touched(60, 56))]
+        rights = F.concat_ws("", *[F.when(x["r"].contains(ch) & ~lost, F.lit(ch)) for ch, lost in keep])
+        capture = (target != ".") | ep_cap
+        half = F.when((kind == "P") | capture, F.lit(0)).otherwise(x["h"] + 1)
+        double = (kind == "P") & (F.abs(to - frm) == 16)
+        ep = F.when(double, ((frm + to) / 2).cast("int")).otherwise(F.lit(-1))
+        return F.struct(nb.alias("nb"), rights.alias("r"), half.alias("h"), ep.alias("ep"))
+    return _let(F.struct(F.substr(b, frm + 1, F.lit(1)).alias("piece"),
+                         F.substr(b, to + 1, F.lit(1)).alias("target")), with_piece)
+
+
 def _step(acc: Column, m: Column) -> Column:
-    b = F.element_at(acc["boards"], -1)
-    frm, to = _sq(m, 1), _sq(m, 3)
-    promo = F.substring(m, 5, 1)
-    piece = F.element_at(b, frm + 1)
-    white = piece == F.upper(piece)
-    kind = F.upper(piece)
-    target = F.element_at(b, to + 1)
-    castle = (kind == "K") & (F.abs(to - frm) == 2)
-    ep_cap = (kind == "P") & (frm % 8 != to % 8) & (target == ".")
-    victim = F.when(white, to - 8).otherwise(to + 8)
-    rook_from = F.when(to > frm, frm + 3).otherwise(frm - 4)
-    rook_to = F.when(to > frm, frm + 1).otherwise(frm - 1)
-    placed = F.when(promo != "", F.when(white, F.upper(promo)).otherwise(F.lower(promo))).otherwise(piece)
-    new_b = F.transform(b, lambda p, i: (
-        F.when(i == to, placed).when(i == frm, F.lit("."))
-        .when(castle & (i == rook_to), F.element_at(b, rook_from + 1))
-        .when(castle & (i == rook_from), F.lit("."))
-        .when(ep_cap & (i == victim), F.lit(".")).otherwise(p)))
-    rights = F.element_at(acc["rights"], -1)
-    for sq, lost in ((4, "KQ"), (60, "kq"), (0, "Q"), (7, "K"), (56, "q"), (63, "k")):
-        touched = (frm == sq) | (to == sq)
-        rights = F.when(touched, F.translate(rights, lost, "")).otherwise(rights)
-    capture = (target != ".") | ep_cap
-    half = F.when((kind == "P") | capture, F.lit(0)).otherwise(F.element_at(acc["half"], -1) + 1)
-    double = (kind == "P") & (F.abs(to - frm) == 16)
-    ep = F.when(double, ((frm + to) / 2).cast("int")).otherwise(F.lit(-1))
-    return F.struct(F.concat(acc["boards"], F.array(new_b)).alias("boards"),
-                    F.concat(acc["rights"], F.array(rights)).alias("rights"),
-                    F.concat(acc["half"], F.array(half)).alias("half"),
-                    F.concat(acc["ep"], F.array(ep)).alias("ep"))
+    """One ply of the replay: the board is a 64-character string; at most four
+    squares change (mover, origin, castling rook, pawn taken en passant)."""
+    info = F.struct(_sq(m, 1).alias("f"), _sq(m, 3).alias("t"), F.substr(m, F.lit(5), F.lit(1)).alias("pr"),
+                    F.element_at(acc["boards"], -1).alias("b"), F.element_at(acc["rights"], -1).alias("r"),
+                    F.element_at(acc["half"], -1).alias("h"))
+    return _let(_let(info, _move_effect), lambda e: F.struct(
+        F.concat(acc["boards"], F.array(e["nb"])).alias("boards"),
+        F.concat(acc["rights"], F.array(e["r"])).alias("rights"),
+        F.concat(acc["half"], F.array(e["h"])).alias("half"),
+        F.concat(acc["ep"], F.array(e["ep"])).alias("ep")))
 
 
 def _placement(b: Column) -> Column:
-    ranks = [F.array_join(F.slice(b, r * 8 + 1, 8), "") for r in range(7, -1, -1)]
+    """FEN piece placement of a 64-character board (a1 first)."""
+    ranks = [F.substr(b, F.lit(r * 8 + 1), F.lit(8)) for r in range(7, -1, -1)]
     s = F.concat_ws("/", *ranks)
     for n in range(8, 0, -1):
-        s = F.regexp_replace(s, r"\." * n if n == 1 else r"\.{%d}" % n, str(n))
+        s = F.regexp_replace(s, r"\." if n == 1 else r"\.{%d}" % n, str(n))
     return s
 
 
@@ -128,20 +155,24 @@ def _ep_field(b: Column, ep: Column, white_to_move: Column) -> Column:
     pawn = F.when(white_to_move, F.lit("P")).otherwise(F.lit("p"))
     behind = F.when(white_to_move, ep - 8).otherwise(ep + 8)
     f = ep % 8
-    left = (f > 0) & (F.element_at(b, F.greatest(behind, F.lit(1))) == pawn)
-    right = (f < 7) & (F.element_at(b, F.least(behind + 2, F.lit(64))) == pawn)
+    left = (f > 0) & (F.substr(b, F.greatest(behind, F.lit(1)), F.lit(1)) == pawn)
+    right = (f < 7) & (F.substr(b, F.least(behind + 2, F.lit(64)), F.lit(1)) == pawn)
     name = F.concat(F.char(ep % 8 + 97), (F.floor(ep / 8) + 1).cast("int").cast("string"))
     return F.when((ep >= 0) & (left | right), name).otherwise(F.lit("-"))
 
 
-def fens_after_each_ply(moves: Column) -> Column:
-    """``array<string>``: the FEN after every UCI move of ``moves`` (array)."""
-    start = F.struct(F.array(F.split(F.lit(START_SQUARES), "")).alias("boards"),
+def replay_state(moves: Column) -> Column:
+    """The replay of a UCI move array: per ply the board, castling rights,
+    halfmove clock and en-passant square (index 0 = start position)."""
+    start = F.struct(F.array(F.lit(START_SQUARES)).alias("boards"),
                      F.array(F.lit("KQkq")).alias("rights"), F.array(F.lit(0)).alias("half"),
                      F.array(F.lit(-1)).alias("ep"))
-    state = F.aggregate(moves, start, _step)
-    boards = F.slice(state["boards"], 2, F.size(moves))
+    return F.aggregate(moves, start, _step)
+
 
+def fens_from_state(state: Column) -> Column:
+    """``array<string>``: FEN after every ply, from a materialised replay state
+    column (referenced per element, so it must not be an unevaluated aggregate)."""
     def fen(bd: Column, k: Column) -> Column:
         white_to_move = k % 2 == 1
         rights = F.element_at(state["rights"], k + 2)
@@ -150,11 +181,15 @@ def fens_after_each_ply(moves: Column) -> Column:
                            _ep_field(bd, F.element_at(state["ep"], k + 2), white_to_move),
                            F.element_at(state["half"], k + 2).cast("string"),
                            (F.floor((k + 1) / 2) + 1).cast("int").cast("string"))
-    return F.transform(boards, fen)
+    return F.transform(F.slice(state["boards"], 2, F.size(state["boards"]) - 1), fen)
 
 
 def board_positions(df: DataFrame, key: str = "game_id", moves: str = "moves_uci") -> DataFrame:
-    """``(key, ply, fen)`` for every ply, JVM-only."""
+    """``(key, ply, fen)`` for every ply, JVM-only. The replay state is
+    computed in one projection, the FENs in the next."""
     arr = F.filter(F.split(F.col(moves), " "), lambda x: x != "")
-    return (df.select(key, fens_after_each_ply(arr).alias("_f"))
-            .select(key, F.posexplode("_f").alias("ply", "fen")))
+    state = df.where(F.size(arr) > 0).select(key, replay_state(arr).alias("_s"))
+    # posexplode_outer: a plain explode makes the optimizer infer a size(_f) > 0
+    # filter and push it below this projection, copying the replay into it.
+    return (state.select(key, fens_from_state(F.col("_s")).alias("_f"))
+            .select(key, F.posexplode_outer("_f").alias("ply", "fen")))
