@@ -175,7 +175,6 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
     k, v = F.col("_keys"), F.col("_vals")
     moves, comments = move_tokens(clean_movetext(F.col("movetext")))
     df = df.withColumn("_tokens", moves).withColumn("_comments", comments)
-    clocks = F.filter(F.transform("_comments", clock_seconds), lambda x: x.isNotNull())
     date = F.coalesce(F.when(F.array_position(k, F.lit("UTCDate")) > 0, tag(k, v, "UTCDate")), tag(k, v, "Date"))
 
     def elo(name: str) -> Column:
@@ -191,9 +190,8 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
         rd("WhiteRatingDiff").alias("white_rd"), rd("BlackRatingDiff").alias("black_rd"),
         tag(k, v, "ECO").alias("eco"), tag(k, v, "Opening").alias("opening"),
         tag(k, v, "TimeControl").alias("time_control"), tag(k, v, "Termination").alias("termination"),
-        F.array_join(F.transform(clocks, lambda x: x.cast("string")), " ").alias("clock_times"),
         tag(k, v, "ParquetGameId", "").alias("src_game_id"),
-        "_tokens",
+        "_tokens", "_comments",
     )
     if resolve:
         from ..operators.moves import resolve_moves
@@ -203,6 +201,10 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
               .withColumn("moves_san", F.lit(None).cast("string"))
               .withColumn("num_moves", F.size("_tokens").try_cast("smallint"))
               .withColumn("moves_legal", F.lit(None).cast("boolean")).drop("_tokens"))
+    # clocks of the plies that were kept (a cut game has no clocks past the cut)
+    kept = F.slice("_comments", 1, F.col("num_moves").cast("int"))
+    clocks = F.filter(F.transform(kept, clock_seconds), lambda x: x.isNotNull())
+    df = df.withColumn("clock_times", F.array_join(F.transform(clocks, lambda x: x.cast("string")), " "))
     return df.select("source", "game_id", "event", "site", "date", "white", "black", "result", "white_elo",
                      "black_elo", "white_rd", "black_rd", "eco", "opening", "time_control", "termination",
                      "num_moves", "moves_uci", "clock_times", "src_game_id", "moves_san", "moves_legal")

@@ -1,0 +1,42 @@
+"""Board replay: the JVM-native FENs agree with the board helper; known FENs."""
+
+from rookery.functions.board import replay
+from rookery.operators import moves as mv
+
+LINES = ["e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7 Re1 b5 Bb3 d6 c3 O-O h3",
+         "e4 d5 e5 f5 exf6 e6 fxg7 Ke7 gxh8=Q", "d4 d5 Nc3 Nc6 Bf4 Bf5 Qd2 Qd7 O-O-O O-O-O",
+         "e4 e5 Bc4 Nc6 Qh5 Nf6 Qxf7#", "e4 Nf6 e5 d5 exd6 Qxd6 d4 Qe6+ Be2 Qxe2+ Nxe2",
+         "h4 a5 h5 a4 h6 a3 hxg7 axb2 gxh8=N bxa1=R"]
+
+
+def test_known_positions():
+    _, sans, fens, ok = replay("e4".split(), "san")
+    assert fens[0] == "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"
+    _, sans, fens, ok = replay(LINES[3].split(), "san")
+    assert ok and sans[-1] == "Qxf7#"
+    assert fens[-1] == "r1bqkb1r/pppp1Qpp/2n2n2/4p3/2B1P3/8/PPPP1PPP/RNB1K1NR b KQkq - 0 4"
+    _, _, fens, _ = replay("e4 d5 e5 f5".split(), "san")
+    assert fens[-1].split()[3] == "f6"          # legal en-passant capture exists
+
+
+def test_illegal_and_ambiguous_moves():
+    assert replay("e4 e5 Rxe6".split(), "san")[3] is False
+    assert replay("Nf3 d5 Nc3 e5 Ne4 c6 Nfg5 h6 Nd4".split(), "san")[3] is False   # no knight reaches d4
+    assert replay("Nf3 d5 Nc3 e5 Ne4 c6 Ng5".split(), "san")[3] is False          # two knights reach g5
+    u, _, _, ok = replay("e2e4 e7e5 e1e3".split(), "uci")
+    assert not ok and u == ["e2e4", "e7e5"]
+
+
+def test_native_replay_matches_helper(spark):
+    rows = [(i, " ".join(replay(line.split(), "san")[0])) for i, line in enumerate(LINES)]
+    df = spark.createDataFrame(rows, "game_id int, moves_uci string")
+    native = {(r.game_id, r.ply): r.fen for r in mv.board_positions(df).collect()}
+    helper = {(r.game_id, r.ply): r.fen for r in mv.board_positions_checked(df).collect()}
+    assert native == helper and len(native) == sum(len(line.split()) for line in LINES)
+
+
+def test_resolve_moves_cuts(spark):
+    df = spark.createDataFrame([(1, LINES[3].split() + ["Ke9", "e4"]), (2, [])], "g int, _tokens array<string>")
+    out = {r.g: r for r in mv.resolve_moves(df, notation="san").collect()}
+    assert out[1].num_moves == 7 and out[1].moves_legal is False
+    assert out[2].num_moves == 0 and out[2].moves_legal is True
