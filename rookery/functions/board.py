@@ -21,6 +21,17 @@ CASTLE_KS = {"O-O", "0-0"}
 CASTLE_QS = {"O-O-O", "0-0-0"}
 
 
+def _board_from_placement(placement: str) -> list[str]:
+    b = []
+    for row in reversed(placement.split("/")):
+        for ch in row:
+            b.extend(["."] * int(ch) if ch.isdigit() else [ch])
+    return b
+
+
+_START_BOARD = tuple(_board_from_placement(START_PLACEMENT))
+
+
 def square(name: str) -> int:
     return FILES.index(name[0]) + 8 * (int(name[1]) - 1)
 
@@ -42,11 +53,7 @@ class Position:
 
     @classmethod
     def start(cls) -> Position:
-        b = []
-        for row in reversed(START_PLACEMENT.split("/")):
-            for ch in row:
-                b.extend(["."] * int(ch) if ch.isdigit() else [ch])
-        return cls(b, True, "KQkq", None, 0, 1)
+        return cls(list(_START_BOARD), True, "KQkq", None, 0, 1)
 
     # ------------------------------------------------------------ attacks
     def _own(self, p: str, white: bool) -> bool:
@@ -279,11 +286,13 @@ class Position:
                          str(self.halfmove), str(self.fullmove)))
 
 
-def replay(tokens: list[str], notation: str = "auto") -> tuple[list[str], list[str], list[str], bool]:
+def replay(tokens: list[str], notation: str = "auto", want_san: bool = True,
+           want_fen: bool = True) -> tuple[list[str], list[str], list[str], bool]:
     """Play tokens from the start position until the first illegal one.
 
     Returns (uci moves, san moves, fen after each move, all_legal). ``notation``
-    is 'san', 'uci' or 'auto' (UCI form first, then SAN)."""
+    is 'san', 'uci' or 'auto' (UCI form first, then SAN). SAN and FEN lists are
+    left empty unless asked for (they cost more than the replay itself)."""
     pos = Position.start()
     ucis, sans, fens = [], [], []
     for tok in tokens:
@@ -296,7 +305,9 @@ def replay(tokens: list[str], notation: str = "auto") -> tuple[list[str], list[s
             return ucis, sans, fens, False
         frm, to, pr, after = r
         ucis.append(square_name(frm) + square_name(to) + (pr or ""))
-        sans.append(pos.san(frm, to, pr, after))
-        fens.append(after.fen())
+        if want_san:
+            sans.append(pos.san(frm, to, pr, after))
+        if want_fen:
+            fens.append(after.fen())
         pos = after
     return ucis, sans, fens, True

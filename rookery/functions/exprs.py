@@ -22,6 +22,15 @@ FINAL_PLIES = 3                                    # the last three plies are ta
 START_FEN = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` (a one-element transform).
+
+    Spark SQL has no local variables: an intermediate used several times, or a
+    single-use one that the optimizer inlines into a lambda body, would be
+    evaluated once per use or per array element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.board import replay
+from ..functions.exprs import let
 
 START_SQUARES = "RNBQKBNRPPPPPPPP" + "." * 32 + "pppppppprnbqkbnr"
 
 
-def resolve_moves(df: DataFrame, tokens: str = "_tokens", notation: str = "auto") -> DataFrame:
-    """Adds ``moves_uci``, ``moves_san`` (space separated), ``num_moves``
-    (legal plies) and ``moves_legal`` (no token was cut) from an array column
-    of movetext tokens; the token column is dropped."""
+def resolve_moves(df: DataFrame, tokens: str = "_tokens", notation: str = "auto",
+                  with_san: bool = False) -> DataFrame:
+    """Adds ``moves_uci``, ``moves_san`` (space separated; NULL unless
+    ``with_san``), ``num_moves`` (legal plies) and ``moves_legal`` (no token was
+    cut) from an array column of movetext tokens; the token column is dropped."""
     in_schema = df.schema
     out_fields = [f for f in in_schema.fields if f.name not in (tokens, "moves_uci", "moves_san", "num_moves",
                                                                  "moves_legal")]
@@ -42,9 +44,10 @@ def resolve_moves(df: DataFrame, tokens: str = "_tokens", notation: str = "auto"
         for pdf in batches:
             ucis, sans, ns, oks = [], [], [], []
             for toks in pdf[tokens]:
-                u, s, _, ok = replay(list(toks) if toks is not None else [], notation)
+                u, s, _, ok = replay(list(toks) if toks is not None else [], notation,
+                                     want_san=with_san, want_fen=False)
                 ucis.append(" ".join(u))
-                sans.append(" ".join(s))
+                sans.append(" ".join(s) if with_san else None)
                 ns.append(min(len(u), 32767))
                 oks.append(ok)
             out = pdf[keep].copy()
@@ -66,7 +69,7 @@ def board_positions_checked(df: DataFrame, key: str = "game_id", moves: str = "m
         for pdf in batches:
             rows = []
             for k, mv in zip(pdf[key], pdf[moves]):
-                _, _, fens, _ = replay([t for t in (mv or "").split(" ") if t], "uci")
+                _, _, fens, _ = replay([t for t in (mv or "").split(" ") if t], "uci", want_san=False)
                 rows.extend((k, i, f) for i, f in enumerate(fens))
             yield pd.DataFrame(rows, columns=[key, "ply", "fen"])
     return df.select(key, moves).mapInPandas(run, schema)
@@ -81,13 +84,6 @@ def _sq(m: Column, pos: int) -> Column:
     return (rank * 8 + file_).cast("int")
 
 
-def _let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and hand it to ``fn``. Spark SQL has no local
-    variables; without this, every reuse of an intermediate inside the replay
-    lambda would be a separate copy of its expression tree."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _move_effect(x: Column) -> Column:
     """Board, castling rights, halfmove clock and en-passant square after the
     move described by ``x = (f, t, pr, b, r, h)``."""
@@ -105,10 +101,10 @@ def _move_effect(x: Column) -> Column:
         placed = F.when(x["pr"] != "", F.when(white, F.upper(x["pr"])).otherwise(F.lower(x["pr"]))) \
             .otherwise(piece)
         nb = F.overlay(F.overlay(b, placed, to + 1, F.lit(1)), F.lit("."), frm + 1, F.lit(1))
-        nb = _let(nb, lambda z: F.when(castle, F.overlay(
+        nb = let(nb, lambda z: F.when(castle, F.overlay(
             F.overlay(z, F.substr(b, rook_from + 1, F.lit(1)), rook_to + 1, F.lit(1)),
             F.lit("."), rook_from + 1, F.lit(1))).otherwise(z))
-        nb = _let(nb, lambda z: F.when(ep_cap, F.overlay(z, F.lit("."), victim + 1, F.lit(1))).otherwise(z))
+        nb = let(nb, lambda z: F.when(ep_cap, F.overlay(z, F.lit("."), victim + 1, F.lit(1))).otherwise(z))
 
         def touched(*squares: int) -> Column:
             c = None
@@ -123,7 +119,7 @@ def _move_effect(x: Column) -> Column:
         double = (kind == "P") & (F.abs(to - frm) == 16)
         ep = F.when(double, ((frm + to) / 2).cast("int")).otherwise(F.lit(-1))
         return F.struct(nb.alias("nb"), rights.alias("r"), half.alias("h"), ep.alias("ep"))
-    return _let(F.struct(F.substr(b, frm + 1, F.lit(1)).alias("piece"),
+    return let(F.struct(F.substr(b, frm + 1, F.lit(1)).alias("piece"),
                          F.substr(b, to + 1, F.lit(1)).alias("target")), with_piece)
 
 
@@ -133,7 +129,7 @@ def _step(acc: Column, m: Column) -> Column:
     info = F.struct(_sq(m, 1).alias("f"), _sq(m, 3).alias("t"), F.substr(m, F.lit(5), F.lit(1)).alias("pr"),
                     F.element_at(acc["boards"], -1).alias("b"), F.element_at(acc["rights"], -1).alias("r"),
                     F.element_at(acc["half"], -1).alias("h"))
-    return _let(_let(info, _move_effect), lambda e: F.struct(
+    return let(let(info, _move_effect), lambda e: F.struct(
         F.concat(acc["boards"], F.array(e["nb"])).alias("boards"),
         F.concat(acc["rights"], F.array(e["r"])).alias("rights"),
         F.concat(acc["half"], F.array(e["h"])).alias("half"),

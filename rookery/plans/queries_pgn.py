@@ -21,14 +21,17 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pgn.scan_pgn(spark, corpus.games_corpus(spark, sf_dir), glob=None)
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pgn.parse_games(_raw(spark, sf_dir)).withColumn("src_game_id", F.col("src_game_id").cast("int"))
+def _parsed(spark: SparkSession, sf_dir: str, resolve: bool = True) -> DataFrame:
+    """Parsed games. Queries that use no move columns skip the move resolver:
+    it runs in Python workers, so the optimizer cannot prune it away."""
+    return (pgn.parse_games(_raw(spark, sf_dir), resolve=resolve)
+            .withColumn("src_game_id", F.col("src_game_id").cast("int")))
 
 
 register("pgn_scan", lambda s, d: _raw(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("games")),
          f"SELECT {SOURCE} AS source, COUNT(*) AS games FROM games GROUP BY 1", ("games",))
 
-register("pgn_game_ids", lambda s, d: _parsed(s, d).select("source", "game_id", "src_game_id"), f"""
+register("pgn_game_ids", lambda s, d: _parsed(s, d, False).select("source", "game_id", "src_game_id"), f"""
 SELECT source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY game_id) AS INT) AS game_id,
        game_id AS src_game_id
 FROM (SELECT *, {SOURCE} AS source FROM games)""", ("games",))
@@ -36,7 +39,7 @@ FROM (SELECT *, {SOURCE} AS source FROM games)""", ("games",))
 HEADER_COLS = ["event", "site", "date", "white", "black", "result", "white_elo", "black_elo", "white_rd",
                "black_rd", "eco", "opening", "time_control", "termination"]
 
-register("pgn_headers", lambda s, d: _parsed(s, d).select("src_game_id", *HEADER_COLS),
+register("pgn_headers", lambda s, d: _parsed(s, d, False).select("src_game_id", *HEADER_COLS),
          f"SELECT game_id AS src_game_id, {', '.join(HEADER_COLS)} FROM games", ("games",))
 
 register("pgn_clocks", lambda s, d: _parsed(s, d).select("src_game_id", "clock_times"), f"""
@@ -64,7 +67,7 @@ SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_
        moves_uci = '' AS moves_legal FROM games""", ("games",))
 
 register("games_limit",
-         lambda s, d: _parsed(s, d).where(F.col("game_id") <= GAMES_LIMIT).select("source", "game_id",
+         lambda s, d: _parsed(s, d, False).where(F.col("game_id") <= GAMES_LIMIT).select("source", "game_id",
                                                                                  "src_game_id"), f"""
 SELECT * FROM (
   SELECT source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY game_id) AS INT) AS game_id,

@@ -72,13 +72,15 @@ def san_corpus(spark: SparkSession, sf_dir: str) -> str:
     path = _path(spark, sf_dir, "san")
     if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
         from ..operators.moves import resolve_moves
-        games = td.games(spark, sf_dir).withColumn("source", F.lit("san"))
+        # order first (on the narrow table): range sampling must not run the Python
+        # resolver; mapInPandas keeps the row order of each partition
+        games = in_file_order(td.games(spark, sf_dir).withColumn("source", F.lit("san")))
         games = games.withColumn("_tokens", F.filter(F.split("moves_uci", " "), lambda x: x != ""))
-        san = resolve_moves(games.withColumnRenamed("moves_uci", "_uci"), "_tokens", "uci")
+        san = resolve_moves(games.withColumnRenamed("moves_uci", "_uci"), "_tokens", "uci", with_san=True)
         san = san.withColumn("san_text", F.when(F.col("moves_san") != "",
                                                 F.concat_ws(" ", "moves_san", F.lit(ILLEGAL_TAIL)))
                              .otherwise(F.lit("")))
-        write_pgn(render_games(in_file_order(san), keep=("source",), moves_col="san_text"), path)
+        write_pgn(render_games(san, keep=("source",), moves_col="san_text"), path)
         _DONE[key] = path
     return path
 

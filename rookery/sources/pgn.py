@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import let
 from ..operators.joins import broadcast_if_small
 
 # Python-chess fills the seven-tag roster with these when a tag is
@@ -46,15 +47,23 @@ def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFA
     if base_path:
         reader = reader.option("basePath", base_path)
     raw = reader.text(path)
-    text = F.regexp_replace(F.col("value"), "\r\n", "\n")
-    text = F.regexp_replace(text, "^[\\x{FEFF}\\s]+", "")
-    text = F.when(text.startswith("[Event "), text).otherwise(F.concat(F.lit("[Event "), text))
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     source = F.col("source").cast("string") if "source" in raw.columns else stem
-    return (raw.where(F.trim(F.col("value")) != "")
-            .select(source.alias("source"), F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("block_start"),
-                    F.monotonically_increasing_id().alias("_row"), text.alias("text")))
+    df = (raw.where(F.trim(F.col("value")) != "")
+          .select(source.alias("source"), F.col("_metadata.file_path").alias("file_path"),
+                  F.col("_metadata.file_block_start").alias("block_start"),
+                  F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text")))
+    return restore_game_text(df)
+
+
+def restore_game_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """Undo the record split: LF line ends, no BOM / leading blank lines, and
+    the ``[Event `` the separator consumed. One projection per stage, so the
+    stages are not evaluated twice."""
+    df = df.withColumn(text, F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"),
+                                              "^[\\x{FEFF}\\s]+", ""))
+    t = F.col(text)
+    return df.withColumn(text, F.when(t.startswith("[Event "), t).otherwise(F.concat(F.lit("[Event "), t)))
 
 
 def number_games(raw: DataFrame, max_broadcast_rows: int = MAX_SPLIT_BROADCAST_ROWS) -> DataFrame:
@@ -86,20 +95,32 @@ def split_game(text: Column | str = "text") -> tuple[Column, Column]:
 
 
 def tag_arrays(header: Column) -> tuple[Column, Column]:
-    """Tag names and values, reversed so that the last occurrence wins."""
+    """Tag names, reversed so that the last occurrence of a name wins, and the
+    values in the same order behind one NULL slot (position 0 = not found)."""
     keys = F.reverse(F.regexp_extract_all(header, F.lit(_TAG_RE), 1))
-    vals = F.reverse(F.regexp_extract_all(header, F.lit(_TAG_RE), 2))
+    vals = F.concat(F.array(F.lit(None).cast("string")),
+                    F.reverse(F.regexp_extract_all(header, F.lit(_TAG_RE), 2)))
     return keys, vals
 
 
 def tag(keys: Column, vals: Column, name: str, default: str | None = None) -> Column:
-    """Value of tag ``name`` (PGN escapes undone), else the default."""
-    pos = F.array_position(keys, F.lit(name))
-    v = F.when(pos > 0, F.element_at(vals, pos.cast("int")))
-    v = F.regexp_replace(v, r'\\(["\\])', "$1")
+    """Value of tag ``name`` (PGN escapes undone), else the default. Kept to
+    one lookup per tag: a game has many tags and the whole projection must stay
+    small enough for compiled code."""
+    v = F.element_at(vals, F.array_position(keys, F.lit(name)).cast("int") + 1)
     if default is None:
         default = ROSTER_DEFAULTS.get(name, "")
-    return F.coalesce(v, F.lit(default))
+    return F.coalesce(F.regexp_replace(v, r'\\(["\\])', "$1"), F.lit(default))
+
+
+def tag_values(keys: Column, vals: Column, names: list[str]) -> Column:
+    """Values of many tags at once (NULL = missing), as one array. One small
+    lambda instead of one expression per tag keeps the generated code of the
+    projection under the size the JIT compiles."""
+    wanted = F.array(*[F.lit(n) for n in names])
+    # bind the arrays once: inlined into the lambda they would be rebuilt per name
+    return let(F.struct(keys.alias("k"), vals.alias("v")), lambda kv: F.transform(wanted, lambda n: F.regexp_replace(
+        F.element_at(kv["v"], F.array_position(kv["k"], n).cast("int") + 1), r'\\(["\\])', "$1")))
 
 
 def with_tags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -110,20 +131,34 @@ def with_tags(df: DataFrame, text: str = "text") -> DataFrame:
 
 # ---------------------------------------------------------------- movetext
 
-def clean_movetext(movetext: Column) -> Column:
+def _if_contains(c: Column, needle: str, fn) -> Column:
+    """Apply a rewrite only to values that contain ``needle`` (skips a regex
+    pass for most games)."""
+    return F.when(c.contains(needle), fn(c)).otherwise(c)
+
+
+def with_clean_movetext(df: DataFrame, movetext: str = "movetext", out: str = "_clean") -> DataFrame:
     """Mainline only: drop ';' comments, side lines, move numbers, NAGs, '!?'
     suffixes and the result; merge consecutive comments; drop a comment that
-    precedes the first move. Comments after moves stay in place."""
-    m = F.regexp_replace(movetext, r";[^\n]*", " ")
-    for _ in range(VARIATION_DEPTH):  # innermost side lines first
-        m = F.regexp_replace(m, r"\((?:[^(){}]|\{[^}]*\})*\)", " ")
+    precedes the first move. Comments after moves stay in place.
+
+    Each stage is its own projection: a stage refers to its input twice (test
+    and rewrite), and nesting them as one expression would copy the earlier
+    stages."""
+    def var(m: Column) -> Column:
+        for _ in range(VARIATION_DEPTH):  # innermost side lines first
+            m = F.regexp_replace(m, r"\((?:[^(){}]|\{[^}]*\})*\)", " ")
+        return m
+    df = df.withColumn(out, _if_contains(F.col(movetext), ";", lambda m: F.regexp_replace(m, r";[^\n]*", " ")))
+    df = df.withColumn(out, _if_contains(F.col(out), "(", var))
+    df = df.withColumn(out, _if_contains(F.col(out), "$", lambda m: F.regexp_replace(m, r"\$\d+", " ")))
     # a move number starts a token and is not followed by a digit (keeps "0.36")
-    m = F.regexp_replace(m, r"(?<![^\s])\d+\.(?:\.\.)?(?![0-9])", " ")
-    m = F.regexp_replace(m, r"\$\d+", " ")
+    m = F.regexp_replace(F.col(out), r"(?<![^\s])\d+\.(?:\.\.)?(?![0-9])", " ")
     m = F.regexp_replace(m, r"(?<=[^\s{}])[!?]+", "")
     m = F.regexp_replace(m, r"(^|\s)(1-0|0-1|1/2-1/2|\*)(?=\s|$)", " ")
-    m = F.regexp_replace(m, r"\}\s*\{", " ")
-    return F.regexp_replace(m, r"^\s*\{[^}]*\}", " ")
+    df = df.withColumn(out, m)
+    return df.withColumn(out, _if_contains(F.col(out), "{", lambda c: F.regexp_replace(
+        F.regexp_replace(c, r"\}\s*\{", " "), r"^\s*\{[^}]*\}", " ")))
 
 
 def move_tokens(clean: Column) -> tuple[Column, Column]:
@@ -163,39 +198,48 @@ def eval_score(comment: Column) -> tuple[Column, Column]:
 
 
 def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
-                notation: str = "auto") -> DataFrame:
+                notation: str = "auto", with_san: bool = False) -> DataFrame:
     """Raw games -> the fixed ``games`` schema (A2-A5, H7) plus ``source``,
-    ``src_game_id`` (ParquetGameId tag), ``moves_san`` and ``moves_legal``.
+    ``src_game_id`` (ParquetGameId tag), ``moves_san`` (with ``with_san``) and
+    ``moves_legal``.
 
     With ``resolve`` the mainline tokens (SAN, or UCI) are replayed on a board
     and the game is cut at its first illegal move (A4b); otherwise the tokens
     are taken as they are."""
     df = number_games(raw) if numbered else raw.withColumn("game_id", F.lit(None).cast("int"))
-    df = with_tags(df)
-    k, v = F.col("_keys"), F.col("_vals")
-    moves, comments = move_tokens(clean_movetext(F.col("movetext")))
-    df = df.withColumn("_tokens", moves).withColumn("_comments", comments)
-    date = F.coalesce(F.when(F.array_position(k, F.lit("UTCDate")) > 0, tag(k, v, "UTCDate")), tag(k, v, "Date"))
+    df = with_clean_movetext(with_tags(df))
+    moves, comments = move_tokens(F.col("_clean"))
+    names = ["Event", "Site", "UTCDate", "Date", "White", "Black", "Result", "WhiteElo", "BlackElo",
+             "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination",
+             "ParquetGameId"]
+    df = (df.withColumn("_tokens", moves).withColumn("_comments", comments)
+          .withColumn("_t", tag_values(F.col("_keys"), F.col("_vals"), names)))
+
+    def t(name: str, default: str | None = None) -> Column:
+        if default is None:
+            default = ROSTER_DEFAULTS.get(name, "")
+        return F.coalesce(F.col("_t")[names.index(name)], F.lit(default))
 
     def elo(name: str) -> Column:
-        return F.coalesce(tag(k, v, name, "").try_cast("smallint"), F.lit(0).cast("smallint"))
+        return F.coalesce(t(name).try_cast("smallint"), F.lit(0).cast("smallint"))
 
     def rd(name: str) -> Column:
-        return F.coalesce(tag(k, v, name, "").try_cast("float"), F.lit(0.0).cast("float"))
+        return F.coalesce(t(name).try_cast("float"), F.lit(0.0).cast("float"))
+    date = F.coalesce(F.col("_t")[names.index("UTCDate")], t("Date"))
     df = df.select(
         "source", F.col("game_id").cast("int").alias("game_id"),
-        tag(k, v, "Event").alias("event"), tag(k, v, "Site").alias("site"), date.alias("date"),
-        tag(k, v, "White").alias("white"), tag(k, v, "Black").alias("black"), tag(k, v, "Result").alias("result"),
+        t("Event").alias("event"), t("Site").alias("site"), date.alias("date"),
+        t("White").alias("white"), t("Black").alias("black"), t("Result").alias("result"),
         elo("WhiteElo").alias("white_elo"), elo("BlackElo").alias("black_elo"),
         rd("WhiteRatingDiff").alias("white_rd"), rd("BlackRatingDiff").alias("black_rd"),
-        tag(k, v, "ECO").alias("eco"), tag(k, v, "Opening").alias("opening"),
-        tag(k, v, "TimeControl").alias("time_control"), tag(k, v, "Termination").alias("termination"),
-        tag(k, v, "ParquetGameId", "").alias("src_game_id"),
+        t("ECO").alias("eco"), t("Opening").alias("opening"),
+        t("TimeControl").alias("time_control"), t("Termination").alias("termination"),
+        t("ParquetGameId").alias("src_game_id"),
         "_tokens", "_comments",
     )
     if resolve:
         from ..operators.moves import resolve_moves
-        df = resolve_moves(df, "_tokens", notation)
+        df = resolve_moves(df, "_tokens", notation, with_san=with_san)
     else:
         df = (df.withColumn("moves_uci", F.array_join("_tokens", " "))
               .withColumn("moves_san", F.lit(None).cast("string"))
@@ -212,8 +256,8 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
 
 def ply_evals(raw: DataFrame) -> DataFrame:
     """One row per evaluated ply ``(source, src_game_id, ply, cp, mate)``."""
-    df = with_tags(raw)
-    moves, comments = move_tokens(clean_movetext(F.col("movetext")))
+    df = with_clean_movetext(with_tags(raw))
+    moves, comments = move_tokens(F.col("_clean"))
     df = df.select("source", tag(F.col("_keys"), F.col("_vals"), "ParquetGameId", "").alias("src_game_id"),
                    F.posexplode(comments).alias("ply", "comment"))
     cp, mate = eval_score(F.col("comment"))
@@ -224,9 +268,9 @@ def ply_evals(raw: DataFrame) -> DataFrame:
 def single_game_defaults(raw: DataFrame) -> DataFrame:
     """The single-game parse: Elo and ECO default to '?', Elo stays text,
     a game without moves is rejected."""
-    df = with_tags(raw)
+    df = with_clean_movetext(with_tags(raw))
     k, v = F.col("_keys"), F.col("_vals")
-    moves, _ = move_tokens(clean_movetext(F.col("movetext")))
+    moves, _ = move_tokens(F.col("_clean"))
     df = df.withColumn("_moves", moves)
     return df.select(
         "source", tag(k, v, "ParquetGameId", "").alias("src_game_id"),

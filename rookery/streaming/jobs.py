@@ -47,15 +47,12 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
                            F.col("_metadata.file_block_start").alias("_bs"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        text = F.regexp_replace(F.col("value"), "\r\n", "\n")
-        text = F.regexp_replace(text, "^[\\x{FEFF}\\s]+", "")
-        text = F.when(text.startswith("[Event "), text).otherwise(F.concat(F.lit("[Event "), text))
         stem = F.regexp_extract(F.col("_fn"), r"^(.*?)(\.[^.]*)?$", 1)
         source = F.col("source") if partitioned_source else stem
         raw = (batch.where(F.trim("value") != "")
                .select(source.alias("source"), F.col("_fp").alias("file_path"), F.col("_bs").alias("block_start"),
-                       F.monotonically_increasing_id().alias("_row"), text.alias("text")))
-        games = pgn.parse_games(raw)
+                       F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text")))
+        games = pgn.parse_games(pgn.restore_game_text(raw))
         games.write.mode("overwrite").partitionBy("source").parquet(f"{out}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

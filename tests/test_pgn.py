@@ -13,7 +13,7 @@ GAMES5 = os.path.join(FIX, "games5.pgn")
 
 @pytest.fixture(scope="module")
 def games5(spark):
-    rows = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None)).orderBy("game_id").collect()
+    rows = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None), with_san=True).orderBy("game_id").collect()
     return [r.asDict() for r in rows]
 
 
