@@ -3,6 +3,8 @@ batch outcome, report JSON sink, listings, base64, random pick, output names."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,7 @@ register("stats_json", _stats_json, REPORT_ALL_ROWS_SQL, ("games",))
 
 
 _FOLDERS: dict[tuple[str, str], tuple[str, str]] = {}
+_FOLDERS_LOCK = threading.Lock()
 
 
 def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -93,8 +96,13 @@ def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     whose reply passed the checks (the narrations that would be voiced).
     Written once per application and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _FOLDERS:
+    with _FOLDERS_LOCK:
+        if key not in _FOLDERS:
+            _FOLDERS[key] = _write_narration_folders(spark, sf_dir)
         return _FOLDERS[key]
+
+
+def _write_narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     docs = nr.documents_from_paragraphs(td.para(spark, sf_dir))
     docs = docs.withColumn("stem", F.concat(naming.stem_base("white", "black", F.lit("")), F.lit("_0001")))
     docs_dir, audio_dir = fresh_path(spark, "docs"), fresh_path(spark, "audio")
@@ -102,7 +110,6 @@ def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     status = nr.reply_status(nr.parse_replies(nr.replies_from_documents(docs)))
     ok = status.where(F.col("status") == "ok").join(docs.select("g", "stem"), "g")
     ok.select("stem", F.lit("ID3").alias("value")).write.mode("overwrite").partitionBy("stem").text(audio_dir)
-    _FOLDERS[key] = (docs_dir, audio_dir)
     return docs_dir, audio_dir
 
 

@@ -10,6 +10,7 @@ order, one folder per source.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..session import path_exists, work_path
 from . import testdata as td
 
 _DONE: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.Lock()   # queries may be built from several driver threads
 
 
 def source_name(event) -> F.Column:
@@ -49,15 +51,22 @@ def _path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return work_path(spark, "pgn", f"{kind}-{h}")
 
 
+def _build(spark: SparkSession, sf_dir: str, kind: str, write) -> str:
+    """Write a corpus once per application and input; later calls reuse it."""
+    key, path = _key(spark, sf_dir, kind), _path(spark, sf_dir, kind)
+    with _LOCK:
+        if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
+            write(path)
+            _DONE[key] = path
+    return path
+
+
 def games_corpus(spark: SparkSession, sf_dir: str) -> str:
     """All games rendered to PGN, one source per event title."""
-    key = _key(spark, sf_dir, "games")
-    path = _path(spark, sf_dir, "games")
-    if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
+    def write(path: str) -> None:
         games = in_file_order(td.games(spark, sf_dir).withColumn("source", source_name("event")))
         write_pgn(render_games(games, keep=("source",)), path)
-        _DONE[key] = path
-    return path
+    return _build(spark, sf_dir, "games", write)
 
 
 # A syntactically valid move no piece can make early in a game, then one more
@@ -68,9 +77,7 @@ ILLEGAL_TAIL = "Rxe6 e4"
 def san_corpus(spark: SparkSession, sf_dir: str) -> str:
     """All games with SAN movetext (converted from UCI by replaying them), each
     game with moves followed by an illegal move."""
-    key = _key(spark, sf_dir, "san")
-    path = _path(spark, sf_dir, "san")
-    if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
+    def write(path: str) -> None:
         from ..operators.moves import resolve_moves
         # order first (on the narrow table): range sampling must not run the Python
         # resolver; mapInPandas keeps the row order of each partition
@@ -81,16 +88,12 @@ def san_corpus(spark: SparkSession, sf_dir: str) -> str:
                                                 F.concat_ws(" ", "moves_san", F.lit(ILLEGAL_TAIL)))
                              .otherwise(F.lit("")))
         write_pgn(render_games(san, keep=("source",), moves_col="san_text"), path)
-        _DONE[key] = path
-    return path
+    return _build(spark, sf_dir, "san", write)
 
 
 def annotated_corpus(spark: SparkSession, sf_dir: str) -> str:
     """Every scored game of ``plies`` as annotated PGN (``[%eval]`` per ply)."""
-    key = _key(spark, sf_dir, "annotated")
-    path = _path(spark, sf_dir, "annotated")
-    if key not in _DONE or not path_exists(spark, path + "/_SUCCESS"):
+    def write(path: str) -> None:
         pgn = render_annotated(td.games(spark, sf_dir), td.plies(spark, sf_dir))
         write_pgn(pgn.withColumn("source", F.lit("annotated")), path)
-        _DONE[key] = path
-    return path
+    return _build(spark, sf_dir, "annotated", write)
