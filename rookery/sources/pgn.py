@@ -26,7 +26,7 @@ RESULT_TOKENS = ("1-0", "0-1", "1/2-1/2", "*")
 GAME_SEP = "\n\n[Event "
 GAME_SEP_CRLF = "\r\n\r\n[Event "
 DEFAULT_GLOB = "*.[pP][gG][nN]"
-MAX_SPLIT_BROADCAST_ROWS = 200_000
+MAX_SPLIT_BROADCAST_ROWS = 2_000_000   # ~80 MB of split offsets
 VARIATION_DEPTH = 6       # nesting depth of (...) side lines that is removed
 
 _TAG_RE = r'(?m)^\[([A-Za-z0-9_]+)\s+"(.*)"\][ \t]*$'
@@ -71,17 +71,21 @@ def number_games(raw: DataFrame, max_broadcast_rows: int = MAX_SPLIT_BROADCAST_R
 
     Rows of one split are consecutive within one task, so the position inside
     the split is ``_row - min(_row)``. The per-split table has one row per file
-    split; it is broadcast only when its row count is under the limit."""
-    splits = raw.groupBy("source", "file_path", "block_start").agg(
+    split (100 TB in 128 MB splits is ~800k rows); it is keyed by two
+    independent hashes of the file path instead of the path itself, so a row
+    costs ~40 bytes on the broadcast. Past the row limit it is joined by
+    shuffle instead."""
+    keyed = raw.withColumn("_f1", F.xxhash64("file_path")).withColumn("_f2", F.hash("file_path"))
+    keys = ["source", "_f1", "_f2", "block_start"]
+    splits = keyed.groupBy("source", "file_path", "_f1", "_f2", "block_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_r0"))
     before = Window.partitionBy("source").orderBy("file_path", "block_start") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("source", "file_path", "block_start", "_r0",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = splits.select(*keys, "_r0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     small, _ = broadcast_if_small(offsets, max_broadcast_rows)
-    j = raw.join(small, ["source", "file_path", "block_start"])
+    j = keyed.join(small, keys)
     return j.withColumn("game_id", (F.col("_offset") + F.col("_row") - F.col("_r0") + 1).cast("int")) \
-        .drop("_offset", "_r0")
+        .drop("_offset", "_r0", "_f1", "_f2")
 
 
 # ---------------------------------------------------------------- tags
