@@ -21,9 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark import cloudpickle
+
+from ..functions import board as _board
 from ..functions.board import replay
 from ..functions.exprs import let
 
+# Ship the board helper with the task closures, so Python workers need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(_board)
+
 START_SQUARES = "RNBQKBNRPPPPPPPP" + "." * 32 + "pppppppprnbqkbnr"
 
 
