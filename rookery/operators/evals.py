@@ -141,9 +141,6 @@ def position_keys(plies: DataFrame) -> DataFrame:
     return plies.select("game_id", "ply", position_key("fen").alias("position_key"))
 
 
-_MOVE_STRUCT = "struct<move_number:int,color:string,san:string,fen:string>"
-
-
 # One nested document per game
 def game_documents(games: DataFrame, plies: DataFrame) -> DataFrame:
     """(game_id, white, black, moves) with the start position as ``moves[0]``.

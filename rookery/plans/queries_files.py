@@ -13,7 +13,7 @@ from ..operators import narration as nr
 from ..operators import report
 from ..operators.skew import rank_within
 from ..session import fresh_path
-from ..sources import corpus, files, narration_io
+from ..sources import corpus, files
 from ..sources import testdata as td
 from .catalog import register
 from .queries_report import REPORT_ALL_ROWS_SQL

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import START_FEN
-from ..operators import evals as ev
 from ..operators import narration as nr
 from ..session import fresh_path
 from ..sources import narration_io

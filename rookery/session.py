@@ -7,7 +7,6 @@ settings from the session they are given.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -100,7 +99,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def local_file_uri(path: str) -> str:
-    return "file://" + os.path.abspath(path)

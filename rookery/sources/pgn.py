@@ -22,7 +22,6 @@ from ..operators.joins import broadcast_if_small
 # missing; all other tags default to ''.
 ROSTER_DEFAULTS = {"Event": "?", "Site": "?", "Date": "????.??.??", "Round": "?",
                    "White": "?", "Black": "?", "Result": "*"}
-RESULT_TOKENS = ("1-0", "0-1", "1/2-1/2", "*")
 GAME_SEP = "\n\n[Event "
 GAME_SEP_CRLF = "\r\n\r\n[Event "
 DEFAULT_GLOB = "*.[pP][gG][nN]"
