@@ -285,12 +285,158 @@ def run_report(games: DataFrame, names: list[str] | None = None, materialize: bo
     return out, errors
 
 
-def report_summary(games: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row per analysis: name, status, number of result rows (2.J)."""
+def report_summary(games: DataFrame, names: list[str] | None = None, shared: bool = True) -> DataFrame:
+    """One row per analysis: name, status, number of result rows (2.J). By
+    default the report runs in the one-pass form (``run_report_shared``)."""
     spark = games.sparkSession
-    results_, errors = run_report(games, names)
+    results_, errors = run_report_shared(games) if shared else run_report(games, names)
+    if names:
+        results_ = {k: v for k, v in results_.items() if k in names}
     rows = [(n, "ok", df.count()) for n, df in results_.items()]
     rows += [(n, "error", 0) for n in errors]
     for df in results_.values():
         df.unpersist()
     return spark.createDataFrame(rows, "analysis string, status string, rows long")
+
+
+# ---------------------------------------------------------------- one-pass report
+# The single-key analyses share one scan: each game contributes one row per
+# grouping set (Expand), the map-side partial aggregate shrinks them before the
+# shuffle, and every analysis is then derived from the small result.
+
+def shared_counts(games: DataFrame) -> DataFrame:
+    """Counts (and White/Black/draw sums) per (dimension, key) in one aggregate.
+
+    Every game emits one narrow row ``(dim, s1, s2, n)`` per analysis that keeps
+    it (string keys in s1/s2, numeric keys in n); the partial aggregate folds
+    them per task before the shuffle."""
+    r = F.col("result")
+    diff = F.col("white_elo") - F.col("black_elo")
+
+    def key(dim: str, cond: Column, s1=None, s2=None, n=None) -> Column:
+        def v(c, t):
+            return (F.lit(None) if c is None else c).cast(t)
+        return F.when(cond, F.struct(F.lit(dim).alias("dim"), v(s1, "string").alias("s1"),
+                                     v(s2, "string").alias("s2"), v(n, "double").alias("n")))
+    keys = F.array(
+        key("result", r.isin(*RESULTS_DECIDED), s1=r),
+        key("time_class", nonempty("time_control"), s1=time_class("time_control")),
+        key("num_moves", F.col("num_moves") > 0, n=F.col("num_moves")),
+        key("date", nonempty("date") & (F.col("date") != UNKNOWN_DATE), s1=F.col("date")),
+        key("termination", nonempty("termination"), s1=F.col("termination")),
+        key("eco_cat", nonempty("eco"), s1=F.left(F.col("eco"), F.lit(1))),
+        key("diff_bucket", (F.col("white_elo") > 400) & (F.col("black_elo") > 400) & (F.abs(diff) <= 500),
+            n=bucket(diff, 50)),
+        key("eco_open", nonempty("eco"), s1=F.col("eco"), s2=F.col("opening")))
+    rows = games.select(F.filter(keys, lambda k: k.isNotNull()).alias("_k"),
+                        (r == "1-0").cast("int").alias("w"), (r == "0-1").cast("int").alias("b"),
+                        (r == "1/2-1/2").cast("int").alias("d"))
+    # explode_outer: a plain explode would get an inferred size(_k) > 0 filter
+    # pushed below this projection, building the key array twice
+    rows = rows.select(F.explode_outer("_k").alias("k"), "w", "b", "d").select("k.*", "w", "b", "d")
+    agg = rows.where(F.col("dim").isNotNull()).groupBy("dim", "s1", "s2", "n").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("w").alias("w"), F.sum("b").alias("b"), F.sum("d").alias("d"))
+    return agg.select(
+        "dim", F.col("s1").alias("result"), F.col("s1").alias("time_class"),
+        F.col("n").cast("smallint").alias("num_moves"), F.col("s1").alias("date"),
+        F.col("s1").alias("termination"), F.col("s1").alias("eco_cat"), F.col("n").alias("diff_bucket"),
+        F.struct(F.col("s1").alias("eco"), F.col("s2").alias("opening")).alias("eco_open"),
+        "count", "w", "b", "d")
+
+
+def _dim(shared: DataFrame, dim: str) -> DataFrame:
+    return shared.where(F.col("dim") == dim)
+
+
+def _wdl_from_sums() -> list[Column]:
+    n = F.col("count")
+    return [F.round(F.lit(100.0) * F.col(c) / n, 1).alias(a)
+            for c, a in (("w", "white_win_pct"), ("b", "black_win_pct"), ("d", "draw_pct"))]
+
+
+REPORT_FROM_SHARED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "results": lambda s: _share(_dim(s, "result").select("result", "count")).orderBy(F.desc("count"), "result"),
+    "time_controls": lambda s: _share(_dim(s, "time_class").select("time_class", "count"))
+    .orderBy(F.desc("count"), "time_class"),
+    "move_count_dist": lambda s: _dim(s, "num_moves").where(F.col("num_moves") < 300)
+    .select("num_moves", "count").orderBy("num_moves"),
+    "move_stats": lambda s: move_stats_from_freq(_dim(s, "num_moves").select("num_moves", "count")),
+    "daily_activity": lambda s: _dim(s, "date").select("date", "count").orderBy("date"),
+    "terminations": lambda s: _share(_dim(s, "termination").select("termination", "count"))
+    .orderBy(F.desc("count"), "termination").limit(15),
+    "eco_categories": lambda s: _share(_dim(s, "eco_cat").select("eco_cat", "count")).orderBy("eco_cat"),
+    "rating_advantage": lambda s: _dim(s, "diff_bucket").select("diff_bucket", "count", *_wdl_from_sums())
+    .withColumnRenamed("diff_bucket", "elo_diff_bucket").orderBy("elo_diff_bucket"),
+    "top_openings": lambda s: _dim(s, "eco_open").select("eco_open.eco", "eco_open.opening", "count",
+                                                         *_wdl_from_sums())
+    .orderBy(F.desc("count"), "eco", "opening").limit(30),
+}
+
+
+def move_stats_from_freq(freq: DataFrame) -> DataFrame:
+    q = F.percentile(F.col("num_moves"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count"))
+    return (freq.agg((F.sum(F.col("num_moves").cast("long") * F.col("count")) / F.sum("count")).alias("avg_moves"),
+                     q.alias("q"), F.min("num_moves").alias("min_moves"), F.max("num_moves").alias("max_moves"))
+            .select("avg_moves", F.col("q")[1].alias("median_moves"), "min_moves", "max_moves",
+                    F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75")))
+
+
+def run_report_shared(games: DataFrame, parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The whole report in four passes over the games: the shared single-key
+    aggregate, the per-side Elo frequencies (histogram and stats), the player
+    counts, and the top-1 game; plus the game count. Nothing per game is
+    cached, only the small aggregates and results."""
+    base = report_input(games)
+    shared = shared_counts(base).cache()
+    elo = elo_frequencies(base).cache()
+    out: dict[str, DataFrame] = {}
+    errors: dict[str, str] = {}
+    jobs: dict[str, Callable[[], DataFrame]] = {k: (lambda f=f: f(shared)) for k, f in REPORT_FROM_SHARED.items()}
+    jobs.update({"total_games": lambda: total_games(base), "elo_histogram": lambda: elo_histogram_from(elo),
+                 "elo_stats": lambda: elo_stats_from(elo), "top_players": lambda: top_players(base),
+                 "top_game": lambda: top_game(base)})
+
+    def one(name: str) -> DataFrame:
+        df = jobs[name]().cache()
+        df.count()
+        return df
+    for name, pre in (("shared", shared), ("elo", elo)):
+        try:
+            pre.count()
+        except (PySparkException, ArithmeticError, ValueError) as exc:
+            errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        futures = {name: pool.submit(one, name) for name in REPORT if name in jobs}
+        for name, fut in futures.items():
+            try:
+                out[name] = fut.result()
+            except (PySparkException, ArithmeticError, ValueError) as exc:
+                errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
+    return out, errors
+
+
+def elo_frequencies(games: DataFrame) -> DataFrame:
+    """(side, elo, both_rated, count) for rated sides: one pass that serves the
+    Elo histogram (per-side range filter) and the Elo stats (game filter)."""
+    both = (F.col("white_elo") > 400) & (F.col("black_elo") > 400)
+    pre = games.where((F.col("white_elo") > 0) | (F.col("black_elo") > 0)).withColumn("both_rated", both)
+    rows = pre.select("both_rated", F.inline(F.array(
+        F.struct(F.lit("white").alias("side"), F.col("white_elo").alias("elo")),
+        F.struct(F.lit("black").alias("side"), F.col("black_elo").alias("elo")))))
+    return rows.where(F.col("elo") > 0).groupBy("side", "elo", "both_rated").agg(F.count(F.lit(1)).alias("count"))
+
+
+def elo_histogram_from(freq: DataFrame) -> DataFrame:
+    return (freq.where(_elo_in_range("elo")).groupBy(bucket("elo", 100).alias("elo_bucket"))
+            .agg(F.sum("count").alias("count")).orderBy("elo_bucket"))
+
+
+def elo_stats_from(freq: DataFrame) -> DataFrame:
+    per_side = (freq.where("both_rated").groupBy("side", "elo").agg(F.sum("count").alias("count"))
+                .groupBy("side").agg(*_weighted_stats(None, "elo")))
+
+    def pick(side: str, c: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(c)))
+    return per_side.agg(
+        pick("white", "avg").alias("avg_white"), pick("black", "avg").alias("avg_black"),
+        pick("white", "median").alias("median_white"), pick("black", "median").alias("median_black"))

@@ -75,7 +75,7 @@ register("batch_status", lambda s, d: files.batch_status(_freshness(s, d)))
 def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each analysis written as its own JSON folder, read back as lines."""
     root = fresh_path(spark, "stats")
-    results, _ = report.run_report(report.report_input(td.games(spark, sf_dir)))
+    results, _ = report.run_report_shared(td.games(spark, sf_dir))
     for name, df in results.items():
         df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{name}")
         df.unpersist()

@@ -65,3 +65,12 @@ def test_registry_isolates_failures(games):
     broken = games.drop("termination")   # one analysis cannot run on this input
     results, errors = report.run_report(broken, share_scan=False)
     assert "terminations" in errors and "results" in results
+
+
+def test_one_pass_report_equals_direct(games):
+    from rookery.plans.verify import compare
+    shared, errors = report.run_report_shared(games)
+    direct, _ = report.run_report(report.report_input(games))
+    assert errors == {} and set(shared) == set(report.REPORT)
+    for name in report.REPORT:
+        assert compare(shared[name].toPandas(), direct[name].toPandas()) == [], name
