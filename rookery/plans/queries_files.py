@@ -65,11 +65,17 @@ def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, [f"{src}/source=rated_game_0", f"{src}/source=rated_game_1"], glob=None, base_path=src))
     (parsed.select("source", *files.GAME_COLUMNS).write.mode("overwrite")
      .partitionBy("source").parquet(out))
-    return files.files_to_process(spark, src, out, glob=None).select("source", "files", "status")
+    # the part-file count and the times depend on the writer, not on the data
+    return files.files_to_process(spark, src, out, glob=None).select("source", "status")
 
 
-register("files_to_process", _freshness)
-register("batch_status", lambda s, d: files.batch_status(_freshness(s, d)))
+_FRESH_SQL = f"""
+SELECT DISTINCT {SOURCE} AS source,
+       CASE WHEN {SOURCE} IN ('rated_game_0', 'rated_game_1') THEN 'skip' ELSE 'convert' END AS status
+FROM games"""
+register("files_to_process", _freshness, _FRESH_SQL, ("games",))
+register("batch_status", lambda s, d: files.batch_status(_freshness(s, d)),
+         f"SELECT status, COUNT(*) AS count FROM ({_FRESH_SQL}) GROUP BY status", ("games",))
 
 
 def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +121,29 @@ def _write_narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str
 
 def _playable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs_dir, audio_dir = _narration_folders(spark, sf_dir)
-    return files.playable_games(spark, docs_dir, audio_dir, docs_glob="*.json", audio_glob="*.txt")
-
-
-register("playable_games", _playable)
+    # file times are not part of the checked result
+    return files.playable_games(spark, docs_dir, audio_dir, docs_glob="*.json", audio_glob="*.txt") \
+        .select("stem", "display")
 
 
 def _base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audio files of the playable games as base64."""
     _, audio_dir = _narration_folders(spark, sf_dir)
-    return files.file_base64(spark, audio_dir, "*.txt")
-
-
-register("file_base64", _base64)
+    b = files.file_base64(spark, audio_dir, "*.txt")
+    return b.select(F.regexp_extract("path", r"/stem=([^/]+)/", 1).alias("stem"), "length", "b64")
+
+
+# Documents whose reply passed the checks got an audio stub ("ID3" + newline).
+_OK_STEMS = """
+, ok AS (
+  SELECT g FROM para GROUP BY g
+  HAVING NOT (g % 6 IN (2, 3))
+     AND SUM(CASE WHEN trigger_word != '' AND NOT contains(text, trigger_word) THEN 1 ELSE 0 END) = 0)
+, stems AS (SELECT 'White_' || CAST(g AS VARCHAR) || '_vs_Black_' || CAST(g AS VARCHAR) || '_XX_0001' AS stem FROM ok)
+"""
+register("playable_games", _playable, _OK_STEMS + "SELECT stem, stem AS display FROM stems", ("para",))
+register("file_base64", _base64, _OK_STEMS + "SELECT stem, CAST(4 AS BIGINT) AS length, 'SUQzCg==' AS b64 FROM stems",
+         ("para",))
 
 RANDOM_SEED = 42
 
