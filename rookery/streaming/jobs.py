@@ -63,10 +63,14 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
 def daily_activity_stream(spark: SparkSession, events: DataFrame, out: str, checkpoint: str,
                           ts: str = "ts", delay: str = "1 hour") -> None:
     """Events per day on a stream; append mode emits a day once the
-    watermark (max event time - ``delay``) has passed its end; rows older than
-    the watermark are dropped."""
-    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read in the session time zone
-    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    watermark (max event time - ``delay``) has passed its end. Rows behind the
+    previous micro-batch's watermark are dropped (Spark filters late rows with
+    the watermark one batch behind the one that evicts state)."""
+    # watermarks need TIMESTAMP: read a TIMESTAMP_NTZ wall clock as UTC,
+    # whatever the session time zone is
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        events = events.withColumn(
+            ts, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp"))
     counts = (events.withWatermark(ts, delay)
               .groupBy(F.window(ts, "1 day").alias("w"))
               .agg(F.count(F.lit(1)).alias("count"))

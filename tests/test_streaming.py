@@ -24,3 +24,29 @@ def test_ingest_stream_incremental(spark, tmpdir_path):
     assert df.count() == 10
     assert sorted(r.game_id for r in df.where("source = 'second'").collect()) == [1, 2, 3, 4, 5]
     assert df.where("source = 'first' AND game_id = 1").collect()[0].num_moves == 17
+
+
+def test_daily_stream_drops_late_rows(spark, tmpdir_path):
+    import datetime as dt
+    import time
+
+    import pandas as pd
+    src = os.path.join(tmpdir_path, "events")
+    os.makedirs(src)
+    day1 = dt.datetime(2024, 1, 1, 10)
+
+    def write(name, stamps):
+        pd.DataFrame({"ts": stamps}).to_parquet(os.path.join(src, name), coerce_timestamps="us")
+        time.sleep(1.1)   # the file source orders new files by modification time
+    # batch 0: three day-1 events and one at day 2 23:30 -> watermark day 2 22:30
+    write("a.parquet", [day1, day1, day1, dt.datetime(2024, 1, 2, 23, 30)])
+    # batch 1: the watermark has passed day 1, which is emitted with 3 games
+    write("b.parquet", [dt.datetime(2024, 1, 2, 23, 45)])
+    # batch 2: two more day-1 events, behind the watermark -> dropped
+    write("c.parquet", [day1, day1])
+    schema = spark.read.parquet(os.path.join(src, "a.parquet")).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = fresh_path(spark, "t-daily"), fresh_path(spark, "t-daily-ck")
+    jobs.daily_activity_stream(spark, events, out, ck, delay="1 hour")
+    rows = {r.day_start.date(): r["count"] for r in spark.read.parquet(out).collect()}
+    assert rows == {dt.date(2024, 1, 1): 3}     # day 2 is still open
