@@ -144,11 +144,13 @@ def _step(acc: Column, m: Column) -> Column:
 
 
 def _placement(b: Column) -> Column:
-    """FEN piece placement of a 64-character board (a1 first)."""
+    """FEN piece placement of a 64-character board (a1 first). Runs of empty
+    squares become digits, longest first; ranks are joined by '/' so no run
+    crosses a rank, and literal replaces suffice (no regex)."""
     ranks = [F.substr(b, F.lit(r * 8 + 1), F.lit(8)) for r in range(7, -1, -1)]
     s = F.concat_ws("/", *ranks)
     for n in range(8, 0, -1):
-        s = F.regexp_replace(s, r"\." if n == 1 else r"\.{%d}" % n, str(n))
+        s = F.replace(s, F.lit("." * n), F.lit(str(n)))
     return s
 
 
