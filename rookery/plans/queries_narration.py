@@ -68,7 +68,8 @@ ANCHOR_CTE = f"""
 """
 
 register("anchor_word_pos", lambda s, d: nr.anchor_word_pos(_paragraphs(s, d)),
-         ANCHOR_CTE + """SELECT g, CAST(p AS INT) AS p, 0 AS a, valid, fen_idx, word_pos, total_words
+         ANCHOR_CTE + """SELECT g, p, 0 AS a, valid, fen_idx, CAST(word_pos AS BIGINT) AS word_pos,
+                                CAST(total_words AS BIGINT) AS total_words
                          FROM anc""", ("para",))
 register("timed_anchors", lambda s, d: nr.timed_anchors(_paragraphs(s, d), FINAL),
          ANCHOR_CTE + "SELECT * FROM ta", ("para",))
