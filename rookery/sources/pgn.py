@@ -215,7 +215,10 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
     names = ["Event", "Site", "UTCDate", "Date", "White", "Black", "Result", "WhiteElo", "BlackElo",
              "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination",
              "ParquetGameId"]
-    df = (df.withColumn("_tokens", moves).withColumn("_comments", comments)
+    # clocks per ply are read in the JVM; only this small int array (not the
+    # comment text) rides along through the Python move resolver
+    df = (df.withColumn("_tokens", moves)
+          .withColumn("_clk", F.transform(comments, clock_seconds))
           .withColumn("_t", tag_values(F.col("_keys"), F.col("_vals"), names)))
 
     def t(name: str, default: str | None = None) -> Column:
@@ -238,7 +241,7 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
         t("ECO").alias("eco"), t("Opening").alias("opening"),
         t("TimeControl").alias("time_control"), t("Termination").alias("termination"),
         t("ParquetGameId").alias("src_game_id"),
-        "_tokens", "_comments",
+        "_tokens", "_clk",
     )
     if resolve:
         from ..operators.moves import resolve_moves
@@ -249,8 +252,8 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
               .withColumn("num_moves", F.size("_tokens").try_cast("smallint"))
               .withColumn("moves_legal", F.lit(None).cast("boolean")).drop("_tokens"))
     # clocks of the plies that were kept (a cut game has no clocks past the cut)
-    kept = F.slice("_comments", 1, F.col("num_moves").cast("int"))
-    clocks = F.filter(F.transform(kept, clock_seconds), lambda x: x.isNotNull())
+    kept = F.slice("_clk", 1, F.col("num_moves").cast("int"))
+    clocks = F.filter(kept, lambda x: x.isNotNull())
     df = df.withColumn("clock_times", F.array_join(F.transform(clocks, lambda x: x.cast("string")), " "))
     return df.select("source", "game_id", "event", "site", "date", "white", "black", "result", "white_elo",
                      "black_elo", "white_rd", "black_rd", "eco", "opening", "time_control", "termination",
