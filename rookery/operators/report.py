@@ -412,6 +412,9 @@ def run_report_shared(games: DataFrame, parallel: int = 4) -> tuple[dict[str, Da
                 out[name] = fut.result()
             except (PySparkException, ArithmeticError, ValueError) as exc:
                 errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
+    # the results are cached themselves; a lost block is rebuilt from the lineage
+    shared.unpersist()
+    elo.unpersist()
     return out, errors
 
 
