@@ -54,7 +54,8 @@ def apply_conf(spark: SparkSession) -> SparkSession:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    # one process; "local-cluster" has executors of its own
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
