@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, toxicity
+from . import bpe_words, packing, pii, simhash, toxicity
 from .tables import table
 
 
@@ -37,11 +37,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_words.encode_decode(table(spark, sf_dir, "documents"), path, full=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE: dict[str, str] = {}
