@@ -9,12 +9,34 @@ only the two numbers of the convergence test.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import drop_written, written
 
 
+def spanning_forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links (i, j): fewer links than nodes, the same components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    kept = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
 def _signature(links: DataFrame) -> tuple:
     # order-free fingerprint of the link set; decimals cannot overflow
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from .components import connected_components, spanning_forest
 from .tables import written
 
 SEED = 42
@@ -65,27 +65,6 @@ def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links (i, j): as many as nodes at most."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while root.setdefault(top, top) != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    kept = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
 def linked_in(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links between two arrays of signed fingerprints, reduced to a forest."""
     ua, ub = a.view(np.uint64), b.view(np.uint64)
@@ -101,7 +80,7 @@ def linked_in(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[int, in
     i, j = i[ok], j[ok]
     if len(i) <= len(a) + len(b):
         return list(zip(i.tolist(), j.tolist()))
-    return _forest(i, j)
+    return spanning_forest(i, j)
 
 
 def _compare(max_bits: int):
