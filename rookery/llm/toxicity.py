@@ -33,8 +33,12 @@ from .tables import written
 SAMPLE_ROWS = 16_384
 MODEL_WORDS = 1024
 LEAST_EVIDENCE = 20.0
-LEAST_SUPPORT, LEAST_SHARE = 3, 0.005
+LEAST_SUPPORT, LEAST_SHARE = 3, 0.02
 RIDGE = 0.05
+#: A word also counts by its first letters, so that the forms of a stem meet.
+STEMS = (3, 4, 5, 6)
+#: Words and stems whose counts a task holds before it hands them on.
+HELD_COUNTS = 500_000
 #: Decoded tokens that a task remembers before it starts anew.
 HELD_WORDS = 300_000
 
@@ -118,7 +122,7 @@ class Decoder:
     """Restores disguised words by a Viterbi search under a character model."""
 
     def __init__(self, grams: dict[str, int], only: set[str] | None = None):
-        """``only``: the words that are asked for; readings without any of them are dropped."""
+        """``only``: the features that are asked for; words that cannot have one are dropped."""
         self.only = only
         pairs: Counter = Counter()
         singles: Counter = Counter()
@@ -202,7 +206,7 @@ class Decoder:
         if (known := self.words.get(token)) is None:
             known = self._restore(token)
             if self.only is not None:
-                known = tuple(w for w in known if w in self.only)
+                known = tuple(w for w in known if w in self.only or any(w[:k] + mark in self.only for k in STEMS if len(w) > k for mark in ("*", "**")))
             if len(self.words) > HELD_WORDS:
                 self.words.clear()
             if len(token) <= 64:
@@ -242,6 +246,12 @@ class Decoder:
         return out
 
 
+def features(words: set[str]) -> set[str]:
+    """What a text is scored by: its words, their stems (``stem*``) and stems of two of them or more (``stem**``)."""
+    stems = Counter(w[:k] + "*" for w in words for k in STEMS if len(w) > k)
+    return words | stems.keys() | {s + "*" for s, n in stems.items() if n > 1}
+
+
 @dataclass
 class Model:
     bias: float
@@ -249,7 +259,7 @@ class Model:
     grams: dict[str, int] = field(default_factory=dict)
 
     def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[w] for w in words & self.weights.keys())
+        z = self.bias + sum(self.weights[f] for f in features(words) & self.weights.keys())
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -258,7 +268,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _fit(rows: list[tuple[tuple[int, ...], int, int]], width: int) -> tuple[float, np.ndarray]:
+def _fit(rows: list[tuple[tuple[int, ...], int, float]], width: int) -> tuple[float, np.ndarray]:
     """Ridge logistic regression on (word numbers, toxic, how often) by Newton steps."""
     x = np.zeros((len(rows), width + 1))
     x[:, -1] = 1
@@ -284,8 +294,8 @@ def _fit(rows: list[tuple[tuple[int, ...], int, int]], width: int) -> tuple[floa
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows that are not held out.
 
-    Word counts by label cover all of those rows; the words with most evidence
-    (at most ``MODEL_WORDS``) make up the model. Their weights are fitted on the
+    Counts of words and stems by label cover all of those rows; the ones with
+    most evidence (at most ``MODEL_WORDS``) make up the model. Their weights are fitted on the
     ``SAMPLE_ROWS`` rows that come first by the hash of their doc_id. A document
     with several labels counts as toxic if one of them says so; null labels and
     null ids are left out. Without labelled rows the bias stands for the share
@@ -309,8 +319,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = toxic / n if n else 0.0
     if not 0 < share < 1:
         return Model(-30.0 if share == 0 else 30.0, {}, grams)
-    words = rows.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(
-        F.sum("toxic").alias("a"), (F.count(F.lit(1)) - F.sum("toxic")).alias("b"))
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def handed_on() -> pa.RecordBatch:
+            names = sorted(held[0].keys() | held[1].keys())
+            cols = [pa.array([c[w] for w in names], pa.int64()) for c in (held[1], held[0])]
+            held[0].clear()
+            held[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *cols], names=["word", "a", "b"])
+
+        for batch in batches:
+            for ws, y in zip(batch.column(0), batch.column(1)):
+                held[1 if y.as_py() else 0].update(features(set(ws.as_py())))
+                if len(held[0]) + len(held[1]) > HELD_COUNTS:
+                    yield handed_on()
+        yield handed_on()
+
+    words = (rows.select("words", "toxic").mapInArrow(counts, "word string, a long, b long")
+             .groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     a, b = F.col("a"), F.col("b")
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * share))).otherwise(0.0)
     top = (words.where(a >= max(LEAST_SUPPORT, LEAST_SHARE * toxic)).where(a * (n - toxic) > b * toxic)
@@ -320,12 +347,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [",".join(str(i) for i in sorted(vocabulary[w] for w in ws.as_py() if w in vocabulary)) for ws in batch.column(0)]
+            found = [",".join(str(i) for i in sorted(vocabulary[f] for f in features(set(ws.as_py())) if f in vocabulary)) for ws in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(1)], names=["found", "toxic"])
 
     sample = (rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("words", "toxic")
               .mapInArrow(numbers, "found string, toxic int").groupBy("found", "toxic").count().collect())
     fit_rows = sorted((tuple(int(i) for i in r.found.split(",") if i), r.toxic, r["count"]) for r in sample)
+    # a word that always comes with others would learn nothing: each counts by itself once more
+    alone: Counter = Counter()
+    whole = {i for w, i in vocabulary.items() if not w.endswith("*")}
+    for found, y, n in fit_rows:
+        for i in whole.intersection(found):
+            alone[(i,), y] += n / len(found)
+    fit_rows += [(found, y, n) for (found, y), n in sorted(alone.items())]
     bias, weights = _fit(fit_rows, len(vocabulary))
     return Model(bias, {w: float(weights[i]) for w, i in vocabulary.items()}, grams)
 
