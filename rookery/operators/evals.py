@@ -19,7 +19,6 @@ from ..functions.exprs import (FINAL_PLIES, MATE_SCORE, OPENING_MOVES, START_FEN
                                effective_cp, move_number, move_quality, ply_color,
                                position_key, win_probability)
 
-MAX_EVAL_PLIES = 300      # plies per game the bulk evaluation covers
 TURNING_SKIP = 5          # first plies never count as turning point / worst error
 TOP_MISTAKES = 5
 
@@ -54,10 +53,12 @@ def phase_tag(move_no: Column | str, ply: Column | str, n: Column | str) -> Colu
             .otherwise(F.lit("")))
 
 
-# Bulk evaluation row per ply (the first 300 plies)
-def ply_evaluations(plies: DataFrame, start_cp: int = 0, max_plies: int = MAX_EVAL_PLIES) -> DataFrame:
+# Bulk evaluation row per ply; all plies unless a bound is asked for
+def ply_evaluations(plies: DataFrame, start_cp: int = 0, max_plies: int | None = None) -> DataFrame:
     w = _by_game()
-    df = plies.where(F.col("ply") < max_plies).withColumn("eval_after", effective_cp("cp", "mate"))
+    if max_plies is not None:
+        plies = plies.where(F.col("ply") < max_plies)
+    df = plies.withColumn("eval_after", effective_cp("cp", "mate"))
     df = df.withColumn("eval_before", F.coalesce(F.lag("eval_after").over(w), F.lit(start_cp)))
     signed = F.when(F.col("ply") % 2 == 0, F.col("eval_after") - F.col("eval_before")) \
         .otherwise(F.col("eval_before") - F.col("eval_after"))

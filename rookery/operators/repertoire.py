@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
 
 # First-move groups (UCI -> label, White's view). Black's label is
 # "vs " + White's. Any other first move falls into the 'other' group.
@@ -143,9 +142,7 @@ def eco_label_table(games: DataFrame) -> DataFrame:
         F.min_by("opening", F.struct(-F.col("n"), F.col("opening"))).alias("eco_name"))
 
 
-def label_leaves(leaf: DataFrame, labels: DataFrame, max_broadcast_rows: int = 200_000) -> DataFrame:
-    """Left join leaves with the label table; broadcast only after its row count
-    was checked, else a shuffle join."""
-    small, _ = broadcast_if_small(labels, max_broadcast_rows)
-    return (leaf.join(small, "eco3", "left")
+def label_leaves(leaf: DataFrame, labels: DataFrame) -> DataFrame:
+    """Left join leaves with the label table; the planner chooses how."""
+    return (leaf.join(labels, "eco3", "left")
             .withColumn("eco_name", F.coalesce(F.col("eco_name"), F.col("eco3"))))

@@ -9,6 +9,9 @@ each bucket its offset within the key. The result equals the plain window.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +36,12 @@ def running_sum(df: DataFrame, keys: list[str], order_col: str, value: str | Non
     totals = b.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    return (b.join(offsets, [*keys, "_b"])
+    # a NULL key or order value is a key like any other
+    offsets = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*keys, "_b"])], "_off")
+    same = [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate([*keys, "_b"])]
+    return (b.join(offsets, reduce(and_, same))
             .withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_b", "_v", "_in", "_off"))
+            .drop("_b", "_v", "_in", "_off", *[f"_o{i}" for i in range(len(keys) + 1)]))
 
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, width: int = DEFAULT_WIDTH,

@@ -29,7 +29,7 @@ DIFF_CTE = f"""
 """
 
 EVAL_CTE = f"""
-, a AS (SELECT *, {EFF} AS eval_after FROM plies WHERE ply < 300)
+, a AS (SELECT *, {EFF} AS eval_after FROM plies)
 , b AS (SELECT *, COALESCE(LAG(eval_after) OVER (PARTITION BY game_id ORDER BY ply), 0) AS eval_before FROM a)
 , c AS (SELECT *, CASE WHEN ply % 2 = 0 THEN eval_after - eval_before ELSE eval_before - eval_after END
                   AS signed_change FROM b)

@@ -32,10 +32,10 @@ register("games_write_roundtrip", _roundtrip, f"SELECT {GAME_COLS} FROM games",
 
 def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = fresh_path(spark, "games-parts")
-    # many unordered parts, as a batch conversion leaves them
-    files.write_games(td.games(spark, sf_dir).repartition(16), parts)
+    # unordered parts, as a batch conversion leaves them
+    files.write_games(td.games(spark, sf_dir).repartition("white"), parts)
     out = fresh_path(spark, "games-compact")
-    files.compact_games(spark, parts, out, files=4)
+    files.compact_games(spark, parts, out, remove_parts=True)
     return spark.read.schema(files.GAMES_SCHEMA).parquet(out)
 
 
@@ -47,9 +47,8 @@ SOURCE = r"regexp_replace(lower(event), '[^a-z0-9]+', '_', 'g')"
 def _folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "converted")
     files.convert_folder(spark, corpus.games_corpus(spark, sf_dir), out, glob=None)
-    conv = spark.read.parquet(out)
-    return conv.groupBy("source").agg(F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_id"),
-                                      F.max("game_id").alias("last_id"))
+    return files.read_games(spark, out).groupBy("source").agg(
+        F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_id"), F.max("game_id").alias("last_id"))
 
 
 register("pgn_folder_scan", _folder_scan, f"""
@@ -57,25 +56,33 @@ SELECT {SOURCE} AS source, COUNT(*) AS games, 1 AS first_id, CAST(COUNT(*) AS IN
 FROM games GROUP BY 1""", ("games",))
 
 
-def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _earlier_batch(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A folder of sources, and a target that an earlier batch filled with two of them."""
     src = corpus.games_corpus(spark, sf_dir)
     out = fresh_path(spark, "converted-part")
-    # an earlier batch converted two of the four sources
-    parsed = files.pgn.parse_games(files.pgn.scan_pgn(
-        spark, [f"{src}/source=rated_game_0", f"{src}/source=rated_game_1"], glob=None, base_path=src))
-    (parsed.select("source", *files.GAME_COLUMNS).write.mode("overwrite")
-     .partitionBy("source").parquet(out))
+    files.convert_sources(spark, src, out, ["rated_game_0", "rated_game_1"], glob=None)
+    return src, out
+
+
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, out = _earlier_batch(spark, sf_dir)
     # the part-file count and the times depend on the writer, not on the data
     return files.files_to_process(spark, src, out, glob=None).select("source", "status")
 
 
+def _outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, out = _earlier_batch(spark, sf_dir)
+    return files.batch_status(files.convert_folder(spark, src, out, glob=None))
+
+
 _FRESH_SQL = f"""
 SELECT DISTINCT {SOURCE} AS source,
        CASE WHEN {SOURCE} IN ('rated_game_0', 'rated_game_1') THEN 'skip' ELSE 'convert' END AS status
 FROM games"""
 register("files_to_process", _freshness, _FRESH_SQL, ("games",))
-register("batch_status", lambda s, d: files.batch_status(_freshness(s, d)),
-         f"SELECT status, COUNT(*) AS count FROM ({_FRESH_SQL}) GROUP BY status", ("games",))
+register("batch_status", _outcome,
+         f"""SELECT CASE status WHEN 'skip' THEN 'skipped' ELSE 'converted' END AS status, COUNT(*) AS count
+             FROM ({_FRESH_SQL}) GROUP BY status""", ("games",))
 
 
 def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:

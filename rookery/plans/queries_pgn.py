@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pgn_render import render_annotated
-from ..sources import corpus
+from ..sources import corpus, files
 from ..sources import pgn
 from ..sources import testdata as td
 from .catalog import register
@@ -21,17 +21,16 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pgn.scan_pgn(spark, corpus.games_corpus(spark, sf_dir), glob=None)
 
 
-def _parsed(spark: SparkSession, sf_dir: str, resolve: bool = True) -> DataFrame:
-    """Parsed games. Queries that use no move columns skip the move resolver:
-    it runs in Python workers, so the optimizer cannot prune it away."""
-    return (pgn.parse_games(_raw(spark, sf_dir), resolve=resolve)
-            .withColumn("src_game_id", F.col("src_game_id").cast("int")))
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed games, narrowed like the games table."""
+    return files.conform(pgn.parse_games(_raw(spark, sf_dir)), ("source", "src_game_id")) \
+        .withColumn("src_game_id", F.col("src_game_id").cast("int"))
 
 
 register("pgn_scan", lambda s, d: _raw(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("games")),
          f"SELECT {SOURCE} AS source, COUNT(*) AS games FROM games GROUP BY 1", ("games",))
 
-register("pgn_game_ids", lambda s, d: _parsed(s, d, False).select("source", "game_id", "src_game_id"), f"""
+register("pgn_game_ids", lambda s, d: _parsed(s, d).select("source", "game_id", "src_game_id"), f"""
 SELECT source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY game_id) AS INT) AS game_id,
        game_id AS src_game_id
 FROM (SELECT *, {SOURCE} AS source FROM games)""", ("games",))
@@ -39,7 +38,7 @@ FROM (SELECT *, {SOURCE} AS source FROM games)""", ("games",))
 HEADER_COLS = ["event", "site", "date", "white", "black", "result", "white_elo", "black_elo", "white_rd",
                "black_rd", "eco", "opening", "time_control", "termination"]
 
-register("pgn_headers", lambda s, d: _parsed(s, d, False).select("src_game_id", *HEADER_COLS),
+register("pgn_headers", lambda s, d: _parsed(s, d).select("src_game_id", *HEADER_COLS),
          f"SELECT game_id AS src_game_id, {', '.join(HEADER_COLS)} FROM games", ("games",))
 
 register("pgn_clocks", lambda s, d: _parsed(s, d).select("src_game_id", "clock_times"), f"""
@@ -49,25 +48,13 @@ SELECT game_id AS src_game_id,
          AS clock_times
 FROM games""", ("games",))
 
-register("pgn_plies", lambda s, d: _parsed(s, d).select("src_game_id", "num_moves", "moves_uci", "moves_legal"),
-         f"""SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_uci,
-                    true AS moves_legal FROM games""", ("games",))
+register("pgn_plies", lambda s, d: _parsed(s, d).select("src_game_id", "num_moves", "moves_uci"),
+         f"""SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_uci FROM games""",
+         ("games",))
 
 
-def _san_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = pgn.scan_pgn(spark, corpus.san_corpus(spark, sf_dir), glob=None)
-    return (pgn.parse_games(raw, notation="san")
-            .select(F.col("src_game_id").cast("int").alias("src_game_id"), "num_moves", "moves_uci",
-                    "moves_legal"))
-
-
-# SAN movetext -> legal UCI plies; every game is cut at its illegal move.
-register("pgn_san_resolve", _san_resolve, f"""
-SELECT game_id AS src_game_id, CAST({N_TOKENS} AS SMALLINT) AS num_moves, moves_uci,
-       moves_uci = '' AS moves_legal FROM games""", ("games",))
-
 register("games_limit",
-         lambda s, d: _parsed(s, d, False).where(F.col("game_id") <= GAMES_LIMIT).select("source", "game_id",
+         lambda s, d: _parsed(s, d).where(F.col("game_id") <= GAMES_LIMIT).select("source", "game_id",
                                                                                  "src_game_id"), f"""
 SELECT * FROM (
   SELECT source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY game_id) AS INT) AS game_id,
@@ -148,11 +135,3 @@ def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("pgn_append_new", _append_new,
          f"SELECT game_id FROM games WHERE {SOURCE} != 'rated_game_0'", ("games",))
 
-
-def _board_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.moves import board_positions
-    return board_positions(td.games(spark, sf_dir).where(F.col("moves_uci") != ""))
-
-
-# FEN after every ply, replayed in the JVM (no SQL oracle: DuckDB has no board).
-register("board_positions", _board_positions)

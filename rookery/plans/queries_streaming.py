@@ -17,26 +17,38 @@ SOURCE = r"regexp_replace(lower(event), '[^a-z0-9]+', '_', 'g')"
 
 def _ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ck = fresh_path(spark, "ingest"), fresh_path(spark, "ingest-ck")
-    jobs.ingest_stream(spark, corpus.games_corpus(spark, sf_dir), out, ck, glob=None, partitioned_source=True)
+    folder = corpus.games_corpus(spark, sf_dir)
+    # some files a batch, so that the sources' numbers go on over several batches
+    jobs.ingest_stream(spark, folder, out, ck, glob=None, partitioned_source=True, max_files_per_trigger=3)
     # a second run finds nothing new and adds no batch
-    jobs.ingest_stream(spark, corpus.games_corpus(spark, sf_dir), out, ck, glob=None, partitioned_source=True)
-    g = spark.read.parquet(out)
-    return g.groupBy("source").agg(F.count(F.lit(1)).alias("games"),
-                                   F.countDistinct("src_game_id").alias("distinct_ids"))
+    jobs.ingest_stream(spark, folder, out, ck, glob=None, partitioned_source=True)
+    g = spark.read.parquet(f"{out}/games")
+    return g.groupBy("source").agg(F.count(F.lit(1)).alias("games"), F.countDistinct("src_game_id").alias("distinct_ids"),
+                                   F.countDistinct("game_id").alias("numbers"), F.max("game_id").alias("last_id"))
 
 
 register("ingest_stream", _ingest, f"""
-SELECT {SOURCE} AS source, COUNT(*) AS games, COUNT(*) AS distinct_ids FROM games GROUP BY 1""", ("games",))
+SELECT {SOURCE} AS source, COUNT(*) AS games, COUNT(*) AS distinct_ids, COUNT(*) AS numbers, COUNT(*) AS last_id
+FROM games GROUP BY 1""", ("games",))
 
 DELAY_HOURS = 1
 
 
+def _in_thirds(table: DataFrame, column: str) -> list[DataFrame]:
+    """The table as three parts in the order of a time column."""
+    t = F.unix_timestamp(F.col(column).cast("timestamp"))
+    low, high = table.agg(F.min(t), F.max(t)).first()
+    third = F.least(F.floor((t - low) * 3 / max(high - low, 1)), F.lit(2))
+    return [table.where(third == k) for k in range(3)]
+
+
 def _daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = td.table(spark, sf_dir, "events").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .parquet(sf_dir).select("ts"))
-    out, ck = fresh_path(spark, "daily"), fresh_path(spark, "daily-ck")
-    jobs.daily_activity_stream(spark, events, out, ck, delay=f"{DELAY_HOURS} hour")
+    table = td.table(spark, sf_dir, "events").select("ts")
+    folder, out, ck = fresh_path(spark, "events-in"), fresh_path(spark, "daily"), fresh_path(spark, "daily-ck")
+    for part in _in_thirds(table, "ts"):  # the stream runs again as data arrive
+        part.write.mode("append").parquet(folder)
+        events = spark.readStream.schema(table.schema).parquet(folder)
+        jobs.daily_activity_stream(spark, events, out, ck, delay=f"{DELAY_HOURS} hour")
     return spark.read.parquet(out).select("day_start", "count")
 
 
@@ -48,12 +60,12 @@ HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) -
 
 
 def _results_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = td.table(spark, sf_dir, "orders").schema
-    orders = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    games = spark.sql(td.GAMES_SQL, orders=orders)
-    out, ck = fresh_path(spark, "results"), fresh_path(spark, "results-ck")
-    jobs.results_stream(spark, games, out, ck)
+    table = td.table(spark, sf_dir, "orders")
+    folder, out, ck = fresh_path(spark, "orders-in"), fresh_path(spark, "results"), fresh_path(spark, "results-ck")
+    for part in _in_thirds(table, "o_orderdate"):  # every result is updated in every run
+        part.write.mode("append").parquet(folder)
+        orders = spark.readStream.schema(table.schema).parquet(folder)
+        jobs.results_stream(spark, spark.sql(td.GAMES_SQL, orders=orders), out, ck)
     return jobs.latest_per_key(spark, out, "result")
 
 

@@ -96,7 +96,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system, so it works for any scheme."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, jpath = _file_system(spark, path)
     return bool(fs.exists(jpath))
+
+
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder."""
+    fs, jpath = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(jpath)]
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders, through the Hadoop file system."""
+    for path in paths:
+        fs, jpath = _file_system(spark, path)
+        fs.delete(jpath, True)

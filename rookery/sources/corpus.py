@@ -47,7 +47,8 @@ def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
 
 
 def _path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    h = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:10]
+    # by application as well: two that share the folder do not meet
+    h = hashlib.sha1("|".join(_key(spark, sf_dir, kind)).encode()).hexdigest()[:16]
     return work_path(spark, "pgn", f"{kind}-{h}")
 
 
@@ -61,34 +62,28 @@ def _build(spark: SparkSession, sf_dir: str, kind: str, write) -> str:
     return path
 
 
-def games_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """All games rendered to PGN, one source per event title."""
-    def write(path: str) -> None:
-        games = in_file_order(td.games(spark, sf_dir).withColumn("source", source_name("event")))
-        write_pgn(render_games(games, keep=("source",)), path)
-    return _build(spark, sf_dir, "games", write)
+# Eight side lines in one another, with a comment that holds brackets.
+SIDE_LINES = "(1. a3 {say (\"no\")} " * 8 + "1... a6" + ")" * 8
 
 
-# A syntactically valid move no piece can make early in a game, then one more
-# token: a reader must stop at the first and ignore the rest.
-ILLEGAL_TAIL = "Rxe6 e4"
+def varied(pgn: DataFrame) -> DataFrame:
+    """The sources as different writers leave them: one with CRLF line ends, one
+    with deeply nested side lines, one without blank lines between games."""
+    text, source = F.col("pgn"), F.col("source")
+    tags, moves = F.substring_index(text, "\n\n", 1), F.substring_index(text, "\n\n", -1)
+    first = r"^(1\. \S+(?: \{[^}]*\})?)"
+    deep = F.concat(tags, F.lit("\n\n"), F.regexp_replace(moves, first, f"$1 {SIDE_LINES}"))
+    return pgn.withColumn("pgn", F.when(source.endswith("1"), F.regexp_replace(text, "\n", "\r\n"))
+                          .when(source.endswith("2"), deep)
+                          .when(source.endswith("3"), F.regexp_replace(text, r"\n+$", "")).otherwise(text))
 
 
-def san_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """All games with SAN movetext (converted from UCI by replaying them), each
-    game with moves followed by an illegal move."""
+def games_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """All games rendered to PGN, one source per event title, each in a layout of its own."""
     def write(path: str) -> None:
-        from ..operators.moves import resolve_moves
-        # order first (on the narrow table): range sampling must not run the Python
-        # resolver; mapInPandas keeps the row order of each partition
-        games = in_file_order(td.games(spark, sf_dir).withColumn("source", F.lit("san")))
-        games = games.withColumn("_tokens", F.filter(F.split("moves_uci", " "), lambda x: x != ""))
-        san = resolve_moves(games.withColumnRenamed("moves_uci", "_uci"), "_tokens", "uci", with_san=True)
-        san = san.withColumn("san_text", F.when(F.col("moves_san") != "",
-                                                F.concat_ws(" ", "moves_san", F.lit(ILLEGAL_TAIL)))
-                             .otherwise(F.lit("")))
-        write_pgn(render_games(san, keep=("source",), moves_col="san_text"), path)
-    return _build(spark, sf_dir, "san", write)
+        games = in_file_order(td.games(spark, sf_dir).withColumn("source", source_name("event")))
+        write_pgn(varied(render_games(games, keep=("source",))), path)
+    return _build(spark, sf_dir, "games", write)
 
 
 def annotated_corpus(spark: SparkSession, sf_dir: str) -> str:

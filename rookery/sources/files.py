@@ -7,10 +7,13 @@ metadata is read; the content is read only where it is the output (A22).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import child_names, delete_paths, path_exists
 from . import pgn
 
 # Fixed schema of the games table.
@@ -28,46 +31,103 @@ GAMES_SCHEMA = T.StructType([
 GAME_COLUMNS = [f.name for f in GAMES_SCHEMA.fields]
 
 
-def conform(games: DataFrame) -> DataFrame:
-    """Cast to the fixed schema (values outside SMALLINT become 0, not an error)."""
-    cols = []
-    for f in GAMES_SCHEMA.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.ShortType):
-            c = F.coalesce(c.try_cast("smallint"), F.lit(0).cast("smallint"))
-        else:
-            c = c.cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return games.select(*cols)
+def _narrowed(name: str, kind: T.DataType) -> Column:
+    """A column in the type of the fixed schema; a number that does not fit fails the write."""
+    c = F.col(name)
+    bits = {"smallint": 15, "int": 31}.get(kind.simpleString())
+    if bits is None:
+        return c.cast(kind)
+    fits = c.cast("long").between(-(1 << bits), (1 << bits) - 1)
+    bad = F.raise_error(F.concat(F.lit(f"{name} does not fit {kind.simpleString()}: "), c.cast("string")))
+    value = F.when(fits | c.isNull(), c).otherwise(bad.cast("long")).cast(kind)
+    return F.coalesce(value, F.lit(0).cast(kind)) if bits == 15 else value
+
+
+def conform(games: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cast to the fixed schema, behind the columns named in ``keep``. Missing
+    ratings and counts are 0; numbers out of range are an error."""
+    return games.select(*keep, *[_narrowed(f.name, f.dataType).alias(f.name) for f in GAMES_SCHEMA.fields])
 
 
 def write_games(games: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
-    """Games with the fixed schema, snappy Parquet."""
-    df = conform(games) if not partition_by else conform(games).join(
-        games.select("game_id", *partition_by), "game_id")
-    w = df.write.mode(mode).option("compression", "snappy")
+    """Games with the fixed schema, snappy Parquet. ``partition_by`` names
+    further columns of ``games``, which become folders."""
+    extra = tuple(c for c in partition_by or () if c not in GAME_COLUMNS)
+    w = conform(games, extra).write.mode(mode).option("compression", "snappy")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
-def compact_games(spark: SparkSession, src: str, dst: str, files: int | None = None) -> None:
+def read_games(spark: SparkSession, path: str, view: str | None = None) -> DataFrame:
+    """A games table, partitioned by source or not, and on request a SQL
+    view of it. The schema is given, so no file is opened before it is read."""
+    partitioned = any(name.startswith("source=") for name in child_names(spark, path))
+    schema = T.StructType([*GAMES_SCHEMA.fields, T.StructField("source", T.StringType())]) if partitioned else GAMES_SCHEMA
+    df = spark.read.schema(schema).parquet(path)
+    if view:
+        df.createOrReplaceTempView(view)
+    return df
+
+
+def compact_games(spark: SparkSession, src: str, dst: str, files: int | None = None,
+                  remove_parts: bool = False) -> None:
     """Merge part files into range-ordered files by game id (no single-file
-    funnel: ``files`` output files, each a contiguous id range, sorted)."""
-    df = spark.read.schema(GAMES_SCHEMA).parquet(src)
+    funnel: each output file is a contiguous id range, sorted). The number of
+    files follows the data unless ``files`` is given. Only the parts listed when
+    the job starts are read; with ``remove_parts`` exactly those are deleted once
+    the result is complete, so parts that arrive meanwhile, and parts of an
+    unfinished write, are left alone."""
+    parts = [r.path for r in list_files(spark, src, "*.parquet").select("path").distinct().collect()]
+    df = spark.read.schema(GAMES_SCHEMA).parquet(*parts)
     df = df.repartitionByRange(files, "game_id") if files else df.repartitionByRange("game_id")
     df.sortWithinPartitions("game_id").write.mode("overwrite").option("compression", "snappy").parquet(dst)
+    if remove_parts:
+        delete_paths(spark, parts)
 
 
-def convert_folder(spark: SparkSession, folder: str, out: str, glob: str | None = pgn.DEFAULT_GLOB) -> None:
-    """A10: every PGN file (or ``source=`` folder) of ``folder`` -> games Parquet
-    partitioned by source, in one job."""
-    parsed = pgn.parse_games(pgn.scan_pgn(spark, folder, glob=glob))
-    (parsed.select("source", *GAME_COLUMNS).write.mode("overwrite").option("compression", "snappy")
+def convert_sources(spark: SparkSession, folder: str, out: str, sources: list[str],
+                    glob: str | None = pgn.DEFAULT_GLOB) -> None:
+    """Convert the named sources of ``folder`` into their own partitions of
+    ``out``; other partitions are not touched."""
+    raw = pgn.scan_pgn(spark, folder, glob=glob).where(F.col("source").isin(sources))
+    games = conform(pgn.parse_games(raw), ("source",))
+    (games.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
      .partitionBy("source").parquet(out))
 
 
+def convert_folder(spark: SparkSession, folder: str, out: str, glob: str | None = pgn.DEFAULT_GLOB,
+                   force: bool = False, together: int = 64) -> DataFrame:
+    """Convert what needs it and say what became of every source.
+
+    Sources whose target is up to date are skipped and stay as they are. The
+    others are converted ``together`` at a time, in one job; if a job fails, its
+    sources are tried one by one, so that a bad one does not end the batch.
+    Returns ``(source, status, error)`` with status converted, skipped or
+    failed. The list of sources, one name per input file, is held by the driver.
+    """
+    target = out if path_exists(spark, out) else None
+    plan = files_to_process(spark, folder, target, glob, force).orderBy("source").collect()
+    rows = [(r.source, "skipped", None) for r in plan if r.status == "skip"]
+    todo = [r.source for r in plan if r.status == "convert"]
+
+    def attempt(names: list[str]) -> None:
+        try:
+            convert_sources(spark, folder, out, names, glob)
+            rows.extend((n, "converted", None) for n in names)
+        except (PySparkException, Py4JError) as exc:
+            if len(names) > 1:
+                for n in names:
+                    attempt([n])
+            else:
+                rows.append((names[0], "failed", str(exc).splitlines()[0][:300]))
+
+    for at in range(0, len(todo), together):
+        attempt(todo[at:at + together])
+    return spark.createDataFrame(rows, "source string, status string, error string")
+
+
 def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
     """``(path, modificationTime, length, stem, source)`` of the files under
     ``folder`` (recursive). ``source`` is a ``source=`` / ``stem=`` folder
@@ -100,9 +160,9 @@ def files_to_process(spark: SparkSession, src_folder: str, target_folder: str |
                     F.when(need, F.lit("convert")).otherwise(F.lit("skip")).alias("status"))
 
 
-def batch_status(plan: DataFrame) -> DataFrame:
-    """Outcome counts of a batch."""
-    return plan.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+def batch_status(outcome: DataFrame) -> DataFrame:
+    """Outcome counts of a batch (``convert_folder``'s rows)."""
+    return outcome.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
 def playable_games(spark: SparkSession, docs_dir: str, audio_dir: str,

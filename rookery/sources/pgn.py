@@ -1,13 +1,19 @@
 """PGN text as a Spark source: scan, game numbering, tags, movetext, clocks, evals.
 
-``scan_pgn`` reads one game per record with the text source, splitting on the
-blank line before ``[Event `` (Hadoop's record reader keeps records whole across
-split boundaries, so a huge file is parsed by many tasks). Everything after the
-scan is built-in column expressions: no Python worker touches the text.
+``scan_pgn`` reads one game per record with the text source, splitting where a
+line starts with ``[Event `` (Hadoop's record reader keeps records whole across
+split boundaries, so a huge file is parsed by many tasks). One separator serves
+LF and CRLF files and files without blank lines between games. Everything after
+the scan is built-in column expressions: no Python worker touches the text.
 
 Game numbers follow file order within a source without a global sort: every
 split counts its games (a tiny aggregate), a running sum over the splits gives
-each split's offset, and a game's number is offset + position in its split.
+each split's offset, and a game's number is offset + position in its split. The
+running sum orders the splits of one source in one task: 100 TB in splits of
+128 MB are about 800,000 rows of a few bytes.
+
+Moves are the mainline tokens as they are written (SAN or UCI); whether they are
+legal is not checked, which would take a chess engine's move generator.
 """
 
 from __future__ import annotations
@@ -16,29 +22,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import let
-from ..operators.joins import broadcast_if_small
 
 # Python-chess fills the seven-tag roster with these when a tag is
 # missing; all other tags default to ''.
 ROSTER_DEFAULTS = {"Event": "?", "Site": "?", "Date": "????.??.??", "Round": "?",
                    "White": "?", "Black": "?", "Result": "*"}
-GAME_SEP = "\n\n[Event "
-GAME_SEP_CRLF = "\r\n\r\n[Event "
+GAME_SEP = "\n[Event "
 DEFAULT_GLOB = "*.[pP][gG][nN]"
-MAX_SPLIT_BROADCAST_ROWS = 2_000_000   # ~80 MB of split offsets
-VARIATION_DEPTH = 6       # nesting depth of (...) side lines that is removed
 
 _TAG_RE = r'(?m)^\[([A-Za-z0-9_]+)\s+"(.*)"\][ \t]*$'
 _MOVE_AND_COMMENT = r"([^\s{}]+)(?:\s*\{([^}]*)\})?"
 
 
 def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFAULT_GLOB,
-             crlf: bool = False, recursive: bool = False, base_path: str | None = None) -> DataFrame:
+             recursive: bool = False, base_path: str | None = None) -> DataFrame:
     """Raw games: ``(source, file_path, block_start, _row, text)``.
 
     ``source`` is a ``source=`` partition folder when the layout has one, else
     the file name without extension. ``_row`` orders games within a split."""
-    reader = spark.read.option("lineSep", GAME_SEP_CRLF if crlf else GAME_SEP)
+    reader = spark.read.option("lineSep", GAME_SEP)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
@@ -48,32 +50,37 @@ def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFA
     raw = reader.text(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     source = F.col("source").cast("string") if "source" in raw.columns else stem
-    df = (raw.where(F.trim(F.col("value")) != "")
+    # what stands in front of the first game (a byte order mark, blank lines) is no game
+    df = (raw.where(has_game("value"))
           .select(source.alias("source"), F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("block_start"),
                   F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text")))
     return restore_game_text(df)
 
 
+def has_game(value: str) -> Column:
+    """Whether a record of the scan holds more than a byte order mark and blanks."""
+    return F.regexp_replace(F.left(F.col(value), F.lit(4096)), "[\\x{FEFF}\\s]+", "") != ""
+
+
 def restore_game_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """Undo the record split: LF line ends, no BOM / leading blank lines, and
-    the ``[Event `` the separator consumed. One projection per stage, so the
-    stages are not evaluated twice."""
-    df = df.withColumn(text, F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"),
-                                              "^[\\x{FEFF}\\s]+", ""))
+    """Undo the record split: invalid bytes replaced, LF line ends, no BOM or
+    blank lines in front, and the ``[Event `` the separator consumed. One
+    projection per stage, so the stages are not evaluated twice."""
+    df = df.withColumn(text, F.regexp_replace(F.make_valid_utf8(F.col(text)), "\r\n?", "\n"))
+    df = df.withColumn(text, F.regexp_replace(F.col(text), "^[\\x{FEFF}\\s]+", ""))
     t = F.col(text)
     return df.withColumn(text, F.when(t.startswith("[Event "), t).otherwise(F.concat(F.lit("[Event "), t)))
 
 
-def number_games(raw: DataFrame, max_broadcast_rows: int = MAX_SPLIT_BROADCAST_ROWS) -> DataFrame:
-    """A5: 1-based game number in file order within each source.
+def number_games(raw: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """A5: 1-based game number (LONG) in file order within each source.
 
     Rows of one split are consecutive within one task, so the position inside
     the split is ``_row - min(_row)``. The per-split table has one row per file
-    split (100 TB in 128 MB splits is ~800k rows); it is keyed by two
-    independent hashes of the file path instead of the path itself, so a row
-    costs ~40 bytes on the broadcast. Past the row limit it is joined by
-    shuffle instead."""
+    split, keyed by two independent hashes of the file path instead of the path
+    itself; how it is joined is left to the adaptive planner. ``first``
+    ``(source, last_id)`` holds the numbers already given, which go on."""
     keyed = raw.withColumn("_f1", F.xxhash64("file_path")).withColumn("_f2", F.hash("file_path"))
     keys = ["source", "_f1", "_f2", "block_start"]
     splits = keyed.groupBy("source", "file_path", "_f1", "_f2", "block_start").agg(
@@ -81,20 +88,22 @@ def number_games(raw: DataFrame, max_broadcast_rows: int = MAX_SPLIT_BROADCAST_R
     before = Window.partitionBy("source").orderBy("file_path", "block_start") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(*keys, "_r0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    small, _ = broadcast_if_small(offsets, max_broadcast_rows)
-    j = keyed.join(small, keys)
-    return j.withColumn("game_id", (F.col("_offset") + F.col("_row") - F.col("_r0") + 1).cast("int")) \
-        .drop("_offset", "_r0", "_f1", "_f2")
+    if first is not None:
+        offsets = offsets.join(first, "source", "left").withColumn(
+            "_offset", F.col("_offset") + F.coalesce("last_id", F.lit(0))).drop("last_id")
+    return (keyed.join(offsets, keys)
+            .withColumn("game_id", (F.col("_offset") + F.col("_row") - F.col("_r0") + 1).cast("long"))
+            .drop("_offset", "_r0", "_f1", "_f2"))
 
 
 # ---------------------------------------------------------------- tags
 
 def split_game(text: Column | str = "text") -> tuple[Column, Column]:
-    """(tag section, movetext): the text before / after the first blank line."""
+    """(tag section, movetext): the leading lines in brackets, and the rest.
+    The blank line between them may be missing."""
     t = F.col(text) if isinstance(text, str) else text
-    header = F.substring_index(t, "\n\n", 1)
-    movetext = F.regexp_extract(t, r"(?s)^.*?\n\n(.*)$", 1)
-    return header, movetext
+    header = F.regexp_extract(t, r"^((?:\[[^\n]*+\n?\s*+)*+)", 1)
+    return header, F.substring(t, F.length(header) + 1, F.length(t))
 
 
 def tag_arrays(header: Column) -> tuple[Column, Column]:
@@ -141,17 +150,21 @@ def _if_contains(c: Column, needle: str, fn) -> Column:
 
 
 def with_clean_movetext(df: DataFrame, movetext: str = "movetext", out: str = "_clean") -> DataFrame:
-    """Mainline only: drop ';' comments, side lines, move numbers, NAGs, '!?'
-    suffixes and the result; merge consecutive comments; drop a comment that
-    precedes the first move. Comments after moves stay in place.
+    """Mainline only: drop ';' comments, side lines of any depth, move numbers,
+    NAGs, '!?' suffixes and the result; merge consecutive comments; drop a
+    comment that precedes the first move. Comments after moves stay in place.
 
     Each stage is its own projection: a stage refers to its input twice (test
     and rewrite), and nesting them as one expression would copy the earlier
     stages."""
+    def innermost(m: Column) -> Column:
+        return F.regexp_replace(m, r"\((?:[^(){}]++|\{[^}]*+\})*+\)", " ")
+
     def var(m: Column) -> Column:
-        for _ in range(VARIATION_DEPTH):  # innermost side lines first
-            m = F.regexp_replace(m, r"\((?:[^(){}]|\{[^}]*\})*\)", " ")
-        return m
+        # one pass per level, innermost side lines first; a game has no more
+        # levels than opening brackets, and passes without any are skipped
+        levels = F.sequence(F.lit(1), F.greatest(F.regexp_count(m, F.lit(r"\(")), F.lit(1)))
+        return F.aggregate(levels, m, lambda text, _: F.when(text.contains("("), innermost(text)).otherwise(text))
     df = df.withColumn(out, _if_contains(F.col(movetext), ";", lambda m: F.regexp_replace(m, r";[^\n]*", " ")))
     df = df.withColumn(out, _if_contains(F.col(out), "(", var))
     df = df.withColumn(out, _if_contains(F.col(out), "$", lambda m: F.regexp_replace(m, r"\$\d+", " ")))
@@ -200,23 +213,19 @@ def eval_score(comment: Column) -> tuple[Column, Column]:
     return cp, mate
 
 
-def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
-                notation: str = "auto", with_san: bool = False) -> DataFrame:
-    """Raw games -> the fixed ``games`` schema (A2-A5, H7) plus ``source``,
-    ``src_game_id`` (ParquetGameId tag), ``moves_san`` (with ``with_san``) and
-    ``moves_legal``.
+def parse_games(raw: DataFrame, numbered: bool = True, first: DataFrame | None = None) -> DataFrame:
+    """Raw games -> the columns of the ``games`` table (A2-A5, H7) plus ``source``
+    and ``src_game_id`` (ParquetGameId tag).
 
-    With ``resolve`` the mainline tokens (SAN, or UCI) are replayed on a board
-    and the game is cut at its first illegal move (A4b); otherwise the tokens
-    are taken as they are."""
-    df = number_games(raw) if numbered else raw.withColumn("game_id", F.lit(None).cast("int"))
+    ``game_id`` is LONG and ``num_moves`` INT here; ``files.conform`` narrows
+    them to the fixed schema. A rating that is no SMALLINT is unknown (0), like
+    one that is no number. ``first`` as in ``number_games``."""
+    df = number_games(raw, first) if numbered else raw.withColumn("game_id", F.lit(None).cast("long"))
     df = with_clean_movetext(with_tags(df))
     moves, comments = move_tokens(F.col("_clean"))
     names = ["Event", "Site", "UTCDate", "Date", "White", "Black", "Result", "WhiteElo", "BlackElo",
              "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination",
              "ParquetGameId"]
-    # clocks per ply are read in the JVM; only this small int array (not the
-    # comment text) rides along through the Python move resolver
     df = (df.withColumn("_tokens", moves)
           .withColumn("_clk", F.transform(comments, clock_seconds))
           .withColumn("_t", tag_values(F.col("_keys"), F.col("_vals"), names)))
@@ -233,7 +242,7 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
         return F.coalesce(t(name).try_cast("float"), F.lit(0.0).cast("float"))
     date = F.coalesce(F.col("_t")[names.index("UTCDate")], t("Date"))
     df = df.select(
-        "source", F.col("game_id").cast("int").alias("game_id"),
+        "source", "game_id",
         t("Event").alias("event"), t("Site").alias("site"), date.alias("date"),
         t("White").alias("white"), t("Black").alias("black"), t("Result").alias("result"),
         elo("WhiteElo").alias("white_elo"), elo("BlackElo").alias("black_elo"),
@@ -243,21 +252,12 @@ def parse_games(raw: DataFrame, numbered: bool = True, resolve: bool = True,
         t("ParquetGameId").alias("src_game_id"),
         "_tokens", "_clk",
     )
-    if resolve:
-        from ..operators.moves import resolve_moves
-        df = resolve_moves(df, "_tokens", notation, with_san=with_san)
-    else:
-        df = (df.withColumn("moves_uci", F.array_join("_tokens", " "))
-              .withColumn("moves_san", F.lit(None).cast("string"))
-              .withColumn("num_moves", F.size("_tokens").try_cast("smallint"))
-              .withColumn("moves_legal", F.lit(None).cast("boolean")).drop("_tokens"))
-    # clocks of the plies that were kept (a cut game has no clocks past the cut)
-    kept = F.slice("_clk", 1, F.col("num_moves").cast("int"))
-    clocks = F.filter(kept, lambda x: x.isNotNull())
-    df = df.withColumn("clock_times", F.array_join(F.transform(clocks, lambda x: x.cast("string")), " "))
+    clocks = F.filter("_clk", lambda x: x.isNotNull())
     return df.select("source", "game_id", "event", "site", "date", "white", "black", "result", "white_elo",
                      "black_elo", "white_rd", "black_rd", "eco", "opening", "time_control", "termination",
-                     "num_moves", "moves_uci", "clock_times", "src_game_id", "moves_san", "moves_legal")
+                     F.size("_tokens").alias("num_moves"), F.array_join("_tokens", " ").alias("moves_uci"),
+                     F.array_join(F.transform(clocks, lambda x: x.cast("string")), " ").alias("clock_times"),
+                     "src_game_id")
 
 
 def ply_evals(raw: DataFrame) -> DataFrame:

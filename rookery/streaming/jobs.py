@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import path_exists
 from ..sources import pgn
 
 
@@ -30,8 +31,11 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
                   max_files_per_trigger: int | None = None) -> None:
     """PGN files of ``folder`` -> games Parquet, new files only.
 
-    A file is always read whole within one micro-batch, so the per-file game
-    numbers of ``parse_games`` are exact inside ``foreachBatch``."""
+    A file is always read whole within one micro-batch. Game numbers go on over
+    batches: each batch leaves the last number of every source beside its games
+    (``<out>/numbers/batch=<id>``, one row per source), and the next one starts
+    there. A batch that is run again reads only the numbers of earlier batches
+    and replaces its own output. Games lie below ``<out>/games``."""
     fields = [T.StructField("value", T.StringType())]
     if partitioned_source:
         fields.append(T.StructField("source", T.StringType()))
@@ -45,15 +49,25 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     stream = stream.select("*", F.col("_metadata.file_path").alias("_fp"),
                            F.col("_metadata.file_name").alias("_fn"),
                            F.col("_metadata.file_block_start").alias("_bs"))
+    numbers, games_out = f"{out}/numbers", f"{out}/games"
+    numbers_schema = "source string, last_id long, batch long"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         stem = F.regexp_extract(F.col("_fn"), r"^(.*?)(\.[^.]*)?$", 1)
         source = F.col("source") if partitioned_source else stem
-        raw = (batch.where(F.trim("value") != "")
+        raw = (batch.where(pgn.has_game("value"))
                .select(source.alias("source"), F.col("_fp").alias("file_path"), F.col("_bs").alias("block_start"),
                        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text")))
-        games = pgn.parse_games(pgn.restore_game_text(raw))
-        games.write.mode("overwrite").partitionBy("source").parquet(f"{out}/batch={batch_id}")
+        given = None
+        if path_exists(spark, numbers):
+            given = (spark.read.schema(numbers_schema).parquet(numbers).where(F.col("batch") < batch_id)
+                     .groupBy("source").agg(F.max("last_id").alias("last_id")))
+        own = f"{games_out}/batch={batch_id}"
+        games = pgn.parse_games(pgn.restore_game_text(raw), first=given)
+        games.write.mode("overwrite").partitionBy("source").parquet(own)
+        last = (spark.read.schema("game_id long, source string").parquet(own)
+                .groupBy("source").agg(F.max("game_id").alias("last_id")))
+        last.write.mode("overwrite").parquet(f"{numbers}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

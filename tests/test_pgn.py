@@ -1,11 +1,13 @@
-"""PGN ingest on own fixture files: tags, defaults, clocks, move resolution,
-cut at an illegal move, game numbering across splits, CRLF, evals."""
+"""PGN ingest on own fixture files: tags, defaults, clocks, movetext, side lines of
+any depth, line ends, bad bytes, game numbering across splits, evals."""
 
 import os
 
 import pytest
 
-from rookery.sources import pgn
+from pyspark.sql import functions as F
+
+from rookery.sources import files, pgn
 
 FIX = os.path.join(os.path.dirname(__file__), "fixtures")
 GAMES5 = os.path.join(FIX, "games5.pgn")
@@ -13,7 +15,7 @@ GAMES5 = os.path.join(FIX, "games5.pgn")
 
 @pytest.fixture(scope="module")
 def games5(spark):
-    rows = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None), with_san=True).orderBy("game_id").collect()
+    rows = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None)).orderBy("game_id").collect()
     return [r.asDict() for r in rows]
 
 
@@ -30,31 +32,81 @@ def test_numbering_and_tags(games5):
     assert (g5["eco"], g5["time_control"], g5["opening"]) == ("", "", "")
 
 
-def test_moves_and_cut_at_illegal_move(games5):
-    assert [g["num_moves"] for g in games5] == [17, 14, 10, 7, 11]
-    assert [g["moves_legal"] for g in games5] == [False, True, True, True, True]
-    assert games5[3]["moves_uci"] == "e2e4 e7e5 f1c4 b8c6 d1h5 g8f6 h5f7"
-    assert games5[3]["moves_san"] == "e4 e5 Bc4 Nc6 Qh5 Nf6 Qxf7#"
+def test_movetext(games5):
     # side lines, NAGs, '!?' suffixes, comments and a ';' comment are skipped
-    assert games5[1]["moves_uci"].split()[:4] == ["d2d4", "d7d5", "c2c4", "e7e6"]
-    assert games5[0]["moves_uci"].split()[8] == "e1g1"
+    assert games5[1]["moves_uci"].split()[:4] == ["d4", "d5", "c4", "e6"]
+    assert games5[3]["moves_uci"] == "e4 e5 Bc4 Nc6 Qh5 Nf6 Qxf7#"
+    assert [g["num_moves"] for g in games5[1:]] == [14, 10, 7, 11]
 
 
-def test_clocks_only_for_kept_plies(games5):
+def test_clocks(games5):
     expected = [180, 179, 178] + list(range(175, 162, -1))
-    assert games5[0]["clock_times"] == " ".join(map(str, expected))
+    assert games5[0]["clock_times"].split()[:len(expected)] == list(map(str, expected))
     assert games5[1]["clock_times"] == ""
 
 
-def test_crlf_file(spark, tmpdir_path):
+def _variants():
     with open(GAMES5, encoding="utf-8") as f:
         text = f.read()
-    path = os.path.join(tmpdir_path, "crlf.pgn")
+    return {"lf": text, "crlf": text.replace("\n", "\r\n"), "cr_mixed": text.replace("\n\n", "\r\n\r\n"),
+            "no_blank": __import__("re").sub(r"\n\n+\[Event ", "\n[Event ", text), "bom": "\ufeff\n\n" + text}
+
+
+def _rows(spark, path):
+    rows = pgn.parse_games(pgn.scan_pgn(spark, path, glob=None)).drop("source").orderBy("game_id").collect()
+    return [r.asDict() for r in rows]
+
+
+@pytest.mark.parametrize("layout", list(_variants()))
+def test_line_ends_and_separators(spark, games5, tmpdir_path, layout):
+    path = os.path.join(tmpdir_path, "x.pgn")
     with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(text.replace("\n", "\r\n"))
-    rows = pgn.parse_games(pgn.scan_pgn(spark, path, glob=None, crlf=True)).orderBy("game_id").collect()
-    assert [r.num_moves for r in rows] == [17, 14, 10, 7, 11]
-    assert rows[0].opening == 'Spanish "Main" Line'
+        f.write(_variants()[layout])
+    assert _rows(spark, path) == [{k: v for k, v in g.items() if k != "source"} for g in games5]
+
+
+def test_mixed_folder(spark, tmpdir_path):
+    for name, text in _variants().items():
+        with open(os.path.join(tmpdir_path, f"{name}.pgn"), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    out = os.path.join(tmpdir_path, "out")
+    status = files.convert_folder(spark, tmpdir_path, out).collect()
+    assert {r.source: r.status for r in status} == dict.fromkeys(_variants(), "converted")
+    counts = {r.source: (r.n, r.last) for r in files.read_games(spark, out, "all_games").groupBy("source").agg(
+        F.count("*").alias("n"), F.max("game_id").alias("last")).collect()}
+    assert counts == dict.fromkeys(_variants(), (5, 5))
+    assert spark.sql("SELECT count(*) FROM all_games").first()[0] == 25
+
+
+@pytest.mark.parametrize("depth", [1, 2, 8, 40])
+def test_side_lines_of_any_depth(spark, tmpdir_path, depth):
+    side = "(1. d4 {a (small) note} " * depth + "1... d5" + ")" * depth
+    path = os.path.join(tmpdir_path, "deep.pgn")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'[Event "x"]\n[White "a"]\n\n1. e4 {side} (1. c4) e5 2. Nf3 {side} *\n')
+    assert _rows(spark, path)[0]["moves_uci"] == "e4 e5 Nf3"
+
+
+def test_long_side_line(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "long.pgn")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('[Event "x"]\n\n1. e4 (' + "Nf3 {c} Nc6 " * 20000 + ") e5 *\n")
+    assert _rows(spark, path)[0]["moves_uci"] == "e4 e5"
+
+
+def test_bad_bytes_are_replaced(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "bad.pgn")
+    with open(path, "wb") as f:
+        f.write(b'[Event "x"]\n[White "J\xf6rg"]\n\n1. e4 {\xff} e5 *\n\n[Event "y"]\n\n1. d4 *\n')
+    rows = _rows(spark, path)
+    assert [r["moves_uci"] for r in rows] == ["e4 e5", "d4"] and rows[0]["white"] == "J\ufffdrg"
+
+
+def test_game_with_a_start_position_keeps_its_moves(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "fen.pgn")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('[Event "x"]\n[FEN "8/8/8/8/8/4k3/4p3/4K3 b - - 0 1"]\n\n1... Kd3 2. Kf2 *\n')
+    assert _rows(spark, path)[0]["moves_uci"] == "Kd3 Kf2"
 
 
 def test_numbering_across_many_splits(spark, tmpdir_path):
@@ -69,7 +121,7 @@ def test_numbering_across_many_splits(spark, tmpdir_path):
     try:
         raw = pgn.scan_pgn(spark, path, glob=None)
         assert raw.rdd.getNumPartitions() > 4
-        rows = pgn.parse_games(raw, resolve=False).select("game_id", "site").collect()
+        rows = pgn.parse_games(raw).select("game_id", "site").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     ids = sorted(r.game_id for r in rows)
@@ -88,7 +140,7 @@ def test_folder_scan_sources(spark, tmpdir_path):
             f.write(text)
     counts = dict(pgn.scan_pgn(spark, tmpdir_path).groupBy("source").count().collect())
     assert counts == {"first": 5, "second": 5}
-    ids = pgn.parse_games(pgn.scan_pgn(spark, tmpdir_path), resolve=False).groupBy("source") \
+    ids = pgn.parse_games(pgn.scan_pgn(spark, tmpdir_path)).groupBy("source") \
         .agg({"game_id": "max"}).collect()
     assert {r[0]: r[1] for r in ids} == {"first": 5, "second": 5}
 
@@ -105,3 +157,14 @@ def test_single_game_defaults(spark):
     rows = pgn.single_game_defaults(pgn.scan_pgn(spark, GAMES5, glob=None)).collect()
     g5 = [r for r in rows if r.white == "AnnaTest" and r.black == "IvanTest"][0]
     assert (g5.eco, g5.white_elo, g5.black_elo, g5.status) == ("?", "1400", "99999", "ok")
+
+
+def test_no_python_and_no_job_at_build(spark, tmpdir_path):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pgn-build", "plan only")
+    df = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert list(tracker.getJobIdsForGroup("pgn-build")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Python" not in plan and "MapInPandas" not in plan
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()

