@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 
 from .tables import written
 
-#: The fit: rows in its sample and words in the model at most, smallest word
-#: evidence (G statistic) and support, strength of the ridge penalty.
-SAMPLE_ROWS = 16_384
-MODEL_WORDS = 1024
+#: The fit: labelled rows in its sample and words in the model at most, smallest
+#: word evidence (G statistic) and support, strength of the ridge penalty.
+SAMPLE_ROWS = 32_768
+MODEL_WORDS = 512
 LEAST_EVIDENCE = 20.0
 LEAST_SUPPORT, LEAST_SHARE = 3, 0.02
 RIDGE = 0.05
@@ -124,6 +124,7 @@ class Decoder:
     def __init__(self, grams: dict[str, int], only: set[str] | None = None):
         """``only``: the features that are asked for; words that cannot have one are dropped."""
         self.only = only
+        self.roots = {f[:STEMS[0]] for f in only or ()}
         pairs: Counter = Counter()
         singles: Counter = Counter()
         for g, n in grams.items():
@@ -206,13 +207,16 @@ class Decoder:
         if (known := self.words.get(token)) is None:
             known = self._restore(token)
             if self.only is not None:
-                known = tuple(w for w in known if w in self.only or any(w[:k] + mark in self.only for k in STEMS if len(w) > k for mark in ("*", "**")))
+                known = tuple(w for w in known if w[:STEMS[0]] in self.roots and self._asked_for(w))
             if len(self.words) > HELD_WORDS:
                 self.words.clear()
             if len(token) <= 64:
                 self.words[token] = known
         return known
 
+    def _asked_for(self, w: str) -> bool:
+        return w in self.only or any(w[:k] + mark in self.only for k in STEMS if len(w) > k for mark in ("*", "**"))
+
     def _restore(self, token: str) -> tuple[str, ...]:
         word = token.strip(".,;:?")
         if word.isalpha() and not _TRIPLE.search(word):
@@ -233,12 +237,16 @@ class Decoder:
         text = (text or "").lower()
         out: set[str] = set()
         known = self.words.get
-        for token in set(text.split()):
+        tokens = set(text.split())
+        for token in tokens:
             words = known(token)
             if words is None:
                 words = self.restore(token)
             if words:
                 out.update(words)
+        # pulled apart over spaces: there are single letters, perhaps with a sign behind
+        if sum(len(t) == 1 or len(t) == 2 and not t[1].isalnum() for t in tokens) < 3:
+            return out
         for m in _SPACED.finditer(text):
             run = re.sub(r"[ .\-_]+", " ", m.group())
             if sum(c.isalpha() for c in run) >= 2:
@@ -292,18 +300,20 @@ def _fit(rows: list[tuple[tuple[int, ...], int, float]], width: int) -> tuple[fl
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled rows that are not held out.
-
-    Counts of words and stems by label cover all of those rows; the ones with
-    most evidence (at most ``MODEL_WORDS``) make up the model. Their weights are fitted on the
-    ``SAMPLE_ROWS`` rows that come first by the hash of their doc_id. A document
-    with several labels counts as toxic if one of them says so; null labels and
-    null ids are left out. Without labelled rows the bias stands for the share
-    of toxic rows, 0 of 0.
+    """Learn from labelled rows that are not held out.
+
+    The character model covers all texts. The classifier is fitted on a sample:
+    the ``SAMPLE_ROWS`` labelled ids that come first by their hash, all if there
+    are no more. Its size is bounded, so it is broadcast to the texts and these
+    stay where they are. The words and stems with most evidence in the sample
+    (at most ``MODEL_WORDS``) make up the model. A document with several labels
+    counts as toxic if one of them says so; null labels and null ids are left
+    out. Without toxic rows every score is about 0.
     """
     grams = char_model(docs)
     marks = (labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(grams)
@@ -313,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     kind = T.StructType([docs.schema["doc_id"], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("toxic", T.IntegerType())])
     rows = (docs.select("doc_id", "text").where("doc_id is not null").where(~held_out(F.col("doc_id")))
-            .join(marks, "doc_id").select("doc_id", "text", F.col("toxic").cast("int")))
+            .join(F.broadcast(marks), "doc_id").select("doc_id", "text", F.col("toxic").cast("int")))
     rows = written(rows.mapInArrow(run, kind), "toxicity-train")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = toxic / n if n else 0.0
@@ -350,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             found = [",".join(str(i) for i in sorted(vocabulary[f] for f in features(set(ws.as_py())) if f in vocabulary)) for ws in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(1)], names=["found", "toxic"])
 
-    sample = (rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("words", "toxic")
+    sample = (rows.select("words", "toxic")
               .mapInArrow(numbers, "found string, toxic int").groupBy("found", "toxic").count().collect())
     fit_rows = sorted((tuple(int(i) for i in r.found.split(",") if i), r.toxic, r["count"]) for r in sample)
     # a word that always comes with others would learn nothing: each counts by itself once more
