@@ -1,34 +1,35 @@
 """The statistics report over a ``games`` table (one DataFrame per analysis).
 
-Every analysis is a function ``games -> DataFrame``. Grouped results are small
-(bounded by the number of distinct keys), so the share-of-total windows and the
-final ``orderBy`` run after the aggregate on few rows. Exact medians and
-percentiles are computed from a frequency table (value, count) with the weighted
-``percentile``: the partial aggregate shrinks the data before the shuffle, and
-no task ever buffers one value per game.
+Every analysis is declared once, in ``REPORT``: where its rows come from and how
+the result is made of them. Most count games by one key; the key and its filter
+are declared as a ``Dimension``. Alone, such an analysis aggregates its own key;
+in the whole report one pass over the games counts the keys of all of them, and
+the same ``finish`` makes the result. If that pass fails, the analyses run alone,
+so that one bad key costs one analysis.
+
+Exact medians and percentiles are computed from a frequency table (value, count)
+with the weighted ``percentile``: the partial aggregate shrinks the data before
+the shuffle, and no task ever buffers one value per game.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.errors import PySparkException
 
-from ..functions.exprs import (RESULTS_DECIDED, UNKNOWN_DATE, bucket, nonempty, pct,
-                               time_class)
-
-def _all() -> Window:
-    """Whole-result window, used only after an aggregate has shrunk the data."""
-    return Window.partitionBy()
+from ..functions.exprs import RESULTS_DECIDED, UNKNOWN_DATE, bucket, nonempty, pct, time_class
 
 
 def _share(df: DataFrame, digits: int = 2) -> DataFrame:
-    return df.withColumn("pct", pct("count", F.sum("count").over(_all()), digits))
+    """Adds ``pct``, the share of the total; the total is a one-row subquery, so
+    no task sees all keys."""
+    return df.withColumn("pct", pct("count", df.agg(F.sum("count")).scalar(), digits))
 
 
 def _sides(games: DataFrame, *fields: str) -> DataFrame:
@@ -43,126 +44,133 @@ def _sides(games: DataFrame, *fields: str) -> DataFrame:
     return games.select(F.inline(F.array(side("white"), side("black"))))
 
 
-def _wdl_pcts(result: Column | str = "result") -> list[Column]:
-    r = F.col(result) if isinstance(result, str) else result
-    n = F.count(F.lit(1))
-    return [
-        F.round(F.lit(100.0) * F.sum(F.when(r == "1-0", 1).otherwise(0)) / n, 1).alias("white_win_pct"),
-        F.round(F.lit(100.0) * F.sum(F.when(r == "0-1", 1).otherwise(0)) / n, 1).alias("black_win_pct"),
-        F.round(F.lit(100.0) * F.sum(F.when(r == "1/2-1/2", 1).otherwise(0)) / n, 1).alias("draw_pct"),
-    ]
+def _win_shares() -> list[Column]:
+    """White wins, black wins and draws of a counted key, in percent of its games."""
+    n = F.col("count")
+    return [F.round(F.lit(100.0) * F.col(c) / n, 1).alias(a)
+            for c, a in (("w", "white_win_pct"), ("b", "black_win_pct"), ("d", "draw_pct"))]
 
 
-# D1
-def total_games(games: DataFrame) -> DataFrame:
-    return games.agg(F.count(F.lit(1)).alias("total_games"))
+# ---------------------------------------------------------------- keys that games are counted by
 
+@dataclass(frozen=True)
+class Dimension:
+    """A key of one or two columns, and the games that have it. Functions, as
+    columns need a session."""
+    key: Callable[[], dict[str, Column]]
+    where: Callable[[], Column]
 
-# Share over decided games only ('*' is excluded from the denominator)
-def results(games: DataFrame) -> DataFrame:
-    g = (games.where(F.col("result").isin(*RESULTS_DECIDED))
-         .groupBy("result").agg(F.count(F.lit(1)).alias("count")))
-    return _share(g).orderBy(F.desc("count"), "result")
 
+def _rated_close() -> Column:
+    return (F.col("white_elo") > 400) & (F.col("black_elo") > 400) & (F.abs(_elo_diff()) <= 500)
 
-def _elo_in_range(c: str | Column) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return (c > 400) & (c < 3500)
 
+def _elo_diff() -> Column:
+    return F.col("white_elo") - F.col("black_elo")
 
-# D3: both sides pooled, 100-point buckets
-def elo_histogram(games: DataFrame) -> DataFrame:
-    pre = games.where(_elo_in_range("white_elo") | _elo_in_range("black_elo"))
-    return (_sides(pre, "elo").where(_elo_in_range("elo"))
-            .groupBy(bucket("elo", 100).alias("elo_bucket"))
-            .agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("elo_bucket"))
 
+DIMENSIONS: dict[str, Dimension] = {
+    "result": Dimension(lambda: {"result": F.col("result")}, lambda: F.col("result").isin(*RESULTS_DECIDED)),
+    "time_class": Dimension(lambda: {"time_class": time_class("time_control")}, lambda: nonempty("time_control")),
+    "num_moves": Dimension(lambda: {"num_moves": F.col("num_moves")}, lambda: F.col("num_moves") > 0),
+    "date": Dimension(lambda: {"date": F.col("date")}, lambda: nonempty("date") & (F.col("date") != UNKNOWN_DATE)),
+    "termination": Dimension(lambda: {"termination": F.col("termination")}, lambda: nonempty("termination")),
+    "eco_cat": Dimension(lambda: {"eco_cat": F.left(F.col("eco"), F.lit(1))}, lambda: nonempty("eco")),
+    "elo_diff": Dimension(lambda: {"elo_diff_bucket": bucket(_elo_diff(), 50)}, _rated_close),
+    "opening": Dimension(lambda: {"eco": F.col("eco"), "opening": F.col("opening")}, lambda: nonempty("eco")),
+}
 
-# The same per side, in one pass
-def elo_histogram_by_side(games: DataFrame) -> DataFrame:
-    pre = games.where(_elo_in_range("white_elo") | _elo_in_range("black_elo"))
-    return (_sides(pre, "elo").where(_elo_in_range("elo"))
-            .groupBy("side", bucket("elo", 100).alias("elo_bucket"))
-            .agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("side", "elo_bucket"))
 
+def _results_of_game() -> list[Column]:
+    r = F.col("result")
+    return [(r == v).cast("int").alias(c) for v, c in (("1-0", "w"), ("0-1", "b"), ("1/2-1/2", "d"))]
 
-def _weighted_stats(freq: DataFrame, value: str, count: str = "count") -> list[Column]:
-    """avg and exact interpolated median of ``value`` from a frequency table."""
-    v, c = F.col(value), F.col(count)
-    return [
-        (F.sum(v.cast("long") * c) / F.sum(c)).alias("avg"),
-        F.percentile(v, F.lit(0.5), c).alias("median"),
-    ]
 
+_COUNTS = ("count", "w", "b", "d")
 
-# Mean and median Elo per side, over games where both sides are rated > 400
-def elo_stats(games: DataFrame) -> DataFrame:
-    freq = (_sides(games.where((F.col("white_elo") > 400) & (F.col("black_elo") > 400)), "elo")
-            .groupBy("side", "elo").agg(F.count(F.lit(1)).alias("count")))
-    per_side = freq.groupBy("side").agg(*_weighted_stats(freq, "elo"))
 
-    def pick(side: str, c: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(c)))
-    return per_side.agg(
-        pick("white", "avg").alias("avg_white"), pick("black", "avg").alias("avg_black"),
-        pick("white", "median").alias("median_white"), pick("black", "median").alias("median_black"))
+def _counted(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).alias(c) for c in "wbd"])
 
 
-# Top 30 (eco, opening) by games; '*' games count in the denominator only
-def top_openings(games: DataFrame, limit: int = 30) -> DataFrame:
-    return (games.where(nonempty("eco"))
-            .groupBy("eco", "opening")
-            .agg(F.count(F.lit(1)).alias("count"), *_wdl_pcts())
-            .orderBy(F.desc("count"), "eco", "opening")
-            .limit(limit))
+def count_by(games: DataFrame, dimension: str) -> DataFrame:
+    """Games, and wins and draws, by one key: the key's columns, count, w, b, d."""
+    d = DIMENSIONS[dimension]
+    key = d.key()
+    return _counted(games.where(d.where()).select(*[c.alias(n) for n, c in key.items()], *_results_of_game()), *key)
 
 
-# D7
-def time_controls(games: DataFrame) -> DataFrame:
-    g = (games.where(nonempty("time_control"))
-         .groupBy(time_class("time_control").alias("time_class"))
-         .agg(F.count(F.lit(1)).alias("count")))
-    return _share(g).orderBy(F.desc("count"), "time_class")
+def count_by_all(games: DataFrame, dimensions: list[str]) -> dict[str, DataFrame]:
+    """``count_by`` for many keys in one pass over the games.
 
+    Every game gives a narrow row (dimension, key) for each key that it has, as
+    text or number; the partial aggregate folds them per task before the
+    shuffle. The shared aggregate is cached; ``release`` it when done."""
+    keys, kinds = [], {}
+    for name in dimensions:
+        d = DIMENSIONS[name]
+        columns = d.key()
+        types = dict(games.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
+        texts = [n for n in columns if types[n] == "string"]
+        numbers = [n for n in columns if types[n] != "string"]
+        kinds[name] = [(n, types[n], f"s{texts.index(n)}" if n in texts else "n") for n in columns]
+        slots = {f"s{i}": columns[n] for i, n in enumerate(texts)} | {"n": columns[n].cast("double") for n in numbers}
+        keys.append(F.when(d.where(), F.struct(F.lit(name).alias("dim"), *[
+            slots.get(s, F.lit(None)).cast(t).alias(s) for s, t in (("s0", "string"), ("s1", "string"), ("n", "double"))])))
+    rows = games.select(F.filter(F.array(*keys), lambda k: k.isNotNull()).alias("k"), *_results_of_game())
+    # explode_outer: a plain explode would get an inferred size(k) > 0 filter
+    # pushed below this projection, building the key array twice
+    rows = rows.select(F.explode_outer("k").alias("k"), "w", "b", "d").select("k.*", "w", "b", "d")
+    shared = _counted(rows.where(F.col("dim").isNotNull()), "dim", "s0", "s1", "n").cache()
+    out = {name: shared.where(F.col("dim") == name).select(*[F.col(slot).cast(t).alias(n) for n, t, slot in kinds[name]], *_COUNTS)
+           for name in dimensions}
+    return out | {"": shared}
 
-# Plies per game, 0 < n < 300
-def move_count_dist(games: DataFrame) -> DataFrame:
-    return (games.where((F.col("num_moves") > 0) & (F.col("num_moves") < 300))
-            .groupBy("num_moves").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("num_moves"))
 
+def elo_frequencies(games: DataFrame) -> DataFrame:
+    """(side, elo, both_rated, count) for rated sides: one pass that serves the
+    Elo histogram (per-side range filter) and the Elo stats (game filter)."""
+    both = (F.col("white_elo") > 400) & (F.col("black_elo") > 400)
+    pre = games.where((F.col("white_elo") > 0) | (F.col("black_elo") > 0)).withColumn("both_rated", both)
+    rows = pre.select("both_rated", F.inline(F.array(
+        F.struct(F.lit("white").alias("side"), F.col("white_elo").alias("elo")),
+        F.struct(F.lit("black").alias("side"), F.col("black_elo").alias("elo")))))
+    return rows.where(F.col("elo") > 0).groupBy("side", "elo", "both_rated").agg(F.count(F.lit(1)).alias("count"))
 
-# Exact avg / median / quartiles from the per-length frequency table
-def move_stats(games: DataFrame) -> DataFrame:
-    freq = (games.where(F.col("num_moves") > 0)
-            .groupBy("num_moves").agg(F.count(F.lit(1)).alias("count")))
-    q = F.percentile(F.col("num_moves"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count"))
-    return (freq.agg((F.sum(F.col("num_moves").cast("long") * F.col("count")) / F.sum("count")).alias("avg_moves"),
-                     q.alias("q"),
-                     F.min("num_moves").alias("min_moves"),
-                     F.max("num_moves").alias("max_moves"))
-            .select("avg_moves", F.col("q")[1].alias("median_moves"), "min_moves", "max_moves",
-                    F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75")))
 
+# ---------------------------------------------------------------- results
+
+def _elo_in_range(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return (c > 400) & (c < 3500)
 
-# Games per date string, unknown dates excluded
-def daily_activity(games: DataFrame) -> DataFrame:
-    return (games.where(nonempty("date") & (F.col("date") != UNKNOWN_DATE))
-            .groupBy("date").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("date"))
 
+def _elo_histogram(freq: DataFrame, *by: str) -> DataFrame:
+    return (freq.where(_elo_in_range("elo")).groupBy(*by, bucket("elo", 100).alias("elo_bucket"))
+            .agg(F.sum("count").alias("count")).orderBy(*by, "elo_bucket"))
 
-# Share computed before the top-15 cut
-def terminations(games: DataFrame, limit: int = 15) -> DataFrame:
-    g = (games.where(nonempty("termination"))
-         .groupBy("termination").agg(F.count(F.lit(1)).alias("count")))
-    return _share(g).orderBy(F.desc("count"), "termination").limit(limit)
 
+def _elo_stats(freq: DataFrame) -> DataFrame:
+    v, c = F.col("elo"), F.col("count")
+    per_side = (freq.where("both_rated").groupBy("side", "elo").agg(F.sum("count").alias("count")).groupBy("side")
+                .agg((F.sum(v.cast("long") * c) / F.sum(c)).alias("avg"), F.percentile(v, F.lit(0.5), c).alias("median")))
 
-# Most active rated players over both colours
-def top_players(games: DataFrame, limit: int = 20) -> DataFrame:
+    def pick(side: str, c: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(c)))
+    return per_side.agg(
+        pick("white", "avg").alias("avg_white"), pick("black", "avg").alias("avg_black"),
+        pick("white", "median").alias("median_white"), pick("black", "median").alias("median_black"))
+
+
+def _move_stats(freq: DataFrame) -> DataFrame:
+    q = F.percentile(F.col("num_moves"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count"))
+    return (freq.agg((F.sum(F.col("num_moves").cast("long") * F.col("count")) / F.sum("count")).alias("avg_moves"),
+                     q.alias("q"), F.min("num_moves").alias("min_moves"), F.max("num_moves").alias("max_moves"))
+            .select("avg_moves", F.col("q")[1].alias("median_moves"), "min_moves", "max_moves",
+                    F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75")))
+
+
+def _top_players(games: DataFrame, limit: int = 20) -> DataFrame:
     pre = games.where((F.col("white_elo") > 0) | (F.col("black_elo") > 0))
     return (_sides(pre, "player", "elo").where(F.col("elo") > 0)
             .groupBy("player")
@@ -171,29 +179,11 @@ def top_players(games: DataFrame, limit: int = 20) -> DataFrame:
             .limit(limit))
 
 
-# D13
-def eco_categories(games: DataFrame) -> DataFrame:
-    g = (games.where(nonempty("eco"))
-         .groupBy(F.left(F.col("eco"), F.lit(1)).alias("eco_cat"))
-         .agg(F.count(F.lit(1)).alias("count")))
-    return _share(g).orderBy("eco_cat")
-
-
-# 50-point buckets of the rating difference, floored toward minus infinity
-def rating_advantage(games: DataFrame) -> DataFrame:
-    diff = F.col("white_elo") - F.col("black_elo")
-    return (games.where((F.col("white_elo") > 400) & (F.col("black_elo") > 400) & (F.abs(diff) <= 500))
-            .groupBy(bucket(diff, 50).alias("elo_diff_bucket"))
-            .agg(F.count(F.lit(1)).alias("count"), *_wdl_pcts())
-            .orderBy("elo_diff_bucket"))
-
-
 TOP_GAME_COLUMNS = ("game_id", "white", "black", "white_elo", "black_elo", "total_elo", "result",
                     "moves_uci", "eco", "opening", "date", "time_control")
 
 
-# Highest Elo sum among games with both sides > 2000 and moves; ties -> lowest id
-def top_game(games: DataFrame) -> DataFrame:
+def _top_game(games: DataFrame) -> DataFrame:
     return (games.where((F.col("white_elo") > 2000) & (F.col("black_elo") > 2000) & nonempty("moves_uci"))
             .withColumn("total_elo", F.col("white_elo") + F.col("black_elo"))
             .orderBy(F.desc("total_elo"), "game_id")
@@ -201,6 +191,66 @@ def top_game(games: DataFrame) -> DataFrame:
             .limit(1))
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """``finish`` makes the result from the counts of ``dimension``, from the Elo
+    frequencies (``dimension`` "elo") or, without one, from the games."""
+    finish: Callable[[DataFrame], DataFrame]
+    dimension: str | None = None
+
+    def alone(self, games: DataFrame) -> DataFrame:
+        if self.dimension is None:
+            return self.finish(games)
+        return self.finish(elo_frequencies(games) if self.dimension == "elo" else count_by(games, self.dimension))
+
+
+def _plain(*columns: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda c: c.select(*columns, "count").orderBy(*columns)
+
+
+def _shares(column: str, *order: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda c: _share(c.select(column, "count")).orderBy(*(order or (F.desc("count"), column)))
+
+
+# 2.J: the registry. An entry added here is part of the report.
+REPORT: dict[str, Analysis] = {
+    "total_games": Analysis(lambda g: g.agg(F.count(F.lit(1)).alias("total_games"))),  # D1
+    "results": Analysis(_shares("result"), "result"),  # D2: '*' is no part of the total
+    "elo_histogram": Analysis(_elo_histogram, "elo"),  # D3: both sides pooled, 100-point buckets
+    "elo_stats": Analysis(_elo_stats, "elo"),  # D5: games with both sides above 400
+    "top_openings": Analysis(lambda c: c.select("eco", "opening", "count", *_win_shares())
+                             .orderBy(F.desc("count"), "eco", "opening").limit(30), "opening"),  # D6
+    "time_controls": Analysis(_shares("time_class"), "time_class"),  # D7
+    "move_count_dist": Analysis(lambda c: _plain("num_moves")(c.where("num_moves < 300")), "num_moves"),  # D8
+    "move_stats": Analysis(_move_stats, "num_moves"),  # D9
+    "daily_activity": Analysis(_plain("date"), "date"),  # D10
+    "terminations": Analysis(lambda c: _shares("termination")(c).limit(15), "termination"),  # D11: share before the cut
+    "top_players": Analysis(_top_players),  # D12: rated players over both colours
+    "eco_categories": Analysis(_shares("eco_cat", "eco_cat"), "eco_cat"),  # D13
+    "rating_advantage": Analysis(lambda c: c.select("elo_diff_bucket", "count", *_win_shares())
+                                 .orderBy("elo_diff_bucket"), "elo_diff"),  # D14: floored toward minus infinity
+    "top_game": Analysis(_top_game),  # D15: both sides above 2000, ties to the lowest id
+}
+
+
+def analysis(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The named analysis by itself: ``games -> DataFrame``."""
+    return lambda games: REPORT[name].alone(games)
+
+
+total_games, results, elo_histogram, elo_stats, top_openings, time_controls = map(
+    analysis, ("total_games", "results", "elo_histogram", "elo_stats", "top_openings", "time_controls"))
+move_count_dist, move_stats, daily_activity, terminations = map(
+    analysis, ("move_count_dist", "move_stats", "daily_activity", "terminations"))
+top_players, eco_categories, rating_advantage, top_game = map(
+    analysis, ("top_players", "eco_categories", "rating_advantage", "top_game"))
+
+
+# The Elo histogram per side
+def elo_histogram_by_side(games: DataFrame) -> DataFrame:
+    return _elo_histogram(elo_frequencies(games), "side")
+
+
 # The most frequent player name over both colours (no Elo filter)
 def focus_player(games: DataFrame) -> DataFrame:
     return (_sides(games, "player").groupBy("player").agg(F.count(F.lit(1)).alias("games"))
@@ -209,10 +259,9 @@ def focus_player(games: DataFrame) -> DataFrame:
 
 # Plies per game of a collection, no upper bound, with its median
 def ply_distribution_player(games: DataFrame) -> DataFrame:
-    dist = (games.where(F.col("num_moves") > 0)
-            .groupBy("num_moves").agg(F.count(F.lit(1)).alias("count")))
-    return (dist.withColumn("median_moves", F.percentile("num_moves", F.lit(0.5), F.col("count")).over(_all()))
-            .withColumn("total_games", F.sum("count").over(_all()))
+    dist = count_by(games, "num_moves").select("num_moves", "count")
+    whole = dist.agg(F.percentile("num_moves", F.lit(0.5), F.col("count")).alias("m"), F.sum("count").alias("t"))
+    return (dist.withColumn("median_moves", whole.select("m").scalar()).withColumn("total_games", whole.select("t").scalar())
             .orderBy("num_moves"))
 
 
@@ -223,26 +272,11 @@ def collection_sizes(games: DataFrame) -> DataFrame:
         F.count_if(F.split_part(F.col("moves_uci"), F.lit(" "), F.lit(1)) != "").alias("games_with_first_move"))
 
 
-# 2.J: the analysis registry, run with per-analysis error isolation
-REPORT: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "total_games": total_games,
-    "results": results,
-    "elo_histogram": elo_histogram,
-    "elo_stats": elo_stats,
-    "top_openings": top_openings,
-    "time_controls": time_controls,
-    "move_count_dist": move_count_dist,
-    "move_stats": move_stats,
-    "daily_activity": daily_activity,
-    "terminations": terminations,
-    "top_players": top_players,
-    "eco_categories": eco_categories,
-    "rating_advantage": rating_advantage,
-    "top_game": top_game,
-}
+# ---------------------------------------------------------------- the whole report
 
 REPORT_COLUMNS = ("game_id", "date", "white", "black", "result", "white_elo", "black_elo", "eco",
                   "opening", "time_control", "termination", "num_moves", "moves_uci")
+_FAILURES = (PySparkException, Py4JError, ArithmeticError, ValueError, KeyError, TypeError)
 
 
 def report_input(games: DataFrame) -> DataFrame:
@@ -250,196 +284,89 @@ def report_input(games: DataFrame) -> DataFrame:
     return games.select(*REPORT_COLUMNS)
 
 
-def run_report(games: DataFrame, names: list[str] | None = None, materialize: bool = True,
-               share_scan: bool = True, parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Run the named analyses; a failing one is reported, not fatal.
+def _message(exc: Exception) -> str:
+    return f"{type(exc).__name__}: {(str(exc).splitlines() or [''])[0][:300]}"
 
-    ``share_scan`` persists the column-pruned input once (memory, spilling to
-    disk) so the analyses do not each rescan the files; lost blocks are rebuilt
-    from the lineage. With ``materialize`` every (small) result is computed and
-    cached; the analyses are submitted concurrently so their small stages share
-    the executors."""
-    base = report_input(games) if share_scan else games
-    if share_scan:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    out: dict[str, DataFrame] = {}
-    errors: dict[str, str] = {}
 
-    def one(name: str) -> DataFrame:
-        df = REPORT[name](base)
-        if materialize:
-            df = df.cache()
-            df.count()
-        return df
+def run_report(games: DataFrame, names: list[str] | None = None, shared: bool = True,
+               parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Run the registered analyses; a failing one is reported, not fatal.
 
-    todo = names or list(REPORT)
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = {name: pool.submit(one, name) for name in todo}
-        for name in todo:
+    With ``shared`` one pass counts all keys and one the Elo frequencies; only
+    these small aggregates are cached, and released in the end. Analyses whose
+    shared pass fails run alone. Returns the (small, cached) results by name and
+    the errors by name; every analysis asked for is in one of them."""
+    todo = list(names or REPORT)
+    passes: dict[str, DataFrame] = {}
+    cached: list[DataFrame] = []
+    if shared:
+        dimensions = list(dict.fromkeys(REPORT[n].dimension for n in todo if n in REPORT and REPORT[n].dimension in DIMENSIONS))
+        try:
+            counts = count_by_all(games, dimensions) if dimensions else {}
+            if counts:
+                cached.append(counts.pop(""))
+                cached[-1].count()
+                passes |= counts
+        except _FAILURES:
+            passes = {}
+        if any(n in REPORT and REPORT[n].dimension == "elo" for n in todo):
             try:
-                out[name] = futures[name].result()
-            except (PySparkException, ArithmeticError, ValueError) as exc:  # per-analysis isolation
-                errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
-    if share_scan and materialize:
-        base.unpersist()
-    return out, errors
-
-
-def report_summary(games: DataFrame, names: list[str] | None = None, shared: bool = True) -> DataFrame:
-    """One row per analysis: name, status, number of result rows (2.J). By
-    default the report runs in the one-pass form (``run_report_shared``)."""
-    spark = games.sparkSession
-    results_, errors = run_report_shared(games) if shared else run_report(games, names)
-    if names:
-        results_ = {k: v for k, v in results_.items() if k in names}
-    rows = [(n, "ok", df.count()) for n, df in results_.items()]
-    rows += [(n, "error", 0) for n in errors]
-    for df in results_.values():
-        df.unpersist()
-    return spark.createDataFrame(rows, "analysis string, status string, rows long")
-
-
-# ---------------------------------------------------------------- one-pass report
-# The single-key analyses share one scan: each game contributes one row per
-# grouping set (Expand), the map-side partial aggregate shrinks them before the
-# shuffle, and every analysis is then derived from the small result.
-
-def shared_counts(games: DataFrame) -> DataFrame:
-    """Counts (and White/Black/draw sums) per (dimension, key) in one aggregate.
-
-    Every game emits one narrow row ``(dim, s1, s2, n)`` per analysis that keeps
-    it (string keys in s1/s2, numeric keys in n); the partial aggregate folds
-    them per task before the shuffle."""
-    r = F.col("result")
-    diff = F.col("white_elo") - F.col("black_elo")
-
-    def key(dim: str, cond: Column, s1=None, s2=None, n=None) -> Column:
-        def v(c, t):
-            return (F.lit(None) if c is None else c).cast(t)
-        return F.when(cond, F.struct(F.lit(dim).alias("dim"), v(s1, "string").alias("s1"),
-                                     v(s2, "string").alias("s2"), v(n, "double").alias("n")))
-    keys = F.array(
-        key("result", r.isin(*RESULTS_DECIDED), s1=r),
-        key("time_class", nonempty("time_control"), s1=time_class("time_control")),
-        key("num_moves", F.col("num_moves") > 0, n=F.col("num_moves")),
-        key("date", nonempty("date") & (F.col("date") != UNKNOWN_DATE), s1=F.col("date")),
-        key("termination", nonempty("termination"), s1=F.col("termination")),
-        key("eco_cat", nonempty("eco"), s1=F.left(F.col("eco"), F.lit(1))),
-        key("diff_bucket", (F.col("white_elo") > 400) & (F.col("black_elo") > 400) & (F.abs(diff) <= 500),
-            n=bucket(diff, 50)),
-        key("eco_open", nonempty("eco"), s1=F.col("eco"), s2=F.col("opening")))
-    rows = games.select(F.filter(keys, lambda k: k.isNotNull()).alias("_k"),
-                        (r == "1-0").cast("int").alias("w"), (r == "0-1").cast("int").alias("b"),
-                        (r == "1/2-1/2").cast("int").alias("d"))
-    # explode_outer: a plain explode would get an inferred size(_k) > 0 filter
-    # pushed below this projection, building the key array twice
-    rows = rows.select(F.explode_outer("_k").alias("k"), "w", "b", "d").select("k.*", "w", "b", "d")
-    agg = rows.where(F.col("dim").isNotNull()).groupBy("dim", "s1", "s2", "n").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("w").alias("w"), F.sum("b").alias("b"), F.sum("d").alias("d"))
-    return agg.select(
-        "dim", F.col("s1").alias("result"), F.col("s1").alias("time_class"),
-        F.col("n").cast("smallint").alias("num_moves"), F.col("s1").alias("date"),
-        F.col("s1").alias("termination"), F.col("s1").alias("eco_cat"), F.col("n").alias("diff_bucket"),
-        F.struct(F.col("s1").alias("eco"), F.col("s2").alias("opening")).alias("eco_open"),
-        "count", "w", "b", "d")
-
-
-def _dim(shared: DataFrame, dim: str) -> DataFrame:
-    return shared.where(F.col("dim") == dim)
-
-
-def _wdl_from_sums() -> list[Column]:
-    n = F.col("count")
-    return [F.round(F.lit(100.0) * F.col(c) / n, 1).alias(a)
-            for c, a in (("w", "white_win_pct"), ("b", "black_win_pct"), ("d", "draw_pct"))]
-
-
-REPORT_FROM_SHARED: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "results": lambda s: _share(_dim(s, "result").select("result", "count")).orderBy(F.desc("count"), "result"),
-    "time_controls": lambda s: _share(_dim(s, "time_class").select("time_class", "count"))
-    .orderBy(F.desc("count"), "time_class"),
-    "move_count_dist": lambda s: _dim(s, "num_moves").where(F.col("num_moves") < 300)
-    .select("num_moves", "count").orderBy("num_moves"),
-    "move_stats": lambda s: move_stats_from_freq(_dim(s, "num_moves").select("num_moves", "count")),
-    "daily_activity": lambda s: _dim(s, "date").select("date", "count").orderBy("date"),
-    "terminations": lambda s: _share(_dim(s, "termination").select("termination", "count"))
-    .orderBy(F.desc("count"), "termination").limit(15),
-    "eco_categories": lambda s: _share(_dim(s, "eco_cat").select("eco_cat", "count")).orderBy("eco_cat"),
-    "rating_advantage": lambda s: _dim(s, "diff_bucket").select("diff_bucket", "count", *_wdl_from_sums())
-    .withColumnRenamed("diff_bucket", "elo_diff_bucket").orderBy("elo_diff_bucket"),
-    "top_openings": lambda s: _dim(s, "eco_open").select("eco_open.eco", "eco_open.opening", "count",
-                                                         *_wdl_from_sums())
-    .orderBy(F.desc("count"), "eco", "opening").limit(30),
-}
-
-
-def move_stats_from_freq(freq: DataFrame) -> DataFrame:
-    q = F.percentile(F.col("num_moves"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count"))
-    return (freq.agg((F.sum(F.col("num_moves").cast("long") * F.col("count")) / F.sum("count")).alias("avg_moves"),
-                     q.alias("q"), F.min("num_moves").alias("min_moves"), F.max("num_moves").alias("max_moves"))
-            .select("avg_moves", F.col("q")[1].alias("median_moves"), "min_moves", "max_moves",
-                    F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75")))
+                elo = elo_frequencies(games).cache()
+                cached.append(elo)
+                elo.count()
+                passes["elo"] = elo
+            except _FAILURES:
+                pass
 
+    def one(name: str) -> DataFrame:
+        a = REPORT[name]
+        df = (a.finish(passes[a.dimension]) if a.dimension in passes else a.alone(games)).cache()
+        try:
+            df.count()
+        except BaseException:
+            df.unpersist()
+            raise
+        return df
 
-def run_report_shared(games: DataFrame, parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """The whole report in four passes over the games: the shared single-key
-    aggregate, the per-side Elo frequencies (histogram and stats), the player
-    counts, and the top-1 game; plus the game count. Nothing per game is
-    cached, only the small aggregates and results."""
-    base = report_input(games)
-    shared = shared_counts(base).cache()
-    elo = elo_frequencies(base).cache()
     out: dict[str, DataFrame] = {}
     errors: dict[str, str] = {}
-    jobs: dict[str, Callable[[], DataFrame]] = {k: (lambda f=f: f(shared)) for k, f in REPORT_FROM_SHARED.items()}
-    jobs.update({"total_games": lambda: total_games(base), "elo_histogram": lambda: elo_histogram_from(elo),
-                 "elo_stats": lambda: elo_stats_from(elo), "top_players": lambda: top_players(base),
-                 "top_game": lambda: top_game(base)})
-
-    def one(name: str) -> DataFrame:
-        df = jobs[name]().cache()
-        df.count()
-        return df
-    for name, pre in (("shared", shared), ("elo", elo)):
-        try:
-            pre.count()
-        except (PySparkException, ArithmeticError, ValueError) as exc:
-            errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = {name: pool.submit(one, name) for name in REPORT if name in jobs}
-        for name, fut in futures.items():
+        for name, future in {name: pool.submit(one, name) for name in todo}.items():
             try:
-                out[name] = fut.result()
-            except (PySparkException, ArithmeticError, ValueError) as exc:
-                errors[name] = f"{type(exc).__name__}: {str(exc).splitlines()[0][:300]}"
-    # the results are cached themselves; a lost block is rebuilt from the lineage
-    shared.unpersist()
-    elo.unpersist()
+                out[name] = future.result()
+            except _FAILURES as exc:
+                errors[name] = _message(exc)
+    for df in cached:  # the results are cached themselves; a lost block is rebuilt from the lineage
+        df.unpersist()
     return out, errors
 
 
-def elo_frequencies(games: DataFrame) -> DataFrame:
-    """(side, elo, both_rated, count) for rated sides: one pass that serves the
-    Elo histogram (per-side range filter) and the Elo stats (game filter)."""
-    both = (F.col("white_elo") > 400) & (F.col("black_elo") > 400)
-    pre = games.where((F.col("white_elo") > 0) | (F.col("black_elo") > 0)).withColumn("both_rated", both)
-    rows = pre.select("both_rated", F.inline(F.array(
-        F.struct(F.lit("white").alias("side"), F.col("white_elo").alias("elo")),
-        F.struct(F.lit("black").alias("side"), F.col("black_elo").alias("elo")))))
-    return rows.where(F.col("elo") > 0).groupBy("side", "elo", "both_rated").agg(F.count(F.lit(1)).alias("count"))
-
-
-def elo_histogram_from(freq: DataFrame) -> DataFrame:
-    return (freq.where(_elo_in_range("elo")).groupBy(bucket("elo", 100).alias("elo_bucket"))
-            .agg(F.sum("count").alias("count")).orderBy("elo_bucket"))
-
-
-def elo_stats_from(freq: DataFrame) -> DataFrame:
-    per_side = (freq.where("both_rated").groupBy("side", "elo").agg(F.sum("count").alias("count"))
-                .groupBy("side").agg(*_weighted_stats(None, "elo")))
-
-    def pick(side: str, c: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(c)))
-    return per_side.agg(
-        pick("white", "avg").alias("avg_white"), pick("black", "avg").alias("avg_black"),
-        pick("white", "median").alias("median_white"), pick("black", "median").alias("median_black"))
+def report_cells(games: DataFrame, names: list[str] | None = None, shared: bool = True) -> DataFrame:
+    """2.J: the whole report as one table ``(analysis, status, key, measure,
+    value)``, a row per number of every analysis; ``key`` holds its text columns,
+    or the first column if it has none. A failed analysis is one row."""
+    spark = games.sparkSession
+    done, errors = run_report(games, names, shared)
+    rows = []
+    for name, df in done.items():
+        # results are bounded by their number of distinct keys; each is turned round where it lies
+        texts = [c for c, t in df.dtypes if t == "string"]
+        numbers = [c for c, t in df.dtypes if t != "string"]
+        key = F.concat_ws("|", *texts) if texts else F.col(numbers[0]).cast("double").cast("long").cast("string")
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers]))
+        rows.append(df.select(F.lit(name).alias("analysis"), F.lit("ok").alias("status"), key.alias("key"), cells.alias("cell"))
+                    .select("analysis", "status", "key", "cell.measure", "cell.value"))
+    bad = [(n, "error", "", e, None) for n, e in errors.items()]
+    out = spark.createDataFrame(bad, "analysis string, status string, key string, measure string, value double")
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
+def write_report(games: DataFrame, folder: str, names: list[str] | None = None) -> dict[str, str]:
+    """Every analysis as a JSON folder of its own below ``folder``; returns the errors."""
+    done, errors = run_report(games, names)
+    for name, df in done.items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+        df.unpersist()
+    return errors

@@ -16,7 +16,7 @@ from ..session import fresh_path
 from ..sources import corpus, files
 from ..sources import testdata as td
 from .catalog import register
-from .queries_report import REPORT_ALL_ROWS_SQL
+from .report_sql import CELLS, REPORT_SQL, cells_sql
 
 GAME_COLS = ", ".join(files.GAME_COLUMNS)
 
@@ -86,18 +86,35 @@ register("batch_status", _outcome,
 
 
 def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each analysis written as its own JSON folder, read back as lines."""
+    """Each analysis written as its own JSON folder, read back number by number."""
     root = fresh_path(spark, "stats")
-    results, _ = report.run_report_shared(td.games(spark, sf_dir))
-    for name, df in results.items():
-        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/{name}")
-        df.unpersist()
-    lines = spark.read.text(f"{root}/*/*.json").withColumn(
-        "analysis", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
-    return lines.groupBy("analysis").agg(F.count(F.lit(1)).alias("rows"))
+    report.write_report(report.report_input(td.games(spark, sf_dir)), root)
+    lines = spark.read.text(f"{root}/*/*.json").select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("analysis"),
+        F.from_json("value", "map<string,string>").alias("m"))
+    out = None
+    for name, (texts, numbers) in CELLS.items():
+        m = lambda c: F.col("m")[c]
+        key = F.concat_ws("|", *[m(c) for c in texts]) if texts else m(numbers[0]).cast("double").cast("long").cast("string")
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), m(c).cast("double").alias("value")) for c in numbers]))
+        part = lines.where(F.col("analysis") == name).select("analysis", key.alias("key"), cells.alias("cell")) \
+            .select("analysis", "key", "cell.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-register("stats_json", _stats_json, REPORT_ALL_ROWS_SQL, ("games",))
+register("stats_json", _stats_json, cells_sql(status=False), ("games",))
+
+
+def _top_game_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top game as a JSON document, read back with its fixed schema."""
+    path = fresh_path(spark, "top-game")
+    top = report.top_game(td.games(spark, sf_dir))
+    top.write.json(path)
+    return spark.read.schema(top.schema).json(path)
+
+
+register("top_game_json", _top_game_json, REPORT_SQL["top_game"], ("games",))
 
 
 _FOLDERS: dict[tuple[str, str], tuple[str, str]] = {}

@@ -160,36 +160,24 @@ TP_CTE = """
         FROM dd LEFT JOIN info i ON dd.game_id = i.game_id JOIN tp ON dd.game_id = tp.game_id)
 , lines AS (
   SELECT game_id, ply,
-    CAST(move_number AS VARCHAR) || CASE WHEN color = 'black' THEN '...' ELSE '.' END || COALESCE(san, '')
-    || ': '
-    || CASE WHEN mate IS NOT NULL THEN 'mate ' || printf('%+d', mate)
-            WHEN cp IS NOT NULL THEN printf('%+d', cp) || ' cp' ELSE '? cp' END
-    || CASE WHEN ABS(diff) > 0 THEN ' (Δ' || CAST(ABS(diff) AS VARCHAR) || ')' ELSE '' END
-    || CASE WHEN blame IS NOT NULL
-            THEN ' <- ' || CASE WHEN blame = 'white' THEN white ELSE black END || ' (' || blame || ') error'
-            ELSE '' END
-    || CASE WHEN best_san IS NOT NULL AND best_san != '' AND blame IS NOT NULL
-            THEN ' [engine: ' || best_san || ']' ELSE '' END
-    || CASE WHEN ply = turning_ply THEN ' *TURNING POINT' ELSE '' END
-    || CASE WHEN tag = 'opening' THEN ' [OPENING]' WHEN tag = 'final' THEN ' [FINAL MOVES]' ELSE '' END
-    || ' | fen: ' || COALESCE(fen, '') AS line
+    concat_ws('; ', 'ply=' || ply, 'move=' || move_number || CASE color WHEN 'white' THEN '.' ELSE '...' END || coalesce(san, ''),
+      'score=' || coalesce('mate' || printf('%+d', mate), printf('%+d', cp), 'none'),
+      'swing=' || nullif(abs(diff), 0), 'error_by=' || CASE blame WHEN 'white' THEN white WHEN 'black' THEN black END,
+      'better=' || CASE WHEN blame IS NOT NULL THEN nullif(best_san, '') END,
+      CASE WHEN ply = turning_ply THEN 'turning_point' END, 'phase=' || nullif(tag, ''), 'position=' || coalesce(fen, '')) AS line
   FROM j)
 , wb AS (SELECT * FROM (
            SELECT *, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY ABS(diff) DESC, ply) AS rk
            FROM dd WHERE blame IS NOT NULL AND ply >= LEAST(5, n_plies)) WHERE rk = 1)
 , facts AS (
-  SELECT g.game_id, g.n AS n_plies,
-    CASE COALESCE(i.result, '*') WHEN '1-0' THEN COALESCE(i.white, 'White') || ' (white) won'
-         WHEN '0-1' THEN COALESCE(i.black, 'Black') || ' (black) won' ELSE 'draw or unfinished' END AS winner,
-    'Result: ' || COALESCE(i.result, '*') || ' -> '
-    || CASE COALESCE(i.result, '*') WHEN '1-0' THEN COALESCE(i.white, 'White') || ' (white) won'
-            WHEN '0-1' THEN COALESCE(i.black, 'Black') || ' (black) won' ELSE 'draw or unfinished' END || '.'
-    || CASE WHEN wb.blame IS NOT NULL THEN chr(10) || 'Worst error: ' || CAST(wb.move_number AS VARCHAR)
-              || CASE WHEN wb.color = 'black' THEN '...' ELSE '.' END || COALESCE(wb.san, '') || ' - '
-              || CASE WHEN wb.blame = 'white' THEN COALESCE(i.white, 'White') ELSE COALESCE(i.black, 'Black') END
-              || ' (' || wb.blame || ') error (cp swing: ' || CAST(ABS(wb.diff) AS VARCHAR) || ').'
-            ELSE '' END AS facts
-  FROM tpg g LEFT JOIN wb ON g.game_id = wb.game_id LEFT JOIN info i ON g.game_id = i.game_id)
+  SELECT *, concat_ws(chr(10), concat_ws('; ', 'result=' || result, 'winner=' || winner), worst) AS facts FROM (
+    SELECT g.game_id, g.n AS n_plies, coalesce(i.result, '*') AS result,
+      CASE i.result WHEN '1-0' THEN i.white || ', white' WHEN '0-1' THEN i.black || ', black' ELSE 'none' END AS winner,
+      CASE WHEN wb.blame IS NOT NULL THEN concat_ws('; ',
+        'worst_move=' || wb.move_number || CASE wb.color WHEN 'white' THEN '.' ELSE '...' END || coalesce(wb.san, ''),
+        'by=' || CASE wb.blame WHEN 'white' THEN coalesce(i.white, 'White') ELSE coalesce(i.black, 'Black') END,
+        'side=' || wb.blame, 'swing=' || abs(wb.diff)) END AS worst
+    FROM tpg g LEFT JOIN wb ON g.game_id = wb.game_id LEFT JOIN info i ON g.game_id = i.game_id))
 """
 
 
@@ -199,19 +187,17 @@ def _gp(fn):
 
 register("narration_lines", _gp(nr.narration_lines), DIFF_CTE + TP_CTE + "SELECT * FROM lines",
          ("games", "plies"))
-register("narration_facts", _gp(nr.narration_facts), DIFF_CTE + TP_CTE + "SELECT * FROM facts",
+register("narration_facts", _gp(nr.narration_facts), DIFF_CTE + TP_CTE + "SELECT game_id, n_plies, winner, facts FROM facts",
          ("games", "plies"))
 register("narration_prompts", _gp(nr.narration_prompts), DIFF_CTE + TP_CTE + """
 , body AS (SELECT game_id, string_agg(line, chr(10) ORDER BY ply) AS moves_block, COUNT(*) AS n
            FROM lines GROUP BY game_id)
-SELECT b.game_id,
-  'ECO: ' || COALESCE(i.eco, '?') || ' - ' || COALESCE(i.opening, '') || chr(10)
-  || 'White: ' || COALESCE(i.white, 'White') || ' (' || COALESCE(CAST(i.white_elo AS VARCHAR), '?') || '), '
-  || 'Black: ' || COALESCE(i.black, 'Black') || ' (' || COALESCE(CAST(i.black_elo AS VARCHAR), '?') || ')'
-  || chr(10) || 'Plies: ' || CAST(b.n AS VARCHAR) || ' | Target: ~'
-  || CAST(GREATEST(250, LEAST(650, b.n * 12 + 50)) AS VARCHAR) || ' words' || chr(10) || chr(10)
-  || '## FACTS (the narration must not contradict these):' || chr(10) || f.facts || chr(10) || chr(10)
-  || '## Moves' || chr(10) || b.moves_block AS prompt
+SELECT b.game_id, concat_ws(chr(10), '[game]',
+    'white=' || coalesce(i.white, 'White') || '; rating=' || coalesce(CAST(i.white_elo AS VARCHAR), 'unknown'),
+    'black=' || coalesce(i.black, 'Black') || '; rating=' || coalesce(CAST(i.black_elo AS VARCHAR), 'unknown'),
+    'eco=' || coalesce(i.eco, 'unknown') || '; opening=' || coalesce(i.opening, ''),
+    'plies=' || b.n || '; words=' || greatest(250, least(650, b.n * 12 + 50)),
+    '[facts]', f.facts, '[record]', b.moves_block) AS prompt
 FROM body b JOIN facts f ON b.game_id = f.game_id LEFT JOIN info i ON b.game_id = i.game_id""",
          ("games", "plies"))
 

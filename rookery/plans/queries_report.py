@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import report
 from ..sources import testdata as td
 from .catalog import register
-from .report_sql import REPORT_SQL
+from .report_sql import REPORT_SQL, cells_sql
 
 
 def _on_games(fn):
@@ -40,15 +40,8 @@ for _key, _fn in {
 
 
 def _report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report_summary(report.report_input(td.games(spark, sf_dir)))
+    return report.report_cells(report.report_input(td.games(spark, sf_dir)))
 
 
-# Row counts per analysis of the full report, each analysis isolated.
-_REPORT_ALL_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS analysis, 'ok' AS status, (SELECT COUNT(*) FROM ({REPORT_SQL[k]})) AS rows"
-    for k in report.REPORT)
-register("report_all", _report_all, _REPORT_ALL_SQL, ("games",))
-
-# Rows per analysis without the status column (the JSON sink check).
-REPORT_ALL_ROWS_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS analysis, (SELECT COUNT(*) FROM ({REPORT_SQL[k]})) AS rows" for k in report.REPORT)
+# Every number of the full report, each analysis isolated.
+register("report_all", _report_all, cells_sql(), ("games",))

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rookery.operators import report
 from rookery.sources import pgn
 
@@ -48,8 +50,8 @@ def test_rating_advantage(games):
 
 
 def test_moves(games):
-    assert rows(report.move_stats(games)) == [(11.8, 11.0, 7, 17, 10.0, 14.0)]
-    assert rows(report.move_count_dist(games)) == [(7, 1), (10, 1), (11, 1), (14, 1), (17, 1)]
+    assert rows(report.move_stats(games)) == [(12.4, 11.0, 7, 20, 10.0, 14.0)]
+    assert rows(report.move_count_dist(games)) == [(7, 1), (10, 1), (11, 1), (14, 1), (20, 1)]
 
 
 def test_top_game_players(games):
@@ -63,14 +65,33 @@ def test_registry_isolates_failures(games):
     results, errors = report.run_report(report.report_input(games))
     assert set(results) == set(report.REPORT) and errors == {}
     broken = games.drop("termination")   # one analysis cannot run on this input
-    results, errors = report.run_report(broken, share_scan=False)
-    assert "terminations" in errors and "results" in results
+    results, errors = report.run_report(broken)
+    assert set(errors) == {"terminations"} and set(results) == set(report.REPORT) - {"terminations"}
+
+
+def test_added_and_failing_analyses_are_seen(games, monkeypatch):
+    monkeypatch.setitem(report.DIMENSIONS, "white", report.Dimension(lambda: {"white": F.col("white")}, lambda: F.lit(True)))
+    monkeypatch.setitem(report.DIMENSIONS, "bad", report.Dimension(lambda: {"x": F.raise_error(F.lit("no")).cast("string")}, lambda: F.lit(True)))
+    monkeypatch.setitem(report.REPORT, "whites", report.Analysis(lambda c: c.select("white", "count"), "white"))
+    monkeypatch.setitem(report.REPORT, "own", report.Analysis(lambda g: g.agg(F.max("game_id").alias("last"))))
+    monkeypatch.setitem(report.REPORT, "bad", report.Analysis(lambda c: c, "bad"))
+    results, errors = report.run_report(games)
+    assert set(errors) == {"bad"} and set(results) == set(report.REPORT) - {"bad"}
+    assert sum(r["count"] for r in results["whites"].collect()) == 5 and results["own"].first().last == 5
+    cells = report.report_cells(games).collect()
+    assert {r.analysis for r in cells} == set(report.REPORT) and [r.analysis for r in cells if r.status == "error"] == ["bad"]
 
 
-def test_one_pass_report_equals_direct(games):
+def test_shared_pass_equals_each_alone(games):
     from rookery.plans.verify import compare
-    shared, errors = report.run_report_shared(games)
-    direct, _ = report.run_report(report.report_input(games))
-    assert errors == {} and set(shared) == set(report.REPORT)
+    together, errors = report.run_report(games)
+    alone, _ = report.run_report(games, shared=False)
+    assert errors == {} and set(together) == set(alone) == set(report.REPORT)
     for name in report.REPORT:
-        assert compare(shared[name].toPandas(), direct[name].toPandas()) == [], name
+        assert compare(together[name].toPandas(), alone[name].toPandas()) == [], name
+
+
+def test_share_has_no_single_task_over_keys(spark):
+    games = spark.createDataFrame([("Normal", "1-0"), ("Time", "0-1")], "termination string, result string")
+    plan = report.terminations(games)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
