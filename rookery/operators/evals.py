@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (FINAL_PLIES, MATE_SCORE, OPENING_MOVES, START_FEN, blame,
-                               effective_cp, move_number, move_quality, ply_color,
+                               effective_cp, move_number, move_quality, nonempty, ply_color,
                                position_key, win_probability)
 
 TURNING_SKIP = 5          # first plies never count as turning point / worst error
@@ -168,6 +168,12 @@ def document_ply_count(docs: DataFrame) -> DataFrame:
                        (F.size("moves") - 1).alias("plies"))
 
 
+def ply_counts(plies: DataFrame) -> DataFrame:
+    """``document_ply_count`` of the games in ``plies``, without the documents."""
+    n = F.count(F.lit(1))
+    return plies.groupBy("game_id").agg((n + 1).cast("int").alias("shown_moves"), n.cast("int").alias("plies"))
+
+
 def final_position(docs: DataFrame) -> DataFrame:
     """FEN of the last move, the start position for an empty document."""
     last = F.element_at("moves", -1)["fen"]
@@ -175,8 +181,53 @@ def final_position(docs: DataFrame) -> DataFrame:
                        .alias("final_fen"))
 
 
+def final_positions(plies: DataFrame) -> DataFrame:
+    """``final_position`` of the games in ``plies``, without the documents."""
+    return plies.groupBy("game_id").agg(F.coalesce(F.max_by("fen", "ply"), F.lit(START_FEN)).alias("final_fen"))
+
+
+# The evaluation of a game as one nested document
+def evaluation_documents(games: DataFrame, plies: DataFrame, k: int = TOP_MISTAKES) -> DataFrame:
+    """One document per game: every ply with its player, the positions around it
+    and its evaluation; the best moves; the summary; the ``k`` worst errors.
+
+    Plies behind the last one with a score were not evaluated: they have no
+    quality and count nowhere but in ``plies``. All parts come from one
+    partitioning by game. Plies without a games row get White/Black defaults."""
+    w, whole = _by_game(), _whole_game()
+    ev = ply_evaluations(plies).withColumn("fen_before", F.coalesce(F.lag("fen").over(w), F.lit(START_FEN)))
+    scored = F.col("cp").isNotNull() | F.col("mate").isNotNull()
+    ev = ev.withColumn("evaluated", F.col("ply") <= F.max(F.when(scored, F.col("ply"))).over(whole))
+    ev = ev.withColumn("quality", F.when(F.col("evaluated"), F.col("quality")))
+    row = F.struct("ply", move_number("ply").alias("move_number"), ply_color("ply").alias("color"), "uci", "san", "fen_before",
+                   F.col("fen").alias("fen_after"), "eval_before", "eval_after", "cp_loss", "win_prob_before", "win_prob_after",
+                   "is_best", "quality", "best_uci", "best_san")
+    bad = F.col("quality").isin("inaccuracy", "mistake", "blunder")
+    worst = F.when(bad, F.struct((-F.col("cp_loss")).alias("o"), "ply", "uci", "best_uci", "cp_loss", "quality"))
+    per_game = ev.groupBy("game_id").agg(
+        F.array_sort(F.collect_list(row)).alias("r"), F.count(F.lit(1)).alias("plies"),
+        F.slice(F.array_sort(F.collect_list(worst)), 1, k).alias("worst"),
+        F.count_if("evaluated").alias("total_moves_analyzed"),
+        F.count_if(F.col("quality").isin("mistake", "blunder")).alias("mistakes"),
+        F.count_if(F.col("quality") == "blunder").alias("blunders"),
+        F.bround(F.avg(F.when(F.col("evaluated"), F.col("cp_loss"))), 1).alias("avg_cp_loss"))
+    white, black = (F.coalesce(c, F.lit(c.capitalize())) for c in ("white", "black"))
+    named = per_game.join(games.select("game_id", "white", "black"), "game_id", "left") \
+        .withColumn("white", white).withColumn("black", black)
+
+    def evaluation(x: Column) -> Column:
+        player = F.when(x["color"] == "white", F.col("white")).otherwise(F.col("black"))
+        return x.withField("player", player)
+    best = F.transform(F.filter("r", lambda x: nonempty(x["best_uci"])), lambda x: F.struct(
+        x["ply"].alias("ply"), x["best_uci"].alias("uci"), x["best_san"].alias("san")))
+    return named.select(
+        "game_id", "white", "black", "plies", F.transform("r", evaluation).alias("evaluations"), best.alias("best_moves"),
+        F.struct("total_moves_analyzed", "mistakes", "blunders", "avg_cp_loss").alias("summary"),
+        F.transform("worst", lambda x: x.dropFields("o")).alias("top_mistakes"))
+
+
 # Games with no evaluation at all -> placeholder record
 def games_without_evals(games: DataFrame, plies: DataFrame) -> DataFrame:
-    missing = games.join(plies.select("game_id"), "game_id", "left_anti")
+    missing = games.join(plies.select("game_id").distinct(), "game_id", "left_anti")
     return missing.select("game_id", "white", "black",
                           F.lit("evaluation unavailable").alias("error"))

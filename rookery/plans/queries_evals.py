@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evals as ev
+from ..session import fresh_path
 from ..sources import testdata as td
 from .catalog import register
 
@@ -143,13 +144,45 @@ SELECT d.game_id, d.white, d.black, p.ply + 1, CAST(FLOOR(p.ply / 2) + 1 AS INT)
        CASE WHEN p.ply % 2 = 0 THEN 'white' ELSE 'black' END, p.san, p.fen
 FROM docs d JOIN plies p ON d.game_id = p.game_id""", ("games", "plies"))
 
-register("document_ply_count", _games_plies(lambda g, p: ev.document_ply_count(ev.game_documents(g, p))), """
+register("document_ply_count", _plies(ev.ply_counts), """
 SELECT game_id, CAST(COUNT(*) + 1 AS INT) AS shown_moves, CAST(COUNT(*) AS INT) AS plies
 FROM plies GROUP BY game_id""", ("plies",))
 
-register("final_position", _games_plies(lambda g, p: ev.final_position(ev.game_documents(g, p))), """
+register("final_position", _plies(ev.final_positions), """
 SELECT game_id, arg_max(fen, ply) AS final_fen FROM plies GROUP BY game_id""", ("plies",))
 
+
+def _evaluation_rows(games: DataFrame, plies: DataFrame) -> DataFrame:
+    """The documents, written as JSON, read back and laid out by ply."""
+    docs = ev.evaluation_documents(games, plies)
+    path = fresh_path(games.sparkSession, "evaluations")
+    docs.write.json(path)
+    docs = games.sparkSession.read.schema(docs.schema).json(path)
+    top = F.transform("top_mistakes", lambda m: m["ply"])
+    return docs.select("game_id", "plies", F.size("best_moves").alias("n_best"), "summary.*", top.alias("top"), F.explode("evaluations").alias("e")) \
+        .select("game_id", "plies", "n_best", "total_moves_analyzed", "mistakes", "blunders", "avg_cp_loss", "e.ply", "e.player",
+                "e.fen_before", "e.fen_after", "e.cp_loss", "e.win_prob_after", "e.quality",
+                F.array_position("top", F.col("e.ply")).cast("int").alias("mistake_rank"))
+
+
+register("evaluation_document", _games_plies(_evaluation_rows), EVAL_CTE + f"""
+, z AS (
+  SELECT ev.*, p.fen, lag(p.fen) OVER (PARTITION BY ev.game_id ORDER BY ev.ply) AS before,
+         max(CASE WHEN p.cp IS NOT NULL OR p.mate IS NOT NULL THEN ev.ply END) OVER (PARTITION BY ev.game_id) AS last_scored, p.best_uci AS b
+  FROM ev JOIN plies p ON ev.game_id = p.game_id AND ev.ply = p.ply)
+, q AS (SELECT * EXCLUDE (quality), CASE WHEN ply <= last_scored THEN quality END AS quality FROM z)
+, m AS (SELECT game_id, ply, CAST(row_number() OVER (PARTITION BY game_id ORDER BY cp_loss DESC, ply) AS INT) AS rk FROM q
+        WHERE quality IN ('inaccuracy', 'mistake', 'blunder'))
+, s AS (SELECT game_id, count(*) AS plies, CAST(count(*) FILTER (b <> '') AS INT) AS n_best, count(*) FILTER (ply <= last_scored) AS total_moves_analyzed,
+               count(*) FILTER (quality IN ('mistake', 'blunder')) AS mistakes, count(*) FILTER (quality = 'blunder') AS blunders,
+               round_even(avg(cp_loss) FILTER (ply <= last_scored), 1) AS avg_cp_loss
+        FROM q GROUP BY game_id)
+SELECT s.*, q.ply, CASE WHEN q.ply % 2 = 0 THEN coalesce(g.white, 'White') ELSE coalesce(g.black, 'Black') END AS player,
+       coalesce(q.before, '{START}') AS fen_before, q.fen AS fen_after, q.cp_loss, q.win_prob_after, q.quality,
+       CAST(CASE WHEN m.rk <= 5 THEN m.rk ELSE 0 END AS INT) AS mistake_rank
+FROM q JOIN s ON q.game_id = s.game_id LEFT JOIN games g ON q.game_id = g.game_id
+LEFT JOIN m ON q.game_id = m.game_id AND q.ply = m.ply""", ("games", "plies"))
+
 register("games_without_evals", _games_plies(ev.games_without_evals), """
 SELECT game_id, white, black, 'evaluation unavailable' AS error
 FROM games g WHERE NOT EXISTS (SELECT 1 FROM plies p WHERE p.game_id = g.game_id)""", ("games", "plies"))

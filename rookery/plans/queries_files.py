@@ -3,8 +3,6 @@ batch outcome, report JSON sink, listings, base64, random pick, output names."""
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,57 +115,47 @@ def _top_game_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("top_game_json", _top_game_json, REPORT_SQL["top_game"], ("games",))
 
 
-_FOLDERS: dict[tuple[str, str], tuple[str, str]] = {}
-_FOLDERS_LOCK = threading.Lock()
-
-
-def _narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Documents as one JSON folder per stem; an audio stub for every document
-    whose reply passed the checks (the narrations that would be voiced).
-    Written once per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    with _FOLDERS_LOCK:
-        if key not in _FOLDERS:
-            _FOLDERS[key] = _write_narration_folders(spark, sf_dir)
-        return _FOLDERS[key]
-
-
-def _write_narration_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _narrated(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Documents and the sound of those whose reply passed the checks, each as an
+    ordinary table with a stem column: a document is a row, not a folder."""
     docs = nr.documents_from_paragraphs(td.para(spark, sf_dir))
     docs = docs.withColumn("stem", F.concat(naming.stem_base("white", "black", F.lit("")), F.lit("_0001")))
     docs_dir, audio_dir = fresh_path(spark, "docs"), fresh_path(spark, "audio")
-    docs.write.mode("overwrite").partitionBy("stem").json(docs_dir)
+    made = F.timestamp_seconds(F.pmod(F.col("g") * 7919, F.lit(1000)) * 60)
+    docs.select("g", "stem", made.alias("modified")).write.json(docs_dir)
     status = nr.reply_status(nr.parse_replies(nr.replies_from_documents(docs)))
-    ok = status.where(F.col("status") == "ok").join(docs.select("g", "stem"), "g")
-    ok.select("stem", F.lit("ID3").alias("value")).write.mode("overwrite").partitionBy("stem").text(audio_dir)
+    ok = status.where(F.col("status") == "ok").join(docs.select("g", "stem", "paragraphs"), "g")
+    # some bytes that differ from document to document
+    sound = F.encode(F.concat(F.lit("ID3"), F.col("paragraphs")[0]["text"]), "UTF-8")
+    ok.select("stem", sound.alias("content")).write.parquet(audio_dir)
     return docs_dir, audio_dir
 
 
 def _playable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs_dir, audio_dir = _narration_folders(spark, sf_dir)
-    # file times are not part of the checked result
-    return files.playable_games(spark, docs_dir, audio_dir, docs_glob="*.json", audio_glob="*.txt") \
-        .select("stem", "display")
+    docs_dir, audio_dir = _narrated(spark, sf_dir)
+    docs = spark.read.schema("stem string, modified timestamp").json(docs_dir)
+    return files.playable_games(docs, spark.read.parquet(audio_dir)) \
+        .select("stem", F.unix_seconds("modified").alias("modified"), "display")
 
 
 def _base64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audio files of the playable games as base64."""
-    _, audio_dir = _narration_folders(spark, sf_dir)
-    b = files.file_base64(spark, audio_dir, "*.txt")
-    return b.select(F.regexp_extract("path", r"/stem=([^/]+)/", 1).alias("stem"), "length", "b64")
+    """The sound of the playable games as base64."""
+    _, audio_dir = _narrated(spark, sf_dir)
+    return spark.read.parquet(audio_dir).select("stem", F.length("content").cast("long").alias("length"), files.base64_text("content").alias("b64"))
 
 
-# Documents whose reply passed the checks got an audio stub ("ID3" + newline).
 _OK_STEMS = """
 , ok AS (
-  SELECT g FROM para GROUP BY g
+  SELECT g, first(text ORDER BY p) AS text FROM para GROUP BY g
   HAVING NOT (g % 6 IN (2, 3))
      AND SUM(CASE WHEN trigger_word != '' AND NOT contains(text, trigger_word) THEN 1 ELSE 0 END) = 0)
-, stems AS (SELECT 'White_' || CAST(g AS VARCHAR) || '_vs_Black_' || CAST(g AS VARCHAR) || '_XX_0001' AS stem FROM ok)
+, stems AS (SELECT g, 'White_' || CAST(g AS VARCHAR) || '_vs_Black_' || CAST(g AS VARCHAR) || '_XX_0001' AS stem,
+                   encode('ID3' || text) AS content FROM ok)
 """
-register("playable_games", _playable, _OK_STEMS + "SELECT stem, stem AS display FROM stems", ("para",))
-register("file_base64", _base64, _OK_STEMS + "SELECT stem, CAST(4 AS BIGINT) AS length, 'SUQzCg==' AS b64 FROM stems",
-         ("para",))
+register("playable_games", _playable, _OK_STEMS + """
+SELECT stem, CAST((g * 7919) % 1000 * 60 AS BIGINT) AS modified, stem AS display FROM stems""", ("para",))
+register("file_base64", _base64, _OK_STEMS + """
+SELECT stem, CAST(octet_length(content) AS BIGINT) AS length, base64(content) AS b64 FROM stems""", ("para",))
 
 RANDOM_SEED = 42
 

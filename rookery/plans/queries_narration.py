@@ -132,10 +132,12 @@ def _anchor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     document's: start position at index 0 and again as ``moves[0]`` (index 1),
     then ply k at index k + 2."""
     plies = td.plies(spark, sf_dir).select(F.col("game_id").alias("g"), "ply", "fen")
-    positions = plies.select("g", (F.col("ply") + 2).alias("idx"), "fen")
-    starts = (plies.where(F.col("ply") == 0)
-              .select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"), F.lit(START_FEN).alias("fen")))
-    return nr.anchor_positions(plies, positions.unionByName(starts)).select("g", "ply", "fen_idx")
+    # the two start entries come along with the first ply, in the same scan
+    entry = lambda idx, fen: F.struct(idx.cast("int").alias("idx"), fen.alias("fen"))
+    own, start = entry(F.col("ply") + 2, F.col("fen")), F.lit(START_FEN)
+    entries = F.when(F.col("ply") == 0, F.array(entry(F.lit(0), start), entry(F.lit(1), start), own)).otherwise(F.array(own))
+    positions = plies.select("g", F.explode(entries).alias("e")).select("g", "e.idx", "e.fen")
+    return nr.anchor_positions(plies, positions).select("g", "ply", "fen_idx")
 
 
 register("anchor_positions", _anchor_positions, f"""
@@ -243,3 +245,13 @@ def _narration_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("narration_scan", _narration_scan, """
 SELECT g, CAST(p AS INT) AS p, 0 AS a, text, fen, trigger_word FROM para""", ("para",))
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "narration-text")
+    nr.write_narration_text(_docs(spark, sf_dir), path, F.concat(F.lit("doc_"), F.col("g").cast("string")))
+    return nr.read_narration_text(spark, path)
+
+
+register("narration_text_files", _text_files, """
+SELECT 'doc_' || g AS stem, string_agg(text, chr(10) || chr(10) ORDER BY p) AS text FROM para GROUP BY g""", ("para",))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pgn_render import render_annotated
+from ..operators.pgn_render import render_annotated, render_games
+from ..session import fresh_path
 from ..sources import corpus, files
 from ..sources import pgn
 from ..sources import testdata as td
@@ -126,6 +127,7 @@ FROM info i JOIN mt ON i.game_id = mt.game_id""".replace("{{", "{").replace("}}"
 
 
 def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19 guard: the games that a target does not hold yet."""
     target = corpus.games_corpus(spark, sf_dir) + "/source=rated_game_0"
     existing = pgn.with_tags(pgn.scan_pgn(spark, target, glob=None)).select(
         pgn.tag(F.col("_keys"), F.col("_vals"), "ParquetGameId", "").cast("int").alias("game_id"))
@@ -135,3 +137,15 @@ def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("pgn_append_new", _append_new,
          f"SELECT game_id FROM games WHERE {SOURCE} != 'rated_game_0'", ("games",))
 
+
+def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append in two steps that overlap; every game is there once."""
+    folder = fresh_path(spark, "appended")
+    games = render_games(td.games(spark, sf_dir), keep=("event",))
+    files.append_games(games.where("event <> 'Rated game 1'"), folder)
+    files.append_games(games, folder)
+    parsed = pgn.parse_games(pgn.scan_pgn(spark, folder, glob=None))
+    return parsed.select(F.col("src_game_id").cast("int").alias("game_id"), "white", "moves_uci")
+
+
+register("pgn_append", _append, "SELECT game_id, white, moves_uci FROM games", ("games",))

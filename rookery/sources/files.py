@@ -165,26 +165,50 @@ def batch_status(outcome: DataFrame) -> DataFrame:
     return outcome.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
-def playable_games(spark: SparkSession, docs_dir: str, audio_dir: str,
-                   aliases: dict[str, str] | None = None, docs_glob: str | None = "*.json",
-                   audio_glob: str | None = "*.mp3") -> DataFrame:
+def playable_games(docs: DataFrame, audio: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Documents that have an audio twin with the same stem, newest first.
-    ``display`` is the stem unless ``aliases`` names it otherwise."""
-    docs = list_files(spark, docs_dir, docs_glob).groupBy("source").agg(
-        F.max("modificationTime").alias("modified"))
-    audio = list_files(spark, audio_dir, audio_glob).select("source")
-    j = docs.join(audio, "source", "left_semi")
-    display = F.col("source")
+
+    ``docs`` is ``(stem, modified)`` and ``audio`` ``(stem)``: listings of folders
+    with a file per document (``listing``), or tables with a row per document.
+    ``position`` is the place in the order; ``display`` is the stem unless
+    ``aliases`` names it otherwise."""
+    newest = docs.groupBy("stem").agg(F.max("modified").alias("modified"))
+    j = newest.join(audio.select("stem"), "stem", "left_semi")
+    display = F.col("stem")
     if aliases:
         m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-        display = F.coalesce(F.try_element_at(m, F.col("source")), F.col("source"))
-    return j.select(F.col("source").alias("stem"), "modified", display.alias("display")) \
-        .orderBy(F.desc("modified"), "stem")
+        display = F.coalesce(F.try_element_at(m, F.col("stem")), F.col("stem"))
+    return j.select("stem", "modified", display.alias("display")).orderBy(F.desc("modified"), "stem")
+
+
+def listing(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
+    """``(stem, modified)`` of a folder with a file per document."""
+    return list_files(spark, folder, glob).select(F.col("source").alias("stem"), F.col("modificationTime").alias("modified"))
+
+
+def append_games(games: DataFrame, folder: str) -> None:
+    """Append to a PGN folder the games that it does not hold yet, by their
+    ParquetGameId tag. ``games`` is ``(game_id, pgn)``; a game that is given
+    twice is appended once. The ids to append are read off before the write
+    starts, so the folder can be read and appended to in one job."""
+    spark = games.sparkSession
+    games = games.dropDuplicates(["game_id"])
+    if path_exists(spark, folder):
+        tagged = pgn.with_tags(pgn.scan_pgn(spark, folder, glob=None))
+        held = tagged.select(pgn.tag(F.col("_keys"), F.col("_vals"), "ParquetGameId", "").try_cast("long").alias("game_id")).distinct()
+        games = games.join(held, "game_id", "left_anti")
+    games.select("pgn").write.mode("append").text(folder)
+
+
+def base64_text(content: str) -> Column:
+    """Binary as one line of base64; Spark breaks lines after 76 characters."""
+    return F.regexp_replace(F.base64(content), "[\r\n]", "")
 
 
 def file_base64(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """File content as base64 text."""
+    """Content of the files of a folder as base64 text. Files of 0 bytes are
+    not listed: Spark's file sources pass them over."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(folder).select("path", "length", F.base64("content").alias("b64"))
+    return r.load(folder).select("path", "length", base64_text("content").alias("b64"))

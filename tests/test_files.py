@@ -91,3 +91,31 @@ def test_compaction_removes_its_parts_only(spark):
     files.compact_games(spark, src, dst, remove_parts=True)
     assert sorted(r.game_id for r in files.read_games(spark, dst).collect()) == list(range(50))
     assert not parts & set(_times(src)) and os.path.exists(f"{src}/_temporary/0/part-stale.parquet")
+
+
+def test_append_adds_what_is_missing(spark):
+    folder = fresh_path(spark, "t-append")
+    one = lambda i: f'[Event "x"]\n[ParquetGameId "{i}"]\n\n1. e4 *\n'
+    games = lambda ids: spark.createDataFrame([(i, one(i)) for i in ids], "game_id int, pgn string")
+    for ids in ([1, 2, 2], [2, 3], [], [1, 2, 3], [4]):
+        files.append_games(games(ids), folder)
+    got = files.pgn.parse_games(files.pgn.scan_pgn(spark, folder, glob=None))
+    assert sorted(int(r.src_game_id) for r in got.collect()) == [1, 2, 3, 4]
+
+
+def test_playable_games_of_folders_and_base64(spark, tmpdir_path):
+    import base64
+    docs, audio = os.path.join(tmpdir_path, "docs"), os.path.join(tmpdir_path, "audio")
+    os.makedirs(docs)
+    os.makedirs(audio)
+    payloads = {"a": b"x", "b": bytes(range(256)) * 3, "d": b"ID3"}
+    for k, name in enumerate("abc"):
+        path = os.path.join(docs, f"{name}.json")
+        open(path, "w").write("{}")
+        os.utime(path, (1000 + k, 1000 + k))
+    for name, data in payloads.items():
+        open(os.path.join(audio, f"{name}.mp3"), "wb").write(data)
+    rows = files.playable_games(files.listing(spark, docs, "*.json"), files.listing(spark, audio, "*.mp3"), {"a": "First"}).collect()
+    assert [(r.stem, r.display) for r in rows] == [("b", "b"), ("a", "First")]
+    got = {os.path.basename(r.path)[:-4]: (r.length, r.b64) for r in files.file_base64(spark, audio, "*.mp3").collect()}
+    assert got == {k: (len(v), base64.b64encode(v).decode()) for k, v in payloads.items()}

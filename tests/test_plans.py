@@ -60,3 +60,9 @@ def test_hot_key_rank_windows_are_bucketed(spark):
 def test_eval_windows_need_one_exchange_per_input(spark):
     p = plan(evals.eval_diffs(td.plies(spark, SF001)))
     assert len(re.findall(r"Exchange hashpartitioning\(game_id", p)) == 1
+
+
+def test_anchor_timing_is_one_partitioning(spark):
+    par = td.para(spark, SF001).select("g", "p", "text", F.array(F.struct("fen", "trigger_word", "fen_idx")).alias("anchors"))
+    p = plan(narration.timed_anchors(par, 40))
+    assert len(re.findall(r"Exchange hashpartitioning\(g", p)) == 1 and "Union" not in p and "Join" not in p
