@@ -31,16 +31,18 @@ THRESHOLD = 0.98
 GRID_DIMS, KEY_DIMS = 8, 2
 #: Rows of a block, and of an interval that is compared as a whole.
 BLOCK_ROWS, LEAF_ROWS = 512, 128
-#: Vectors from which a rotation is fitted, for each length of vectors.
-SAMPLE_ROWS = 4096
+#: Vectors from which rotations are fitted, and their components in all.
+SAMPLE_ROWS, SAMPLE_VALUES = 4096, 1 << 20
 #: Cosines this near the threshold are computed anew with exact sums.
 CLOSE = 1e-12
 
 
 def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Leading principal axes for each length of vectors, from a bounded sample."""
+    widest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = max(64, min(SAMPLE_ROWS, SAMPLE_VALUES // widest))
     sample = (vectors.select("embedding", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("h"))
-              .orderBy("h").limit(SAMPLE_ROWS).collect())
+              .orderBy("h").limit(rows).collect())
     out: dict[int, np.ndarray] = {}
     for width in {r.width for r in sample}:
         u = unit(np.array([r.embedding for r in sample if r.width == width], dtype=np.float64))
@@ -97,7 +99,7 @@ def sequence_join(ua: np.ndarray, ub: np.ndarray, ca: np.ndarray, cb: np.ndarray
     return (np.concatenate(left) if left else empty), (np.concatenate(right) if right else empty)
 
 
-def _blocks(axes: dict[int, np.ndarray]):
+def _blocks():
     schema = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("key", pa.list_(pa.int32())),
                         ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
                         ("ids", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("vectors", pa.binary()), ("cells", pa.binary())])
@@ -206,7 +208,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     order = ["label", F.size("embedding"), *[F.col("cells")[d] for d in range(GRID_DIMS)], "id"]
     n = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sequence = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "copies", "label", "cells", "embedding")
-    blocks = written(sequence.mapInArrow(_blocks(axes), "block long, label long, width int, key array<int>, low array<int>, high array<int>, "
+    blocks = written(sequence.mapInArrow(_blocks(), "block long, label long, width int, key array<int>, low array<int>, high array<int>, "
                                          "ids array<long>, copies array<long>, vectors binary, cells binary"), "embed-blocks")
 
     head = blocks.select("block", "label", "width", "key", "low", "high")

@@ -112,12 +112,19 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(run, kind)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, groups: DataFrame | None = None) -> DataFrame:
     """Pack a document table: lengths and clusters are taken from ``text``.
 
-    The lengths and clusters are written once, so that the texts are read once.
+    ``groups`` (doc_id, component_id) gives the clusters of near-duplicate
+    documents; a document without a group has its text for a cluster. The
+    lengths and clusters are written once, so that the texts are read once.
     """
     text = F.col("text")
     items = docs.select("doc_id", "source", token_length(text).alias("n_tokens"),
                         F.when(text.isNotNull(), text_cluster(text)).alias("cluster"))
-    return pack(written(items, "packing-items"), capacity)
+    items = written(items, "packing-items")
+    if groups is not None:
+        near = groups.groupBy("doc_id").agg(F.min("component_id").alias("near"))
+        items = items.join(near, "doc_id", "left").withColumn("cluster", F.coalesce("near", "cluster"))
+        items = written(items, "packing-clusters")
+    return pack(items, capacity)

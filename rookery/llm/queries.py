@@ -47,7 +47,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, groups=simhash.near_duplicates(docs))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,14 +88,14 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """
     spark = sums.sparkSession
     asked = spark.createDataFrame([(int(x),) for x in limits], "context long")
-    total = sums.agg(F.sum("tokens").alias("t_all"))
+    total = sums.agg(F.sum("tokens")).scalar()
     # the given limits are few; the histogram has one row per distinct length
     longer = (sums.join(F.broadcast(asked), F.col("n_tokens") > F.col("context"))
               .groupBy("context").agg(F.max("docs_from").alias("docs_over"), F.max("tokens_from").alias("tokens_over")))
-    out = asked.join(longer, "context", "left").crossJoin(F.broadcast(total))
+    out = asked.join(longer, "context", "left")
     over, tokens = F.coalesce("docs_over", F.lit(0)), F.coalesce("tokens_over", F.lit(0))
     return out.select("context", over.alias("docs_over"), tokens.alias("tokens_over"),
-                      (F.coalesce("t_all", F.lit(0)) - tokens + F.col("context") * over).alias("truncated_tokens"))
+                      (F.coalesce(total, F.lit(0)) - tokens + F.col("context") * over).alias("truncated_tokens"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

@@ -75,6 +75,15 @@ def test_shards_pack_as_brute_force_does(spark, monkeypatch):
         assert [(r.bin_id - shard * packing.SHARD_BINS, r.bin_offset) for r in rest] == want
 
 
+def test_near_duplicates_are_kept_apart(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} a b", None) for i in range(60)] + [(1, "word1 a b", None), (None, "x", None)], "doc_id long, text string, source string")
+    groups = spark.createDataFrame([(i, 0 if i < 20 else None) for i in range(60)] + [(1, 0), (None, None)], "doc_id long, component_id long")
+    out = packing.pack_documents(docs, 30, groups).collect()
+    assert len(out) == 62
+    held = [r.bin_id for r in out if r.doc_id is not None and r.doc_id < 20]
+    assert len(held) == len(set(held)) == 21
+
+
 def test_nulls_repeats_and_empty_table(spark):
     kind = "doc_id long, n_tokens long, source string, cluster long, bin_id string"
     rows = [(1, None, None, None, "x"), (None, 3, "s", 1, "x"), (2, -5, "s", 1, "x"), (4, 9, "s", 2, "x"), (4, 9, "s", 2, "x")]
