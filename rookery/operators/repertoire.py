@@ -132,6 +132,18 @@ def repertoire_edges(nodes: DataFrame) -> DataFrame:
                         F.col("games").alias("value"), "wins", "losses", "draws")
 
 
+# order of the nodes under their parent
+def repertoire_order(nodes: DataFrame) -> DataFrame:
+    """Groups of a side and ECOs of a group by games, most first, then by name:
+    ``position`` counts from 1 within the parent. One window per (player,
+    parent), which holds the few labels of one node."""
+    inner = nodes.where(F.col("level") != "side")
+    parent = F.when(F.col("level") == "group", F.col("side")).otherwise(F.concat_ws("/", "side", "grp"))
+    order = Window.partitionBy("player", "parent").orderBy(F.desc("games"), "node")
+    return (inner.withColumn("parent", parent)
+            .select("player", "parent", F.row_number().over(order).alias("position"), "node_id", "games"))
+
+
 # ECO -> label, falling back to the code. The label table is derived from the
 # games themselves: the most frequent opening name per 3-character ECO.
 def eco_label_table(games: DataFrame) -> DataFrame:

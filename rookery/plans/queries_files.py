@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import convert_and_report
 from ..operators import naming
 from ..operators import narration as nr
 from ..operators import report
@@ -101,6 +102,31 @@ def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier batch, then the whole job: convert the rest, report on all games read back."""
+    src, out = _earlier_batch(spark, sf_dir)
+    convert_and_report.run(spark, src, out, fresh_path(spark, "report"), glob=None)
+    # game numbers are those of the files, so the top game is compared elsewhere
+    names = [n for n in report.REPORT if n != "top_game"]
+    return report.report_cells(report.report_input(files.read_games(spark, out)), names)
+
+
+_CELLS_OF_FILES = f"SELECT * FROM ({cells_sql()}) WHERE analysis NOT IN ('top_game', 'move_count_dist', 'move_stats')"
+register("convert_and_report", lambda s, d: _incremental(s, d).where(~F.col("analysis").isin("move_count_dist", "move_stats")),
+         _CELLS_OF_FILES, ("games",))
+
+
+def _games_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a view of a games table that was written by source."""
+    path = fresh_path(spark, "games-by-source")
+    files.write_games(td.games(spark, sf_dir).withColumn("source", corpus.source_name("event")), path, ["source"])
+    files.read_games(spark, path, "games_table")
+    return spark.sql("SELECT source, result, count(*) AS games, max(white_elo) AS top FROM games_table GROUP BY source, result")
+
+
+register("games_view", _games_view, f"""
+SELECT {SOURCE} AS source, result, COUNT(*) AS games, MAX(white_elo) AS top FROM games GROUP BY ALL""", ("games",))
+
 register("stats_json", _stats_json, cells_sql(status=False), ("games",))
 
 

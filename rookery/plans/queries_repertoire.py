@@ -83,6 +83,13 @@ SELECT player, CASE WHEN level = 'group' THEN side ELSE concat_ws('/', side, grp
 FROM nodes WHERE level != 'side'""", ("games",))
 
 
+register("repertoire_order", _games(lambda g: rp.repertoire_order(rp.repertoire_nodes(g))),
+         NODES_CTE + """
+, kids AS (SELECT *, CASE WHEN level = 'group' THEN side ELSE side || '/' || grp END AS parent FROM nodes WHERE level != 'side')
+SELECT player, parent, CAST(row_number() OVER (PARTITION BY player, parent ORDER BY games DESC, node) AS INT) AS position, node_id, games
+FROM kids""", ("games",))
+
+
 def _eco_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = td.games(spark, sf_dir)
     return rp.label_leaves(rp.repertoire_leaf(g), rp.eco_label_table(g)) \

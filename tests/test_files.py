@@ -119,3 +119,14 @@ def test_playable_games_of_folders_and_base64(spark, tmpdir_path):
     assert [(r.stem, r.display) for r in rows] == [("b", "b"), ("a", "First")]
     got = {os.path.basename(r.path)[:-4]: (r.length, r.b64) for r in files.file_base64(spark, audio, "*.mp3").collect()}
     assert got == {k: (len(v), base64.b64encode(v).decode()) for k, v in payloads.items()}
+
+
+def test_command_line_job(spark, tmpdir_path, capsys):
+    from rookery import convert_and_report
+    src, games, out = (os.path.join(tmpdir_path, d) for d in ("in", "games", "report"))
+    _put(src, "a.pgn", 2)
+    args = ["--source", src, "--games", games, "--report", out]
+    assert convert_and_report.main(args) == 0 and "1 converted" in capsys.readouterr().out
+    _put(src, "b.pgn", 3)
+    assert convert_and_report.main(args) == 0 and "1 converted, 1 skipped" in capsys.readouterr().out
+    assert spark.read.json(f"{out}/total_games").first().total_games == 5
