@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .tables import written
 
 #: Neighbouring lengths that are summed together first.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
