@@ -2,10 +2,15 @@
 
     chunks    texts are split into words in Spark; a chunk of documents keeps its
               distinct words once and, for each document, their numbers in order
-    words     the distinct words of all chunks, each encoded once; its ids are
-              decoded by a join with the id-to-piece table
-    texts     every chunk gets the ids of its own words by a join on the word,
-              and its documents read them off by position
+    words     every chunk's words meet sorted by word; each distinct word is
+              encoded once, and its ids go back to the places it came from
+    texts     every chunk gets the ids of its own words by a join on the chunk,
+              its documents read them off by position, and the ids are joined
+              with the id-to-piece table
+
+The chunks are a table bucketed by chunk, so that the last join moves the ids of
+words but not the texts. The id-to-piece table is as large as the tokenizer's
+vocabulary, whatever the corpus, and is joined in the task.
 
 The words and ids are those of the tokenizer file: its normalizer and
 pre-tokenizer define the words, its merges the ids, special tokens in a text are
@@ -18,18 +23,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .tables import written
+from ..session import fresh_path
 
 #: A chunk is closed when its texts reach this many characters.
-CHUNK_CHARS = 1 << 23
+CHUNK_CHARS = 1 << 25
 
 # Fixed values of the tokenizer's pattern within the characters below U+0180.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0"
@@ -77,17 +82,30 @@ class Splitter:
         return out, True
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Word numbers, compressed by their bytes: the low ones of all, then the next."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def chunked(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Chunks of documents: chunk, doc_ids, sizes, words, codes.
 
-    ``words`` are the chunk's distinct words; ``codes`` the compressed numbers of
-    the words of all its documents one after the other; ``sizes`` how many words
-    each document has. A chunk holds ``chunk_chars`` characters and one more
-    document at most, its distinct words are no more than its text. Chunks are
-    numbered by partition and order; the table has to be written before use.
+    ``words`` are the chunk's distinct words, frequent ones first; ``codes`` the
+    compressed numbers of the words of all its documents one after the other;
+    ``sizes`` how many words each document has. A chunk holds ``chunk_chars``
+    characters and one more document at most. Chunks are numbered by partition
+    and order; the table has to be written before use.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
 
         split = Splitter(path)
@@ -102,19 +120,19 @@ def chunked(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataF
 
         def closed() -> pa.RecordBatch:
             nonlocal n, chars
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+            flat = np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            names = list(number)
             batch = pa.RecordBatch.from_arrays(
                 [pa.array([first + n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                 pa.array([list(number)], pa.list_(pa.string())), pa.array([zstandard.compress(flat.tobytes(), 3)], pa.binary())], schema=schema)
+                 pa.array([[names[i] for i in order.tolist()]], pa.list_(pa.string())), pa.array([_packed(rank[flat])], pa.binary())], schema=schema)
             n, chars = n + 1, 0
             for held in (doc_ids, sizes, codes, plain, number):
                 held.clear()
             return batch
 
-        def numbered(word: str) -> int:
-            # a word as split, by the number of the same word in byte letters
-            return number.setdefault(split.mapped(word), len(number))
-
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
@@ -122,8 +140,8 @@ def chunked(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataF
                 if mapped:
                     row = [number.setdefault(w, len(number)) for w in words]
                 else:
-                    for w in set(words).difference(plain):
-                        plain[w] = numbered(w)
+                    for w in set(words).difference(plain):  # a word as split has the number of its byte letters
+                        plain[w] = number.setdefault(split.mapped(w), len(number))
                     row = list(map(plain.__getitem__, words))
                 doc_ids.append(doc_id.as_py())
                 sizes.append(len(row))
@@ -139,33 +157,47 @@ def chunked(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataF
             .mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<int>, words array<string>, codes binary"))
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The tokenizer's id-to-piece table, as large as its vocabulary."""
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table below the shared folder, bucketed by chunk."""
+    spark = chunks.sparkSession
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    (chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+     .option("path", fresh_path(spark, "bpe-chunks")).option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
+
+
+def pieces(path: str) -> list[str]:
+    """The tokenizer's pieces by id."""
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(sorted((i, p) for p, i in vocabulary.items()), "id int, piece string")
+    out = [""] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        out[i] = piece
+    return out
 
 
-def word_table(chunks: DataFrame, path: str) -> DataFrame:
-    """Every distinct word once: word, n (tokens), ids and pieces, each joined by a space."""
+def word_ids(places: DataFrame, path: str) -> DataFrame:
+    """(chunk, at, ids) of rows (chunk, at, word); ``ids`` are packed 32-bit numbers.
+
+    Rows meet by word and come sorted, so each distinct word is encoded once. A
+    word is there once for each chunk that holds it, however frequent it is.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(path)
         special = {s: split.tokenizer.token_to_id(s) for s in split.special}
+        last, known = None, b""
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [[special[w]] if w in special else [t.id for t in split.tokenizer.model.tokenize(w)] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            out = []
+            for w in batch.column(2).to_pylist():
+                if w != last:
+                    ids = [special[w]] if w in special else [t.id for t in split.tokenizer.model.tokenize(w)]
+                    last, known = w, np.array(ids, dtype="<u4").tobytes()
+                out.append(known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["chunk", "at", "ids"])
 
-    distinct = chunks.select(F.explode("words").alias("word")).distinct()
-    encoded = written(distinct.mapInArrow(run, "word string, ids array<int>"), "bpe-words")
-    at = encoded.select("word", F.posexplode("ids").alias("at", "id"))
-    # the vocabulary is a fixed table of the tokenizer, so it may be broadcast
-    decoded = (at.join(F.broadcast(pieces(chunks.sparkSession, path)), "id")
-               .groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("t")))
-    return decoded.select("word", F.size("t").alias("n"),
-                          F.array_join(F.transform("t", lambda x: x["id"].cast("string")), " ").alias("ids"),
-                          F.array_join(F.transform("t", lambda x: x["piece"]), " ").alias("pieces"))
+    return (places.select("chunk", "at", "word").repartition("word").sortWithinPartitions("word")
+            .mapInArrow(run, "chunk long, at int, ids binary"))
 
 
 def encode_decode(docs: DataFrame, path: str, full: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -177,42 +209,48 @@ def encode_decode(docs: DataFrame, path: str, full: bool = True, chunk_chars: in
     gives one row, repeated rows and null ids included; an empty table gives an
     empty table. Only doc_id and text are read.
     """
-    chunks = written(chunked(docs, path, chunk_chars), "bpe-chunks")
-    table = written(word_table(chunks, path), "bpe-table")
-    own = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    own = own.join(table, "word").groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "ids", "pieces"))).alias("t"))
-    own = own.select("chunk", F.col("t.n").alias("n"), F.col("t.ids").alias("ids"), F.col("t.pieces").alias("pieces"))
+    chunks = _bucketed(chunked(docs, path, chunk_chars))
+    places = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    own = word_ids(places, path).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("t"))
+    own = own.select("chunk", F.col("t.ids").alias("ids"))
+    table = docs.sparkSession.sparkContext.broadcast(pieces(path))
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
+        piece = table.value
         for batch in batches:
-            for row in batch.to_pylist():
-                codes = np.frombuffer(zstandard.decompress(row["codes"]), dtype=np.uint32)
-                n = np.array(row["n"] or [], dtype=np.int64)
-                ids, words = row["ids"] or [], row["pieces"] or []
-                at, out = 0, []
-                for doc_id, size in zip(row["doc_ids"], row["sizes"]):
+            for k in range(batch.num_rows):
+                doc_ids, sizes, codes, ids = (batch.column(i)[k].as_py() for i in range(4))
+                word_n, word_text, word_piece = [], [], []
+                for packed in ids or []:
+                    own_ids = np.frombuffer(packed, dtype="<u4").tolist()
+                    word_n.append(len(own_ids))
+                    word_text.append(" ".join(map(str, own_ids)))
+                    word_piece.append(" ".join([piece[i] for i in own_ids]))
+                n, codes = np.array(word_n, dtype=np.int64), _unpacked(codes)
+                at, held, out = 0, 0, []
+                for doc_id, size in zip(doc_ids, sizes):
                     code = codes[at:at + size]
                     at += size
                     order = code.tolist()
-                    text_ids = " ".join(map(ids.__getitem__, order))
-                    decoded = " ".join(map(words.__getitem__, order))
+                    text_ids = " ".join(map(word_text.__getitem__, order))
+                    decoded = " ".join(map(word_piece.__getitem__, order))
                     out.append((doc_id, int(n[code].sum()) if size else 0, hashlib.sha256(text_ids.encode()).hexdigest(),
                                 hashlib.sha256(decoded.encode("utf-8")).hexdigest(), text_ids if full else None, decoded if full else None))
-                    if full and sum(len(o[4]) for o in out[-64:]) > (1 << 24):
-                        yield _batch(out)
-                        out = []
-                yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))],
-                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+                    held += len(text_ids) + len(decoded) if full else 0
+                    if held > (1 << 24):
+                        yield batch_of(out)
+                        out, held = [], 0
+                if out:
+                    yield batch_of(out)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
-    rows = chunks.select("chunk", "doc_ids", "sizes", "codes").join(own, "chunk", "left").drop("chunk").mapInArrow(run, kind)
+    rows = (chunks.select("chunk", "doc_ids", "sizes", "codes").join(own, "chunk", "left")
+            .select("doc_ids", "sizes", "codes", "ids").mapInArrow(run, kind))
     if not full:
         return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
