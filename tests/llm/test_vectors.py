@@ -90,6 +90,16 @@ def test_dedup_query_on_the_test_table(spark):
     assert got == brute_links(rows)
 
 
+def test_sql_of_the_dedup_query():
+    import duckdb
+    rows = clustered(seed=2) + [(1000, None, 1), (1001, [0.0] * 6, 1), (1002, [float("nan")] * 6, 1), (1003, [1.0] * 6, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    got = {i: (n, c) for i, n, c, _ in con.execute(queries.ORACLE["op4_embedding_dedup"]).fetchall()}
+    assert got == brute_links(rows)
+
+
 def brute_nearest(rows, query, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows], dtype=np.float64)
