@@ -94,6 +94,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return work_path(spark, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what jobs have left below ``scratch/``, once nothing reads it any more."""
+    delete_paths(spark, [work_path(spark, "scratch")])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system, so it works for any scheme."""
     fs, jpath = _file_system(spark, path)
