@@ -1,9 +1,8 @@
 """One registered query per operator, over its whole table.
 
 Each query applies the operator with its production parameters and derives the
-columns it returns from the operator's own output. None of the operators can be
-said in SQL as a whole; where there is no text in ``ORACLE``, tests compare the
-query with a brute-force version.
+columns it returns from the operator's own output. ``ORACLE`` has the queries
+that SQL can express; tests compare the others with brute-force versions.
 """
 
 from __future__ import annotations
@@ -84,6 +83,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE v AS (
+               SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+               WHERE label IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+             links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                       WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+             reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+        FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x) m
+        LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) n ON m.vec_id = n.x""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),
