@@ -31,7 +31,7 @@ from ..session import fresh_path
 ROLL_BYTES = 64 << 20
 MIN_REVISIT = 100
 #: Rows of one range, and so of one task.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_192
 DATE = "2024-01-01T00:00:00Z"
 #: Payload bytes that a reader holds before it hands rows on.
 HELD_BYTES = 8 << 20
@@ -90,22 +90,20 @@ def _file_system(folder: str):
     return fs.LocalFileSystem(), folder
 
 
-def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Pages with payload size and digest and, for revisits, the response's page_id and url."""
+def revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, digest, refers_to, refers_url) of the pages that revisit a response.
+
+    Sizes and digests are taken in the scan, so only they move. The first page
+    of a payload is a minimum that is pre-aggregated per task, however many
+    pages share it."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    digests = rows.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    # one row per payload that several records share; pre-aggregated, so a hot payload is a sum per task
-    first = (digests.where(F.col("size") >= min_revisit).groupBy("digest", "size")
+    digests = (pages.select(F.col("page_id").cast("long"), "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+               .where(F.col("size") >= min_revisit))
+    first = (digests.groupBy("digest")
              .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    revisits = (digests.where(F.col("size") >= min_revisit).join(first, "digest")
-                .where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-                .select(key.alias("key"), "digest", F.col("first_id").alias("refers_to"), F.col("first_url").alias("refers_url")).distinct())
-    # by page and payload, so that a hot payload does not meet in one task
-    return (rows.withColumn("digest", F.sha2(payload, 256)).withColumn("key", key)
-            .join(revisits, ["key", "digest"], "left").drop("key"))
+             .where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")))
+    return (digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+            .select("page_id", "digest", "refers_to", "refers_url").distinct())
 
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE) -> DataFrame:
@@ -115,11 +113,16 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revis
     last_page. It is written as Parquet to ``folder``/manifest after all files
     are complete; that is the commit.
     """
-    rows = with_revisits(pages, min_revisit)
-    n = pages.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
-    order = ["page_id", "url", "digest"]
-    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("page_id", "url", "html", "digest", "refers_to", "refers_url")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    null = F.lit(None)
+    rows = pages.select(F.col("page_id").cast("long"), F.sha2(payload, 256).alias("digest"), F.lit(1).alias("kind"), "url", "html",
+                        null.cast("long").alias("refers_to"), null.cast("string").alias("refers_url"))
+    marks = revisits(pages, min_revisit).select("page_id", "digest", F.lit(0).alias("kind"), null.cast("string").alias("url"),
+                                                null.cast("string").alias("html"), "refers_to", "refers_url")
+    ranges = max(1, -(-pages.count() // RANGE_ROWS))
+    # one shuffle of the pages: what a page refers to sorts in front of it, in the same range
+    ordered = (rows.unionByName(marks).repartitionByRange(ranges, "page_id", "digest")
+               .sortWithinPartitions("page_id", "digest", "kind", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,7 +132,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revis
         system, root = _file_system(folder)
         system.create_dir(f"{root}/data", recursive=True)
         system.create_dir(f"{root}/temporary", recursive=True)
-        out, number = None, 0
+        out, number, mark = None, 0, None
 
         def opened():
             nonlocal out, number
@@ -154,14 +157,18 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revis
                                               names=["name", "records", "bytes", "sha256", "first_page", "last_page"])
 
         for batch in batches:
-            for page_id, url, html, digest, refers_to, refers_url in zip(*batch.columns):
+            for row in zip(*batch.columns):
+                page_id, digest, kind, url, html, refers_to, refers_url = (x.as_py() for x in row)
+                if kind == 0:
+                    mark = (page_id, digest, refers_to, refers_url)
+                    continue
                 if out is None:
                     opened()
-                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-                put(record_bytes(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py(), refers_url.as_py(), date))
+                refers = mark[2:] if mark and mark[:2] == (page_id, digest) else (None, None)
+                put(record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, *refers, date))
                 out["records"] += 1
-                out["first"] = page_id.as_py() if out["first"] is None else out["first"]
-                out["last"] = page_id.as_py()
+                out["first"] = page_id if out["first"] is None else out["first"]
+                out["last"] = page_id
                 if out["bytes"] >= roll_bytes:
                     yield closed()
         if out is not None:
@@ -192,12 +199,13 @@ def _header_and_block(stream) -> tuple[dict[str, str], bytes] | None:
     return head, block
 
 
-def read(spark, folder: str) -> DataFrame:
+def read(spark, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the files that the manifest of ``folder`` lists.
 
-    Returns page_id, url, record_type, refers_to, payload (null for a revisit),
-    payload_bytes and payload_digest of the full payload. Block and payload
-    digests are verified; a damaged file fails the read.
+    Returns page_id, url, record_type, refers_to, payload (null for a revisit, or
+    without ``payloads``), payload_bytes and payload_digest of the full payload.
+    Block and payload digests are verified in any case; a damaged file fails the
+    read.
     """
     # listed files only; each goes to a task of its own
     names = spark.read.parquet(f"{folder}/manifest").select("name").repartition(F.col("name"))
@@ -229,8 +237,8 @@ def read(spark, folder: str) -> DataFrame:
                             raise ValueError(f"payload digest of {head['warc-record-id']} in {name}")
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page")
                         rows.append((int(page) if page else None, head.get("warc-target-uri"), kind, int(refers) if refers else None,
-                                     body if kind == "response" else None, size, digest))
-                        held += len(body)
+                                     body if payloads and kind == "response" else None, size, digest))
+                        held += len(body) if payloads else 0
                         if held >= HELD_BYTES or len(rows) >= 10_000:
                             yield out(rows)
                             rows, held = [], 0
@@ -240,7 +248,7 @@ def read(spark, folder: str) -> DataFrame:
     return names.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = True, **options) -> DataFrame:
     """Write ``pages`` and read the archives back, into a new folder below the shared one by default.
 
     A null html is an empty payload; a null url or page_id leaves its header
@@ -253,4 +261,4 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     write(pages, folder, **options)
-    return read(spark, folder)
+    return read(spark, folder, payloads)
