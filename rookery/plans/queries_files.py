@@ -103,9 +103,10 @@ def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An earlier batch, then the whole job: convert the rest, report on all games read back."""
+    """An earlier batch, then the job: convert the rest, report on all games read
+    back. The report's files are ``stats_json``'s matter."""
     src, out = _earlier_batch(spark, sf_dir)
-    convert_and_report.run(spark, src, out, fresh_path(spark, "report"), glob=None)
+    convert_and_report.run(spark, src, out, glob=None)
     # game numbers are those of the files, so the top game is compared elsewhere
     names = [n for n in report.REPORT if n != "top_game"]
     return report.report_cells(report.report_input(files.read_games(spark, out)), names)
