@@ -33,6 +33,8 @@ MIN_REVISIT = 100
 #: Rows of one range, and so of one task.
 RANGE_ROWS = 8_192
 DATE = "2024-01-01T00:00:00Z"
+#: Tasks of a read at most; beyond, a task reads several files in turn.
+READ_TASKS = 50_000
 #: Payload bytes that a reader holds before it hands rows on.
 HELD_BYTES = 8 << 20
 
@@ -207,8 +209,9 @@ def read(spark, folder: str, payloads: bool = True) -> DataFrame:
     Block and payload digests are verified in any case; a damaged file fails the
     read.
     """
-    # listed files only; each goes to a task of its own
-    names = spark.read.parquet(f"{folder}/manifest").select("name").repartition(F.col("name"))
+    # listed files only, spread over tasks; the number is given, or few names would be put together in one
+    names = spark.read.parquet(f"{folder}/manifest").select("name")
+    names = names.repartitionByRange(max(1, min(names.count(), READ_TASKS)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
