@@ -33,7 +33,7 @@ from .tables import written
 SAMPLE_ROWS = 32_768
 MODEL_WORDS = 512
 LEAST_EVIDENCE = 20.0
-LEAST_SUPPORT, LEAST_SHARE = 3, 0.02
+LEAST_SUPPORT = 3
 RIDGE = 0.05
 #: A word also counts by its first letters, so that the forms of a stem meet.
 STEMS = (3, 4, 5, 6)
@@ -350,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
              .groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     a, b = F.col("a"), F.col("b")
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * share))).otherwise(0.0)
-    top = (words.where(a >= max(LEAST_SUPPORT, LEAST_SHARE * toxic)).where(a * (n - toxic) > b * toxic)
+    top = (words.where(a >= LEAST_SUPPORT).where(a * (n - toxic) > b * toxic)
            .withColumn("g", 2 * (part(a, share) + part(b, 1 - share))).where(F.col("g") >= LEAST_EVIDENCE)
            .orderBy(F.desc("g"), "word").limit(MODEL_WORDS).select("word"))
     vocabulary = {r.word: i for i, r in enumerate(top.collect())}

@@ -105,3 +105,18 @@ def test_without_labels_or_documents(spark):
     assert toxicity.scores(docs, toxicity.train(docs, none)).first().score < 0.5
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.without_toxic(empty, none).collect() == []
+
+
+def test_rare_toxic_word_enters_the_model(spark):
+    rows, labels = [], []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        # one toxic document in fifty has the rare insult, the others a common one
+        word = ("clodpole" if i % 500 == 0 else "idiot") if toxic else "people"
+        rows.append((i, f"plain text with {word} words"))
+        labels.append((i, int(toxic)))
+    rows += [(i, "plain text with clodpole words") for i in (9001, 9002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"idiot", "clodpole"} <= model.weights.keys()
+    assert all(r.score >= 0.5 for r in toxicity.scores(docs.where("doc_id > 9000"), model).collect())
