@@ -48,16 +48,19 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóô
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 COST_LEET, COST_STAR, COST_REPEAT, COST_BREAK = 1.0, 3.0, 0.5, 2.0
+#: that a token doubles letters at all, paid once for all of them
+COST_STRETCH = 6.0
 COST_DROP_INSIDE, COST_DROP_SIGN, COST_DROP_DIGIT = 14.0, 2.5, 8.0
 
 _TRIM_LEFT = ".,;:?\"'()[]{}<>«»“”„…#%&*~^=_-/\\`"
 _TRIM_RIGHT = _TRIM_LEFT + "!|+"
-_SPLIT = re.compile(r"[-'’/_.]+")
 #: three or more of one sign around a word are ornament, not letters
 _EDGE_RUN = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+_GAP = r"[\s.\-_]+"
 #: single letters or signs pulled apart: i d i o t, i.d.i.o.t, 1-d-1-0-t
-_SPACED = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_]){3,}(?![^\s.,;:?!])")
+_SPACED = re.compile(rf"(?<!\S)[^\s.\-_](?:{_GAP}[^\s.\-_]){{2,}}(?![^\s.,;:?!\-_])")
 _EDGE = "^"
 
 
@@ -144,8 +147,11 @@ class Decoder:
             p = self.seen[key] = math.log((self.grams.get(key, 0) + 5 * low) / (self.pairs.get(a + b, 0) + 5))
         return p
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each position the strings it may stand for, with their costs; " " is a word break."""
+    def lattice(self, token: str, stretched: bool = False) -> list[list[tuple[str, float]]]:
+        """For each position the strings it may stand for, with their costs; " " is a word break.
+
+        In a ``stretched`` token two of a letter may be one.
+        """
         out, i = [], 0
         while i < len(token):
             c, j = token[i], i
@@ -162,7 +168,7 @@ class Decoder:
                 # a run of one sign is one letter, two, or none
                 out.append(single + ([(x * 2, cost + COST_REPEAT) for x in LEET[c]] if run > 1 else []))
             elif c.isalpha():
-                if run >= 3:
+                if run >= 3 or stretched and run == 2:
                     out.append([(c, COST_REPEAT), (c * 2, COST_REPEAT)])
                 else:
                     out += [[(c, 0.0)]] * run
@@ -173,8 +179,19 @@ class Decoder:
 
     def decode(self, token: str) -> str:
         """The likeliest plain reading of a lower-case token."""
+        if _TRIPLE.search(token):
+            return self._search(self.lattice(token, True))[1]
+        cost, out = self._search(self.lattice(token))
+        if _DOUBLE.search(token):
+            less, other = self._search(self.lattice(token, True))
+            if less + COST_STRETCH < cost:
+                return other
+        return out
+
+    def _search(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The likeliest way through a lattice: its cost and its letters."""
         best: dict[str, tuple[float, tuple]] = {_EDGE * 2: (0.0, ())}  # last two letters -> cost, path
-        for options in self.lattice(token):
+        for options in lattice:
             step: dict[str, tuple[float, tuple]] = {}
             for state, (cost, path) in best.items():
                 for s, extra in options:
@@ -196,11 +213,12 @@ class Decoder:
                             step[at] = (total, way)
             best = step
         ends = [(cost - self.log_p(s[0], s[1], _EDGE), path) for s, (cost, path) in best.items()]
-        path, out = min(ends, key=lambda e: e[0])[1], []
+        least, path = min(ends, key=lambda e: e[0])
+        out: list[str] = []
         while path:
             path, s = path
             out.append(s)
-        return "".join(reversed(out))
+        return least, "".join(reversed(out))
 
     def restore(self, token: str) -> tuple[str, ...]:
         """The plain words of one lower-case token; none for numbers and mere signs."""
@@ -219,17 +237,13 @@ class Decoder:
 
     def _restore(self, token: str) -> tuple[str, ...]:
         word = token.strip(".,;:?")
-        if word.isalpha() and not _TRIPLE.search(word):
+        if word.isalpha() and not _DOUBLE.search(word):
             return (word,)
         word = _EDGE_RUN.sub("", token).lstrip(_TRIM_LEFT).rstrip(_TRIM_RIGHT)
         if not any(c.isalpha() for c in word):
             return ()
-        if not _TRIPLE.search(word):
-            if word.isalpha():
-                return (word,)
-            parts = [p for p in _SPLIT.split(word) if p]
-            if all(len(p) > 1 and p.isalpha() for p in parts):
-                return tuple(parts)
+        if word.isalpha() and not _DOUBLE.search(word):
+            return (word,)
         return tuple(self.decode(word).split())
 
     def text_words(self, text: str | None) -> set[str]:
@@ -244,13 +258,11 @@ class Decoder:
                 words = self.restore(token)
             if words:
                 out.update(words)
-        # pulled apart over spaces: there are single letters, perhaps with a sign behind
-        if sum(len(t) == 1 or len(t) == 2 and not t[1].isalnum() for t in tokens) < 3:
+        # pulled apart over white space: the first letter stands alone or has a sign behind
+        if not any(len(t) == 1 or not t[1].isalnum() for t in tokens):
             return out
         for m in _SPACED.finditer(text):
-            run = re.sub(r"[ .\-_]+", " ", m.group())
-            if sum(c.isalpha() for c in run) >= 2:
-                out.update(self.restore(run))
+            out.update(self.restore(re.sub(_GAP, " ", m.group())))
         return out
 
 

@@ -47,6 +47,25 @@ def test_texts(decoder):
     assert decoder.text_words("a" * 100_000) and decoder.text_words("1a" * 2000)
 
 
+@pytest.mark.parametrize("token,words", [("id-iot", ("idiot",)), ("stu_pid", ("stupid",)), ("wor.thless", ("worthless",)), ("l'oser", ("loser",)), ("tra/sh", ("trash",)),
+                                         ("iiddiioott", ("idiot",)), ("trraasshh", ("trash",)), ("stuupid", ("stupid",)), ("sstuuuupid", ("stupid",)), ("m00rroonn", ("moron",)),
+                                         ("good-morning", ("good", "morning")), ("people/trash", ("people", "trash")), ("good", ("good",))])
+def test_split_and_doubled_tokens(decoder, token, words):
+    assert decoder.restore(token) == words
+
+
+@pytest.mark.parametrize("text", ["s c u m", "you s\tc\tu\tm!", "s   c   u   m", "s\nc\nu\nm", "s - c - u - m", "s.c u.m"])
+def test_words_pulled_apart(decoder, text):
+    assert "scum" in decoder.text_words(text)
+
+
+def test_short_and_repeating_words_pulled_apart():
+    decoder = toxicity.Decoder(grams("plain words and poop by the sod with mud".split() * 50))
+    assert "poop" in decoder.text_words("plain p o o p words")
+    assert "sod" in decoder.text_words("plain s o d words")
+    assert {"plain", "words"} == decoder.text_words("plain 1 2 3 words")
+
+
 def test_held_out_accuracy(spark):
     rows = queries.op6_toxicity(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
