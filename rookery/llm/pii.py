@@ -40,21 +40,23 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#][^\s<>\"'`]*)?")
 _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30})")
-_ACCOUNT = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#))?[\s:#=]{1,3}([A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,19})(?![0-9A-Za-z])")
-_SECRET = re.compile(r"\s?[=:]\s?(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([A-Za-z0-9_\-]{16,}))")
+_ACCOUNT = re.compile(r"(?:[\s_-]?(?i:number|no\.?|nr\.?|#))?[\"']?[\s:#=]{1,3}[\"']?([A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,19})(?![0-9A-Za-z])")
+_SECRET = re.compile(r"[\"']?\s?[=:]\s?(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([A-Za-z0-9_\-]{16,}))")
 
 _ACCOUNT_CUES = ("account", "acct", "passport", "ssn", "social security")
-_SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "api key", "apikey")
+_SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "api key", "api-key", "apikey")
+#: upper-case ASCII letters to lower case: cues match without regard to case, offsets stay
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def anchors():
-    """The automaton that finds where a span may be: word -> kind of anchor."""
+    """The automaton that finds where a span may be in a folded text: word -> kind of anchor."""
     import ahocorasick
 
     words = {"@": "at", "+": "plus", "://": "scheme"}
     words |= {str(d): "digit" for d in range(10)}
     for cue, kind in [("iban", "iban"), *((c, "account") for c in _ACCOUNT_CUES), *((c, "secret") for c in _SECRET_CUES)]:
-        words |= {form: kind for form in (cue, cue.capitalize(), cue.upper())}
+        words[cue] = kind
     found = ahocorasick.Automaton()
     for word, kind in words.items():
         found.add_word(word, kind)
@@ -62,6 +64,12 @@ def anchors():
     return found
 
 
+def _folded(text: str) -> str:
+    """``text`` in lower case, at the same offsets; only ASCII letters where full lower case is longer."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -93,7 +101,7 @@ def find_spans(text: str | None, automaton) -> list[Span]:
     spans: list[Span] = []
     ends = dict.fromkeys(KINDS, 0)
     last_digit = -2
-    for at, cue in automaton.iter(text):
+    for at, cue in automaton.iter(_folded(text)):
         if cue == "digit":
             run_start, last_digit = at != last_digit + 1, at
             # a part of a number in the middle of a run cannot start a match that its first digit could not

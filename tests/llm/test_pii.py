@@ -60,6 +60,18 @@ def test_added_kinds():
         assert pii.find_spans(clean, AUTO) == []
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("Account Number: 12345678", "account", "12345678"), ("ACCOUNT NUMBER 12345678", "account", "12345678"), ("Passport No. AB1234567", "account", "AB1234567"),
+    ("Account No: 12345678", "account", "12345678"), ("aCcOuNt nO 12345678", "account", "12345678"), ("Social Security Number: 123-45-6789", "account", "123-45-6789"),
+    ('"account_number": "12345678"', "account", "12345678"), ("É İ Account Nr. 12345678", "account", "12345678"),
+    ('"password": "hunter2hunter2"', "secret", "hunter2hunter2"), ('{"api_key":"hunter2hunter2"}', "secret", "hunter2hunter2"), ("'Secret' = 'hunter2hunter2'", "secret", "hunter2hunter2"),
+    ("API key: abcdefgh12345678", "secret", "abcdefgh12345678"), ("Api Key = abcdefgh12345678", "secret", "abcdefgh12345678"), ("API_Key=abcdefgh12345678", "secret", "abcdefgh12345678"),
+    ("IBan DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"),
+])
+def test_spellings_of_cues(text, kind, found):
+    assert [text[s:e] for k, s, e in pii.find_spans(text, AUTO) if k == kind] == [found]
+
+
 def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op2_pii(spark, SF).collect()
