@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: element classes by their parsing and default layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist area base link meta param source track".split())
+HIDDEN = frozenset("head title script style template noscript noframes iframe audio video canvas datalist annotation annotation-xml area base link meta param source track".split())
+#: parts of a drawing that are not drawn themselves, and those whose text is
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+SVG_TEXT = frozenset("text foreignobject".split())
 HEAD_ONLY = frozenset("title base link meta style script noscript template".split())
 # blank line before and after / own lines only
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
@@ -44,10 +47,13 @@ SCOPE = {"li": frozenset("ul ol menu table td th".split()), "dt": frozenset("dl
 TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption".split())
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?(?:([.#])([\w-]+))?")
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_DISPLAY = re.compile(r"\s*display\s*:\s*([\w-]+)[^!]*(!\s*important)?", re.I)
+_FEATURE = re.compile(r"\(\s*(min-|max-)?(width|height)\s*:\s*([\d.]+)(px|em|rem)\s*\)")
+#: the screen that media conditions are tested against
+SCREEN = {"width": 1280.0, "height": 720.0}
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 
 
@@ -66,7 +72,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {})
         self.open = [self.root]
         self.depth = {"html": 1}  # open elements by tag
-        self.sheets: list[str] = []
+        self.sheets: list[Node] = []  # style elements
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
@@ -121,7 +127,10 @@ class TreeBuilder(HTMLParser):
             self._push(Node("tr", {}))
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # "/" does not close an HTML element
+        self.handle_starttag(tag, attrs)
+        # "/" closes parts of drawings and formulas, but no HTML element
+        if (self.depth.get("svg") or self.depth.get("math")) and self.open[-1].tag == tag:
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -139,38 +148,114 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data):
         here = self.open[-1]
-        if here.tag == "style":
-            self.sheets.append(data)
+        if here.tag == "style" and here not in self.sheets[-1:]:
+            self.sheets.append(here)
         if here.tag == "head" and data.strip():
             self._pop_to(len(self.open) - 1)
             here = self.open[-1]
         here.children.append(data)
 
 
+def on_screen(media: str) -> bool:
+    """Whether one of a list of media queries applies to ``SCREEN``; conditions that are not known do not."""
+    return not media.strip() or any(_query(q) for q in media.lower().split(","))
+
+
+def _query(query: str) -> bool:
+    m = re.fullmatch(r"\s*(not\b|only\b)?\s*(.*?)\s*", query, re.S)
+    for part in re.split(r"\s+and\s+|\band\b(?=\s*\()", m[2]):
+        part = part.strip()
+        if f := _FEATURE.fullmatch(part):
+            size = float(f[3] if f[3].count(".") < 2 and f[3] != "." else 0) * (1 if f[4] == "px" else 16)
+            have = SCREEN[f[2]]
+            true = have >= size if f[1] == "min-" else have <= size if f[1] == "max-" else have == size
+        elif part.startswith("("):
+            if part.replace(" ", "") not in ("(orientation:landscape)", "(orientation:portrait)"):
+                return False
+            true = "landscape" in part
+        else:
+            true = part in ("screen", "all")
+        if not true:
+            return m[1] == "not"
+    return m[1] != "not"
+
+
+def _block_applies(head: str) -> bool:
+    """Whether the rules in an at-rule's braces count."""
+    m = re.match(r"@(media|supports|layer)(.*)", head.lower(), re.S)
+    if not m:
+        return False
+    return on_screen(m[2]) if m[1] == "media" else m[1] == "layer" or not m[2].strip().startswith("not")
+
+
+def sheet_rules(css: str) -> Iterator[tuple[str, list[str]]]:
+    """Selectors and declarations of the rules of a sheet that apply on a screen, in order."""
+    css = _COMMENT.sub("", css)
+    css += "}" * css.count("{")  # open blocks end with the sheet
+    opened: list[tuple[str, list[str], bool]] = []
+    at, on = 0, True
+    for m in _CSS.finditer(css):
+        sign = m.group()
+        if sign == "{":
+            head = css[at:m.start()].strip()
+            opened.append((head, [], on))
+            # rules inside a plain rule are about its descendants
+            on = on and _block_applies(head) if head.startswith("@") else on
+        elif sign not in (";", "}"):
+            continue
+        elif opened:
+            opened[-1][1].append(css[at:m.start()])
+            if sign == "}":
+                head, declarations, on = opened.pop()
+                if on and not head.startswith("@") and all(h.startswith("@") for h, _, _ in opened[-1:]):
+                    yield head, declarations
+        at = m.end()
+
+
+def display(declarations: list[str]) -> tuple[bool, bool] | None:
+    """(important, shown) by the declaration of ``display`` that wins, if there is one."""
+    found = None
+    for d in declarations:
+        if (m := _DISPLAY.match(d)) and (found is None or m[2] or not found[0]):
+            found = (bool(m[2]), m[1].lower() != "none")
+    return found
+
+
 class Rules:
-    """Simple style-sheet rules that take elements out: tag, .class, #id and tag with either."""
+    """What simple style-sheet rules (tag, .class, #id and tag with either) say of ``display``."""
 
     def __init__(self, sheets: list[str]):
-        self.hidden: set[tuple[str, str, str]] = set()
-        for selectors, body in _RULE.findall(_COMMENT.sub("", "\n".join(sheets))):
-            if _NO_DISPLAY.search(body):
+        #: selector -> (important, specificity, place, shown); the greatest that matches wins
+        self.shown: dict[tuple[str, str, str], tuple] = {}
+        place = 0
+        for sheet in sheets:
+            for selectors, declarations in sheet_rules(sheet):
+                if (found := display(declarations)) is None:
+                    continue
+                place += 1
                 for s in selectors.split(","):
                     m = _SIMPLE.fullmatch(s.strip())
                     if m and s.strip():
-                        self.hidden.add((m[1] or "*", m[2] or "", m[3] or ""))
+                        key = (m[1] or "*", m[2] or "", m[3] or "")
+                        weight = {"#": 100, ".": 10, "": 0}[key[1]] + (key[0] != "*")
+                        rule = (found[0], weight, place, found[1])
+                        self.shown[key] = max(rule, self.shown.get(key, rule))
 
     def removed(self, node: Node) -> bool:
         a = node.attrs
-        if node.tag in HIDDEN or "hidden" in a or _NO_DISPLAY.search(a.get("style", "")):
+        if node.tag in HIDDEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
             return True
-        if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
-            return True
-        if not self.hidden:
-            return False
-        marks = [("", ""), *((".", c) for c in a.get("class", "").split())]
-        if "id" in a:
-            marks.append(("#", a["id"]))
-        return any((t, k, v) in self.hidden for t in (node.tag, "*") for k, v in marks)
+        rules = []
+        if self.shown:
+            marks = [("", ""), *((".", c) for c in a.get("class", "").split())]
+            if "id" in a:
+                marks.append(("#", a["id"]))
+            rules = [r for t in (node.tag, "*") for k, v in marks if (r := self.shown.get((t, k, v)))]
+        if "style" in a and (own := display(a["style"].split(";"))):
+            rules.append((own[0], 1000, 0, own[1]))
+        if rules:
+            return not max(rules)[3]
+        return "hidden" in a or node.tag == "dialog" and "open" not in a
 
 
 class Flow:
@@ -232,30 +317,60 @@ def _span(value: str | None) -> int:
     return max(1, int(m[1])) if m else 1
 
 
-def table_lines(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
-    """Rows of cells (columns spanned, lines) with every column as wide as its widest single cell."""
-    width: dict[int, int] = {}
+def _row_span(value: str | None) -> int:
+    """Rows of a cell; 0 stands for all to the end of the row group."""
+    m = re.match(r"\s*(\d{1,5})", value or "")
+    return (int(m[1]) or 65534) if m else 1
+
+
+Cell = tuple[int, int, list[str]]  # columns and rows spanned, lines
+
+
+def _placed(rows: list[list[Cell] | None]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (first column, columns, lines): cells stand beside those that reach down from above.
+
+    None among the rows is the end of a row group, which no cell reaches over.
+    """
+    out: list[list[tuple[int, int, list[str]]]] = []
+    until: dict[int, int] = {}  # column -> first row that is free again
     for row in rows:
-        at = 0
-        for span, lines in row:
+        if row is None:
+            until = {}
+            continue
+        at, placed = 0, []
+        for span, down, lines in row:
+            while until.get(at, 0) > len(out):
+                at += 1
+            placed.append((at, span, lines))
+            if down > 1:
+                until.update((c, max(until.get(c, 0), len(out) + down)) for c in range(at, at + span))
+            at += span
+        out.append(placed)
+    return out
+
+
+def table_lines(rows: list[list[Cell] | None]) -> list[str]:
+    """Rows of cells with every column as wide as its widest single cell."""
+    table = _placed(rows)
+    width: dict[int, int] = {}
+    for row in table:
+        for at, span, lines in row:
             if span == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-            at += span
-    for row in rows:  # a spanning cell widens its last column
-        at = 0
-        for span, lines in row:
+    for row in table:  # a spanning cell widens its last column
+        for at, span, lines in row:
             if span > 1:
                 need = max(map(len, lines), default=0) - sum(width.get(c, 0) for c in range(at, at + span - 1)) - 2 * (span - 1)
                 width[at + span - 1] = max(width.get(at + span - 1, 0), need)
-            at += span
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            at, cells = 0, []
-            for span, lines in row:
+    for row in table:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            done, cells = 0, []
+            for at, span, lines in row:
+                cells += [" " * width.get(c, 0) for c in range(done, at)]
                 room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
                 cells.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
+                done = at + span
             out.append("  ".join(cells).rstrip())
     return out
 
@@ -267,31 +382,36 @@ class Renderer:
         self.rules = rules
         self.flow = Flow()
         self.flows: list[Flow] = []
-        self.tables: list[list[list[tuple[int, list[str]]]]] = []
+        self.tables: list[list[list[Cell] | None]] = []
         self.lists: list[list] = []  # [ordered, next number]
         self.pre = 0
         self.counts = {"tables": 0, "items": 0}
 
     def run(self, root: Node) -> list[str]:
-        stack: list[tuple] = [("enter", root, True)]
+        stack: list[tuple] = [("enter", root, True, "")]  # inside a drawing: "svg", or "text" where text is drawn
         while stack:
-            what, node, seen = stack.pop()
+            what, node, seen, place = stack.pop()
             if what == "text":
                 (self.flow.pre if self.pre else self.flow.text)(node)
             elif what == "leave":
                 self.leave(node)
-            elif not self.rules.removed(node):
+            elif not self.rules.removed(node) and not (place and (node.tag in SVG_HIDDEN or node.attrs.get("display") == "none")):
+                if node.tag == "svg":
+                    place = "svg"
+                elif place == "svg" and node.tag in SVG_TEXT:
+                    place = "text"
+                    self.flow.text(" ")
                 m = _VISIBILITY.search(node.attrs.get("style", ""))
                 seen = m[1].lower() == "visible" if m else seen
                 self.enter(node)
-                stack.append(("leave", node, seen))
+                stack.append(("leave", node, seen, place))
                 closed = node.tag == "details" and "open" not in node.attrs
                 for child in reversed(node.children):
                     if isinstance(child, str):
-                        if seen and not closed:
-                            stack.append(("text", child, seen))
+                        if seen and not closed and place != "svg":
+                            stack.append(("text", child, seen, place))
                     elif not closed or child.tag == "summary":
-                        stack.append(("enter", child, seen))
+                        stack.append(("enter", child, seen, place))
         return self.flow.finished()
 
     def enter(self, node: Node) -> None:
@@ -304,8 +424,10 @@ class Renderer:
             self.counts["tables"] += 1
         elif self.tables and tag == "tr":
             self.tables[-1].append([])
+        elif self.tables and tag in ("thead", "tbody", "tfoot"):
+            self.tables[-1].append(None)
         elif self.tables and tag in ("td", "th"):
-            if not self.tables[-1]:
+            if not self.tables[-1] or self.tables[-1][-1] is None:
                 self.tables[-1].append([])
             self.flows.append(flow)
             self.flow = Flow()
@@ -343,7 +465,9 @@ class Renderer:
         elif self.tables and tag in ("td", "th"):
             lines = flow.finished()
             self.flow = self.flows.pop()
-            self.tables[-1][-1].append((_span(node.attrs.get("colspan")), lines))
+            self.tables[-1][-1].append((_span(node.attrs.get("colspan")), _row_span(node.attrs.get("rowspan")), lines))
+        elif self.tables and tag in ("thead", "tbody", "tfoot"):
+            self.tables[-1].append(None)
         elif self.tables and tag == "tr":
             pass
         elif tag in BLOCK:
@@ -362,7 +486,8 @@ def render(html: str | None) -> tuple[str, int, int]:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    renderer = Renderer(Rules(builder.sheets))
+    sheets = ["".join(c for c in s.children if isinstance(c, str)) for s in builder.sheets if on_screen(s.attrs.get("media", ""))]
+    renderer = Renderer(Rules(sheets))
     lines = renderer.run(builder.root)
     return "\n".join(lines), renderer.counts["tables"], renderer.counts["items"]
 

@@ -29,6 +29,29 @@ def test_pages(page, text):
     assert html_layout.render(page)[0] == text
 
 
+NO = "{ .x { display:none } }"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<style>@media print {NO}</style><p class=x>yes", "yes"), (f"<style>@media (max-width:600px) {NO}</style><p class=x>yes", "yes"),
+    (f"<style>@media screen and (min-width: 600px) {NO}</style><p class=x>no<p>yes", "yes"), (f"<style>@media print, screen {NO}</style><p class=x>no<p>yes", "yes"),
+    (f"<style>@media not print {NO}</style><p class=x>no<p>yes", "yes"), (f"<style>@media screen {{ @media print {NO} }} .y{{}}</style><p class=x>yes", "yes"),
+    ("<style media=print>.x{display:none}</style><p class=x>yes", "yes"), ("<style media=screen>.x{display:none}</style><p class=x>no<p>yes", "yes"),
+    ("<style>@import 'a{b'; .x{display:none} @font-face{font-family:a}</style><p class=x>no<p>yes", "yes"),
+    ("<style>.x{display:none} .x{color:red;display:block}</style><p class=x>yes", "yes"), ("<style>.x{display:none !important} .x{display:block}</style><p class=x>no<p>yes", "yes"),
+    ("<style>#i{display:block} .x{display:none}</style><p class=x id=i>yes", "yes"), ("<style>.x{display:none}</style><p class=x style='display:block'>yes", "yes"),
+    ("<style>.a{color:red; .x{color:red;display:none}}</style><p class='a'>yes <b class=x>yes</b>", "yes yes"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/>no<text>Up</text><text>Down <tspan>left</tspan></text></svg>", "Up Down left"),
+    ("<object data=a.swf><param name=a>fallback</object>", "fallback"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>aa<td rowspan=2>b<td>c<tr><td>d<td>e</table>", "aa  b  c\nd      e"),
+    ("<table><tr><td rowspan=0 colspan=2>ab<td>c<tr><td>d<tr><td>e<tbody><tr><td>f<td>g</table>", "ab    c\n      d\n      e\nf  g"),
+])
+def test_visible_text_stays(page, text):
+    assert html_layout.render(page)[0] == text
+
+
 @pytest.mark.parametrize("page", ["<div>" * 30000 + "deep" + "</div>" * 30000, "<table><tr><td>" * 3000 + "deep", "<p>" * 30000 + "<b>" * 5000 + "deep", "<ul><li>" * 2000 + "deep", "deep" + "</div>" * 50000])
 def test_depth_is_no_limit(page):
     assert html_layout.render(page)[0].strip().endswith("deep")
