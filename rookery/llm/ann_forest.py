@@ -97,15 +97,19 @@ class Shard:
         out = []
         for q, query, rows in zip(query_ids.tolist(), queries, self.forest.candidates(queries, least)):
             dist = np.sqrt(((x[rows] - query) ** 2).sum(axis=1))
-            if len(rows) > k + 1:  # one class may hold no other row than the query's own
-                limit = np.partition(dist, k)[k]
-                rows, dist = rows[dist <= limit], dist[dist <= limit]
-            found = []
-            for c, d in zip(rows.tolist(), dist.tolist()):
-                start = self.ends[c - 1] if c else 0
-                ids = self.ids[start:self.ends[c]]
-                ids = ids[ids != q] if len(ids) <= 2 * k else ids[:2 * k][ids[:2 * k] != q]
-                found += [(d, i) for i in ids[:k].tolist()]
+            classes = k + 1
+            while True:
+                near = dist <= np.partition(dist, classes - 1)[classes - 1] if classes < len(rows) else np.ones(len(rows), dtype=bool)
+                found = []
+                for c, d in zip(rows[near].tolist(), dist[near].tolist()):
+                    ids = self.ids[self.ends[c - 1] if c else 0:self.ends[c]]
+                    own, after = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
+                    first = ids[:min(own, k)].tolist()
+                    found += [(d, i) for i in first + ids[after:after + k - len(first)].tolist()]
+                # classes may hold no other rows than the query's own
+                if len(found) >= k or classes >= len(rows):
+                    break
+                classes *= 2
             found.sort()
             out += [(q, i, d) for d, i in found[:k]]
         return out

@@ -150,6 +150,17 @@ def test_shards_ties_and_copies(spark, monkeypatch):
     assert [i for i, _ in got[7]] == list(range(200, 210))
 
 
+def test_repeated_rows_of_the_query_hide_no_copies():
+    same, far = [1.0, 0.0], [[0.0, float(i)] for i in range(1, 21)]
+    ids = np.array([7] * 25 + list(range(200, 260)) + list(range(300, 320)))
+    shard = ann_forest.Shard(ids, np.array([same] * 85 + far))
+    assert shard.nearest(np.array([7]), np.array([same]), 10) == [(7, i, 0.0) for i in range(200, 210)]
+    # the query's id with many vectors of its own
+    own = [[1.0, i / 100] for i in range(30)]
+    shard = ann_forest.Shard(np.array([7] * 30 + list(range(300, 320))), np.array(own + far))
+    assert [i for _, i, _ in shard.nearest(np.array([7]), np.array([same]), 10)] == list(range(300, 310))
+
+
 def test_few_candidates_nulls_and_empty(spark):
     kind = "vec_id long, embedding array<float>, score string"
     rows = [(0, [1.0, 0.0], "x"), (100, [0.0, 2.0], None), (3, [0.0, 0.0], "x"), (4, None, "x"), (5, [1.0, None], "x"), (6, [float("nan"), 1.0], "x"),
