@@ -128,10 +128,11 @@ def test_without_labels_or_documents(spark):
 
 def test_rare_toxic_word_enters_the_model(spark):
     rows, labels = [], []
+    # six of the 322 toxic documents that are learned from have the rare insult, the others a common one
+    rare = [i for i in range(0, 4000, 10) if zlib.crc32(str(i).encode()) % 5][:6]
     for i in range(4000):
         toxic = i % 10 == 0
-        # one toxic document in fifty has the rare insult, the others a common one
-        word = ("clodpole" if i % 500 == 0 else "idiot") if toxic else "people"
+        word = ("clodpole" if i in rare else "idiot") if toxic else "people"
         rows.append((i, f"plain text with {word} words"))
         labels.append((i, int(toxic)))
     rows += [(i, "plain text with clodpole words") for i in (9001, 9002)]
