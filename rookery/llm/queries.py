@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_words, embed_dedup, html_layout, packing, pii, simhash, token_hist, toxicity, warc
+from . import ann_forest, bpe_words, embed_dedup, html_layout, packing, phrases, pii, simhash, token_hist, toxicity, warc
 from .tables import table
 
 
@@ -69,6 +69,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.encode_decode(table(spark, sf_dir, "documents"), path, full=False)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("k")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ann": op9_ann,
     "op10_bpe": op10_bpe,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLE: dict[str, str] = {
@@ -103,4 +108,28 @@ ORACLE: dict[str, str] = {
                CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
         FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100""",
+    "op11_phrases": """
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+                   FROM documents),
+             p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+             n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+             s AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM w) x WHERE len(w) >= k),
+             f AS (SELECT lang, phrase, k, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s) x
+                   GROUP BY lang, phrase, k HAVING count(*) >= 100),
+             c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+             i AS (SELECT lang, v, a, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, v, a, k, unnest(range(2, k)) AS m FROM c) x),
+             h AS (SELECT lang, array_to_string(v[i:i + m - 1], ' ') AS phrase, max(a) AS cover FROM i GROUP BY ALL),
+             cuts AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, j,
+                             CAST(1000 AS HUGEINT) * c.a * n.n // (CAST(x.a AS HUGEINT) * y.a) AS score
+                      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+                      JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.v[1:c.j], ' ')
+                      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.v[c.j + 1:c.k], ' ')
+                      JOIN n ON n.lang = c.lang
+                      LEFT JOIN h ON h.lang = c.lang AND h.phrase = c.phrase
+                      WHERE h.cover IS NULL OR 100 * h.cover < 100 * c.a),
+             low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+               CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM low QUALIFY rank <= 2000""",
 }
