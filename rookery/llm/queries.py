@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, bpe_words, embed_dedup, html_layout, packing, phrases, pii, simhash, token_hist, toxicity, warc
+from . import ann_forest, bpe_words, embed_dedup, html_layout, langid, packing, phrases, pii, simhash, token_hist, toxicity, variants, warc
 from .tables import table
 
 
@@ -73,6 +73,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents")).drop("k")
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predictions(docs, langid.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -85,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_bpe": op10_bpe,
     "op11_phrases": op11_phrases,
+    "op12_variants": op12_variants,
+    "op13_langid": op13_langid,
 }
 
 ORACLE: dict[str, str] = {
