@@ -121,3 +121,13 @@ def word_count(text) -> Column:
 def js_round(x) -> Column:
     """JavaScript ``Math.round``: ``floor(x + 0.5)``."""
     return F.floor(col(x) + F.lit(0.5))
+
+
+def unescaped(path) -> Column:
+    """A path or name of ``_metadata``, which Spark writes as part of a URI, as it is."""
+    return F.url_decode(F.regexp_replace(col(path), r"\+", "%2B"))
+
+
+def file_stem(name="_metadata.file_name") -> Column:
+    """The name of the file a row was read from, without its extension."""
+    return F.regexp_extract(unescaped(name), r"^(.*?)(\.[^.]*)?$", 1)

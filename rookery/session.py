@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. All are runtime SQL settings, so they can also be
 # applied to a session somebody else built (``apply_conf``).
@@ -94,6 +94,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return work_path(spark, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: computed once, and
+    what follows sees its size and fixed rows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, path: str, sort: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a table at ``path``, bucketed by ``key`` and sorted within its files, so
+    that joins, windows and aggregates on the key do not move its rows. The catalog's
+    entry goes at once; the files stay."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    w = df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd")
+    (w.sortBy(*sort) if sort else w).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved, with its files, before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what jobs have left below ``scratch/``, once nothing reads it any more."""
     delete_paths(spark, [work_path(spark, "scratch")])
@@ -101,23 +123,33 @@ def remove_scratch(spark: SparkSession) -> None:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system, so it works for any scheme."""
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return bool(fs.exists(jpath))
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder."""
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(jpath)]
 
 
+def escaped_name(spark: SparkSession, value: str) -> str:
+    """A partition value as it stands in the name of its folder."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def unescaped_name(spark: SparkSession, name: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
+
+
 def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     """Delete files or folders, through the Hadoop file system."""
     for path in paths:
-        fs, jpath = _file_system(spark, path)
+        fs, jpath = file_system(spark, path)
         fs.delete(jpath, True)

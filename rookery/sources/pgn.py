@@ -6,11 +6,11 @@ split boundaries, so a huge file is parsed by many tasks). One separator serves
 LF and CRLF files and files without blank lines between games. Everything after
 the scan is built-in column expressions: no Python worker touches the text.
 
-Game numbers follow file order within a source without a global sort: every
-split counts its games (a tiny aggregate), a running sum over the splits gives
-each split's offset, and a game's number is offset + position in its split. The
-running sum orders the splits of one source in one task: 100 TB in splits of
-128 MB are about 800,000 rows of a few bytes.
+Game numbers follow file order within a source, and the text never moves for
+them: a narrow pass counts the games of every split into a stored table, a running
+sum over it gives each split's offset, and the pass that parses attaches the
+offsets in its tasks. The running sum orders the splits of one source in one task:
+100 TB in splits of 128 MB are about 800,000 rows of a few bytes.
 
 Moves are the mainline tokens as they are written (SAN or UCI); whether they are
 legal is not checked, which would take a chess engine's move generator.
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import let
+from ..functions.exprs import file_stem, let
+from ..session import stored
 
 # Python-chess fills the seven-tag roster with these when a tag is
 # missing; all other tags default to ''.
@@ -35,7 +36,7 @@ _MOVE_AND_COMMENT = r"([^\s{}]+)(?:\s*\{([^}]*)\})?"
 
 
 def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFAULT_GLOB,
-             recursive: bool = False, base_path: str | None = None) -> DataFrame:
+             recursive: bool = False, base_path: str | None = None, missing_ok: bool = False) -> DataFrame:
     """Raw games: ``(source, file_path, block_start, _row, text)``.
 
     ``source`` is a ``source=`` partition folder when the layout has one, else
@@ -47,9 +48,10 @@ def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFA
         reader = reader.option("recursiveFileLookup", "true")
     if base_path:
         reader = reader.option("basePath", base_path)
+    if missing_ok:
+        reader = reader.option("ignoreMissingFiles", "true")
     raw = reader.text(path)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    source = F.col("source").cast("string") if "source" in raw.columns else stem
+    source = F.col("source").cast("string") if "source" in raw.columns else file_stem()
     # what stands in front of the first game (a byte order mark, blank lines) is no game
     df = (raw.where(has_game("value"))
           .select(source.alias("source"), F.col("_metadata.file_path").alias("file_path"),
@@ -73,27 +75,67 @@ def restore_game_text(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.when(t.startswith("[Event "), t).otherwise(F.concat(F.lit("[Event "), t)))
 
 
-def number_games(raw: DataFrame, first: DataFrame | None = None) -> DataFrame:
+#: Splits whose offsets are sent to every task, some 40 bytes each; of more, the
+#: planner chooses the join.
+MAP_SIDE_SPLITS = 2_000_000
+
+_SPLIT = ["source", "_f1", "_f2", "block_start"]
+
+
+def _keyed(raw: DataFrame) -> DataFrame:
+    # two independent hashes stand for the file path in the split table
+    return raw.withColumn("_f1", F.xxhash64("file_path")).withColumn("_f2", F.hash("file_path"))
+
+
+def split_table(raw: DataFrame) -> DataFrame:
+    """The games of every file split, counted in a pass of its own and stored:
+    one row per split with its number of games ``_n`` and first row ``_r0``."""
+    spark = raw.sparkSession
+    # how files are split must not change with the number of executors between the passes
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return stored(_keyed(raw).groupBy(*_SPLIT, "file_path").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_r0")), "pgn-splits")
+
+
+def _attached(raw: DataFrame, splits: DataFrame, offsets: DataFrame, number: Column) -> DataFrame:
+    """``raw`` with ``game_id``: ``number`` over ``_place``, the 0-based position of a
+    game in its split, and the columns of ``offsets``, joined where the rows are. A
+    row that the count does not know, because files changed in between, is an error."""
+    if splits.count() <= MAP_SIDE_SPLITS:
+        offsets = F.broadcast(offsets)
+    known = F.col("_place").between(0, F.col("_n") - 1)
+    changed = F.raise_error(F.concat(F.lit("changed since its games were counted: "), F.col("file_path"))).cast("long")
+    df = _keyed(raw).join(offsets, _SPLIT, "left").withColumn("_place", F.col("_row") - F.col("_r0"))
+    return df.withColumn("game_id", F.when(known, number).otherwise(changed)).drop("_place", *[c for c in offsets.columns if c != "source" and c != "block_start"])
+
+
+def number_games(raw: DataFrame, first: DataFrame | None = None, splits: DataFrame | None = None) -> DataFrame:
     """A5: 1-based game number (LONG) in file order within each source.
 
     Rows of one split are consecutive within one task, so the position inside
-    the split is ``_row - min(_row)``. The per-split table has one row per file
-    split, keyed by two independent hashes of the file path instead of the path
-    itself; how it is joined is left to the adaptive planner. ``first``
-    ``(source, last_id)`` holds the numbers already given, which go on."""
-    keyed = raw.withColumn("_f1", F.xxhash64("file_path")).withColumn("_f2", F.hash("file_path"))
-    keys = ["source", "_f1", "_f2", "block_start"]
-    splits = keyed.groupBy("source", "file_path", "_f1", "_f2", "block_start").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_r0"))
+    the split is ``_row - min(_row)``. ``splits`` is the split table (counted here
+    unless given). ``first`` ``(source, last_id)`` holds the numbers already given,
+    which go on."""
+    splits = split_table(raw) if splits is None else splits
     before = Window.partitionBy("source").orderBy("file_path", "block_start") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*keys, "_r0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = splits.select(*_SPLIT, "_n", "_r0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     if first is not None:
         offsets = offsets.join(first, "source", "left").withColumn(
             "_offset", F.col("_offset") + F.coalesce("last_id", F.lit(0))).drop("last_id")
-    return (keyed.join(offsets, keys)
-            .withColumn("game_id", (F.col("_offset") + F.col("_row") - F.col("_r0") + 1).cast("long"))
-            .drop("_offset", "_r0", "_f1", "_f2"))
+    return _attached(raw, splits, offsets, F.col("_offset") + F.col("_place") + 1)
+
+
+def number_games_in_ranges(raw: DataFrame, splits: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Game numbers out of the ranges that each file has been given: ``ranges`` is
+    ``(file_path, ranges array<struct<pos, first, n>>)``, and the game at position
+    pos + i of its file (from 1) has the number first + i."""
+    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (splits.select(*_SPLIT, "file_path", "_n", "_r0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+               .join(ranges.select("file_path", F.col("ranges").alias("_ranges")), "file_path").drop("file_path"))
+    position = F.col("_offset") + F.col("_place") + 1
+    own = F.filter("_ranges", lambda r: (r["pos"] <= position) & (position < r["pos"] + r["n"]))[0]
+    return _attached(raw, splits, offsets, own["first"] + position - own["pos"])
 
 
 # ---------------------------------------------------------------- tags
@@ -213,14 +255,20 @@ def eval_score(comment: Column) -> tuple[Column, Column]:
     return cp, mate
 
 
-def parse_games(raw: DataFrame, numbered: bool = True, first: DataFrame | None = None) -> DataFrame:
+def parse_games(raw: DataFrame, numbered: bool = True, first: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw games -> the columns of the ``games`` table (A2-A5, H7) plus ``source``
     and ``src_game_id`` (ParquetGameId tag).
 
     ``game_id`` is LONG and ``num_moves`` INT here; ``files.conform`` narrows
     them to the fixed schema. A rating that is no SMALLINT is unknown (0), like
-    one that is no number. ``first`` as in ``number_games``."""
-    df = number_games(raw, first) if numbered else raw.withColumn("game_id", F.lit(None).cast("long"))
+    one that is no number. ``first`` as in ``number_games``; games that are not to
+    be ``numbered`` keep the ``game_id`` that they have. Columns of ``raw`` named in
+    ``keep`` come last."""
+    df = raw
+    if numbered:
+        df = number_games(raw, first)
+    elif "game_id" not in raw.columns:
+        df = raw.withColumn("game_id", F.lit(None).cast("long"))
     df = with_clean_movetext(with_tags(df))
     moves, comments = move_tokens(F.col("_clean"))
     names = ["Event", "Site", "UTCDate", "Date", "White", "Black", "Result", "WhiteElo", "BlackElo",
@@ -250,14 +298,14 @@ def parse_games(raw: DataFrame, numbered: bool = True, first: DataFrame | None =
         t("ECO").alias("eco"), t("Opening").alias("opening"),
         t("TimeControl").alias("time_control"), t("Termination").alias("termination"),
         t("ParquetGameId").alias("src_game_id"),
-        "_tokens", "_clk",
+        "_tokens", "_clk", *keep,
     )
     clocks = F.filter("_clk", lambda x: x.isNotNull())
     return df.select("source", "game_id", "event", "site", "date", "white", "black", "result", "white_elo",
                      "black_elo", "white_rd", "black_rd", "eco", "opening", "time_control", "termination",
                      F.size("_tokens").alias("num_moves"), F.array_join("_tokens", " ").alias("moves_uci"),
                      F.array_join(F.transform(clocks, lambda x: x.cast("string")), " ").alias("clock_times"),
-                     "src_game_id")
+                     "src_game_id", *keep)
 
 
 def ply_evals(raw: DataFrame) -> DataFrame:

@@ -130,3 +130,63 @@ def test_command_line_job(spark, tmpdir_path, capsys):
     _put(src, "b.pgn", 3)
     assert convert_and_report.main(args) == 0 and "1 converted, 1 skipped" in capsys.readouterr().out
     assert spark.read.json(f"{out}/total_games").first().total_games == 5
+
+
+def test_games_that_do_not_fit_are_rejected_in_the_same_job(spark, tmpdir_path):
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    _put(src, "a [1].pgn", 3)
+    _put(src, "b.pgn", 0)
+    with open(os.path.join(src, "b.pgn"), "w", encoding="utf-8") as f:
+        f.write("\n" + "\n\n")                      # no game at all
+    long = '[Event "x"]\n[White "long"]\n\n' + "e4 " * 40000 + "*\n"
+    with open(os.path.join(src, "c.pgn"), "w", encoding="utf-8") as f:
+        f.write(ONE + "\n" + long + "\n" + ONE)
+    with open(os.path.join(src, "d.pgn"), "w", encoding="utf-8") as f:
+        f.write(long)
+    rows = {r.source: r for r in files.convert_folder(spark, src, out).collect()}
+    assert {k: (r.status, r.games, r.rejects) for k, r in rows.items()} == {
+        "a [1]": ("converted", 3, 0), "b": ("empty", 0, 0), "c": ("converted", 2, 1), "d": ("failed", 0, 1)}
+    assert rows["d"].error == "num_moves does not fit smallint: 40000"
+    got = files.read_games(spark, out)
+    assert sorted((r.source, r.game_id) for r in got.collect()) == [("a [1]", 1), ("a [1]", 2), ("a [1]", 3), ("c", 1), ("c", 3)]
+    bad = sorted((r.source, r.number, '"white":"long"' in r.record) for r in files.read_rejects(spark, out).collect())
+    assert bad == [("c", 2, True), ("d", 1, True)]
+    # repaired sources lose their old rejects, a source without games its old games
+    time.sleep(1.1)
+    _put(src, "c.pgn", 2)
+    with open(os.path.join(src, "a [1].pgn"), "w", encoding="utf-8") as f:
+        f.write(long)
+    assert _status(files.convert_folder(spark, src, out)) == {"a [1]": "failed", "b": "empty", "c": "converted", "d": "skipped"}
+    assert sorted((r.source, r.game_id) for r in files.read_games(spark, out).collect()) == [("c", 1), ("c", 2)]
+    assert sorted(r.source for r in files.read_rejects(spark, out).collect()) == ["a [1]", "d"]
+
+
+def test_all_sources_are_converted_by_one_scan(spark, tmpdir_path, monkeypatch):
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    for i in range(150):
+        _put(src, f"s{i}.pgn", 1 + i % 3)
+    scans = []
+    real = files.pgn.scan_pgn
+    monkeypatch.setattr(files.pgn, "scan_pgn", lambda *a, **kw: scans.append(1) or real(*a, **kw))
+    rows = files.convert_folder(spark, src, out).collect()
+    assert len(scans) == 1 and {r.source: r.games for r in rows} == {f"s{i}": 1 + i % 3 for i in range(150)}
+
+
+def test_append_looks_through_files_that_its_table_does_not_know(spark):
+    folder = fresh_path(spark, "t-append")
+    one = lambda i: f'[Event "x"]\n[ParquetGameId "{i}"]\n\n1. e4 *\n'
+    games = lambda ids: spark.createDataFrame([(i, one(i)) for i in ids], "game_id int, pgn string")
+    os.makedirs(folder)
+    with open(f"{folder}/by_hand.pgn", "w", encoding="utf-8") as f:
+        f.write(one(7) + "\n" + one(8))
+    assert sorted(r.game_id for r in files.append_games(games([7, 9]), folder).collect()) == [9]
+    # a run that died after its text left a file that the table does not know
+    games([20]).select("pgn").write.mode("append").text(folder)
+    assert sorted(r.game_id for r in files.append_games(games([20, 21]), folder).collect()) == [21]
+    # a known file that has changed makes the table be built anew
+    time.sleep(1.1)
+    with open(f"{folder}/by_hand.pgn", "w", encoding="utf-8") as f:
+        f.write(one(8))
+    assert sorted(r.game_id for r in files.append_games(games([7, 8, 9]), folder).collect()) == [7]
+    got = files.pgn.parse_games(files.pgn.scan_pgn(spark, folder, glob=None))
+    assert sorted(int(r.src_game_id) for r in got.collect()) == [7, 8, 9, 20, 21]

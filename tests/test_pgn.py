@@ -159,14 +159,19 @@ def test_single_game_defaults(spark):
     assert (g5.eco, g5.white_elo, g5.black_elo, g5.status) == ("?", "1400", "99999", "ok")
 
 
-def test_no_python_and_no_job_at_build(spark, tmpdir_path):
+def test_no_python_and_only_the_count_at_build(spark, tmpdir_path):
     held = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    raw = pgn.scan_pgn(spark, GAMES5, glob=None)
+    splits = pgn.split_table(raw)   # the one pass that runs before the parse
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("pgn-build", "plan only")
-    df = pgn.parse_games(pgn.scan_pgn(spark, GAMES5, glob=None))
+    df = pgn.parse_games(raw, numbered=False)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert list(tracker.getJobIdsForGroup("pgn-build")) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r._n for r in splits.collect()] == [5]
+    df = pgn.parse_games(raw)
+    plan += df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInPandas" not in plan
     df.count()
     assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) == held
