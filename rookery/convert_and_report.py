@@ -1,5 +1,8 @@
 """Convert what is new in a folder of PGN sources, then report on all games.
 
+The report is merged from the parts that every source leaves when it is converted
+(``operators.report_parts``), so a run reads the games of new sources only.
+
     python -m rookery.convert_and_report --source pgn/ --games games/ --report stats/ [--force]
 
 The master, ``spark.checkpoint.dir`` and other settings come from spark-submit
@@ -13,18 +16,25 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import report
-from .session import build_session
+from .operators import report, report_parts
+from .session import build_session, path_exists
 from .sources import files, pgn
 
 
 def run(spark: SparkSession, source: str, games: str, out: str | None = None, force: bool = False,
         glob: str | None = pgn.DEFAULT_GLOB) -> tuple[DataFrame, dict[str, str]]:
-    """Convert the sources of ``source`` that need it into the table ``games``;
-    write every analysis below ``out``, if given. Returns the outcome of every
-    source and the errors of the analyses."""
+    """Convert the sources of ``source`` that need it into the table ``games``, with
+    their parts of the report beside it (``<games>-parts``); write every analysis
+    below ``out``, if given. Returns the outcome of every source and the errors of
+    the analyses."""
     outcome = files.convert_folder(spark, source, games, glob, force)
-    errors = report.write_report(report.report_input(files.read_games(spark, games)), out) if out else {}
+    parts = f"{games.rstrip('/')}-parts"
+    # a source of the table without a part, after a run that died, is read again
+    known = report_parts.known_sources(spark, parts)
+    changed = [r.source for r in outcome.collect() if r.status != "skipped" or r.source not in known]
+    if changed and path_exists(spark, games):
+        report_parts.update(files.read_games(spark, games), parts, changed)
+    errors = report.write_report(None, out, sources=report_parts.merged(spark, parts)) if out else {}
     return outcome, errors
 
 

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import RESULTS_DECIDED, UNKNOWN_DATE, bucket, nonempty, pct, time_class
+from ..session import stored
 
 
 def _share(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -100,31 +101,52 @@ def count_by(games: DataFrame, dimension: str) -> DataFrame:
     return _counted(games.where(d.where()).select(*[c.alias(n) for n, c in key.items()], *_results_of_game()), *key)
 
 
+def _slots(games: DataFrame, name: str) -> list[tuple[str, str, str]]:
+    """(column, type, slot) of a dimension's key in the shared rows: text columns
+    lie in s0 and s1, a number in n."""
+    types = games.select(*[c.alias(n) for n, c in DIMENSIONS[name].key().items()]).dtypes
+    texts = [n for n, t in types if t == "string"]
+    return [(n, t, f"s{texts.index(n)}" if n in texts else "n") for n, t in types]
+
+
+def key_struct(name: str, slots: dict[str, Column], peak: Column | None = None) -> Column:
+    """A key of the shared rows; ``peak`` is a value of which they keep the largest."""
+    kinds = (("s0", "string"), ("s1", "string"), ("n", "double"))
+    return F.struct(F.lit(name).alias("dim"), *[slots.get(s, F.lit(None)).cast(t).alias(s) for s, t in kinds],
+                    (F.lit(None) if peak is None else peak).cast("long").alias("peak"))
+
+
+def dimension_keys(games: DataFrame, dimensions: list[str]) -> list[Column]:
+    """Of every dimension the key of a game, NULL where it has none."""
+    keys = []
+    for name in dimensions:
+        columns = DIMENSIONS[name].key()
+        keys.append(F.when(DIMENSIONS[name].where(), key_struct(name, {slot: columns[n] for n, _, slot in _slots(games, name)})))
+    return keys
+
+
+def exploded_keys(games: DataFrame, keys: list[Column], *by: str) -> DataFrame:
+    """A row per game and key (dim, s0, s1, n) with the game's result flags."""
+    rows = games.select(*by, F.filter(F.array(*keys), lambda k: k.isNotNull()).alias("k"), *_results_of_game())
+    # explode_outer: a plain explode would get an inferred size(k) > 0 filter
+    # pushed below this projection, building the key array twice
+    rows = rows.select(*by, F.explode_outer("k").alias("k"), "w", "b", "d").select(*by, "k.*", "w", "b", "d")
+    return rows.where(F.col("dim").isNotNull())
+
+
+def keyed_counts(games: DataFrame, shared: DataFrame, name: str) -> DataFrame:
+    """The counts of one dimension, in its own columns and types, out of shared counts."""
+    return shared.where(F.col("dim") == name).select(*[F.col(slot).cast(t).alias(n) for n, t, slot in _slots(games, name)], *_COUNTS)
+
+
 def count_by_all(games: DataFrame, dimensions: list[str]) -> dict[str, DataFrame]:
     """``count_by`` for many keys in one pass over the games.
 
     Every game gives a narrow row (dimension, key) for each key that it has, as
     text or number; the partial aggregate folds them per task before the
-    shuffle. The shared aggregate is cached; ``release`` it when done."""
-    keys, kinds = [], {}
-    for name in dimensions:
-        d = DIMENSIONS[name]
-        columns = d.key()
-        types = dict(games.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
-        texts = [n for n in columns if types[n] == "string"]
-        numbers = [n for n in columns if types[n] != "string"]
-        kinds[name] = [(n, types[n], f"s{texts.index(n)}" if n in texts else "n") for n in columns]
-        slots = {f"s{i}": columns[n] for i, n in enumerate(texts)} | {"n": columns[n].cast("double") for n in numbers}
-        keys.append(F.when(d.where(), F.struct(F.lit(name).alias("dim"), *[
-            slots.get(s, F.lit(None)).cast(t).alias(s) for s, t in (("s0", "string"), ("s1", "string"), ("n", "double"))])))
-    rows = games.select(F.filter(F.array(*keys), lambda k: k.isNotNull()).alias("k"), *_results_of_game())
-    # explode_outer: a plain explode would get an inferred size(k) > 0 filter
-    # pushed below this projection, building the key array twice
-    rows = rows.select(F.explode_outer("k").alias("k"), "w", "b", "d").select("k.*", "w", "b", "d")
-    shared = _counted(rows.where(F.col("dim").isNotNull()), "dim", "s0", "s1", "n").cache()
-    out = {name: shared.where(F.col("dim") == name).select(*[F.col(slot).cast(t).alias(n) for n, t, slot in kinds[name]], *_COUNTS)
-           for name in dimensions}
-    return out | {"": shared}
+    shuffle. The shared aggregate is cached; unpersist it when done."""
+    shared = _counted(exploded_keys(games, dimension_keys(games, dimensions)), "dim", "s0", "s1", "n").cache()
+    return {name: keyed_counts(games, shared, name) for name in dimensions} | {"": shared}
 
 
 def elo_frequencies(games: DataFrame) -> DataFrame:
@@ -170,38 +192,51 @@ def _move_stats(freq: DataFrame) -> DataFrame:
                     F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75")))
 
 
-def _top_players(games: DataFrame, limit: int = 20) -> DataFrame:
+def player_games(games: DataFrame) -> DataFrame:
+    """(player, games, peak_elo) over both colours, sides with a rating."""
     pre = games.where((F.col("white_elo") > 0) | (F.col("black_elo") > 0))
     return (_sides(pre, "player", "elo").where(F.col("elo") > 0)
-            .groupBy("player")
-            .agg(F.count(F.lit(1)).alias("games"), F.max("elo").alias("peak_elo"))
-            .orderBy(F.desc("games"), "player")
-            .limit(limit))
+            .groupBy("player").agg(F.count(F.lit(1)).alias("games"), F.max("elo").alias("peak_elo")))
+
+
+def _top_players(players: DataFrame, limit: int = 20) -> DataFrame:
+    return players.orderBy(F.desc("games"), "player").limit(limit)
 
 
 TOP_GAME_COLUMNS = ("game_id", "white", "black", "white_elo", "black_elo", "total_elo", "result",
                     "moves_uci", "eco", "opening", "date", "time_control")
 
 
-def _top_game(games: DataFrame) -> DataFrame:
+def strong_games(games: DataFrame) -> DataFrame:
+    """Games with moves and both sides above 2000, with the sum of both ratings."""
     return (games.where((F.col("white_elo") > 2000) & (F.col("black_elo") > 2000) & nonempty("moves_uci"))
-            .withColumn("total_elo", F.col("white_elo") + F.col("black_elo"))
-            .orderBy(F.desc("total_elo"), "game_id")
-            .select(*TOP_GAME_COLUMNS)
-            .limit(1))
+            .withColumn("total_elo", F.col("white_elo") + F.col("black_elo")))
+
+
+def _top_game(strong: DataFrame) -> DataFrame:
+    return strong.orderBy(F.desc("total_elo"), "game_id").select(*TOP_GAME_COLUMNS).limit(1)
+
+
+#: What analyses read that count by no dimension of games: of the games, or of merged parts.
+FRAMES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "elo": elo_frequencies,
+    "total": lambda games: games.agg(F.count(F.lit(1)).alias("count")),
+    "player": player_games,
+    "strong": strong_games,
+}
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """``finish`` makes the result from the counts of ``dimension``, from the Elo
-    frequencies (``dimension`` "elo") or, without one, from the games."""
+    """``finish`` makes the result from the counts of ``dimension``, from the frame of
+    that name or, without one, from the games."""
     finish: Callable[[DataFrame], DataFrame]
     dimension: str | None = None
 
     def alone(self, games: DataFrame) -> DataFrame:
         if self.dimension is None:
             return self.finish(games)
-        return self.finish(elo_frequencies(games) if self.dimension == "elo" else count_by(games, self.dimension))
+        return self.finish(count_by(games, self.dimension) if self.dimension in DIMENSIONS else FRAMES[self.dimension](games))
 
 
 def _plain(*columns: str) -> Callable[[DataFrame], DataFrame]:
@@ -214,7 +249,7 @@ def _shares(column: str, *order: str) -> Callable[[DataFrame], DataFrame]:
 
 # 2.J: the registry. An entry added here is part of the report.
 REPORT: dict[str, Analysis] = {
-    "total_games": Analysis(lambda g: g.agg(F.count(F.lit(1)).alias("total_games"))),  # D1
+    "total_games": Analysis(lambda t: t.select(F.col("count").alias("total_games")), "total"),  # D1
     "results": Analysis(_shares("result"), "result"),  # D2: '*' is no part of the total
     "elo_histogram": Analysis(_elo_histogram, "elo"),  # D3: both sides pooled, 100-point buckets
     "elo_stats": Analysis(_elo_stats, "elo"),  # D5: games with both sides above 400
@@ -225,11 +260,11 @@ REPORT: dict[str, Analysis] = {
     "move_stats": Analysis(_move_stats, "num_moves"),  # D9
     "daily_activity": Analysis(_plain("date"), "date"),  # D10
     "terminations": Analysis(lambda c: _shares("termination")(c).limit(15), "termination"),  # D11: share before the cut
-    "top_players": Analysis(_top_players),  # D12: rated players over both colours
+    "top_players": Analysis(_top_players, "player"),  # D12: rated players over both colours
     "eco_categories": Analysis(_shares("eco_cat", "eco_cat"), "eco_cat"),  # D13
     "rating_advantage": Analysis(lambda c: c.select("elo_diff_bucket", "count", *_win_shares())
                                  .orderBy("elo_diff_bucket"), "elo_diff"),  # D14: floored toward minus infinity
-    "top_game": Analysis(_top_game),  # D15: both sides above 2000, ties to the lowest id
+    "top_game": Analysis(_top_game, "strong"),  # D15: both sides above 2000, ties to the lowest id
 }
 
 
@@ -288,18 +323,32 @@ def _message(exc: Exception) -> str:
     return f"{type(exc).__name__}: {(str(exc).splitlines() or [''])[0][:300]}"
 
 
-def run_report(games: DataFrame, names: list[str] | None = None, shared: bool = True,
-               parallel: int = 4) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def _cached(name: str, df: DataFrame) -> DataFrame:
+    df = df.cache()
+    try:
+        df.count()
+    except BaseException:
+        df.unpersist()
+        raise
+    return df
+
+
+def run_report(games: DataFrame | None, names: list[str] | None = None, shared: bool = True, parallel: int = 4,
+               sources: dict[str, DataFrame] | None = None,
+               keep: Callable[[str, DataFrame], DataFrame | None] = _cached) -> tuple[dict[str, DataFrame | None], dict[str, str]]:
     """Run the registered analyses; a failing one is reported, not fatal.
 
     With ``shared`` one pass counts all keys and one the Elo frequencies; only
     these small aggregates are cached, and released in the end. Analyses whose
-    shared pass fails run alone. Returns the (small, cached) results by name and
-    the errors by name; every analysis asked for is in one of them."""
+    shared pass fails run alone. Or ``sources`` holds what every analysis reads
+    (``report_parts.merged``), and no games are needed. ``keep`` computes a result
+    once, where it is to stay; by default it is cached, for the caller to release.
+    Returns what it made by name, and the errors by name; every analysis asked for
+    is in one of them."""
     todo = list(names or REPORT)
-    passes: dict[str, DataFrame] = {}
+    passes: dict[str, DataFrame] = dict(sources or {})
     cached: list[DataFrame] = []
-    if shared:
+    if shared and sources is None:
         dimensions = list(dict.fromkeys(REPORT[n].dimension for n in todo if n in REPORT and REPORT[n].dimension in DIMENSIONS))
         try:
             counts = count_by_all(games, dimensions) if dimensions else {}
@@ -318,17 +367,11 @@ def run_report(games: DataFrame, names: list[str] | None = None, shared: bool =
             except _FAILURES:
                 pass
 
-    def one(name: str) -> DataFrame:
+    def one(name: str) -> DataFrame | None:
         a = REPORT[name]
-        df = (a.finish(passes[a.dimension]) if a.dimension in passes else a.alone(games)).cache()
-        try:
-            df.count()
-        except BaseException:
-            df.unpersist()
-            raise
-        return df
+        return keep(name, a.finish(passes[a.dimension]) if a.dimension in passes else a.alone(games))
 
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame | None] = {}
     errors: dict[str, str] = {}
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for name, future in {name: pool.submit(one, name) for name in todo}.items():
@@ -336,37 +379,37 @@ def run_report(games: DataFrame, names: list[str] | None = None, shared: bool =
                 out[name] = future.result()
             except _FAILURES as exc:
                 errors[name] = _message(exc)
-    for df in cached:  # the results are cached themselves; a lost block is rebuilt from the lineage
+    for df in cached:
         df.unpersist()
     return out, errors
 
 
-def report_cells(games: DataFrame, names: list[str] | None = None, shared: bool = True) -> DataFrame:
+def report_cells(games: DataFrame | None, names: list[str] | None = None, shared: bool = True,
+                 sources: dict[str, DataFrame] | None = None) -> DataFrame:
     """2.J: the whole report as one table ``(analysis, status, key, measure,
     value)``, a row per number of every analysis; ``key`` holds its text columns,
-    or the first column if it has none. A failed analysis is one row."""
-    spark = games.sparkSession
-    done, errors = run_report(games, names, shared)
-    rows = []
-    for name, df in done.items():
-        # results are bounded by their number of distinct keys; each is turned round where it lies
+    or the first column if it has none. A failed analysis is one row. Arguments as
+    in ``run_report``."""
+    def cells(name: str, df: DataFrame) -> DataFrame:
         texts = [c for c, t in df.dtypes if t == "string"]
         numbers = [c for c, t in df.dtypes if t != "string"]
         key = F.concat_ws("|", *texts) if texts else F.col(numbers[0]).cast("double").cast("long").cast("string")
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers]))
-        rows.append(df.select(F.lit(name).alias("analysis"), F.lit("ok").alias("status"), key.alias("key"), cells.alias("cell"))
-                    .select("analysis", "status", "key", "cell.measure", "cell.value"))
+        cell = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers]))
+        rows = df.select(F.lit(name).alias("analysis"), F.lit("ok").alias("status"), key.alias("key"), cell.alias("cell"))
+        return stored(rows.select("analysis", "status", "key", "cell.measure", "cell.value"), "report-cells")
+
+    done, errors = run_report(games, names, shared, sources=sources, keep=cells)
     bad = [(n, "error", "", e, None) for n, e in errors.items()]
-    out = spark.createDataFrame(bad, "analysis string, status string, key string, measure string, value double")
-    for r in rows:
-        out = out.unionByName(r)
+    out = SparkSession.active().createDataFrame(bad, "analysis string, status string, key string, measure string, value double")
+    for rows in done.values():
+        out = out.unionByName(rows)
     return out
 
 
-def write_report(games: DataFrame, folder: str, names: list[str] | None = None) -> dict[str, str]:
+def write_report(games: DataFrame | None, folder: str, names: list[str] | None = None,
+                 sources: dict[str, DataFrame] | None = None) -> dict[str, str]:
     """Every analysis as a JSON folder of its own below ``folder``; returns the errors."""
-    done, errors = run_report(games, names)
-    for name, df in done.items():
+    def write(name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
-        df.unpersist()
-    return errors
+
+    return run_report(games, names, sources=sources, keep=write)[1]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import convert_and_report
 from ..operators import naming
 from ..operators import narration as nr
-from ..operators import report
+from ..operators import report, report_parts
+from ..operators.pgn_render import render_games
 from ..operators.skew import rank_within
 from ..session import fresh_path
 from ..sources import corpus, files
@@ -84,6 +85,34 @@ register("batch_status", _outcome,
              FROM ({_FRESH_SQL}) GROUP BY status""", ("games",))
 
 
+_LONG_SQL = "(game_id % 997 = 5 OR event = 'Rated game 3' AND game_id % 499 = 0)"
+
+
+def _with_long_games(spark: SparkSession, sf_dir: str) -> str:
+    """The PGN corpus with games of 33,000 plies in it, more than the table's type holds."""
+    games = td.games(spark, sf_dir).withColumn("source", corpus.source_name("event"))
+    long = games.withColumn("moves_uci", F.when(F.expr(_LONG_SQL), F.rtrim(F.repeat(F.lit("a1a2 "), 33000))).otherwise(F.col("moves_uci")))
+    path = fresh_path(spark, "pgn-long")
+    corpus.write_pgn(render_games(corpus.in_file_order(long), keep=("source",)), path)
+    return path
+
+
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion kept and what it rejected, game by game, after one job."""
+    out = fresh_path(spark, "converted-rejects")
+    files.convert_folder(spark, _with_long_games(spark, sf_dir), out, glob=None)
+    bad = files.read_rejects(spark, out).select("source", F.col("number").cast("int").alias("game_id"), "reason",
+                                                F.get_json_object("record", "$.src_game_id").cast("int").alias("src_game_id"))
+    kept = files.read_games(spark, out).select("source", "game_id", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("src_game_id"))
+    return kept.unionByName(bad)
+
+
+register("pgn_rejects", _rejects, f"""
+SELECT source, CAST(ROW_NUMBER() OVER (PARTITION BY source ORDER BY game_id) AS INT) AS game_id,
+       CASE WHEN bad THEN 'num_moves does not fit smallint: 33000' END AS reason, CASE WHEN bad THEN game_id END AS src_game_id
+FROM (SELECT *, {SOURCE} AS source, {_LONG_SQL} AS bad FROM games)""", ("games",))
+
+
 def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each analysis written as its own JSON folder, read back number by number."""
     root = fresh_path(spark, "stats")
@@ -102,19 +131,48 @@ def _stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An earlier batch, then the job: convert the rest, report on all games read
-    back. The report's files are ``stats_json``'s matter."""
+def _convert_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier batch of two sources, then the job twice: it converts the rest,
+    finds nothing new, and reports from the parts that the sources have left."""
     src, out = _earlier_batch(spark, sf_dir)
-    convert_and_report.run(spark, src, out, glob=None)
-    # game numbers are those of the files, so the top game is compared elsewhere
-    names = [n for n in report.REPORT if n != "top_game"]
-    return report.report_cells(report.report_input(files.read_games(spark, out)), names)
+    for _ in range(2):
+        convert_and_report.run(spark, src, out, glob=None)
+    return report.report_cells(None, sources=report_parts.merged(spark, f"{out}-parts"))
 
 
-_CELLS_OF_FILES = f"SELECT * FROM ({cells_sql()}) WHERE analysis NOT IN ('top_game', 'move_count_dist', 'move_stats')"
-register("convert_and_report", lambda s, d: _incremental(s, d).where(~F.col("analysis").isin("move_count_dist", "move_stats")),
-         _CELLS_OF_FILES, ("games",))
+# games as the files hold them: numbered by source, and with the plies of their movetext
+_OF_FILES = """
+, of_files AS (SELECT * REPLACE (CAST(ROW_NUMBER() OVER (PARTITION BY event ORDER BY game_id) AS INT) AS game_id,
+                                 CAST(CASE WHEN moves_uci = '' THEN 0 ELSE len(string_split(moves_uci, ' ')) END AS SMALLINT) AS num_moves) FROM games)
+, top_of_files AS (SELECT * FROM of_files WHERE least(white_elo, black_elo) > 2000 AND moves_uci <> ''
+                   QUALIFY row_number() OVER (ORDER BY white_elo + black_elo DESC, game_id) = 1)
+"""
+_CELLS_OF_FILES = f"""
+SELECT * FROM ({cells_sql().replace("FROM games", "FROM of_files")}) WHERE analysis <> 'top_game'
+UNION ALL
+SELECT * FROM ({cells_sql().replace("FROM games", "FROM top_of_files")}) WHERE analysis = 'top_game'"""
+register("convert_and_report", _convert_and_report, _OF_FILES + _CELLS_OF_FILES, ("games",))
+
+
+def _incremental_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A games table that grows by a source, loses one to a new version, and the
+    report of its parts: each time only the named sources are read."""
+    table, parts = fresh_path(spark, "games-by-source"), fresh_path(spark, "report-parts")
+    games = td.games(spark, sf_dir).withColumn("source", corpus.source_name("event"))
+    early = games.where("event <> 'Rated game 3'").where("event <> 'Rated game 2' OR game_id % 2 = 0")
+    files.write_games(early, table, ["source"])
+    report_parts.update(files.read_games(spark, table), parts, ["rated_game_0", "rated_game_1", "rated_game_2"])
+    late = games.where("event IN ('Rated game 2', 'Rated game 3')")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        files.write_games(late, table, ["source"])
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    report_parts.update(files.read_games(spark, table), parts, ["rated_game_2", "rated_game_3"])
+    return report.report_cells(None, sources=report_parts.merged(spark, parts))
+
+
+register("report_incremental", _incremental_report, cells_sql(), ("games",))
 
 
 def _games_view(spark: SparkSession, sf_dir: str) -> DataFrame:
