@@ -81,11 +81,30 @@ def _hover_pcts() -> list[Column]:
             for c in ("wins", "losses", "draws")]
 
 
+def sides_of_player(rows: DataFrame) -> DataFrame:
+    """``player_sides`` from rows of a player index (``sources.players``), which are
+    one per game and side already."""
+    win = F.when(F.col("side") == "white", F.lit("1-0")).otherwise(F.lit("0-1"))
+    loss = F.when(F.col("side") == "white", F.lit("0-1")).otherwise(F.lit("1-0"))
+    r = F.col("result")
+    return rows.where(first_move() != "").select(
+        "player", "side", move_group(first_move(), F.col("side")).alias("grp"), eco3().alias("eco3"),
+        (r == win).alias("win"), (r == loss).alias("loss"), (~r.isin("1-0", "0-1")).alias("draw"))
+
+
 # D19
 def repertoire_nodes(games: DataFrame, min_eco_games: int = MIN_ECO_GAMES) -> DataFrame:
     """Hierarchy side -> first-move group -> ECO, small ECOs folded into 'other'
     per group. Both side roots exist for every player, also with 0 games."""
-    leaf = repertoire_leaf(games)
+    return nodes_of_leaf(repertoire_leaf(games), min_eco_games)
+
+
+def repertoire_one_player(rows: DataFrame, min_eco_games: int = MIN_ECO_GAMES) -> DataFrame:
+    """``repertoire_nodes`` of the player whose index rows are given."""
+    return nodes_of_leaf(sides_of_player(rows).groupBy("player", "side", "grp", "eco3").agg(*_wld()), min_eco_games)
+
+
+def nodes_of_leaf(leaf: DataFrame, min_eco_games: int) -> DataFrame:
     folded = leaf.withColumn(
         "label", F.when(F.col("games") >= min_eco_games, F.col("eco3")).otherwise(F.lit(OTHER_ECO)))
     inner = (folded.groupingSets([["player", "side", "grp", "label"], ["player", "side", "grp"]],

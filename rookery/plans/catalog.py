@@ -49,6 +49,7 @@ def _load_all() -> None:
     from . import queries_pgn  # noqa: F401
     from . import queries_files  # noqa: F401
     from . import queries_streaming  # noqa: F401
+    from . import queries_sql  # noqa: F401
 
 
 def catalog() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evals as ev
 from ..session import fresh_path
+from ..sources import plies
 from ..sources import testdata as td
 from .catalog import register
 
@@ -183,6 +184,21 @@ SELECT s.*, q.ply, CASE WHEN q.ply % 2 = 0 THEN coalesce(g.white, 'White') ELSE
 FROM q JOIN s ON q.game_id = s.game_id LEFT JOIN games g ON q.game_id = g.game_id
 LEFT JOIN m ON q.game_id = m.game_id AND q.ply = m.ply""", ("games", "plies"))
 
+def _stored(fn):
+    """A feature on games and plies that are stored by game (a bucket per task)."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        games, stored = plies.store(td.games(spark, sf_dir), td.plies(spark, sf_dir), fresh_path(spark, "by-game"), per_bucket=200_000)
+        return fn(games, stored)
+    return build
+
+
+register("stored_eval_summary", _stored(lambda g, p: ev.eval_summary(p)), EVAL_CTE + """
+SELECT game_id, COUNT(*) AS total_moves_analyzed,
+       COUNT(*) FILTER (WHERE quality IN ('mistake', 'blunder')) AS mistakes,
+       COUNT(*) FILTER (WHERE quality = 'blunder') AS blunders,
+       ROUND_EVEN(AVG(cp_loss), 1) AS avg_cp_loss
+FROM ev GROUP BY game_id""", ("plies",))
+
 register("games_without_evals", _games_plies(ev.games_without_evals), """
 SELECT game_id, white, black, 'evaluation unavailable' AS error
 FROM games g WHERE NOT EXISTS (SELECT 1 FROM plies p WHERE p.game_id = g.game_id)""", ("games", "plies"))

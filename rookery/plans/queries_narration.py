@@ -255,3 +255,77 @@ def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("narration_text_files", _text_files, """
 SELECT 'doc_' || g AS stem, string_agg(text, chr(10) || chr(10) ORDER BY p) AS text FROM para GROUP BY g""", ("para",))
+
+
+def _with_unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON: documents with fields that no schema names, at the top and inside
+    paragraphs; every eleventh is cut off, every thirteenth no object."""
+    docs = _docs(spark, sf_dir)
+    inner = F.transform("paragraphs", lambda p: p.withField("tone", F.length(p["text"]) % 5))
+    more = F.struct("g", "white", "black", inner.alias("paragraphs"), F.struct((F.col("g") * 3).alias("takes"), F.lit("é").alias("voice")).alias("studio"))
+    line = F.to_json(more)
+    line = F.when(F.col("g") % 11 == 0, F.left(line, F.length(line) - 7)).when(F.col("g") % 13 == 0, F.to_json(F.array("white", "black"))).otherwise(line)
+    return docs.select(line.alias("value"))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with unknown fields written, read as VARIANT, written and read again:
+    of each its paragraphs by the known schema and two fields by their paths."""
+    first, again = fresh_path(spark, "variant-in"), fresh_path(spark, "variant-out")
+    _with_unknown_fields(spark, sf_dir).write.text(first)
+    narration_io.write_variants(narration_io.read_variants(spark, first), again)
+    read = narration_io.read_variants(spark, again)
+    known = narration_io.known_fields(read)
+    tones = F.try_variant_get("doc", "$.paragraphs", "array<struct<tone:int>>")
+    rows = known.select("g", "white", F.size("paragraphs").alias("n_paragraphs"), F.aggregate(tones, F.lit(0), lambda a, t: a + t["tone"]).alias("tones"),
+                        F.variant_get("doc", "$.studio.takes", "long").alias("takes"), F.variant_get("doc", "$.studio.voice", "string").alias("voice"),
+                        F.lit(None).cast("string").alias("reject"))
+    bad = read.where("doc IS NULL").select(
+        F.regexp_extract("raw", r"White (\d+)", 1).cast("long").alias("g"), *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[1:-1]],
+        F.left("raw", F.lit(12)).alias("reject"))
+    return rows.unionByName(bad)
+
+
+register("narration_variant", _variants, """
+, d AS (SELECT g, CAST(COUNT(*) AS INT) AS n, CAST(SUM(length(text) % 5) AS INT) AS tones, g % 11 = 0 AS cut, g % 11 <> 0 AND g % 13 = 0 AS other
+        FROM para GROUP BY g)
+SELECT g, CASE WHEN NOT cut AND NOT other THEN 'White ' || g END AS white, CASE WHEN NOT cut AND NOT other THEN n END AS n_paragraphs,
+       CASE WHEN NOT cut AND NOT other THEN tones END AS tones, CASE WHEN NOT cut AND NOT other THEN g * 3 END AS takes,
+       CASE WHEN NOT cut AND NOT other THEN 'é' END AS voice,
+       CASE WHEN cut THEN left('{"g":' || g || ',"white":"White', 12) WHEN other THEN left('["White ' || g || '","Black', 12) END AS reject
+FROM d""", ("para",))
+
+
+# ------------------------------------------------------------------ documents end to end
+def _documents_of_three_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents: a third without a ``moves`` field, a third with an empty list, a
+    third with the start entry and a move for each anchored position; read back."""
+    docs = _docs(spark, sf_dir)
+    fens = F.transform(F.filter(F.flatten(F.transform("paragraphs", lambda p: p["anchors"])), lambda a: a["fen"] != ""), lambda a: a["fen"])
+    entry = lambda fen: F.struct(F.lit(1).alias("move_number"), F.lit("white").alias("color"), F.lit("e4").alias("san"), fen.alias("fen"))
+    moves = F.concat(F.array(entry(F.lit(START_FEN))), F.transform(fens, entry))
+    path = fresh_path(spark, "documents")
+    kind = F.col("g") % 3
+    docs = docs.withColumn("moves", F.when(kind == 1, F.col("moves")).when(kind == 2, moves))
+    docs.write.option("ignoreNullFields", "true").json(path)  # the first third has no such field
+    return narration_io.read_narrations(spark, path, multi_line=False)
+
+
+def _anchor_cte(table: str, final: str) -> str:
+    return ANCHOR_CTE.replace("FROM para)", f"FROM {table})").replace(f"SELECT g, {FINAL} AS", f"SELECT g, {final} AS").replace(f"WHERE {FINAL} > 0", f"WHERE {final} > 0") \
+        .replace(f"last_idx < {FINAL}", f"last_idx < {final}")
+
+
+register("timed_anchors_documents", lambda s, d: nr.timed_anchors_for_documents(_documents_of_three_kinds(s, d)), f"""
+, a AS (SELECT g, p, fen, {KEY.format(x='fen')} AS key FROM para WHERE fen != '')
+, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY g, key ORDER BY p) AS r FROM a WHERE key != '{START_KEY}' AND g % 3 <> 2)
+, boards AS (
+  SELECT g, 0 AS idx, '{START_KEY}' AS key FROM (SELECT DISTINCT g FROM para)
+  UNION ALL SELECT g, 1, '{START_KEY}' FROM (SELECT DISTINCT g FROM para WHERE g % 3 = 2)
+  UNION ALL SELECT g, ROW_NUMBER() OVER (PARTITION BY g ORDER BY p) + 1, key FROM a WHERE g % 3 = 2
+  UNION ALL SELECT g, ROW_NUMBER() OVER (PARTITION BY g ORDER BY p), key FROM f WHERE r = 1)
+, last_board AS (SELECT g, key, CAST(MAX(idx) AS INT) AS fen_idx FROM boards GROUP BY g, key)
+, ends AS (SELECT g, CAST(MAX(idx) AS INT) AS final_idx FROM boards GROUP BY g)
+, para2 AS (SELECT p.g, p.p, p.text, p.trigger_word, p.fen, COALESCE(l.fen_idx, -1) AS fen_idx
+            FROM para p LEFT JOIN last_board l ON p.g = l.g AND {KEY.format(x='p.fen')} = l.key)
+""" + _anchor_cte("para2", "(SELECT final_idx FROM ends WHERE ends.g = lst.g)") + "SELECT * FROM ta", ("para",))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import repertoire as rp
+from ..operators import report
+from ..session import fresh_path
+from ..sources import players
 from ..sources import testdata as td
 from .catalog import register
+from .report_sql import REPORT_SQL
 
 _GRP = """CASE fm WHEN 'e2e4' THEN '1.e4' WHEN 'd2d4' THEN '1.d4' WHEN 'c2c4' THEN '1.c4'
                WHEN 'g1f3' THEN '1.Nf3' ELSE '1.other' END"""
@@ -83,6 +87,17 @@ SELECT player, CASE WHEN level = 'group' THEN side ELSE concat_ws('/', side, grp
 FROM nodes WHERE level != 'side'""", ("games",))
 
 
+def _one_player(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repertoire of the player with most games, read from an index by player."""
+    games = td.games(spark, sf_dir)
+    path = fresh_path(spark, "player-index")
+    players.write_player_index(games, path)
+    name = report.focus_player(games).first().player
+    return rp.repertoire_one_player(players.games_of_player(spark, path, name))
+
+
+register("repertoire_one_player", _one_player, NODES_CTE + f"""
+SELECT * FROM nodes WHERE player = (SELECT player FROM ({REPORT_SQL['focus_player']}))""", ("games",))
 register("repertoire_order", _games(lambda g: rp.repertoire_order(rp.repertoire_nodes(g))),
          NODES_CTE + """
 , kids AS (SELECT *, CASE WHEN level = 'group' THEN side ELSE side || '/' || grp END AS parent FROM nodes WHERE level != 'side')
