@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import first_rows, written
 
 LANG_ROWS = 2048
 LANG_CHARS = 1 << 22
@@ -78,25 +78,6 @@ class Model:
     lang: np.ndarray
     above: np.ndarray
 
-    def at(self, item: int) -> slice:
-        return slice(self.starts[item], self.starts[item + 1])
-
-    def scores(self, word: str) -> np.ndarray:
-        """Log frequency of a word by language."""
-        item = self.words.get(word)
-        if item is not None:
-            out = self.base[0].copy()
-            out[self.lang[self.at(item)]] += self.above[self.at(item)]
-            return out
-        for n in range(LONGEST, 0, -1):
-            hits = [g for g in map(self.grams.get, grams_of(word, n)) if g is not None]
-            if hits:
-                out = np.zeros(len(self.langs))
-                for g in hits:
-                    out[self.lang[self.at(g)]] += self.above[self.at(g)]
-                return self.base[n] + out / len(hits)
-        return np.zeros(len(self.langs))
-
 
 def sample(docs: DataFrame, rows: int = LANG_ROWS, chars: int = LANG_CHARS) -> DataFrame:
     """(lang, text): of each language the labelled rows with the smallest hashes.
@@ -105,11 +86,10 @@ def sample(docs: DataFrame, rows: int = LANG_ROWS, chars: int = LANG_CHARS) -> D
     rows of the sample only. Rows that repeat id and text count once."""
     labelled = (docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
                 .select("lang", "text", F.xxhash64("doc_id", "text").alias("h")))
-    first = Window.partitionBy("lang").orderBy("h")
-    narrow = (labelled.select("lang", "h", F.length("text").alias("size")).dropDuplicates(["lang", "h"])
-              .withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows)
-              .withColumn("before", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, -1)))
-              .where(F.coalesce("before", F.lit(0)) < chars))
+    narrow = labelled.select("lang", "h", F.length("text").alias("size")).dropDuplicates(["lang", "h"])
+    before = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = (first_rows(narrow, "lang", [F.col("h")], rows, F.col("h"), "place")
+              .withColumn("before", F.sum("size").over(before)).where(F.coalesce("before", F.lit(0)) < chars))
     last = written(narrow.groupBy("lang").agg(F.max("h").alias("last")), "langid-sample")
     return labelled.join(last, "lang").where(F.col("h") <= F.col("last")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
@@ -175,24 +155,42 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.langs, self.words, self.grams = model.langs, model.words, model.grams
+        # plain lists: an item has a few languages only, too few for arrays to pay
+        self.base, self.starts, self.lang, self.above = (x.tolist() for x in (model.base, model.starts, model.lang, model.above))
         self.table = np.zeros((1024, len(model.langs)))
         self.rows = 1
 
+    def scores(self, word: str) -> list[float]:
+        """Log frequency of a word by language: its own, or the mean of its longest known n-grams."""
+        n, items = 0, [self.words.get(word)]
+        if items[0] is None:
+            for n in range(LONGEST, 0, -1):
+                items = [g for g in map(self.grams.get, grams_of(word, n)) if g is not None]
+                if items:
+                    break
+            else:
+                return [0.0] * len(self.langs)
+        out = [0.0] * len(self.langs)
+        for item in items:
+            for k in range(self.starts[item], self.starts[item + 1]):
+                out[self.lang[k]] += self.above[k]
+        return [b + x / len(items) for b, x in zip(self.base[n], out)]
+
     def __missing__(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
+        if not word.isalpha() and not any(map(str.isalpha, word)):
             self[word] = 0
             return 0
         if self.rows == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.rows] = self.model.scores(word)
+        self.table[self.rows] = self.scores(word)
         self[word] = at = self.rows
         self.rows += 1
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share among all; ties go to the first by name."""
-        langs = self.model.langs
+        langs = self.langs
         if len(self) * max(1, len(langs)) > KEPT_SCORES:
             self.clear()
             self.table, self.rows = np.zeros((1024, len(langs))), 1
