@@ -2,7 +2,7 @@
 
     chunks    texts are split into words once; a chunk holds the distinct words of
               some pieces of one language and their numbers in order
-    words     counted over all chunks: n per language, and the parts of two-word cuts
+    words     counted over all chunks: the parts of two-word cuts
     pairs     every shard is mined completely at a support lowered to its share of
               the language's words; the union of the locally frequent pairs are the
               candidates, and all of them are counted over all shards
@@ -16,33 +16,42 @@ chunks carry: there are ``SHARDS`` of them whatever the corpus, each mined by as
 many tasks as its chunks fill, so that the local support stays well above one when
 the corpus grows and no task holds more than a chunk.
 
-Frequent words and pairs return to the chunks as lists of the numbers that they
-have there, by joins; nothing of the vocabulary is broadcast unchecked.
+In each step a chunk counts its phrases and hands them on in parts, by a hash of the
+phrase: packed lists of distinct phrases and counts instead of a row for each. Lists
+of one part meet, and which of their phrases are frequent returns to the chunks as
+places in those lists. The number of parts follows the words of the language, so
+that what meets stays at some hundred thousand phrases, and no vocabulary is ever
+broadcast. The chunks are a table bucketed by chunk: they are not moved by the joins.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from ..session import bucketed, fresh_path
+from .tables import first_rows, small_batches, splits_of, written
 
 #: Words after which the open chunks of a task are closed.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 22
 
 #: Shards; with a support of 100 a shard of average size is mined at a support of 7.
 SHARDS = 16
 
+#: Words of a language to each part of its phrases.
+PART_WORDS = 1 << 21
+
 #: Bytes of a text that are split at a time, up to the next end of a piece.
 BLOCK = 1 << 22
 
-#: Rows that a task hands on at a time.
-ROWS = 1 << 16
+#: Bytes that a task is handed at a time.
+BATCH_BYTES = 8 << 20
 
 SUPPORT = 100
 LONGEST = 5
@@ -73,6 +82,7 @@ class _Numbers(dict):
 
 
 def _packed(codes: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed by their bytes: the low ones of all, then the next."""
     import zstandard
 
     return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -85,16 +95,27 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _packed_texts(texts: list[bytes]) -> bytes:
+    """Words or phrases, none of which can hold a line feed."""
+    import zstandard
+
+    return zstandard.compress(b"\n".join(texts), 3)
+
+
+def _unpacked_texts(data: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.decompress(data).split(b"\n")
+
+
 def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS, shards: int = SHARDS) -> DataFrame:
-    """Chunks: chunk, shard, lang, n, words, counts, codes.
+    """Chunks: chunk, shard, lang, n, words, codes.
 
-    ``words`` are the distinct words, frequent ones first; ``counts`` how often
-    they occur; ``codes`` their numbers, from 1, in order, with 0 for the end of a
-    piece. Chunks are numbered by partition and order, so the table has to be
-    written before use.
+    ``words`` are the distinct words, frequent ones first, ``codes`` their numbers,
+    from 1, in order, with 0 for the end of a piece. Chunks are numbered by
+    partition and order, so the table has to be stored before use.
     """
-    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("lang", pa.string()), ("n", pa.int64()),
-                        ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,21 +128,18 @@ def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS, shards: int = SHARD
 
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal made, held
-            for lang, parts in codes.items():
-                flat = np.concatenate(parts)
-                counts = np.bincount(flat, minlength=len(numbers[lang]))[1:]
+            for lang in list(codes):
+                flat = np.concatenate(codes.pop(lang))
+                names = list(numbers.pop(lang))[1:]
+                counts = np.bincount(flat, minlength=len(names) + 1)[1:]
                 order = np.argsort(-counts, kind="stable")
                 if len(order):
                     rank = np.zeros(len(order) + 1, dtype=np.uint32)
                     rank[order + 1] = np.arange(1, len(order) + 1, dtype=np.uint32)
-                    names = pa.array(list(numbers[lang])[1:], pa.binary()).cast(pa.string()).take(pa.array(order))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([(task << 32) + made], pa.int64()), pa.array([(task + made) % shards], pa.int32()), pa.array([lang]),
-                         pa.array([int(counts.sum())], pa.int64()), pa.ListArray.from_arrays([0, len(names)], names),
-                         pa.array([counts[order]], pa.list_(pa.int64())), pa.array([_packed(rank[flat])], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_pylist([{
+                        "chunk": (task << 32) + made, "shard": (task + made) % shards, "lang": lang, "n": int(counts.sum()),
+                        "words": _packed_texts([names[i] for i in order.tolist()]), "codes": _packed(rank[flat])}], schema=schema)
                     made += 1
-            numbers.clear()
-            codes.clear()
             held = 0
 
         for batch in batches:
@@ -136,114 +154,195 @@ def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS, shards: int = SHARD
         yield from closed()
 
     return (docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-            .mapInArrow(run, "chunk long, shard int, lang string, n long, words array<string>, counts array<long>, codes binary"))
-
-
-def _rows(chunk: int, shard: int, lang: str, words: pa.Array, places: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of phrases whose j-th word is ``words[places[j]]``."""
-    for at in range(0, len(keys), ROWS):
-        part = slice(at, at + ROWS)
-        phrase = pc.binary_join_element_wise(*[words.take(pa.array(p[part])) for p in places], " ")
-        size = len(phrase)
-        yield pa.RecordBatch.from_arrays(
-            [pa.repeat(pa.scalar(chunk, pa.int64()), size), pa.repeat(pa.scalar(shard, pa.int32()), size), pa.repeat(pa.scalar(lang), size), phrase,
-             pa.repeat(pa.scalar(len(places), pa.int32()), size), pa.array(keys[part]), pa.array(counts[part])],
-            names=["chunk", "shard", "lang", "phrase", "k", "at", "c"])
-
-
-ROW_KIND = "chunk long, shard int, lang string, phrase string, k int, at long, c long"
+            .mapInArrow(run, "chunk long, shard int, lang string, n long, words binary, codes binary"))
+
+
+class Chunk:
+    """A chunk in its task: its words and their numbers, what of it was kept, and its lists of phrases."""
+
+    def __init__(self, words: bytes, codes: bytes, parts: int):
+        self.names = _unpacked_texts(words)
+        self.codes = _unpacked(codes)
+        self.parts = parts
+        self.hashes = np.fromiter(map(zlib.crc32, self.names), dtype=np.uint64, count=len(self.names))
+        self.words = pa.array(self.names, pa.binary())
+
+    def part_of(self, places: list[np.ndarray]) -> np.ndarray:
+        """The part of the phrases whose j-th word is ``names[places[j]]``."""
+        h = np.zeros(len(places[0]), dtype=np.uint64)
+        for p in places:
+            h = (h ^ self.hashes[p]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(self.parts)).astype(np.int64)
+
+    def kept(self, part: np.ndarray, back: list[dict]) -> np.ndarray:
+        """Which entries of lists, dealt out by ``part``, the places in ``back`` name."""
+        out = np.zeros(len(part), dtype=bool)
+        order = np.argsort(part, kind="stable")
+        first = np.searchsorted(part[order], np.arange(self.parts))
+        for b in back:
+            out[order[first[b["part"]] + _unpacked(b["at"])]] = True
+        return out
+
+    def word_places(self) -> list[np.ndarray]:
+        return [np.arange(len(self.names))]
+
+    def keep_words(self, back: list[dict]) -> None:
+        """All but the frequent words become ends."""
+        frequent = np.append(False, self.kept(self.part_of(self.word_places()), back))
+        self.codes = np.where(frequent[self.codes], self.codes, 0)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of the words that are left, as one number each, and their counts."""
+        a, b = self.codes[:-1], self.codes[1:]
+        return np.unique(((a << 32) | b)[(a > 0) & (b > 0)], return_counts=True)
+
+    @staticmethod
+    def pair_places(pairs: np.ndarray) -> list[np.ndarray]:
+        return [(pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1]
+
+    def longer(self, pairs: np.ndarray, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """The words of the distinct phrases of 3 to ``longest`` words all whose pairs are among ``pairs``, and their counts."""
+        key = (self.codes[:-1] << 32) | self.codes[1:]
+        number = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        starts_pair = np.append(pairs[number] == key, False)  # no pair starts at the last word
+        start = np.nonzero(starts_pair)[0]
+        name = number[start]
+        for k in range(3, longest + 1):
+            more = starts_pair[start + k - 2]  # the last two words are a pair as well
+            start, name = start[more], name[more]
+            if not len(start):
+                return
+            _, first, name, counts = np.unique((name << 32) | self.codes[start + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            yield [self.codes[start[first] + j] - 1 for j in range(k)], counts
+
+    def lists(self, places: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
+        """The phrases in their parts, each part packed."""
+        part = self.part_of(places)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for i in range(self.parts):
+            own = order[ends[i]:ends[i + 1]]
+            if len(own):
+                columns = [self.words.take(pa.array(p[own])) for p in places]
+                phrases = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
+                yield {"k": len(places), "part": i, "phrases": _packed_texts(phrases.to_pylist()), "counts": _packed(counts[own])}
+
+
+LIST_KIND = "chunk long, shard int, need long, lang string, k int, part int, phrases binary, counts binary"
+
+
+def phrase_lists(chunks: DataFrame, step: str, longest: int = LONGEST) -> DataFrame:
+    """Lists of the phrases of every chunk for one step: words, pairs (of the words
+    kept in ``words_back``), or longer (of the pairs kept in ``pairs_back``)."""
+    schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("need", pa.int64()), ("lang", pa.string()),
+                        ("k", pa.int32()), ("part", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+    def counted(row: dict) -> Iterator[tuple[Chunk, list[np.ndarray], np.ndarray]]:
+        chunk = Chunk(row["words"], row["codes"], row["parts"])
+        if step == "words":
+            yield chunk, chunk.word_places(), np.bincount(chunk.codes, minlength=len(chunk.names) + 1)[1:]
+            return
+        chunk.keep_words(row["words_back"])
+        pairs, counts = chunk.pairs()
+        if step == "pairs":
+            yield chunk, chunk.pair_places(pairs), counts
+            return
+        kept = pairs[chunk.kept(chunk.part_of(chunk.pair_places(pairs)), row["pairs_back"])]
+        for places, counts in chunk.longer(kept, longest):
+            yield chunk, places, counts
 
-
-def _kept_codes(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    """The codes of a chunk (chunk, shard, lang, words, codes, kept, ..) with all but the kept words as ends."""
-    codes = _unpacked(batch.column(4)[i].as_py())
-    kept = np.zeros(len(batch.column(3)[i]) + 1, dtype=bool)
-    kept[batch.column(5)[i].values.to_numpy(zero_copy_only=False)] = True
-    return np.where(kept[codes], codes, 0)
-
-
-def pair_rows(chunks: DataFrame) -> DataFrame:
-    """Counts of the pairs of kept words in every chunk; ``at`` names the pair in its chunk."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = _kept_codes(batch, i)
-                a, b = codes[:-1], codes[1:]
-                keys, counts = np.unique(((a << 32) | b)[(a > 0) & (b > 0)], return_counts=True)
-                yield from _rows(*[batch.column(j)[i].as_py() for j in range(3)], batch.column(3)[i].values,
-                                 [(keys >> 32) - 1, (keys & 0xFFFFFFFF) - 1], keys, counts)
-
-    return chunks.select("chunk", "shard", "lang", "words", "codes", "kept").mapInArrow(run, ROW_KIND)
-
-
-def longer_rows(chunks: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Counts of the phrases of 3 to ``longest`` words in every chunk all whose pairs are in ``pairs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = [batch.column(j)[i].as_py() for j in range(3)]
-                words = batch.column(3)[i].values
-                codes = _kept_codes(batch, i)
-                pairs = np.sort(batch.column(6)[i].values.to_numpy(zero_copy_only=False))
-                key = (codes[:-1] << 32) | codes[1:]
-                number = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                starts_pair = np.append(pairs[number] == key, False)  # at the last word no pair starts
-                start = np.nonzero(starts_pair)[0]
-                name = number[start]
-                for k in range(3, longest + 1):
-                    more = starts_pair[start + k - 2]  # the last two words are a pair as well
-                    start, name = start[more], name[more]
-                    keys, first, name, counts = np.unique((name << 32) | codes[start + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                    if not len(keys):
-                        break
-                    yield from _rows(*own, words, [codes[start[first] + j] - 1 for j in range(k)], keys, counts)
-
-    return chunks.select("chunk", "shard", "lang", "words", "codes", "kept", "pairs").mapInArrow(run, ROW_KIND)
-
-
-def frequent(rows: DataFrame, shares: DataFrame, support: int) -> DataFrame:
-    """(lang, phrase, k, a) of the phrases with ``support`` occurrences and more.
-
-    ``rows`` (lang, shard, phrase, k, c) meet once by phrase. A phrase is a
-    candidate if one shard at least has as many as its lowered support ``need``;
-    a candidate is counted over all shards.
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = {c: row[c] for c in ("chunk", "shard", "need", "lang")}
+                for chunk, places, counts in counted(row):
+                    held, size = [], 0
+                    for packed in chunk.lists(places, counts):
+                        held.append(own | packed)
+                        size += len(packed["phrases"])
+                        if size > BLOCK:
+                            yield pa.RecordBatch.from_pylist(held, schema=schema)
+                            held, size = [], 0
+                    if held:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return chunks.mapInArrow(run, LIST_KIND)
+
+
+def frequent(lists: DataFrame, support: int) -> DataFrame:
+    """What is frequent in lists of phrases, as two kinds of rows: phrases (lang, k,
+    phrase, a), and for every chunk the places of its frequent phrases in its list
+    of a part (chunk, k, part, at).
+
+    All lists of a part meet. A phrase is a candidate if one shard at least has as
+    many as its lowered support ``need``; candidates are counted over all shards.
     """
-    mined = (rows.repartition("lang", "phrase").groupBy("lang", "phrase", "k", "shard").agg(F.sum("c").alias("c"))
-             .join(shares.select("lang", "shard", "need"), ["lang", "shard"]))
-    return (mined.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("a"), F.max(F.col("c") >= F.col("need")).alias("candidate"))
-            .where(F.col("candidate") & (F.col("a") >= support)).drop("candidate"))
-
-
-def _back(rows: DataFrame, kept: DataFrame, name: str) -> DataFrame:
-    """(chunk, ``name``): the numbers that the kept phrases have in every chunk."""
-    return (rows.join(kept.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-            .groupBy("chunk").agg(F.collect_list("at").alias(name)))
+    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64()),
+                        ("chunk", pa.int64()), ("part", pa.int32()), ("at", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        lang, k, part = (group[c][0].as_py() for c in ("lang", "k", "part"))
+        texts = [_unpacked_texts(x.as_py()) for x in group["phrases"]]
+        counts = np.concatenate([_unpacked(x.as_py()) for x in group["counts"]])
+        sizes = [len(x) for x in texts]
+        coded = pa.array([p for x in texts for p in x], pa.binary()).dictionary_encode()
+        number, names = coded.indices.to_numpy(), coded.dictionary
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        shard = group["shard"].to_numpy()[row]
+        need = group["need"].to_numpy()[row]
+        candidate = np.zeros(len(names), dtype=bool)
+        for s in np.unique(shard):
+            own = shard == s
+            mined = np.bincount(number[own], weights=counts[own], minlength=len(names))
+            candidate |= mined >= need[own][0]
+        a = np.bincount(number, weights=counts, minlength=len(names)).astype(np.int64)
+        good = candidate & (a >= support)
+        found = np.nonzero(good)[0]
+        phrases = names.take(pa.array(found)).cast(pa.string())
+        out = [pa.Table.from_arrays([pa.repeat(pa.scalar(lang), len(found)), pa.repeat(pa.scalar(k, pa.int32()), len(found)), phrases, pa.array(a[found]),
+                                     pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], schema=schema)]
+        back = []
+        chunks = group["chunk"].to_pylist()
+        for i, hits in enumerate(np.split(good[number], np.cumsum(sizes)[:-1])):
+            at = np.nonzero(hits)[0]
+            if len(at):
+                back.append({"lang": lang, "k": k, "chunk": chunks[i], "part": part, "at": _packed(at)})
+        return pa.concat_tables([*out, pa.Table.from_pylist(back, schema=schema)])
+
+    return lists.groupBy("lang", "k", "part").applyInArrow(run, "lang string, k int, phrase string, a long, chunk long, part int, at binary")
+
+
+def _back(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    """(chunk, ``name``): the places of its frequent phrases in every chunk, dealt like the chunks."""
+    lists = rows.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "at")).alias(name))
+    return lists.repartition(buckets, "chunk")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS,
-                     chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
+                     chunk_words: int = CHUNK_WORDS, part_words: int = PART_WORDS) -> tuple[DataFrame, DataFrame]:
     """All words and phrases of up to ``longest`` words that occur ``support``
     times in a language, (lang, phrase, k, a), and (lang, n), all words of it."""
-    chunks = written(chunked(docs, chunk_words, shards), "phrase-chunks")
+    spark = docs.sparkSession
+    buckets = splits_of(docs)
+    chunks = bucketed(chunked(docs, chunk_words, shards), "chunk", buckets, fresh_path(spark, "phrase-chunks"))
     by_lang = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     shares = written(chunks.groupBy("lang", "shard").agg(F.sum("n").alias("own")).join(by_lang, "lang")
-                     .withColumn("need", F.expr(f"({support} * own + n - 1) div n")), "phrase-shares")
+                     .withColumn("need", F.expr(f"({support} * own + n - 1) div n"))
+                     .withColumn("parts", F.expr(f"cast((n + {part_words} - 1) div {part_words} as int)")), "phrase-shares")
     sizes = shares.select("lang", "n").distinct()
+    chunks = chunks.drop("n").join(shares.select("lang", "shard", "need", "parts"), ["lang", "shard"])
 
-    word_rows = (chunks.select("chunk", "lang", F.explode(F.arrays_zip("words", "counts", F.sequence(F.lit(1), F.size("words")).alias("at"))).alias("w"))
-                 .select("chunk", "lang", F.col("w.words").alias("phrase"), F.col("w.at").alias("at"), F.col("w.counts").alias("c")))
-    words = written(word_rows.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where(F.col("a") >= support)
-                    .select("lang", "phrase", F.lit(1).alias("k"), "a"), "phrase-words")
-    kept = written(_back(word_rows, words, "kept"), "phrase-kept")
-
-    pair_counts = written(pair_rows(chunks.join(kept, "chunk")), "phrase-pairs")
-    pairs = written(frequent(pair_counts, shares, support), "phrase-frequent-pairs")
-    found = words.unionByName(pairs)
-    if longest > 2:
-        kept_pairs = written(_back(pair_counts, pairs, "pairs"), "phrase-kept-pairs")
-        long_counts = longer_rows(chunks.join(kept, "chunk").join(kept_pairs, "chunk"), longest)
-        found = found.unionByName(written(frequent(long_counts, shares, support), "phrase-frequent-longer"))
-    return found, sizes
+    with small_batches(spark, BATCH_BYTES):
+        words = written(frequent(phrase_lists(chunks, "words"), support), "phrase-words")
+        chunks = chunks.join(_back(words, "words_back", buckets), "chunk")
+        pairs = written(frequent(phrase_lists(chunks, "pairs"), support), "phrase-pairs")
+        found = words.unionByName(pairs)
+        if longest > 2:
+            chunks = chunks.join(_back(pairs, "pairs_back", buckets), "chunk")
+            found = found.unionByName(written(frequent(phrase_lists(chunks, "longer", longest), support), "phrase-longer"))
+    return found.where("phrase IS NOT NULL").select("lang", "phrase", "k", "a"), sizes
 
 
 def scored(found: DataFrame, sizes: DataFrame, cover_pct: int = 100) -> DataFrame:
@@ -278,16 +377,15 @@ def scored(found: DataFrame, sizes: DataFrame, cover_pct: int = 100) -> DataFram
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS,
-                 chunk_words: int = CHUNK_WORDS) -> DataFrame:
+                 chunk_words: int = CHUNK_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """Each language's ``top`` phrases by score, count and phrase.
 
     Returns lang, rank (from 1), phrase, k, a, l, r, n, score. Only ``lang`` and
     ``text`` of ``docs`` are read. A null text is empty; a null language counts as
     ``und``; repeated rows count each time; a language without a frequent phrase,
-    or an empty table, gives no rows. Ranks cut off by task before they meet, so
-    a language's phrases are never in one task.
+    or an empty table, gives no rows.
     """
-    found, sizes = frequent_phrases(docs, support, longest, shards, chunk_words)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (scored(found, sizes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    found, sizes = frequent_phrases(docs, support, longest, shards, chunk_words, part_words)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    return (first_rows(scored(found, sizes), "lang", order, top, F.xxhash64("phrase"), "rank")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "k", "a", "l", "r", "n", "score"))

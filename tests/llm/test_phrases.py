@@ -54,7 +54,7 @@ def corpus(seed, docs=120):
             for i in range(docs)]
 
 
-@pytest.mark.parametrize("kw", [{"support": 5}, {"support": 12, "chunk_words": 50}, {"support": 3, "shards": 3, "chunk_words": 100, "longest": 4},
+@pytest.mark.parametrize("kw", [{"support": 5}, {"support": 12, "chunk_words": 50, "part_words": 100}, {"support": 3, "shards": 3, "chunk_words": 100, "longest": 4},
                                 {"support": 7, "longest": 2}, {"support": 4, "top": 7}])
 def test_against_brute_force(spark, kw):
     rows = corpus(1)
@@ -100,3 +100,19 @@ def test_empty_null_and_clashing_columns(spark):
     df = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], SCHEMA + ", chunk int, phrase string, n int, score int")
     got = sorted(tuple(r) for r in phrases.collocations(df, support=2, longest=2).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
     assert got == sorted(brute(rows, 2, 2))
+
+
+def test_chunks_are_not_moved(spark):
+    """The joins that bring kept places back to the chunks leave these where they are."""
+    docs = spark.createDataFrame(corpus(3), SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        chunks = phrases.bucketed(phrases.chunked(docs, 100), "chunk", 5, phrases.fresh_path(spark, "t-chunks"))
+        rows = chunks.select("chunk", phrases.F.lit(0).alias("part"), phrases.F.lit(b"").alias("at"))
+        joined = chunks.join(phrases._back(rows, "a", 5), "chunk").join(phrases._back(rows, "b", 5), "chunk")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "codes" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "codes" in line]
+    assert plan.count("Bucketed: true") >= 1 and joined.count() == chunks.count()
+    assert spark.sql("SHOW TABLES").count() == 0
