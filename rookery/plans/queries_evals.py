@@ -71,6 +71,9 @@ register("move_tags", _plies(lambda p: ev.eval_diffs(p).select("game_id", "ply",
 register("cp_loss", _plies(lambda p: ev.ply_evaluations(p).select(
     "game_id", "ply", "eval_before", "eval_after", "signed_change", "cp_loss")),
     EVAL_CTE + "SELECT game_id, ply, eval_before, eval_after, signed_change, cp_loss FROM ev", ("plies",))
+MOST_PLIES = 12
+register("cp_loss_bounded", _plies(lambda p: ev.ply_evaluations(p, max_plies=MOST_PLIES).select("game_id", "ply", "eval_before", "eval_after", "cp_loss", "quality")),
+         EVAL_CTE + f"SELECT game_id, ply, eval_before, eval_after, cp_loss, quality FROM ev WHERE ply < {MOST_PLIES}", ("plies",))
 register("win_probability", _plies(lambda p: ev.ply_evaluations(p).select(
     "game_id", "ply", "win_prob_before", "win_prob_after")),
     EVAL_CTE + "SELECT game_id, ply, win_prob_before, win_prob_after FROM ev", ("plies",))

@@ -91,11 +91,13 @@ def read_games(spark: SparkSession, path: str, view: str | None = None) -> DataF
     conversion, and on request a SQL view of it. The schema is given, so no file
     is opened before it is read."""
     names = child_names(spark, path)
-    if any(name.startswith("outcome=") for name in names):
-        path, names = f"{path}/outcome=games", child_names(spark, f"{path}/outcome=games")
-    partitioned = any(name.startswith("source=") for name in names)
-    schema = T.StructType([*GAMES_SCHEMA.fields, T.StructField("source", T.StringType())]) if partitioned else GAMES_SCHEMA
-    df = spark.read.schema(schema).parquet(path)
+    by_source = T.StructType([*GAMES_SCHEMA.fields, T.StructField("source", T.StringType())])
+    if "outcome=games" in names:
+        df = spark.read.schema(by_source).parquet(f"{path}/outcome=games")
+    elif any(name.startswith("outcome=") for name in names):  # a conversion that kept no game
+        df = spark.createDataFrame([], by_source)
+    else:
+        df = spark.read.schema(by_source if any(name.startswith("source=") for name in names) else GAMES_SCHEMA).parquet(path)
     if view:
         df.createOrReplaceTempView(view)
     return df

@@ -190,3 +190,29 @@ def test_append_looks_through_files_that_its_table_does_not_know(spark):
     assert sorted(r.game_id for r in files.append_games(games([7, 8, 9]), folder).collect()) == [7]
     got = files.pgn.parse_games(files.pgn.scan_pgn(spark, folder, glob=None))
     assert sorted(int(r.src_game_id) for r in got.collect()) == [7, 8, 9, 20, 21]
+
+
+def test_a_conversion_without_any_game(spark, tmpdir_path):
+    from rookery import convert_and_report
+    src, out, report = (os.path.join(tmpdir_path, d) for d in ("in", "out", "report"))
+    _put(src, "a.pgn", 1)
+    with open(os.path.join(src, "a.pgn"), "w", encoding="utf-8") as f:
+        f.write("\n\n")
+    assert _status(files.convert_folder(spark, src, out)) == {"a": "empty"}
+    with open(os.path.join(src, "b.pgn"), "w", encoding="utf-8") as f:
+        f.write('[Event "x"]\n\n' + "e4 " * 40000 + "*\n")
+    outcome, errors = convert_and_report.run(spark, src, out, report)
+    assert _status(outcome) == {"a": "empty", "b": "failed"} and errors == {}
+    assert files.read_games(spark, out).count() == 0 and spark.read.json(f"{report}/total_games").first().total_games == 0
+
+
+def test_an_unreadable_file_stands_alone(spark, tmpdir_path):
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "out")
+    for name in "abcde":
+        _put(src, f"{name}.pgn", 2)
+    with open(os.path.join(src, "broken.gz"), "wb") as f:
+        f.write(b"no gzip at all")
+    rows = files.convert_folder(spark, src, out, glob="*")
+    assert _status(rows) == {**dict.fromkeys("abcde", "converted"), "broken": "failed"}
+    assert files.read_games(spark, out).count() == 10
+    assert rows.where("source = 'broken'").first().error
