@@ -1,9 +1,11 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Pages are range-sorted by id, so that every task writes one interval of records
-in order. It rolls to the next file when the compressed size of the current one
-reaches the limit; every record is a gzip member of its own with freshly made
-headers and digests. A file is written under a temporary name and renamed when
+Every record is made where its page is read, a gzip member of its own with freshly
+made headers and digests, so that compressed bytes are what moves. Records are
+sorted into shards, intervals of page ids of about ``RANGE_BYTES`` each, whose ends
+come from a narrow table of ids and sizes. A shard's task writes its records in
+order and rolls to the next file when the compressed size of the current one
+reaches the limit. A file is written under a temporary name and renamed when
 complete. What a run has committed is its manifest, a table of the files' names,
 sizes, digests and record ranges; readers open the files it lists and no others.
 Names and bytes follow from the rows alone, so a task that runs again writes the
@@ -20,18 +22,27 @@ import hashlib
 import io
 import uuid
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import child_names, delete_paths, fresh_path, path_exists
+from .tables import drop_written, small_batches, written
 
 ROLL_BYTES = 64 << 20
 MIN_REVISIT = 100
-#: Rows of one range, and so of one task.
-RANGE_ROWS = 8_192
+#: Payload bytes of one shard, more where there would be over ``MOST_SHARDS`` of them.
+RANGE_BYTES = 64 << 20
+MOST_SHARDS = 1 << 15
+#: Pages that the ends of the shards are read off, at least and for each shard.
+SAMPLE_PAGES, SAMPLE_OF_SHARD = 1 << 13, 16
+#: Bytes of pages or records that a task is handed at a time.
+BATCH_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Tasks of a read at most; beyond, a task reads several files in turn.
 READ_TASKS = 50_000
@@ -54,12 +65,11 @@ def _line(value: str) -> str:
     return " ".join(value.split("\r")).replace("\n", " ")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
-    """One compressed record: a response, or a revisit if ``refers_to`` is given."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+    """One compressed record: a response, or a revisit, which has no payload, if ``refers_to`` is given."""
+    block = HTTP_HEAD + b"Content-Length: %d\r\n\r\n" % size
     if refers_to is None:
-        block = HTTP_HEAD + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-    else:
-        block = HTTP_HEAD + b"Content-Length: %d\r\n\r\n" % len(payload)  # the head alone
+        block += payload
     head = [VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}"]
     if url is not None:
@@ -70,9 +80,9 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    data = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)  # gzip without a time stamp
-    return pack.compress(data) + pack.flush()
+    out = pack.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n")
+    return out + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
 
 
 def info_bytes(name: str, date: str) -> bytes:
@@ -85,56 +95,116 @@ def info_bytes(name: str, date: str) -> bytes:
 
 def _file_system(folder: str):
     """File system and path of a folder given as a URI or an absolute path."""
-    from pyarrow import fs
-
     if "://" in folder or folder.startswith("file:"):
         return fs.FileSystem.from_uri(folder)
     return fs.LocalFileSystem(), folder
 
 
-def revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to, refers_url) of the pages that revisit a response.
-
-    Sizes and digests are taken in the scan, so only they move. The first page
-    of a payload is a minimum that is pre-aggregated per task, however many
-    pages share it."""
+def digests(pages: DataFrame) -> DataFrame:
+    """(page_id, url, digest, size) of the payloads, taken in the scan and written once."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = (pages.select(F.col("page_id").cast("long"), "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-               .where(F.col("size") >= min_revisit))
-    first = (digests.groupBy("digest")
+    return written(pages.select(F.col("page_id").cast("long"), "url", F.sha2(payload, 256).alias("digest"),
+                                F.octet_length(payload).cast("long").alias("size")), "warc-digests")
+
+
+def revisits(narrow: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, url, digest, size, refers_to, refers_url) of the pages of ``digests``
+    that revisit a response. The first page of a payload is a minimum that is
+    pre-aggregated per task, however many pages share it."""
+    narrow = narrow.where(F.col("size") >= min_revisit)
+    first = (narrow.groupBy("digest")
              .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")))
-    return (digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-            .select("page_id", "digest", "refers_to", "refers_url").distinct())
+    return (narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+            .select("page_id", "url", "digest", "size", "refers_to", "refers_url"))
+
+
+Place = tuple[int, int, str, str]
+
+
+def place(page_id: int | None, digest: str, url: str | None) -> Place:
+    """Where a record stands in the order of all: pages without an id first, by their payloads."""
+    return (0 if page_id is None else 1, page_id or 0, digest, url or "")
+
+
+def shard_ends(narrow: DataFrame, range_bytes: int = RANGE_BYTES) -> list[Place]:
+    """The first places of all shards but the first, so that a shard holds about ``range_bytes``.
 
+    They are read off a sample by hash, of half a million pages at most; how well
+    it tells the ends costs time in a task, not memory, and no page is left out."""
+    n, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = min(-(-total // range_bytes), MOST_SHARDS)
+    if shards <= 1:
+        return []
+    share = min(1.0, max(SAMPLE_PAGES, SAMPLE_OF_SHARD * shards) / n)
+    sample = narrow.where(F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = sorted((place(r.page_id, r.digest, r.url), r.size) for r in sample.toLocalIterator())
+    step = max(1, sum(size for _, size in rows)) / shards
+    ends: list[Place] = []
+    held = 0
+    for at, size in rows:
+        if held >= step * (len(ends) + 1) and (not ends or at > ends[-1]):
+            ends.append(at)
+        held += size
+    return ends
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE) -> DataFrame:
+
+_MADE = ("shard int, page_id long, digest string, kind int, url string, size long, record binary")
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE,
+          range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files below ``folder``; returns the manifest.
 
     The manifest has a row per file: name, records, bytes, sha256, first_page,
     last_page. It is written as Parquet to ``folder``/manifest after all files
     are complete; that is the commit.
     """
+    spark = pages.sparkSession
+    narrow = digests(pages)
+    ends = shard_ends(narrow, range_bytes)
+    schema = pa.schema([("shard", pa.int32()), ("page_id", pa.int64()), ("digest", pa.string()), ("kind", pa.int32()),
+                        ("url", pa.string()), ("size", pa.int64()), ("record", pa.binary())])
+
+    def shard_of(page_id, digest, url) -> int:
+        return bisect_right(ends, place(page_id, digest, url))
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for page_id, url, payload in zip(*batch.columns):
+                page_id, url, payload = page_id.as_py(), url.as_py(), payload.as_py()
+                digest = hashlib.sha256(payload).hexdigest()
+                record = record_bytes(page_id, url, payload, len(payload), digest, None, None, date)
+                rows.append((shard_of(page_id, digest, url), page_id, digest, 1, url, len(payload), record))
+                held += len(record)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(shard_of(page_id, digest, url), page_id, digest, 0, url, size, record_bytes(page_id, url, b"", size, digest, refers_to, refers_url, date))
+                    for page_id, url, digest, size, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    null = F.lit(None)
-    rows = pages.select(F.col("page_id").cast("long"), F.sha2(payload, 256).alias("digest"), F.lit(1).alias("kind"), "url", "html",
-                        null.cast("long").alias("refers_to"), null.cast("string").alias("refers_url"))
-    marks = revisits(pages, min_revisit).select("page_id", "digest", F.lit(0).alias("kind"), null.cast("string").alias("url"),
-                                                null.cast("string").alias("html"), "refers_to", "refers_url")
-    ranges = max(1, -(-pages.count() // RANGE_ROWS))
-    # one shuffle of the pages: what a page refers to sorts in front of it, in the same range
-    ordered = (rows.unionByName(marks).repartitionByRange(ranges, "page_id", "digest")
-               .sortWithinPartitions("page_id", "digest", "kind", "url"))
+    made = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).mapInArrow(responses, _MADE)
+    made = made.unionByName(revisits(narrow, min_revisit).mapInArrow(marks, _MADE))
+    # one shuffle, of compressed records: a page's revisit sorts in front of its response, which is then passed over
+    ordered = made.repartitionById(len(ends) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        shard, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
+        attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
         system, root = _file_system(folder)
         system.create_dir(f"{root}/data", recursive=True)
         system.create_dir(f"{root}/temporary", recursive=True)
-        out, number, mark = None, 0, None
+        out, number, shard, marked = None, 0, None, Counter()
 
         def opened():
             nonlocal out, number
@@ -152,22 +222,32 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revis
         def closed() -> pa.RecordBatch:
             nonlocal out
             out["file"].close()
-            system.move(out["temporary"], f"{root}/data/{out['name']}")
+            target = f"{root}/data/{out['name']}"
+            if system.get_file_info(target).type != fs.FileType.NotFound:
+                system.delete_file(target)  # an attempt that died after its rename left the same bytes
+            system.move(out["temporary"], target)
             row = [out["name"], out["records"], out["bytes"], out["sha"].hexdigest(), out["first"], out["last"]]
             out = None
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
                                               names=["name", "records", "bytes", "sha256", "first_page", "last_page"])
 
         for batch in batches:
-            for row in zip(*batch.columns):
-                page_id, digest, kind, url, html, refers_to, refers_url = (x.as_py() for x in row)
-                if kind == 0:
-                    mark = (page_id, digest, refers_to, refers_url)
+            for i in range(batch.num_rows):
+                at, page_id, digest, kind, url = (batch.column(c)[i].as_py() for c in range(5))
+                if at != shard:
+                    if out is not None:
+                        yield closed()
+                    shard, number = at, 0
+                key = (page_id, digest, url)
+                if kind == 1 and marked[key]:  # a revisit of this row has been written
+                    marked[key] -= 1
                     continue
+                if key not in marked:
+                    marked.clear()  # rows of one key come together
+                marked[key] += kind == 0
                 if out is None:
                     opened()
-                refers = mark[2:] if mark and mark[:2] == (page_id, digest) else (None, None)
-                put(record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, *refers, date))
+                put(batch.column(6)[i].as_py())
                 out["records"] += 1
                 out["first"] = page_id if out["first"] is None else out["first"]
                 out["last"] = page_id
@@ -177,8 +257,11 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revis
             yield closed()
 
     manifest = ordered.mapInArrow(run, "name string, records long, bytes long, sha256 string, first_page long, last_page long")
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.parquet(f"{folder}/manifest")
+    with small_batches(spark, BATCH_BYTES):
+        manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    delete_paths(spark, [f"{folder}/temporary/{name}" for name in child_names(spark, f"{folder}/temporary")] if path_exists(spark, f"{folder}/temporary") else [])
+    drop_written(narrow)
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def _header_and_block(stream) -> tuple[dict[str, str], bytes] | None:

@@ -73,6 +73,36 @@ def test_files_roll_are_listed_and_the_same_every_time(spark):
     assert seen[0] == seen[1]
 
 
+def test_shards_by_bytes(spark):
+    """Ends of shards follow sizes; pages without an id and revisits fall into their places."""
+    big = "<p>" + "x y z " * 4000
+    rows = [(i, f"http://h/{i}", big + str(i) if i % 10 == 0 else LONG if i % 3 else f"p{i}" * 30) for i in range(120)] + [(None, f"n{i}", big + "n") for i in range(8)]
+    folder = fresh_path(spark, "warc-test")
+    manifest = warc.write(pages(spark, rows), folder, range_bytes=50_000).orderBy("name").collect()
+    assert len({m.name[:11] for m in manifest}) > 4
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, folder).collect()), key=str)
+    assert got == brute(rows)
+    ends = [(m.first_page, m.last_page) for m in manifest if m.first_page is not None]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_file_of_a_dead_attempt_is_replaced(spark):
+    folder = fresh_path(spark, "warc-test")
+    os.makedirs(f"{folder}/data")
+    os.makedirs(f"{folder}/temporary")
+    open(f"{folder}/data/part-000000-00000.warc.gz", "wb").write(b"half")
+    open(f"{folder}/temporary/part-000000-00000.warc.gz.99", "wb").write(b"half")
+    warc.write(pages(spark, ROWS), folder)
+    assert warc.read(spark, folder).count() == len(ROWS) and os.listdir(f"{folder}/temporary") == []
+
+
+def test_one_very_large_payload(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1 << 16)) * 512     # 32 MB
+    rows = [(1, "u", text), (2, "v", text), (3, "w", "small")]
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows), payloads=False).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_damage_is_found(spark):
     folder = fresh_path(spark, "warc-test")
     name = warc.write(pages(spark, ROWS), folder).first().name
