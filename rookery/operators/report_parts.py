@@ -57,12 +57,14 @@ def update(games: DataFrame, path: str, sources: list[str]) -> None:
     games now loses its part. Other sources are neither read nor written."""
     spark = games.sparkSession
     new = games.where(F.col("source").isin(sources))
-    for name, rows in (("counts", source_counts(new)), ("strong", source_strongest(new))):
-        target = f"{path}/{name}"
-        # a source may have no row of a kind any more, so old partitions go first; a
-        # run that dies in between leaves parts missing, and is run again for its sources
-        delete_paths(spark, [f"{target}/source={escaped_name(spark, s)}" for s in sources])
-        rows.write.mode("append").partitionBy("source").parquet(target)
+    # a source may have no row of a kind any more, so its old partitions go first. The
+    # counts are written last: a source of a run that died has none, and is read again
+    folders = {escaped_name(spark, s) for s in sources}
+    for name in ("counts", "strong"):
+        held = child_names(spark, f"{path}/{name}") if path_exists(spark, f"{path}/{name}") else []
+        delete_paths(spark, [f"{path}/{name}/{n}" for n in held if n.removeprefix("source=") in folders])
+    for name, rows in (("strong", source_strongest(new)), ("counts", source_counts(new))):
+        rows.write.mode("append").partitionBy("source").parquet(f"{path}/{name}")
 
 
 def known_sources(spark: SparkSession, path: str) -> set[str]:
