@@ -15,10 +15,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import written
 
@@ -82,18 +81,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sources and clusters conflict with nothing. Repeated rows are packed as
     often as they come. An empty table gives an empty table.
     """
-    items = items.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), "source", "cluster")
+    items = items.select(F.col("doc_id").cast("long"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"),
+                         F.col("source").cast("string"), F.col("cluster").cast("long"))
     n, tokens = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     shards = max(1, -(-tokens // SHARD_TOKENS), -(-n // SHARD_ITEMS))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "cluster"), F.lit(shards)).cast("long"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values(["doc_id", "n_tokens", "source", "cluster"], kind="stable")
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        columns = [group[c].to_pylist() for c in ("doc_id", "n_tokens", "source", "cluster")]  # nulls and 64-bit numbers as they are
         full, rest = [], []
-        null = lambda x: None if pd.isna(x) else x
-        for doc, length, source, cluster in pdf[["doc_id", "n_tokens", "source", "cluster"]].itertuples(index=False, name=None):
-            doc, source, cluster = null(doc), null(source), null(cluster)
+        for doc, length, source, cluster in sorted(zip(*columns), key=lambda r: [(x is None, x) for x in r]):
             whole = length // capacity
             full += [(doc, p, p * capacity, capacity, source, cluster) for p in range(whole)]
             if length % capacity or not length:
@@ -103,13 +101,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first = shard * SHARD_BINS
         free = first + 1 + max((k for k, _ in bins), default=-1)
         rows = [(*r, first + k, at) for r, (k, at) in zip(rest, bins)] + [(*r, free + i, 0) for i, r in enumerate(full)]
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "cluster": "Int64"})
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("piece_start", T.LongType()),
-                         T.StructField("piece_tokens", T.LongType()), T.StructField("source", T.StringType()), T.StructField("cluster", T.LongType()),
-                         T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType())])
-    names = kind.names
-    return dealt.groupBy("shard").applyInPandas(run, kind)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("piece_start", pa.int64()), ("piece_tokens", pa.int64()),
+                        ("source", pa.string()), ("cluster", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64())])
+    kind = "doc_id long, piece long, piece_start long, piece_tokens long, source string, cluster long, bin_id long, bin_offset long"
+    return dealt.groupBy("shard").applyInArrow(run, kind)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, groups: DataFrame | None = None) -> DataFrame:

@@ -94,3 +94,17 @@ def test_nulls_repeats_and_empty_table(spark):
     got = {r.doc_id: (r.piece_tokens, r.bin_id) for r in packing.pack_documents(docs).collect()}
     assert [got[i][0] for i in (1, 2, 3, 4)] == [0, 0, 2, 2]
     assert got[3][1] != got[4][1]  # the same text but for case and space
+
+
+def test_numbers_stay_exact_beside_nulls(spark):
+    """Ids and clusters above 2**53 in one shard with null ids, null texts and null clusters."""
+    ids = [9007199254740993, 9007199254740995, -9223372036854775807, None, 7]
+    clusters = [-2167479932694485896, 4812870629301592785, 9223372036854775807, None, None]
+    items = spark.createDataFrame([(d, 3, None, c) for d, c in zip(ids, clusters)] + [(None, None, "s", 9007199254740993)],
+                                  "doc_id long, n_tokens long, source string, cluster long")
+    out = packing.pack(items, 10).collect()
+    assert sorted(((r.doc_id, r.cluster) for r in out), key=str) == sorted([*zip(ids, clusters), (None, 9007199254740993)], key=str)
+    docs = spark.createDataFrame([(ids[0], "a b", "s"), (ids[1], None, None), (None, "c d", None)], "doc_id long, text string, source string")
+    rows = {r.doc_id: r.cluster for r in packing.pack_documents(docs).collect()}
+    text = {r.doc_id: r.c for r in docs.select("doc_id", packing.text_cluster(docs.text).alias("c")).collect()}
+    assert rows == {ids[0]: text[ids[0]], ids[1]: None, None: text[None]}
