@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import first_rows, written
+from .tables import drop_written, first_rows, written
 
 LANG_ROWS = 2048
 LANG_CHARS = 1 << 22
@@ -132,8 +132,11 @@ def item_counts(words: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
 
 def train(docs: DataFrame) -> Model:
     """The model of the documents that are not held out; without one it knows no language."""
-    items = written(item_counts(written(word_counts(sample(docs)), "langid-words")), "langid-items")
+    words = written(word_counts(sample(docs)), "langid-words")
+    items = written(item_counts(words), "langid-items")
     rows = items.orderBy("n", "item", "lang").toArrow()
+    drop_written(words)
+    drop_written(items)
     langs = sorted(set(rows["lang"].to_pylist()))
     number = {lang: i for i, lang in enumerate(langs)}
     n = rows["n"].to_numpy().astype(np.int64)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import drop_written, written
 
 LEAST_LETTERS = 7
 LEAST_COUNT = 2
@@ -387,6 +387,8 @@ def variants(docs: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
     known = written(words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(form_n >= FORM_RATIO * F.col("n"), F.struct(F.col("best.near").alias("word"), form_n.alias("n"))).alias("form")), "variant-forms")
+    drop_written(pairs)
+    drop_written(words)
     ends = roots(known.where("form is not null").select("word", F.col("form.word").alias("form")), known.agg(F.max("n")).first()[0] or 0)
     return known.join(ends, "word", "left").select(
         "word", F.col("form.word").alias("form"), F.coalesce("root", "word").alias("root"), "n", "n_near", F.col("form.n").alias("form_n"))
