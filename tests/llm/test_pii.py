@@ -18,7 +18,7 @@ def luhn(d):
 def brute(text):
     text, out = text or "", []
     out += [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[^0-9]", "", m.group())
         if 14 <= len(d) <= 19 and luhn(d):
@@ -45,8 +45,7 @@ def test_base_spans_of_random_texts():
 @pytest.mark.parametrize("text", ["1" * 4999, "1." * 5000, "a@" * 3000 + "b.c", "+1" + " 2" * 4000, "x" * 20000 + "@a.b", "9." + "9" * 6000 + ".1.1"])
 def test_long_texts(text):
     # parts of thousands of digits are no numbers to convert
-    parts = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text[-30:])]
-    assert len([s for s in base(text) if s[0] == "email"]) >= len(parts)
+    assert base(text) == brute(text)
 
 
 def test_added_kinds():
