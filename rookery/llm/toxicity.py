@@ -28,10 +28,9 @@ from pyspark.sql import types as T
 
 from .tables import written
 
-#: The fit: labelled rows in its sample and words in the model at most, smallest
-#: word evidence (G statistic) and support, strength of the ridge penalty.
+#: The fit: labelled rows in its sample at most, smallest word evidence (G statistic)
+#: and support, strength of the ridge penalty.
 SAMPLE_ROWS = 32_768
-MODEL_WORDS = 512
 LEAST_EVIDENCE = 20.0
 LEAST_SUPPORT = 3
 RIDGE = 0.05
@@ -58,6 +57,9 @@ _TRIM_RIGHT = _TRIM_LEFT + "!|+"
 _EDGE_RUN = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
+_RUNS = re.compile(r"(.)\1+")
+#: runs of a word of letters up to which its readings are tried one by one
+MOST_RUNS = 4
 _GAP = r"[\s.\-_]+"
 #: single letters or signs pulled apart: i d i o t, i.d.i.o.t, 1-d-1-0-t
 _SPACED = re.compile(rf"(?<!\S)[^\s.\-_](?:{_GAP}[^\s.\-_]){{2,}}(?![^\s.,;:?!\-_])")
@@ -121,6 +123,18 @@ def char_model(docs: DataFrame) -> dict[str, int]:
     return {r.gram: r.n for r in grams.collect()}
 
 
+def beginnings(word: str, size: int) -> set[str]:
+    """The first ``size`` letters of all readings of a word of letters: of a run of one letter, one or two are read."""
+    out, i = {""}, 0
+    while i < len(word) and any(len(b) < size for b in out):
+        j = i
+        while j < len(word) and word[j] == word[i]:
+            j += 1
+        out = {b if len(b) >= size else (b + word[i] * n)[:size] for b in out for n in range(1, min(j - i, 2) + 1)}
+        i = j
+    return out
+
+
 class Decoder:
     """Restores disguised words by a Viterbi search under a character model."""
 
@@ -128,6 +142,9 @@ class Decoder:
         """``only``: the features that are asked for; words that cannot have one are dropped."""
         self.only = only
         self.roots = {f[:STEMS[0]] for f in only or ()}
+        # what a word that is asked for can begin with: a stem, or the first letters of a whole word
+        self.stems = {f.rstrip("*") for f in only or () if f.endswith("*")}
+        self.heads = {f[:STEMS[-1] + 1] for f in only or () if not f.endswith("*")}
         pairs: Counter = Counter()
         singles: Counter = Counter()
         for g, n in grams.items():
@@ -177,8 +194,30 @@ class Decoder:
             i = j
         return out
 
+    def _cost(self, word: str) -> float:
+        """The cost of a word of letters as it stands."""
+        a, b, cost = _EDGE, _EDGE, 0.0
+        for c in word:
+            k = c if c in LETTERS else "?"
+            cost -= self.log_p(a, b, k)
+            a, b = b, k
+        return cost - self.log_p(a, b, _EDGE)
+
     def decode(self, token: str) -> str:
         """The likeliest plain reading of a lower-case token."""
+        if token.isalpha() and len(runs := [m.span() for m in _RUNS.finditer(token)]) <= MOST_RUNS:
+            # the lattice of a word of letters has two ways at each run: all readings are few
+            readings, at = [""], 0
+            for start, end in runs:
+                readings = [r + token[at:start] + token[start] * n for r in readings for n in (1, 2)]
+                at = end
+            less, other = min((self._cost(r + token[at:]), r + token[at:]) for r in readings)
+            if any(end - start > 2 for start, end in runs) or less + COST_REPEAT * len(runs) + COST_STRETCH < self._cost(token):
+                return other
+            return token
+        return self._decode(token)
+
+    def _decode(self, token: str) -> str:
         if _TRIPLE.search(token):
             return self._search(self.lattice(token, True))[1]
         cost, out = self._search(self.lattice(token))
@@ -242,8 +281,13 @@ class Decoder:
         word = _EDGE_RUN.sub("", token).lstrip(_TRIM_LEFT).rstrip(_TRIM_RIGHT)
         if not any(c.isalpha() for c in word):
             return ()
-        if word.isalpha() and not _DOUBLE.search(word):
-            return (word,)
+        if word.isalpha():
+            if not _DOUBLE.search(word):
+                return (word,)
+            if self.only is not None and not _DOUBLE.search(word[:STEMS[0] + 1]) and word[:STEMS[0]] not in self.roots:
+                return ()  # its first letters are as they stand
+            if self.only is not None and not any(b in self.heads or any(b[:k] in self.stems for k in STEMS) for b in beginnings(word, STEMS[-1] + 1)):
+                return ()  # however its letters are doubled, it is no word that is asked for
         return tuple(self.decode(word).split())
 
     def text_words(self, text: str | None) -> set[str]:
@@ -289,21 +333,42 @@ def held_out(doc_id):
 
 
 def _fit(rows: list[tuple[tuple[int, ...], int, float]], width: int) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression on (word numbers, toxic, how often) by Newton steps."""
-    x = np.zeros((len(rows), width + 1))
-    x[:, -1] = 1
-    for i, (words, _, _) in enumerate(rows):
-        x[i, list(words)] = 1
+    """Ridge logistic regression on (word numbers, toxic, how often) by Newton steps.
+
+    The matrix is kept as its ones, and a step is found by conjugate gradients, so
+    that neither time nor memory grows with the square of the number of words."""
+    at = np.repeat(np.arange(len(rows)), [len(r[0]) + 1 for r in rows])
+    word = np.fromiter((w for r in rows for w in (*r[0], width)), dtype=np.int64, count=len(at))  # the last column is the bias
     y = np.array([r[1] for r in rows], dtype=float)
     n = np.array([r[2] for r in rows], dtype=float)
     ridge = np.full(width + 1, RIDGE)
     ridge[-1] = 1e-3
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(at, weights=w[word], minlength=len(rows))
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.bincount(word, weights=u[at], minlength=width + 1)
+
     w = np.zeros(width + 1)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - y)) + ridge * w
-        hessian = (x.T * (n * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(ridge)
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        gradient = back(n * (p - y)) + ridge * w
+        curve = n * np.maximum(p * (1 - p), 1e-6)
+        diagonal = back(curve) + ridge
+        step, left = np.zeros(width + 1), gradient.copy()
+        way = scaled = left / diagonal
+        enough = max(1e-10, 1e-2 * float(np.abs(scaled).max()))  # a step need not be exact while steps are long
+        for _ in range(10 * (width + 1)):
+            if np.abs(scaled).max() < enough:
+                break
+            curved = back(curve * times(way)) + ridge * way
+            much = (left @ scaled) / (way @ curved)
+            step += much * way
+            rest = left - much * curved
+            new = rest / diagonal
+            way = new + way * ((rest @ new) / (left @ scaled))
+            left, scaled = rest, new
         size = float(np.abs(step).max())
         w -= step * min(1.0, 2.0 / max(size, 1e-12))
         if size < 1e-6:
@@ -317,8 +382,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     The character model covers all texts. The classifier is fitted on a sample:
     the ``SAMPLE_ROWS`` labelled ids that come first by their hash, all if there
     are no more. Its size is bounded, so it is broadcast to the texts and these
-    stay where they are. The words and stems with most evidence in the sample
-    (at most ``MODEL_WORDS``) make up the model. A document with several labels
+    stay where they are. All words and stems with enough evidence in the sample
+    make up the model. A document with several labels
     counts as toxic if one of them says so; null labels and null ids are left
     out. Without toxic rows every score is about 0.
     """
@@ -341,6 +406,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = toxic / n if n else 0.0
     if not 0 < share < 1:
         return Model(-30.0 if share == 0 else 30.0, {}, grams)
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -364,7 +430,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * share))).otherwise(0.0)
     top = (words.where(a >= LEAST_SUPPORT).where(a * (n - toxic) > b * toxic)
            .withColumn("g", 2 * (part(a, share) + part(b, 1 - share))).where(F.col("g") >= LEAST_EVIDENCE)
-           .orderBy(F.desc("g"), "word").limit(MODEL_WORDS).select("word"))
+           .orderBy(F.desc("g"), "word").select("word"))
     vocabulary = {r.word: i for i, r in enumerate(top.collect())}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,4 +478,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
     mark = "_toxicity"
     while mark in docs.columns:
         mark += "_"
-    return scores(docs, model, mark).where(F.col(mark) < least).select(*docs.columns)
+    return scores(docs, model, mark).where(F.col(mark) < least).drop(mark)

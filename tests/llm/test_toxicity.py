@@ -1,5 +1,7 @@
 """Deobfuscation, held-out accuracy and edge cases of the toxicity operator."""
 
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -140,3 +142,84 @@ def test_rare_toxic_word_enters_the_model(spark):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {"idiot", "clodpole"} <= model.weights.keys()
     assert all(r.score >= 0.5 for r in toxicity.scores(docs.where("doc_id > 9000"), model).collect())
+
+
+def all_readings(decoder, lattice):
+    """Every way through a lattice that leaves no empty word, with its cost, by the definition of the model."""
+    for way in itertools.product(*lattice):
+        text = "".join(x for x, _ in way)
+        if " " in text and not all(text.split(" ")[:-1]):
+            continue
+        cost = sum(c for _, c in way)
+        a = b = toxicity._EDGE
+        for c in text + " ":
+            k = toxicity._EDGE if c == " " else c if c in toxicity.LETTERS else "?"
+            cost -= decoder.log_p(a, b, k)
+            a, b = (toxicity._EDGE, toxicity._EDGE) if c == " " else (b, k)
+        yield cost, text
+
+
+@pytest.mark.parametrize("token", ["1d10t", "s t u", "id-iot", "aabbcc", "f**l", "w0rd!", "ttrraa", "x.y.z", "$$a1", "hello", "жx1", "l00ss", "5p4m", "a'b"])
+@pytest.mark.parametrize("stretched", [False, True])
+def test_search_against_all_readings(decoder, token, stretched):
+    lattice = decoder.lattice(token, stretched)
+    cost, text = decoder._search(lattice)
+    readings = list(all_readings(decoder, lattice))
+    assert cost == pytest.approx(min(c for c, _ in readings)) and text in {t for c, t in readings if c <= cost + 1e-9}
+
+
+def test_words_of_letters_are_read_as_by_the_search(decoder):
+    rng = random.Random(6)
+    words = ["hello", "iiddiioott", "stuuupid", "aaa", "aa", "ttrraasshh", "bookkeeper", "ßß", "жжx"]
+    words += ["".join(rng.choice("abdiostu") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 8))) for _ in range(500)]
+    for word in words:
+        assert decoder.decode(word) == decoder._decode(word), word
+
+
+def test_beginnings_hold_for_every_reading(decoder):
+    rng = random.Random(4)
+    for _ in range(200):
+        word = "".join(rng.choice("abst") * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        for reading in (decoder.decode(word), decoder._search(decoder.lattice(word, True))[1]):
+            assert reading[:3] in toxicity.beginnings(word, 3), word
+
+
+def test_words_that_are_asked_for_are_found_as_without_asking(decoder):
+    only = {"idi*", "stupid", "tra**", "as", "cat"}
+    asked = toxicity.Decoder(decoder.grams, only)
+    rng = random.Random(5)
+    tokens = ["idiot", "iidiott", "stuupid", "ttraash", "aas", "cat", "caat", "id1ot", "s.t.u.p.i.d", "traashh", "assess", "hello", "bookkeeper"]
+    tokens += ["".join(rng.choice("acdiopstru") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    for token in tokens:
+        want = tuple(w for w in decoder.restore(token) if w[:3] in asked.roots and asked._asked_for(w))
+        assert asked.restore(token) == want, token
+
+
+def test_fit_against_a_plain_solver():
+    """The sparse fit finds the weights of Newton steps on the whole matrix."""
+    rng = np.random.default_rng(2)
+    width = 30
+    rows = []
+    for _ in range(400):
+        words = tuple(sorted(rng.choice(width, rng.integers(0, 5), replace=False).tolist()))
+        rows.append((words, int(rng.random() < (0.8 if set(words) & {1, 2, 3} else 0.1)), float(rng.integers(1, 4))))
+    x = np.zeros((len(rows), width + 1))
+    x[:, -1] = 1
+    for i, (words, _, _) in enumerate(rows):
+        x[i, list(words)] = 1
+    y, n = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    ridge = np.array([toxicity.RIDGE] * width + [1e-3])
+    w = np.zeros(width + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.diag(ridge), x.T @ (n * (p - y)) + ridge * w)
+        w -= step * min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-12))
+    bias, weights = toxicity._fit(rows, width)
+    assert np.allclose(np.append(weights, bias), w, atol=1e-5)
+
+
+def test_many_words_make_up_a_model():
+    """More words than a dense matrix of the sample would hold."""
+    rows = [((3 * i, 3 * i + 1, 3 * i + 2), i % 2, 1.0) for i in range(7000)]
+    bias, weights = toxicity._fit(rows, 21_000)
+    assert len(weights) == 21_000 and weights[3] > 0 > weights[0] and np.isfinite(weights).all()
