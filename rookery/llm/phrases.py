@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bucketed, fresh_path
+from ..session import bucketed, delete_paths, fresh_path
 from .tables import first_rows, small_batches, splits_of, written
 
 #: Words after which the open chunks of a task are closed.
@@ -45,7 +44,7 @@ CHUNK_WORDS = 1 << 22
 SHARDS = 16
 
 #: Words of a language to each part of its phrases.
-PART_WORDS = 1 << 21
+PART_WORDS = 1 << 22
 
 #: Bytes of a text that are split at a time, up to the next end of a piece.
 BLOCK = 1 << 22
@@ -96,10 +95,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _packed_texts(texts: list[bytes]) -> bytes:
-    """Words or phrases, none of which can hold a line feed."""
+    """Texts without line feeds, one to a line."""
     import zstandard
 
-    return zstandard.compress(b"\n".join(texts), 3)
+    return zstandard.compress(b"\n".join(texts), 6)
 
 
 def _unpacked_texts(data: bytes) -> list[bytes]:
@@ -108,6 +107,15 @@ def _unpacked_texts(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b"\n")
 
 
+def _unpacked_phrases(data: bytes) -> list[bytes]:
+    """Phrases in lines of those that are equal but for their last words: ``first words<tab>last words``."""
+    out: list[bytes] = []
+    for line in _unpacked_texts(data):
+        first, _, last = line.partition(b"\t")
+        out += [first + b" " + w for w in last.split(b" ")] if first else last.split(b" ")
+    return out
+
+
 def chunked(docs: DataFrame, chunk_words: int = CHUNK_WORDS, shards: int = SHARDS) -> DataFrame:
     """Chunks: chunk, shard, lang, n, words, codes.
 
@@ -165,23 +173,33 @@ class Chunk:
         self.codes = _unpacked(codes)
         self.parts = parts
         self.hashes = np.fromiter(map(zlib.crc32, self.names), dtype=np.uint64, count=len(self.names))
-        self.words = pa.array(self.names, pa.binary())
+        self.alphabetical = np.empty(len(self.names), dtype=np.int64)
+        self.alphabetical[np.array(sorted(range(len(self.names)), key=self.names.__getitem__), dtype=np.int64)] = np.arange(len(self.names))
 
-    def part_of(self, places: list[np.ndarray]) -> np.ndarray:
-        """The part of the phrases whose j-th word is ``names[places[j]]``."""
+    def dealt(self, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the phrases whose j-th word is ``names[places[j]]``, by part and
+        then alphabetically, which packs best, and where each part begins and ends in it."""
         h = np.zeros(len(places[0]), dtype=np.uint64)
         for p in places:
             h = (h ^ self.hashes[p]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return (h % np.uint64(self.parts)).astype(np.int64)
-
-    def kept(self, part: np.ndarray, back: list[dict]) -> np.ndarray:
-        """Which entries of lists, dealt out by ``part``, the places in ``back`` name."""
-        out = np.zeros(len(part), dtype=bool)
-        order = np.argsort(part, kind="stable")
-        first = np.searchsorted(part[order], np.arange(self.parts))
+        part = (h % np.uint64(self.parts)).astype(np.int64)
+        bits = len(self.names).bit_length()
+        if bits * len(places) + self.parts.bit_length() < 63:
+            key = part
+            for p in places:
+                key = (key << bits) | self.alphabetical[p]
+            order = np.argsort(key)
+        else:
+            order = np.lexsort((*[self.alphabetical[p] for p in reversed(places)], part))
+        return order, np.searchsorted(part[order], np.arange(self.parts + 1))
+
+    def kept(self, places: list[np.ndarray], back: list[dict]) -> np.ndarray:
+        """Which phrases the places ``back`` in their lists name."""
+        out = np.zeros(len(places[0]), dtype=bool)
+        order, ends = self.dealt(places)
         for b in back:
-            out[order[first[b["part"]] + _unpacked(b["at"])]] = True
+            out[order[ends[b["part"]] + _unpacked(b["at"])]] = True
         return out
 
     def word_places(self) -> list[np.ndarray]:
@@ -189,7 +207,7 @@ class Chunk:
 
     def keep_words(self, back: list[dict]) -> None:
         """All but the frequent words become ends."""
-        frequent = np.append(False, self.kept(self.part_of(self.word_places()), back))
+        frequent = np.append(False, self.kept(self.word_places(), back))
         self.codes = np.where(frequent[self.codes], self.codes, 0)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +236,23 @@ class Chunk:
 
     def lists(self, places: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
         """The phrases in their parts, each part packed."""
-        part = self.part_of(places)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(self.parts + 1))
+        order, ends = self.dealt(places)
+        names, k = self.names, len(places)
         for i in range(self.parts):
             own = order[ends[i]:ends[i + 1]]
-            if len(own):
-                columns = [self.words.take(pa.array(p[own])) for p in places]
-                phrases = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
-                yield {"k": len(places), "part": i, "phrases": _packed_texts(phrases.to_pylist()), "counts": _packed(counts[own])}
+            if not len(own):
+                continue
+            last = [names[j] for j in places[-1][own].tolist()]
+            first = [p[own] for p in places[:-1]]
+            new = np.zeros(len(own), dtype=bool)
+            new[0] = True
+            for p in first:
+                new[1:] |= p[1:] != p[:-1]
+            at = np.flatnonzero(new)
+            lines = [b" ".join(names[j] for j in words) for words in zip(*(p[at].tolist() for p in first))] if first else [b""]
+            cuts = [*at.tolist(), len(own)]
+            yield {"k": k, "part": i, "phrases": _packed_texts([line + b"\t" + b" ".join(last[a:b]) for line, a, b in zip(lines, cuts, cuts[1:])]),
+                   "counts": _packed(counts[own])}
 
 
 LIST_KIND = "chunk long, shard int, need long, lang string, k int, part int, phrases binary, counts binary"
@@ -248,7 +274,7 @@ def phrase_lists(chunks: DataFrame, step: str, longest: int = LONGEST) -> DataFr
         if step == "pairs":
             yield chunk, chunk.pair_places(pairs), counts
             return
-        kept = pairs[chunk.kept(chunk.part_of(chunk.pair_places(pairs)), row["pairs_back"])]
+        kept = pairs[chunk.kept(chunk.pair_places(pairs), row["pairs_back"])]
         for places, counts in chunk.longer(kept, longest):
             yield chunk, places, counts
 
@@ -284,10 +310,11 @@ def frequent(lists: DataFrame, support: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         lang, k, part = (group[c][0].as_py() for c in ("lang", "k", "part"))
-        texts = [_unpacked_texts(x.as_py()) for x in group["phrases"]]
+        texts = [pa.array(_unpacked_phrases(x.as_py()), pa.binary()) for x in group["phrases"]]
         counts = np.concatenate([_unpacked(x.as_py()) for x in group["counts"]])
         sizes = [len(x) for x in texts]
-        coded = pa.array([p for x in texts for p in x], pa.binary()).dictionary_encode()
+        coded = pa.concat_arrays(texts).dictionary_encode()
+        del texts
         number, names = coded.indices.to_numpy(), coded.dictionary
         row = np.repeat(np.arange(len(sizes)), sizes)
         shard = group["shard"].to_numpy()[row]
@@ -325,8 +352,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     """All words and phrases of up to ``longest`` words that occur ``support``
     times in a language, (lang, phrase, k, a), and (lang, n), all words of it."""
     spark = docs.sparkSession
-    buckets = splits_of(docs)
-    chunks = bucketed(chunked(docs, chunk_words, shards), "chunk", buckets, fresh_path(spark, "phrase-chunks"))
+    buckets, stored_chunks = splits_of(docs), fresh_path(spark, "phrase-chunks")
+    chunks = bucketed(chunked(docs, chunk_words, shards), "chunk", buckets, stored_chunks)
     by_lang = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     shares = written(chunks.groupBy("lang", "shard").agg(F.sum("n").alias("own")).join(by_lang, "lang")
                      .withColumn("need", F.expr(f"({support} * own + n - 1) div n"))
@@ -342,6 +369,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         if longest > 2:
             chunks = chunks.join(_back(pairs, "pairs_back", buckets), "chunk")
             found = found.unionByName(written(frequent(phrase_lists(chunks, "longer", longest), support), "phrase-longer"))
+    delete_paths(spark, [stored_chunks])
     return found.where("phrase IS NOT NULL").select("lang", "phrase", "k", "a"), sizes
 
 
