@@ -28,7 +28,7 @@ TOP = 10
 #: shard's distinct vectors at which the ascent ends, and the least number.
 SHARD_ROWS = 16_384
 TREES, BITS = 48, 32
-SHARE, LEAST = 0.5, 256
+SHARE, LEAST = 0.5, 2_048
 SEED = 7
 
 
