@@ -19,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id."""
+    """One row of each SimHash group: the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
@@ -29,8 +29,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training windows: the bin and place of every piece of every document."""
-    return packing.pack_documents(docs)
+    """Training windows: the bin and place of every piece of every document. Texts that
+    redaction has made near copies of each other do not share a window."""
+    return packing.pack_documents(docs, groups=simhash.near_duplicates(docs))
 
 
 STAGES = [
