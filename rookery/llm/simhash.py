@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,15 +54,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(up, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and the columns in ``keep``; ``fp`` is the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), *[docs.schema[c] for c in keep]])
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, kind)
 
 
 def linked_in(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -141,6 +142,18 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, tile_rows: int =
     return pairs.mapInArrow(_compare(max_bits), "a long, b long")
 
 
+def _grouped(docs: DataFrame, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and the group of every fingerprint: (fp, label, component_id)."""
+    prints = written(with_fingerprints(docs, shingle_words), "simhash-fps")
+    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    links = written(fingerprint_links(fps.select("fp"), max_bits), "simhash-links")
+    comp = connected_components(links)
+    labelled = (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                .select("fp", "first_doc", F.coalesce("component", "fp").alias("label")))
+    lowest = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    return prints, labelled.join(lowest, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """Near-duplicate groups of a document table: doc_id, fp, component_id.
 
@@ -155,28 +168,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     doc_id has a null component_id. An empty table gives an empty table. Only
     doc_id and text are read, other columns may have any name.
     """
-    prints = written(with_fingerprints(docs, shingle_words), "simhash-fps")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    links = written(fingerprint_links(fps.select("fp"), max_bits), "simhash-links")
-    comp = connected_components(links)
-    labelled = (fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-                .select("fp", "first_doc", F.coalesce("component", "fp").alias("label")))
-    lowest = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    by_fp = labelled.join(lowest, "label").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    prints, groups = _grouped(docs, shingle_words, max_bits)
+    return prints.join(groups.drop("label"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _row_order(docs: DataFrame) -> Column:
+    """What rows of equal id are told apart by: all columns; maps, which have no order, as JSON."""
+    def ordered(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c
+
+    return F.struct(*[ordered(f).alias(f"c{i}") for i, f in enumerate(docs.schema)])
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as one document: the smallest row in the
-    order of all columns stays. Rows with a null doc_id have no place in that
-    order and all stay. Columns and their order are those of ``docs``.
+    Where several rows of a group have that id, and in a group without any id, the
+    smallest row in the order of all columns stays. Columns and their order are
+    those of ``docs``. Most rows are known by their id alone; for those that are
+    not (repeated ids and null ids) the fingerprint is taken once more.
     """
-    groups = near_duplicates(docs, shingle_words, max_bits)
-    kept = (groups.where("doc_id = component_id").groupBy("doc_id").count()
-            .select("doc_id", (F.col("count") > 1).alias("repeats")))
-    once = docs.join(kept.where("not repeats"), "doc_id", "left_semi")
-    again = (docs.join(kept.where("repeats"), "doc_id", "left_semi")
-             .groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    return once.select(*docs.columns).union(again.select(*docs.columns)).union(docs.where("doc_id is null"))
+    prints, groups = _grouped(docs, shingle_words, max_bits)
+    # of every group the id that stays and, of its rows, the smallest fingerprint
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    kept = prints.join(groups.select("fp", "label"), "fp").groupBy("label").agg(first).select("first.doc_id", "first.fp")
+    rows = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1").select("doc_id")
+    kept = written(kept.join(rows.withColumn("repeats", F.lit(True)), "doc_id", "left"), "simhash-kept")
+    single = kept.where("doc_id is not null and repeats is null").select("doc_id")
+    several = kept.where("doc_id is null or repeats").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = _row_order(docs)
+    unclear = docs.join(rows, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    packed = unclear.select("doc_id", "text", F.struct(*columns).alias("row"), order.alias("order"))
+    marked = with_fingerprints(packed, shingle_words, ("row", "order")).groupBy("doc_id", "fp").agg(F.min_by("row", "order").alias("row"))
+    again = marked.join(several, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).select("row.*")
+    return docs.join(single, "doc_id", "left_semi").select(*columns).union(again)

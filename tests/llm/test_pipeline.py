@@ -71,3 +71,21 @@ def test_nulls_repeats_and_empty_tables(spark, rows):
             assert out.columns == COLUMNS
             docs = out
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_copies_made_by_redaction_do_not_share_a_window(spark):
+    text = "write to {}@mail.example.com about the offer of last week and the one before it "
+    docs = spark.createDataFrame([(i, text.format(f"u{i}") * 3, "en", f"s{i}", 9) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    redacted = pipeline.STAGES[2][1](spark, docs, SF)
+    assert redacted.select("text").distinct().count() == 1
+    out = pipeline.STAGES[3][1](spark, redacted, SF).collect()
+    assert len({r.bin_id for r in out}) == 6
+
+
+def test_large_ids_pass_all_stages(spark):
+    ids = [9007199254740993, 9007199254740995]
+    rows = [(ids[0], "first text with words", "en", "s", 21), (ids[1], "second one, quite different", "en", "s", 27), (ids[1] + 2, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in docs.collect()) == [ids[0], ids[1], ids[1] + 2]

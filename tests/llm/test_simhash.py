@@ -72,9 +72,8 @@ def test_nulls_repeats_clashing_columns_and_ties(spark):
     assert got == expected(rows)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    # one document of each group; rows without an id stay
-    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == [(1, "q r s t u"), (2, "A B C D"), (3, "")]
-    assert kept.where("doc_id is null").count() == 2
+    # one row of each group, also of a group without an id
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, "q r s t u"), (2, "A B C D"), (3, ""), (None, "alone here now")]
 
 
 def test_repeated_id_counts_once(spark):
@@ -82,6 +81,21 @@ def test_repeated_id_counts_once(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
 
 
+def test_copies_without_ids_go(spark):
+    same, other = "a b c d e f", "t u v w x y z"
+    rows = [(None, same, 3), (5, same, 1), (None, same, 2), (None, other, 9), (None, other, 4), (None, None, 7), (None, "", 6)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(5, same, 1), (None, other, 4), (None, None, 7)], key=str)
+
+
+def test_an_id_that_stays_does_not_bring_its_copies_back(spark):
+    # doc 5 is alone with one row, and a copy of doc 3 with another
+    same, alone = "one two three four five", "quite another text with other words"
+    rows = [(3, same, {"k": 1}), (5, same, {"k": 2}), (5, alone, {"k": 3}), (5, alone, {"k": 0})]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>"))
+    assert sorted((r[0], r[1], r[2]["k"]) for r in kept.collect()) == [(3, same, 1), (5, alone, 0)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
