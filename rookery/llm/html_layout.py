@@ -1,8 +1,8 @@
 """Layout-aware text of HTML pages.
 
 A tree builder adds the tags that HTML implies; visibility rules (elements that
-never show, the hidden attribute, inline styles and simple style-sheet rules)
-take out what a reader would not see; rendering emits everything else. Blocks
+never show, the hidden attribute, ``display`` and ``visibility`` of inline styles and
+style-sheet rules) take out what a reader would not see; rendering emits everything else. Blocks
 keep their spacing, list items their bullets, numbers and nesting, preformatted
 text its lines, and the cells of a table stand aligned in columns.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -49,12 +50,16 @@ TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption".split())
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?(?:([.#])([\w-]+))?")
-_DISPLAY = re.compile(r"\s*display\s*:\s*([\w-]+)[^!]*(!\s*important)?", re.I)
+_PART = r"[.#][\w-]+|\[\s*[\w-]+\s*(?:[~^$*]?=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
+_COMPOUND = re.compile(rf"([a-zA-Z][\w-]*|\*)?((?:{_PART})*)")
+_PARTS = re.compile(_PART)
+_ATTRIBUTE = re.compile(r"\[\s*([\w-]+)\s*(?:([~^$*]?=)\s*(.*?)\s*)?\]", re.S)
+_COMBINATOR = re.compile(r"\s*>\s*|\s+")
+_SELECTORS = re.compile(r",(?![^\[]*\])")
+_DECLARED = {name: re.compile(rf"\s*{name}\s*:\s*([\w-]+)[^!]*(!\s*important)?", re.I) for name in ("display", "visibility")}
 _FEATURE = re.compile(r"\(\s*(min-|max-)?(width|height)\s*:\s*([\d.]+)(px|em|rem)\s*\)")
 #: the screen that media conditions are tested against
 SCREEN = {"width": 1280.0, "height": 720.0}
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 
 
 class Node:
@@ -103,6 +108,8 @@ class TreeBuilder(HTMLParser):
             return
         if tag not in HEAD_ONLY and tag != "head" and self.open[-1].tag == "head":
             self._pop_to(len(self.open) - 1)
+        if tag not in HEAD_ONLY and tag != "head" and len(self.open) == 1:
+            self._body()
         self._end_implied(tag)
         if tag in TABLE_PARTS and self.depth.get("table"):
             self._imply_row(tag)
@@ -152,8 +159,9 @@ class TreeBuilder(HTMLParser):
             self.sheets.append(here)
         if here.tag == "head" and data.strip():
             self._pop_to(len(self.open) - 1)
-            here = self.open[-1]
-        here.children.append(data)
+        if len(self.open) == 1 and data.strip():
+            self._body()
+        self.open[-1].children.append(data)
 
 
 def on_screen(media: str) -> bool:
@@ -212,49 +220,120 @@ def sheet_rules(css: str) -> Iterator[tuple[str, list[str]]]:
         at = m.end()
 
 
-def display(declarations: list[str]) -> tuple[bool, bool] | None:
-    """(important, shown) by the declaration of ``display`` that wins, if there is one."""
+def declared(name: str, declarations: list[str]) -> tuple[bool, str] | None:
+    """(important, value) of the declaration of a property that wins, if there is one."""
     found = None
     for d in declarations:
-        if (m := _DISPLAY.match(d)) and (found is None or m[2] or not found[0]):
-            found = (bool(m[2]), m[1].lower() != "none")
+        if (m := _DECLARED[name].match(d)) and (found is None or m[2] or not found[0]):
+            found = (bool(m[2]), m[1].lower())
     return found
 
 
+@dataclass(frozen=True)
+class Step:
+    """A compound selector at its place in a complex one: what the element itself must
+    be, and the step that an ancestor, or the parent if ``child``, must have taken."""
+
+    bit: int
+    before: int
+    child: bool
+    tag: str
+    ids: tuple[str, ...]
+    classes: tuple[str, ...]
+    attributes: tuple[tuple[str, str, str], ...]
+    #: of the last step: property -> (important, specificity, place, value)
+    says: dict[str, tuple] | None
+
+    def fits(self, node: Node, classes: set[str]) -> bool:
+        a = node.attrs
+        return (self.tag in ("*", node.tag) and all(i == a.get("id") for i in self.ids) and classes.issuperset(self.classes)
+                and all(name in a and _compared(a[name], sign, value) for name, sign, value in self.attributes))
+
+
+def _compared(have: str, sign: str, value: str) -> bool:
+    if sign == "^=" or sign == "$=" or sign == "*=":
+        return bool(value) and (have.startswith(value) if sign == "^=" else have.endswith(value) if sign == "$=" else value in have)
+    return value in have.split() if sign == "~=" else not sign or have == value
+
+
+def compounds(selector: str) -> list[tuple[bool, str, tuple, tuple, tuple]] | None:
+    """The compounds of a selector from the outermost: (child of the one before, tag, ids, classes,
+    attributes). None for selectors of other kinds (siblings, pseudo-classes, functions)."""
+    out, at, child = [], 0, False
+    selector = selector.strip()
+    while True:
+        m = _COMPOUND.match(selector, at)
+        if m.end() == at:
+            return None
+        parts = _PARTS.findall(m[2])
+        attributes = [(n.lower(), sign or "", (value or "").strip("\"'")) for n, sign, value in (_ATTRIBUTE.fullmatch(p).groups() for p in parts if p[0] == "[")]
+        out.append((child, (m[1] or "*").lower(), tuple(p[1:] for p in parts if p[0] == "#"), tuple(p[1:] for p in parts if p[0] == "."), tuple(attributes)))
+        if m.end() == len(selector):
+            return out
+        if not (c := _COMBINATOR.match(selector, m.end())):
+            return None
+        at, child = c.end(), ">" in c.group()
+
+
 class Rules:
-    """What simple style-sheet rules (tag, .class, #id and tag with either) say of ``display``."""
+    """What style-sheet rules say of ``display`` and ``visibility``.
+
+    Selectors are compounds of tag, id, classes and attributes, joined as descendants
+    or children. The steps of all selectors are numbered; an element carries the set
+    of steps taken at itself and the set taken at it or any ancestor, so that a
+    selector costs the same at any depth."""
 
     def __init__(self, sheets: list[str]):
-        #: selector -> (important, specificity, place, shown); the greatest that matches wins
-        self.shown: dict[tuple[str, str, str], tuple] = {}
-        place = 0
+        self.steps: dict[str, list[Step]] = {}   # by one thing that the element must have
+        bit, place = 1, 0
         for sheet in sheets:
             for selectors, declarations in sheet_rules(sheet):
-                if (found := display(declarations)) is None:
+                says = {name: found for name in _DECLARED if (found := declared(name, declarations))}
+                if not says:
                     continue
                 place += 1
-                for s in selectors.split(","):
-                    m = _SIMPLE.fullmatch(s.strip())
-                    if m and s.strip():
-                        key = (m[1] or "*", m[2] or "", m[3] or "")
-                        weight = {"#": 100, ".": 10, "": 0}[key[1]] + (key[0] != "*")
-                        rule = (found[0], weight, place, found[1])
-                        self.shown[key] = max(rule, self.shown.get(key, rule))
-
-    def removed(self, node: Node) -> bool:
+                for selector in _SELECTORS.split(selectors):
+                    parts = compounds(selector) or []
+                    weight = sum(10_000 * len(ids) + 100 * (len(classes) + len(attributes)) + (tag != "*") for _, tag, ids, classes, attributes in parts)
+                    before = 0
+                    for i, (child, tag, ids, classes, attributes) in enumerate(parts):
+                        last = {n: (important, weight, place, value) for n, (important, value) in says.items()} if i == len(parts) - 1 else None
+                        key = f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag
+                        self.steps.setdefault(key, []).append(Step(bit, before, child, tag, ids, classes, attributes, last))
+                        before, bit = bit, bit << 1
+
+    def look(self, node: Node, parent: tuple[int, int]) -> tuple[dict[str, str], tuple[int, int]]:
+        """The winning value of each property, and the steps taken: here, and here or above."""
+        a = node.attrs
+        here, above = 0, parent[1]
+        found: dict[str, tuple] = {}
+        if self.steps:
+            classes = set(a.get("class", "").split())
+            keys = ["*", node.tag, *(f".{c}" for c in classes)]
+            if "id" in a:
+                keys.append(f"#{a['id']}")
+            for key in keys:
+                for step in self.steps.get(key, ()):
+                    if (not step.before or step.before & (parent[0] if step.child else above)) and step.fits(node, classes):
+                        here |= step.bit
+                        for name, rule in (step.says or {}).items():
+                            found[name] = max(rule, found.get(name, rule))
+        if "style" in a:
+            declarations = a["style"].split(";")
+            for name in _DECLARED:
+                if own := declared(name, declarations):
+                    rule = (own[0], 1_000_000_000, 0, own[1])
+                    found[name] = max(rule, found.get(name, rule))
+        return {name: rule[3] for name, rule in found.items()}, (here, above | here)
+
+    @staticmethod
+    def removed(node: Node, style: dict[str, str]) -> bool:
+        """Whether an element is not laid out at all."""
         a = node.attrs
         if node.tag in HIDDEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
             return True
-        rules = []
-        if self.shown:
-            marks = [("", ""), *((".", c) for c in a.get("class", "").split())]
-            if "id" in a:
-                marks.append(("#", a["id"]))
-            rules = [r for t in (node.tag, "*") for k, v in marks if (r := self.shown.get((t, k, v)))]
-        if "style" in a and (own := display(a["style"].split(";"))):
-            rules.append((own[0], 1000, 0, own[1]))
-        if rules:
-            return not max(rules)[3]
+        if "display" in style:
+            return style["display"] == "none"
         return "hidden" in a or node.tag == "dialog" and "open" not in a
 
 
@@ -388,30 +467,35 @@ class Renderer:
         self.counts = {"tables": 0, "items": 0}
 
     def run(self, root: Node) -> list[str]:
-        stack: list[tuple] = [("enter", root, True, "")]  # inside a drawing: "svg", or "text" where text is drawn
+        # inside a drawing the place is "svg", or "text" where text is drawn
+        stack: list[tuple] = [("enter", root, True, "", (0, 0))]
         while stack:
-            what, node, seen, place = stack.pop()
+            what, node, seen, place, taken = stack.pop()
             if what == "text":
                 (self.flow.pre if self.pre else self.flow.text)(node)
-            elif what == "leave":
+                continue
+            if what == "leave":
                 self.leave(node)
-            elif not self.rules.removed(node) and not (place and (node.tag in SVG_HIDDEN or node.attrs.get("display") == "none")):
-                if node.tag == "svg":
-                    place = "svg"
-                elif place == "svg" and node.tag in SVG_TEXT:
-                    place = "text"
-                    self.flow.text(" ")
-                m = _VISIBILITY.search(node.attrs.get("style", ""))
-                seen = m[1].lower() == "visible" if m else seen
-                self.enter(node)
-                stack.append(("leave", node, seen, place))
-                closed = node.tag == "details" and "open" not in node.attrs
-                for child in reversed(node.children):
-                    if isinstance(child, str):
-                        if seen and not closed and place != "svg":
-                            stack.append(("text", child, seen, place))
-                    elif not closed or child.tag == "summary":
-                        stack.append(("enter", child, seen, place))
+                continue
+            style, taken = self.rules.look(node, taken)
+            if self.rules.removed(node, style) or place and (node.tag in SVG_HIDDEN or node.attrs.get("display") == "none"):
+                continue
+            if node.tag == "svg":
+                place = "svg"
+            elif place == "svg" and node.tag in SVG_TEXT:
+                place = "text"
+                self.flow.text(" ")
+            if (visibility := style.get("visibility")) in ("visible", "hidden", "collapse"):
+                seen = visibility == "visible"
+            self.enter(node)
+            stack.append(("leave", node, seen, place, taken))
+            closed = node.tag == "details" and "open" not in node.attrs
+            for child in reversed(node.children):
+                if isinstance(child, str):
+                    if seen and not closed and place != "svg":
+                        stack.append(("text", child, seen, place, taken))
+                elif not closed or child.tag == "summary":
+                    stack.append(("enter", child, seen, place, taken))
         return self.flow.finished()
 
     def enter(self, node: Node) -> None:

@@ -1,6 +1,7 @@
 """Layout-aware text of pages."""
 
 import html
+import random
 import re
 
 import pytest
@@ -52,6 +53,85 @@ def test_visible_text_stays(page, text):
     assert html_layout.render(page)[0] == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<style>.a .b{display:none}</style><div class=a><i><b class=b>no</b></i></div><b class=b>yes</b>", "yes"),
+    ("<style>.a > .b{display:none}</style><div class=a><b class=b>no</b><i><b class=b>yes</b></i></div>", "yes"),
+    ("<style>p.a.b{display:none}</style><p class='b c a'>no<p class=a>yes<div class='a b'>yes</div>", "yes\n\nyes"),
+    ("<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>no<b class=v>yes</b><i>no</i></div>", "yes"),
+    ("<style>div.h p{visibility:hidden} p{visibility:visible}</style><div class=h><p>no</div><p>yes", "yes"),
+    ("<style>ul li a[rel=x],A[data-y~='q']{display:none}</style><ul><li><a rel=x>no</a><a rel=xx>yes</a></ul><a rel=x data-y='p q'>no</a>", "- yes"),
+    ("<style>.a .b{display:none}.b{display:block}</style><div class=a><b class=b>no</b></div>yes", "yes"),
+    ("<style>.a:hover .b,.a + .b,.a ~ .b{display:none}</style><div class=a><b class=b>yes</b></div><b class=b>yes</b>", "yes\nyes"),
+    ("<style>html body div#x span{display:none}</style><div id=x><p><span>no</span>yes", "yes"),
+])
+def test_selectors_and_visibility(page, text):
+    assert html_layout.render(page)[0] == text
+
+
+def plain_matches(node, parents, parts):
+    """Whether the last compound fits the node and the others its ancestors, by trying all."""
+    child, tag, ids, classes, attributes = parts[-1]
+    a = node.attrs
+    if tag not in ("*", node.tag) or any(a.get("id") != i for i in ids) or any(c not in a.get("class", "").split() for c in classes):
+        return False
+    if any(n not in a or sign == "=" and a[n] != v for n, sign, v in attributes):
+        return False
+    if len(parts) == 1:
+        return True
+    if child:
+        return bool(parents) and plain_matches(parents[-1], parents[:-1], parts[:-1])
+    return any(plain_matches(parents[i], parents[:i], parts[:-1]) for i in range(len(parents)))
+
+
+def plain_visible(node, parents, seen, rules):
+    """Words seen, by the definition of the cascade."""
+    won = {}
+    for place, (selector, says) in enumerate(rules):
+        parts = html_layout.compounds(selector)
+        if parts and plain_matches(node, parents, parts):
+            weight = sum(10_000 * len(p[2]) + 100 * (len(p[3]) + len(p[4])) + (p[1] != "*") for p in parts)
+            for name, value in says.items():
+                won[name] = max(won.get(name, (-1, -1, "")), (weight, place, value))
+    if won.get("display", (0, 0, "block"))[2] == "none":
+        return []
+    if "visibility" in won:
+        seen = won["visibility"][2] == "visible"
+    out = []
+    for c in node.children:
+        out += ([c.strip()] if seen and c.strip() else []) if isinstance(c, str) else plain_visible(c, [*parents, node], seen, rules)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_rules_against_a_plain_matcher(seed):
+    rng = random.Random(seed)
+
+    def compound():
+        return rng.choice(["", "div", "span", "*"]) + "".join(rng.sample([".a", ".b", ".c", "#i", "#j", "[t]", "[t=x]"], rng.randint(0, 2))) or "span"
+
+    def element(depth):
+        attrs = rng.choice(["", " class=a", " class='b a'", " class=c", " id=i", " id=j class=b", " t=x", " t=y class=a"])
+        inner = "".join(rng.choice([f" w{rng.randint(0, 999)} ", element(depth - 1)]) for _ in range(rng.randint(1, 3))) if depth else f" w{rng.randint(0, 999)} "
+        tag = rng.choice(["div", "span"])
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
+    rules = [(rng.choice([" ", " > ", "  "]).join(compound() for _ in range(rng.randint(1, 3))),
+              {rng.choice(["display", "visibility"]): rng.choice(["none", "block"])}) for _ in range(6)]
+    rules = [(s, {n: v if n == "display" else {"none": "hidden", "block": "visible"}[v] for n, v in says.items()}) for s, says in rules]
+    sheet = "".join(f"{s}{{{';'.join(f'{n}:{v}' for n, v in says.items())}}}" for s, says in rules)
+    page = "".join(element(4) for _ in range(4))
+    builder = html_layout.TreeBuilder()
+    builder.feed(page)
+    builder.close()
+    want = " ".join(plain_visible(builder.root, [], True, rules)).split()
+    assert html_layout.render(f"<style>{sheet}</style>{page}")[0].split() == want
+
+
+def test_descendant_rules_in_a_deep_page():
+    page = "<style>.a .b .c{display:none}</style>" + "<div class='b c'>" * 20_000 + "deep"
+    assert html_layout.render(page)[0] == "deep"
+
+
 @pytest.mark.parametrize("page", ["<div>" * 30000 + "deep" + "</div>" * 30000, "<table><tr><td>" * 3000 + "deep", "<p>" * 30000 + "<b>" * 5000 + "deep", "<ul><li>" * 2000 + "deep", "deep" + "</div>" * 50000])
 def test_depth_is_no_limit(page):
     assert html_layout.render(page)[0].strip().endswith("deep")
