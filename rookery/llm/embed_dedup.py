@@ -6,7 +6,9 @@ rotated to their principal dimensions, laid on a grid of cells eps wide over the
 leading ones and sorted by cell. Blocks are intervals of that sequence. Two
 blocks are joined only if their cells lie within one of each other in every
 grid dimension; inside a pair of blocks the intervals are halved recursively,
-skipping halves that are provably distant, down to small matrix products.
+skipping halves that are provably distant, down to small matrix products. Blocks
+that follow each other are compared in one place, a super-block: a block travels
+once to each super-block that it has to meet, and not once for every pair.
 
 The rotation is fitted on a bounded sample. It decides how much is skipped,
 never what is found: any orthonormal rotation gives the same links.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, spanning_forest
@@ -31,6 +33,8 @@ THRESHOLD = 0.98
 GRID_DIMS, KEY_DIMS = 8, 2
 #: Rows of a block, and of an interval that is compared as a whole.
 BLOCK_ROWS, LEAF_ROWS = 512, 128
+#: A super-block has 2 to the power of this blocks.
+SUPER_BITS = 4
 #: Vectors from which rotations are fitted, and their components in all.
 SAMPLE_ROWS, SAMPLE_VALUES = 4096, 1 << 20
 #: Cosines this near the threshold are computed anew with exact sums.
@@ -151,34 +155,54 @@ def _cells(axes: dict[int, np.ndarray], eps: float):
     return run
 
 
+class Block:
+    """A block in its task: ids, copies, unit vectors and cells."""
+
+    def __init__(self, ids: pa.Scalar, copies: pa.Scalar, vectors: pa.Scalar, cells: pa.Scalar):
+        self.ids, self.copies = np.asarray(ids.values), np.asarray(copies.values)
+        self.u = unit(np.frombuffer(vectors.as_buffer(), dtype=np.float64).reshape(len(self.ids), -1))
+        self.cells = np.frombuffer(cells.as_buffer(), dtype=np.int32).reshape(len(self.ids), -1)
+
+
+def _linked(a: Block, b: Block, threshold: float, same: bool) -> pa.RecordBatch | None:
+    """Links of two blocks: how many each vector has, with the copies of the other one, and a forest of them."""
+    i, j = sequence_join(a.u, b.u, a.cells, b.cells, threshold, same)
+    if not len(i):
+        return None
+    one = np.concatenate([a.ids[i], b.ids[j]])
+    other = np.concatenate([b.copies[j], a.copies[i]])
+    nodes, at = np.unique(one, return_inverse=True)
+    n = np.bincount(at, weights=other).astype(np.int64)
+    pairs = spanning_forest(a.ids[i], b.ids[j])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*nodes.tolist(), *(p[0] for p in pairs)], pa.int64()), pa.array([*[None] * len(nodes), *(p[1] for p in pairs)], pa.int64()),
+         pa.array([*n.tolist(), *[0] * len(pairs)], pa.int64())], names=["a", "b", "n"])
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by (super, visit): a super-block's own blocks, then one after the other those that visit it
+        held: dict[int, Block] = {}
+        here = None
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k] for i, n in enumerate(batch.schema.names)}
-                ids, copies, u, cells = [], [], [], []
-                for s in ("a", "b"):
-                    ids.append(np.asarray(row[f"{s}_ids"].values))
-                    copies.append(np.asarray(row[f"{s}_copies"].values))
-                    v = np.frombuffer(row[f"{s}_vectors"].as_buffer(), dtype=np.float64)
-                    u.append(unit(v.reshape(len(ids[-1]), -1)))
-                    cells.append(np.frombuffer(row[f"{s}_cells"].as_buffer(), dtype=np.int32).reshape(len(ids[-1]), -1))
-                same = row["a_block"].as_py() == row["b_block"].as_py()
-                i, j = sequence_join(u[0], u[1], cells[0], cells[1], threshold, same)
-                if not len(i):
-                    continue
-                # links of each vector, counted with the copies of the other one
-                one = np.concatenate([ids[0][i], ids[1][j]])
-                other = np.concatenate([copies[1][j], copies[0][i]])
-                nodes, at = np.unique(one, return_inverse=True)
-                n = np.bincount(at, weights=other).astype(np.int64)
-                pairs = spanning_forest(ids[0][i], ids[1][j])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*nodes.tolist(), *(p[0] for p in pairs)], pa.int64()), pa.array([*[None] * len(nodes), *(p[1] for p in pairs)], pa.int64()),
-                     pa.array([*n.tolist(), *[0] * len(pairs)], pa.int64())], names=["a", "b", "n"])
+                at, visit, block, own = (batch.column(i)[k].as_py() for i in range(4))
+                if at != here:
+                    here, held = at, {}
+                row = Block(*(batch.column(i)[k] for i in range(4, 8)))
+                if not visit:
+                    held[block] = row
+                for other in own:
+                    if (found := _linked(held[other], row, threshold, other == block)) is not None:
+                        yield found
     return run
 
 
+def _super(block: str) -> Column:
+    """The super-block of a block: blocks that follow each other in the sequence."""
+    return F.shiftright(F.col(block), SUPER_BITS)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Link vectors of equal label whose cosine is at least ``threshold``.
 
@@ -221,16 +245,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             .join(head.withColumnsRenamed({"block": "b_block", "low": "b_low", "high": "b_high"}), ["label", "width", "key"]))
     apart = F.exists(F.arrays_zip("a_low", "a_high", "b_low", "b_high"),
                      lambda d: (d["a_low"] - d["b_high"] > 1) | (d["b_low"] - d["a_high"] > 1))
-    pairs = near.where(~apart & ((F.col("a_key") != F.col("key")) | (F.col("a_block") <= F.col("b_block")))).select("a_block", "b_block")
+    pairs = near.where(~apart & ((F.col("a_key") != F.col("key")) | (F.col("a_block") <= F.col("b_block")))) \
+        .select(F.least("a_block", "b_block").alias("a_block"), F.greatest("a_block", "b_block").alias("b_block"))
+    # a block is sent once to each super-block that it has to meet: with the first of a pair at home there
+    pairs = pairs.groupBy(_super("a_block").alias("super"), F.col("b_block").alias("block")).agg(F.collect_set("a_block").alias("own"))
+    pairs = pairs.withColumn("own", F.sort_array("own"))
     load = ["ids", "copies", "vectors", "cells"]
-    side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in load])
-    found = written(pairs.join(side("a"), "a_block").join(side("b"), "b_block").mapInArrow(_compare(threshold), "a long, b long, n long"), "embed-links")
+    home = blocks.select(_super("block").alias("super"), F.lit(0).alias("visit"), "block", *load)
+    inside = pairs.where(F.col("super") == _super("block")).select("block", "own")
+    visits = pairs.where(F.col("super") != _super("block")).select("super", F.lit(1).alias("visit"), "block", "own")
+    # blocks of one super-block come in order, so that both of a pair are there when its second one comes
+    rows = (home.join(inside, "block", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+            .unionByName(visits.join(blocks.select("block", *load), "block")).select("super", "visit", "block", "own", *load))
+    rows = rows.repartition("super").sortWithinPartitions("super", "visit", "block")
+    found = written(rows.mapInArrow(_compare(threshold), "a long, b long, n long"), "embed-links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     comp = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     known = (classes.select("label", "vector", "id", "copies").join(links, "id", "left").join(comp, "id", "left")
              .select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    out = marked.select("vec_id", "label", "vector").join(known, ["label", "vector"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.col("vec_id").eqNullSafe(component).alias("kept"))
+    part = marked.where("vector is not null").select("vec_id", "label", "vector").join(known, ["label", "vector"])
+    alone = marked.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = part.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
