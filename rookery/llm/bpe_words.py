@@ -158,12 +158,15 @@ def chunked(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataF
 
 
 def _bucketed(chunks: DataFrame) -> DataFrame:
-    """The chunks as a table below the shared folder, bucketed by chunk."""
+    """The chunks as a table below the shared folder, bucketed by chunk; its entry in the catalog goes at once."""
     spark = chunks.sparkSession
     name = f"bpe_chunks_{uuid.uuid4().hex}"
     (chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
      .option("path", fresh_path(spark, "bpe-chunks")).option("compression", "zstd").saveAsTable(name))
-    return spark.table(name)
+    out = spark.table(name)
+    out.schema  # resolved, with its files, before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def pieces(path: str) -> list[str]:
