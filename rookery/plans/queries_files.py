@@ -46,7 +46,7 @@ SOURCE = r"regexp_replace(lower(event), '[^a-z0-9]+', '_', 'g')"
 
 def _folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "converted")
-    files.convert_folder(spark, corpus.games_corpus(spark, sf_dir), out, glob=None)
+    files.convert_folder(spark, corpus.games_corpus(spark, sf_dir, packed=True), out, glob=None)
     return files.read_games(spark, out).groupBy("source").agg(
         F.count(F.lit(1)).alias("games"), F.min("game_id").alias("first_id"), F.max("game_id").alias("last_id"))
 
@@ -58,7 +58,7 @@ FROM games GROUP BY 1""", ("games",))
 
 def _earlier_batch(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """A folder of sources, and a target that an earlier batch filled with two of them."""
-    src = corpus.games_corpus(spark, sf_dir)
+    src = corpus.games_corpus(spark, sf_dir, packed=True)
     out = fresh_path(spark, "converted-part")
     files.convert_sources(spark, src, out, ["rated_game_0", "rated_game_1"], glob=None)
     return src, out

@@ -19,7 +19,7 @@ GAMES_LIMIT = 1000
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pgn.scan_pgn(spark, corpus.games_corpus(spark, sf_dir), glob=None)
+    return pgn.scan_pgn(spark, corpus.games_corpus(spark, sf_dir, packed=True), glob=None)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ FROM info i JOIN mt ON i.game_id = mt.game_id""".replace("{{", "{").replace("}}"
 
 def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19 guard: the games that a target does not hold yet."""
-    target = corpus.games_corpus(spark, sf_dir) + "/source=rated_game_0"
+    target = corpus.games_corpus(spark, sf_dir, packed=True) + "/source=rated_game_0"
     existing = pgn.with_tags(pgn.scan_pgn(spark, target, glob=None)).select(
         pgn.tag(F.col("_keys"), F.col("_vals"), "ParquetGameId", "").cast("int").alias("game_id"))
     return td.games(spark, sf_dir).join(existing, "game_id", "left_anti").select("game_id")

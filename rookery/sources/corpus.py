@@ -37,9 +37,9 @@ def in_file_order(games: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.sortWithinPartitions("source", "game_id")
 
 
-def write_pgn(pgn: DataFrame, path: str) -> None:
+def write_pgn(pgn: DataFrame, path: str, compression: str = "none") -> None:
     """Write ``(source, pgn)`` as text, one folder per source."""
-    pgn.select("source", "pgn").write.mode("overwrite").partitionBy("source").text(path)
+    pgn.select("source", "pgn").write.mode("overwrite").option("compression", compression).partitionBy("source").text(path)
 
 
 def _key(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, str, str]:
@@ -78,12 +78,20 @@ def varied(pgn: DataFrame) -> DataFrame:
                           .when(source.endswith("3"), F.regexp_replace(text, r"\n+$", "")).otherwise(text))
 
 
-def games_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """All games rendered to PGN, one source per event title, each in a layout of its own."""
+#: Games of a packed file, which one task reads, and of the sort in front of it.
+PACKED_GAMES = 250_000
+
+
+def games_corpus(spark: SparkSession, sf_dir: str, packed: bool = False) -> str:
+    """All games rendered to PGN, one source per event title, each in a layout of its own.
+
+    ``packed`` files are gzipped and of bounded size, since a task reads a packed file
+    whole; plain files can be split, and are as large as the shuffle makes them."""
     def write(path: str) -> None:
-        games = in_file_order(td.games(spark, sf_dir).withColumn("source", source_name("event")))
-        write_pgn(varied(render_games(games, keep=("source",))), path)
-    return _build(spark, sf_dir, "games", write)
+        games = td.games(spark, sf_dir).withColumn("source", source_name("event"))
+        files = max(spark.sparkContext.defaultParallelism, -(-games.count() // PACKED_GAMES)) if packed else None
+        write_pgn(varied(render_games(in_file_order(games, files), keep=("source",))), path, "gzip" if packed else "none")
+    return _build(spark, sf_dir, "games-packed" if packed else "games", write)
 
 
 def annotated_corpus(spark: SparkSession, sf_dir: str) -> str:
