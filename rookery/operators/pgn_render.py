@@ -99,11 +99,12 @@ def render_games(games: DataFrame, game_id_tag: bool = True, keep: tuple[str, ..
     moves = F.filter(F.split(F.col(moves_col), " "), lambda x: x != "")
     clocks = F.filter(F.split(F.col("clock_times"), " "), lambda x: x != "")
     extra = [("ParquetGameId", F.col("game_id").cast("string"))] if game_id_tag else []
-    df = with_movetext(games.withColumn("_clocks", clocks), moves,
-                       F.transform(moves, lambda m, i: F.when(
-                           i < F.size("_clocks"),
-                           F.concat(F.lit("[%clk "), clock_text(F.element_at("_clocks", i + 1)), F.lit("]")))),
-                       F.col("result"))
+    df = games.withColumn("_clocks", F.coalesce(clocks, F.array().cast("array<string>"))).withColumn("_moves", moves)
+    # only plies with a clock have a comment to build
+    n = F.greatest(F.least(F.size("_clocks"), F.size("_moves")), F.lit(0))
+    comments = F.concat(F.transform(F.slice("_clocks", 1, n), lambda c: F.concat(F.lit("[%clk "), clock_text(c), F.lit("]"))),
+                        F.array_repeat(F.lit(None).cast("string"), F.size("_moves") - n))
+    df = with_movetext(df, F.col("_moves"), comments, F.col("result"))
     text = F.concat(header_block(extra), F.lit("\n\n"), F.col("_movetext"), F.lit("\n"))
     return df.select("game_id", *keep, text.alias("pgn"))
 

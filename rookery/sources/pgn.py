@@ -62,16 +62,17 @@ def scan_pgn(spark: SparkSession, path: str | list[str], glob: str | None = DEFA
 
 def has_game(value: str) -> Column:
     """Whether a record of the scan holds more than a byte order mark and blanks."""
-    return F.regexp_replace(F.left(F.col(value), F.lit(4096)), "[\\x{FEFF}\\s]+", "") != ""
+    return F.left(F.col(value), F.lit(4096)).rlike("[^\\x{FEFF}\\s]")
 
 
 def restore_game_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Undo the record split: invalid bytes replaced, LF line ends, no BOM or
     blank lines in front, and the ``[Event `` the separator consumed. One
     projection per stage, so the stages are not evaluated twice."""
-    df = df.withColumn(text, F.regexp_replace(F.make_valid_utf8(F.col(text)), "\r\n?", "\n"))
-    df = df.withColumn(text, F.regexp_replace(F.col(text), "^[\\x{FEFF}\\s]+", ""))
     t = F.col(text)
+    # literal replaces: "\r\n" first, then what is left of "\r"
+    df = df.withColumn(text, F.replace(F.replace(F.make_valid_utf8(t), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    df = df.withColumn(text, F.when(F.left(t, F.lit(1)).rlike("[\\x{FEFF}\\s]"), F.regexp_replace(t, "^[\\x{FEFF}\\s]+", "")).otherwise(t))
     return df.withColumn(text, F.when(t.startswith("[Event "), t).otherwise(F.concat(F.lit("[Event "), t)))
 
 
@@ -173,8 +174,10 @@ def tag_values(keys: Column, vals: Column, names: list[str]) -> Column:
     projection under the size the JIT compiles."""
     wanted = F.array(*[F.lit(n) for n in names])
     # bind the arrays once: inlined into the lambda they would be rebuilt per name
-    return let(F.struct(keys.alias("k"), vals.alias("v")), lambda kv: F.transform(wanted, lambda n: F.regexp_replace(
-        F.element_at(kv["v"], F.array_position(kv["k"], n).cast("int") + 1), r'\\(["\\])', "$1")))
+    def unescape(v: Column) -> Column:
+        return _if_contains(v, "\\", lambda e: F.regexp_replace(e, r'\\(["\\])', "$1"))
+    return let(F.struct(keys.alias("k"), vals.alias("v")), lambda kv: F.transform(F.transform(
+        wanted, lambda n: F.element_at(kv["v"], F.array_position(kv["k"], n).cast("int") + 1)), unescape))
 
 
 def with_tags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -210,11 +213,13 @@ def with_clean_movetext(df: DataFrame, movetext: str = "movetext", out: str = "_
     df = df.withColumn(out, _if_contains(F.col(movetext), ";", lambda m: F.regexp_replace(m, r";[^\n]*", " ")))
     df = df.withColumn(out, _if_contains(F.col(out), "(", var))
     df = df.withColumn(out, _if_contains(F.col(out), "$", lambda m: F.regexp_replace(m, r"\$\d+", " ")))
-    # a move number starts a token and is not followed by a digit (keeps "0.36")
-    m = F.regexp_replace(F.col(out), r"(?<![^\s])\d+\.(?:\.\.)?(?![0-9])", " ")
-    m = F.regexp_replace(m, r"(?<=[^\s{}])[!?]+", "")
-    m = F.regexp_replace(m, r"(^|\s)(1-0|0-1|1/2-1/2|\*)(?=\s|$)", " ")
+    # a move number starts a token and is not followed by a digit (keeps "0.36"); what
+    # is in front is looked at behind a digit only, not behind every character
+    m = F.regexp_replace(F.col(out), r"\d(?<![^\s]\d)\d*\.(?:\.\.)?(?![0-9])", " ")
     df = df.withColumn(out, m)
+    m = F.col(out)
+    df = df.withColumn(out, F.when(m.contains("!") | m.contains("?"), F.regexp_replace(m, r"(?<=[^\s{}])[!?]+", "")).otherwise(m))
+    df = df.withColumn(out, F.regexp_replace(m, r"(?:^|\s)(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)", " "))
     return df.withColumn(out, _if_contains(F.col(out), "{", lambda c: F.regexp_replace(
         F.regexp_replace(c, r"\}\s*\{", " "), r"^\s*\{[^}]*\}", " ")))
 
@@ -232,18 +237,18 @@ def clock_seconds(comment: Column) -> Column:
     after = F.split_part(after, F.lit("%clk"), F.lit(1))
     after = F.regexp_replace(F.regexp_replace(after, r"^\s+", ""), r"^[\[ ]+", "")
     val = F.regexp_replace(F.split_part(after, F.lit("]"), F.lit(1)), r"^\s+|\s+$", "")
-    parts = F.split(val, ":")
-    n = F.size(parts)
 
-    def num(i: int) -> Column:
-        return F.trim(F.element_at(parts, i)).try_cast("int")
+    def seconds(parts: Column) -> Column:
+        n = F.size(parts)
 
-    def secs(i: int) -> Column:
-        return F.trim(F.element_at(parts, i)).try_cast("double").try_cast("int")
-    h3 = num(1) * 3600 + num(2) * 60 + secs(3)
-    m2 = num(1) * 60 + secs(2)
-    return F.when(~comment.contains("%clk"), F.lit(None).cast("int")) \
-        .when(n == 3, h3).when(n == 2, m2)
+        def num(i: int) -> Column:
+            return F.trim(F.element_at(parts, i)).try_cast("int")
+
+        def secs(i: int) -> Column:
+            return F.trim(F.element_at(parts, i)).try_cast("double").try_cast("int")
+        return F.when(n == 3, num(1) * 3600 + num(2) * 60 + secs(3)).when(n == 2, num(1) * 60 + secs(2))
+    # the parts are read several times, and found once
+    return F.when(comment.contains("%clk"), let(F.split(val, ":"), seconds))
 
 
 def eval_score(comment: Column) -> tuple[Column, Column]:
@@ -274,8 +279,10 @@ def parse_games(raw: DataFrame, numbered: bool = True, first: DataFrame | None =
     names = ["Event", "Site", "UTCDate", "Date", "White", "Black", "Result", "WhiteElo", "BlackElo",
              "WhiteRatingDiff", "BlackRatingDiff", "ECO", "Opening", "TimeControl", "Termination",
              "ParquetGameId"]
+    # the comments of a game without clocks are not looked at
+    clk = F.when(F.col("_clean").contains("%clk"), F.transform(comments, clock_seconds)).otherwise(F.array().cast("array<int>"))
     df = (df.withColumn("_tokens", moves)
-          .withColumn("_clk", F.transform(comments, clock_seconds))
+          .withColumn("_clk", clk)
           .withColumn("_t", tag_values(F.col("_keys"), F.col("_vals"), names)))
 
     def t(name: str, default: str | None = None) -> Column:
