@@ -157,10 +157,10 @@ SELECT game_id, arg_max(fen, ply) AS final_fen FROM plies GROUP BY game_id""", (
 
 
 def _evaluation_rows(games: DataFrame, plies: DataFrame) -> DataFrame:
-    """The documents, written as JSON, read back and laid out by ply."""
+    """The documents, written as packed JSON, read back and laid out by ply."""
     docs = ev.evaluation_documents(games, plies)
     path = fresh_path(games.sparkSession, "evaluations")
-    docs.write.json(path)
+    docs.write.option("compression", "gzip").json(path)
     docs = games.sparkSession.read.schema(docs.schema).json(path)
     top = F.transform("top_mistakes", lambda m: m["ply"])
     return docs.select("game_id", "plies", F.size("best_moves").alias("n_best"), "summary.*", top.alias("top"), F.explode("evaluations").alias("e")) \
