@@ -213,13 +213,12 @@ def with_clean_movetext(df: DataFrame, movetext: str = "movetext", out: str = "_
     df = df.withColumn(out, _if_contains(F.col(movetext), ";", lambda m: F.regexp_replace(m, r";[^\n]*", " ")))
     df = df.withColumn(out, _if_contains(F.col(out), "(", var))
     df = df.withColumn(out, _if_contains(F.col(out), "$", lambda m: F.regexp_replace(m, r"\$\d+", " ")))
-    # a move number starts a token and is not followed by a digit (keeps "0.36"); what
-    # is in front is looked at behind a digit only, not behind every character
-    m = F.regexp_replace(F.col(out), r"\d(?<![^\s]\d)\d*\.(?:\.\.)?(?![0-9])", " ")
+    # a move number starts a token and is not followed by a digit (keeps "0.36")
+    m = F.regexp_replace(F.col(out), r"(?<![^\s])\d+\.(?:\.\.)?(?![0-9])", " ")
     df = df.withColumn(out, m)
     m = F.col(out)
     df = df.withColumn(out, F.when(m.contains("!") | m.contains("?"), F.regexp_replace(m, r"(?<=[^\s{}])[!?]+", "")).otherwise(m))
-    df = df.withColumn(out, F.regexp_replace(m, r"(?:^|\s)(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)", " "))
+    df = df.withColumn(out, F.regexp_replace(m, r"(^|\s)(1-0|0-1|1/2-1/2|\*)(?=\s|$)", " "))
     return df.withColumn(out, _if_contains(F.col(out), "{", lambda c: F.regexp_replace(
         F.regexp_replace(c, r"\}\s*\{", " "), r"^\s*\{[^}]*\}", " ")))
 
